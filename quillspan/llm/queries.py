@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import packing, shard, simhash
+from quillspan.llm import minhash, packing, shard, simhash
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = minhash.fingerprint_with_next(_documents(spark, sf_dir))
+    sha = F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256")
+    return marked.select("doc_id", "n_chars", sha, "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shard.shard(_documents(spark, sf_dir), shards=24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -31,7 +37,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_feistel_shards, op7_cost_balanced_packing, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_minhash_fingerprints, op3_feistel_shards, op7_cost_balanced_packing, op10_simhash_groups)}
 
 
 def oracle_sql() -> dict[str, str]:
