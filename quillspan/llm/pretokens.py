@@ -7,7 +7,7 @@ of neighbouring characters alone: a few array operations over the characters of
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -72,8 +72,8 @@ def text_groups(column: pa.Array) -> Iterator[list[bytes]]:
         yield group
 
 
-def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """The pre-tokens of all texts in a row, and how many each text has."""
+def split(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[list[bytes], np.ndarray]:
+    """The pre-tokens of all texts in a row, and how many each text has. find: says where pre-tokens begin, as :func:`starts`."""
     joined = b"\n".join(texts)  # the line feeds between texts are marked as breaks
     chars = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
     offset = np.flatnonzero((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)
@@ -82,7 +82,7 @@ def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     ends = np.cumsum(lengths + 1) - 1
     edge = np.searchsorted(offset, ends[:-1])
     kinds[edge] = BREAK
-    begin = starts(chars, kinds)
+    begin = find(chars, kinds)
     begin[edge] = True
     at = np.flatnonzero(begin)
     first = offset[at]
