@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, chat, counts, minhash, packing, shard, simhash
+from quillspan.llm import bpe, chat, counts, minhash, packing, shard, simhash, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op4_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op6_impact_ordered_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 256.0)
+    return topk.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
+
+
 def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -64,8 +69,20 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_fingerprints, op2_chat_round_trip, op3_feistel_shards, op4_duckdb_bpe, op7_cost_balanced_packing, op9_transducer_counts, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_minhash_fingerprints, op2_chat_round_trip, op3_feistel_shards, op4_duckdb_bpe, op6_impact_ordered_top5, op7_cost_balanced_packing, op9_transducer_counts, op10_simhash_groups)}
+
+
+_TOP5 = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM e q JOIN e c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_impact_ordered_top5": _TOP5}
