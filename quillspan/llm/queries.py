@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, chat, counts, minhash, packing, shard, simhash, topk
+from quillspan.llm import bpe, chat, counts, minhash, packing, quality, shard, simhash, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op7_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    scored = quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -69,7 +75,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_fingerprints, op2_chat_round_trip, op3_feistel_shards, op4_duckdb_bpe, op6_impact_ordered_top5, op7_cost_balanced_packing, op9_transducer_counts, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_minhash_fingerprints, op2_chat_round_trip, op3_feistel_shards, op4_duckdb_bpe, op6_impact_ordered_top5, op7_cost_balanced_packing, op8_crf_quality, op9_transducer_counts, op10_simhash_groups)}
 
 
 _TOP5 = """
