@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.llm import bpe, chat, counts, minhash, packing, quality, shard, simhash, topk
+from quillspan.llm import bpe, chat, counts, langid, minhash, packing, quality, shard, simhash, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,12 @@ def op4_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op5_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    said = langid.predict(docs, langid.train(docs))
+    return said.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op6_impact_ordered_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 256.0)
     return topk.top_k(vectors, vectors.filter(F.col("id") % 50 == 0), k=5)
@@ -75,7 +81,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_fingerprints, op2_chat_round_trip, op3_feistel_shards, op4_duckdb_bpe, op6_impact_ordered_top5, op7_cost_balanced_packing, op8_crf_quality, op9_transducer_counts, op10_simhash_groups)}
+    return {f.__name__: f for f in (op1_minhash_fingerprints, op2_chat_round_trip, op3_feistel_shards, op4_duckdb_bpe, op5_gru_language, op6_impact_ordered_top5, op7_cost_balanced_packing, op8_crf_quality, op9_transducer_counts, op10_simhash_groups)}
 
 
 _TOP5 = """
