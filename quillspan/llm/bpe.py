@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspan.llm import pretokens
+from quillspan.llm.batches import map_texts
 
 #: Positions that go into one recursive query.
 BLOCK = 400_000
@@ -153,28 +154,26 @@ def tables(path: str) -> Tables:
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, text): token ids of every whole text (bytes of little-endian 32-bit integers) and the bytes they decode to.
+    """(id, ids, decoded): token ids of every whole text (bytes of little-endian 32-bit integers) and the bytes they decode to.
 
     Null and empty texts have no ids. Every match of the tokenizers' pattern is encoded by itself, without
     special tokens. Null ids and repeated rows keep their rows; an empty table gives an empty result; other
     columns take no part. A task holds a few megabytes of text and the words of its partition, at most
     ``REMEMBERED`` of them.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         known: dict[bytes, bytes] = {}
-        for batch in batches:
-            at = 0
-            for group in pretokens.text_groups(batch.column(1)):
-                words, count = pretokens.split(group)
-                if len(known) > REMEMBERED:
-                    known.clear()
-                known.update(tables(ranks_path).words(list(set(words).difference(known))))
-                pieces = list(map(known.__getitem__, words))
-                end = np.cumsum(count).tolist()
-                ids = [b"".join(pieces[a:b]) for a, b in zip([0, *end[:-1]], end, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(ids, pa.binary()), pa.array(tables(ranks_path).decode(ids), pa.binary())], ["id", "ids", "text"])
-                at += len(group)
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids binary, text binary").withColumnRenamed("id", id_col)
+
+        def make(group: list[bytes]) -> list[pa.Array]:
+            words, count = pretokens.split(group)
+            if len(known) > REMEMBERED:
+                known.clear()
+            known.update(tables(ranks_path).words(list(set(words).difference(known))))
+            pieces = list(map(known.__getitem__, words))
+            end = np.cumsum(count).tolist()
+            ids = [b"".join(pieces[a:b]) for a, b in zip([0, *end[:-1]], end, strict=True)]
+            return [pa.array(ids, pa.binary()), pa.array(tables(ranks_path).decode(ids), pa.binary())]
+
+        return make
+
+    return map_texts(docs, text_col, [id_col], "ids binary, decoded binary", start)

@@ -11,7 +11,6 @@ tokens. Its states are made as they are met.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillspan.llm import pretokens
+from quillspan.llm.batches import map_texts
 from quillspan.llm.tokens import ByteLevelFile
 
 #: Characters of a chunk.
@@ -243,14 +243,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     empty result; other columns take no part. Memory is bounded by a group of texts and by ``REMEMBERED``
     and ``STATES``; nothing is shuffled.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    def start():
+        made = counter(tokenizer_path)
+        return lambda group: [pa.array([len(t) for t in group], pa.int64()), pa.array(made.count(group))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for group in pretokens.text_groups(batch.column(1)):
-                n = pa.array(counter(tokenizer_path).count(group))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array([len(t) for t in group], pa.int64()), n], ["id", "n_bytes", "n_tokens"])
-                at += len(group)
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return map_texts(docs, text_col, [id_col], "n_bytes long, n_tokens long", start)

@@ -8,7 +8,6 @@ whether the position is a letter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,13 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm import pretokens
+from quillspan.llm.batches import map_texts
 from quillspan.llm.quality import learnable
 
 #: Bytes of a window, units of a layer, windows that are run side by side.
 SPAN, UNITS, LANES = 128, 8, 2048
-#: Training windows of each language, their bytes, and passes over them.
-SAMPLE, SAMPLE_SPAN, EPOCHS, BATCH, RATE = 1500, 96, 6, 64, 0.01
+#: Training windows of each language, their bytes, and the batches that are learned from.
+SAMPLE, SAMPLE_SPAN, BATCHES, BATCH, RATE = 1500, 96, 600, 64, 0.015
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _FLOAT = np.float32
@@ -155,31 +154,28 @@ def fit(windows: np.ndarray, language: np.ndarray, languages: list[str], seed: i
     rng = np.random.default_rng(seed)
     net = Network(Layer.new(rng), Layer.new(rng), rng.normal(0, 0.1, (len(languages), 2 * UNITS)).astype(_FLOAT), np.zeros((len(languages), 1), _FLOAT), languages)
     weights = [net.ahead.byte, net.ahead.state, net.ahead.bias, net.behind.byte, net.behind.state, net.behind.bias, net.out, net.out_bias]
-    slow, fast, i = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    total = EPOCHS * -(-len(windows) // BATCH)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(windows))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            steps = np.ascontiguousarray(windows[pick].T)
-            a, kept_a = _forward(net.ahead, steps)
-            b, kept_b = _forward(net.behind, steps[::-1])
-            both = np.concatenate((a, b[::-1]), axis=1)
-            score = net.out @ both + net.out_bias
-            p = np.exp(score - score.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[:, language[pick], np.arange(len(pick))] -= 1
-            p *= ~_MUTE[steps][:, None, :] / steps.size
-            p = p.astype(_FLOAT)
-            slope = net.out.T @ p
-            grads = [*_backward(net.ahead, kept_a, slope[:, :UNITS]), *_backward(net.behind, kept_b, slope[::-1, UNITS:]), np.einsum("tkl,tul->ku", p, both), p.sum(axis=(0, 2))[:, None]]
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            i += 1
-            for w, g, m, v in zip(weights, grads, slow, fast, strict=True):
-                g = g * min(1.0, 1.0 / max(norm, 1e-9))
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                w -= (RATE * (1 - i / (total + 1)) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)).astype(_FLOAT)
+    slow, fast = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    order = np.concatenate([rng.permutation(len(windows)) for _ in range(-(-BATCHES * BATCH // len(windows)))])
+    for i in range(1, BATCHES + 1):
+        pick = order[(i - 1) * BATCH : i * BATCH]
+        steps = np.ascontiguousarray(windows[pick].T)
+        a, kept_a = _forward(net.ahead, steps)
+        b, kept_b = _forward(net.behind, steps[::-1])
+        both = np.concatenate((a, b[::-1]), axis=1)
+        score = net.out @ both + net.out_bias
+        p = np.exp(score - score.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[:, language[pick], np.arange(len(pick))] -= 1
+        p *= ~_MUTE[steps][:, None, :] / steps.size
+        p = p.astype(_FLOAT)
+        slope = net.out.T @ p
+        grads = [*_backward(net.ahead, kept_a, slope[:, :UNITS]), *_backward(net.behind, kept_b, slope[::-1, UNITS:]), np.einsum("tkl,tul->ku", p, both), p.sum(axis=(0, 2))[:, None]]
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        for w, g, m, v in zip(weights, grads, slow, fast, strict=True):
+            g = g * min(1.0, 1.0 / max(norm, 1e-9))
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            w -= (RATE * (1 - i / (BATCHES + 1)) * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)).astype(_FLOAT)
     return net
 
 
@@ -206,24 +202,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(windows, np.array([languages.index(r["lang"]) for r in rows]), languages)
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score): the likeliest language of every whole text and its probability.
+def predict(docs: DataFrame, net: Network | None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry``, ``lang_pred`` and ``score``: the likeliest language of every whole text and its probability.
 
     Null texts and texts without a letter (and all, without a network) are ``und`` with score 0. Null ids and
-    repeated rows keep their rows; an empty table gives an empty result; other columns take no part.
+    repeated rows keep their rows; an empty table gives an empty result; columns that are not carried take
+    no part. Nothing is shuffled.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for group in pretokens.text_groups(batch.column(1)):
-                spoken = np.array([bool(_LETTER.search(t.decode())) for t in group]) & (net is not None)
-                p = net.pooled(group) if net else np.zeros((len(group), 1))
-                best = p.argmax(axis=1)
-                names = [net.languages[k] if s else UNKNOWN for k, s in zip(best, spoken, strict=True)] if net else [UNKNOWN] * len(group)
-                value = np.where(spoken, p[np.arange(len(group)), best], 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(names, pa.string()), pa.array(value)], ["id", "lang_pred", "score"])
-                at += len(group)
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+    def make(group: list[bytes]) -> list[pa.Array]:
+        if net is None:
+            return [pa.array([UNKNOWN] * len(group)), pa.array([0.0] * len(group))]
+        spoken = np.array([bool(_LETTER.search(t.decode())) for t in group])
+        p = net.pooled(group)
+        best = p.argmax(axis=1)
+        names = [net.languages[k] if s else UNKNOWN for k, s in zip(best, spoken, strict=True)]
+        return [pa.array(names, pa.string()), pa.array(np.where(spoken, p[np.arange(len(group)), best], 0.0))]
+
+    return map_texts(docs, text_col, list(carry), "lang_pred string, score double", lambda: make)

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quillspan.llm import pretokens, tokens
+from quillspan.llm import batches as texts
+from quillspan.llm import tokens
 
 #: Ids that are packed together in a task.
 WINDOW_TOKENS = 1 << 21
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
         held = 0
         for batch in batches:
             at = 0
-            for group in pretokens.text_groups(batch.column(1)):
+            for group in texts.text_groups(batch.column(1)):
                 encoded = [x + closing for x in encoder.encode(group)]
                 names.append(batch.column(0).slice(at, len(group)))
                 window += encoded

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.llm import pretokens
+from quillspan.llm.batches import map_texts
 
 #: Labelled documents that the model is fitted on, and lines of each of them.
 SAMPLE, SAMPLE_LINES = 6000, 256
@@ -208,20 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.concatenate(parts).astype(float), size, np.array([len(p) for p in parts]), np.array([r["good"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): the quality of every whole text, 0 to 1.
+def score(docs: DataFrame, model: Chain, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``carry`` and ``score``: the quality of every whole text, 0 to 1.
 
     Null, empty and blank texts are one line of no length. Null ids and repeated rows keep their rows; an
-    empty table gives an empty result; other columns take no part. Nothing is shuffled.
+    empty table gives an empty result; columns that are not carried take no part. Nothing is shuffled.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for group in pretokens.text_groups(batch.column(1)):
-                x, size, count = line_features(group)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(model.scores(x, size, count))], ["id", "score"])
-                at += len(group)
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return map_texts(docs, text_col, list(carry), "score double", lambda: lambda group: [pa.array(model.scores(*line_features(group)))])

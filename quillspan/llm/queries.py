@@ -45,7 +45,7 @@ def op3_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+    return coded.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op5_gru_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.llm.batches import map_texts
 from quillspan.llm.store import cut
 
 MAX_BITS = 3
@@ -56,13 +57,10 @@ def simhash(text: bytes, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, fp): the fingerprint of every whole text as a signed long; null and blank texts have 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [simhash((t or "").encode(), words) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))], ["id", "fp"])
+    def make(group: list[bytes]) -> list[pa.Array]:
+        return [pa.array(np.array([simhash(t, words) for t in group], np.uint64).view(np.int64))]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return map_texts(docs, text_col, [id_col], "fp long", lambda: make)
 
 
 def _split(mask: int) -> list[int]:
@@ -227,7 +225,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The document of the smallest id of each component, with all columns of ``docs``; rows without an id stay."""
-    keep = near_groups(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words).filter(F.col(id_col) == F.col("component")).select(id_col).distinct()
-    one = docs.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return one.join(keep, id_col, "left_semi").select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    """The document of the smallest id of each component, with all columns of ``docs``.
+
+    Rows without an id stay as they are; of rows alike in id and text one stays.
+    """
+    known = docs.filter(F.col(id_col).isNotNull())
+    keep = near_groups(known, id_col, text_col, words).filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id")).distinct()
+    one = known.join(keep, known[id_col] == keep["kept_id"], "left_semi").dropDuplicates([id_col, text_col])
+    return one.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
