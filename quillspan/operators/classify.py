@@ -155,8 +155,10 @@ def classify(exchanges: DataFrame, kinds: list[str], threshold: float = DEFAULT_
     most = F.greatest(*[F.col(f"_{k}_verdict.confidence") for k in kinds], F.lit(0.0))
     best = F.coalesce(*[F.when(F.col(f"_{k}_verdict.confidence") == F.col("_most"), F.col(f"_{k}_verdict")) for k in kinds])
     several = F.transform_values(F.map_filter("query_params", lambda k, v: F.size(v) > 1), lambda k, v: F.lit(True))
-    marked = verdicts.withColumn("_most", most).filter(F.col("_most") >= threshold).withColumn("_best", best)
-    return marked.select(*exchanges.columns, "_best.*", several.alias("multi_value_query_keys"))
+    marked = verdicts.withColumn("_most", most).withColumn("_best", best).withColumn("multi_value_query_keys", several)
+    # a generator keeps the filter from being pushed into the scan as a copy of all the expressions above
+    found = marked.select(*exchanges.columns, "multi_value_query_keys", F.inline(F.array("_best")))
+    return found.filter(F.col("confidence") >= threshold)
 
 
 def detect_type(exchanges: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:

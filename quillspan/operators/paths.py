@@ -64,7 +64,7 @@ def classify_paths(paths: DataFrame) -> DataFrame:
 
 def _positions(infos: DataFrame) -> DataFrame:
     """Every segment with the shape of its surroundings; shapes show parameters as ``{}``."""
-    shape = F.zip_with("parts", "kinds", lambda p, k: F.when(k == LITERAL, p).otherwise("*"))
+    shape = F.zip_with("parts", "kinds", lambda p, k: F.when(k == LITERAL, p).otherwise("{}"))
     rows = infos.withColumn("shape", shape).select("path", "parts", "kinds", "shape", F.posexplode("parts").alias("at", "segment"))
     return rows.select(
         "path",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspan.plans import classification, inventory
+from quillspan.plans import classification, inventory, operations
 
-_MODULES = (classification, inventory)
+_MODULES = (classification, inventory, operations)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
