@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
-from quillspan.operators import classify, links, mining, openapi, soap
+from quillspan.operators import classify, dedup, links, mining, openapi, soap
+from quillspan.plans.classification import CTE
 from quillspan.plans.inventory import _NAMES, _SEGMENTS
 from quillspan.sources import views
 
@@ -40,6 +41,13 @@ def openapi_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return openapi.render_openapi(ops, openapi.query_parameters(rows), roles)
 
 
+def api_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classify, deduplicate, normalise, group: the operations with their best confidence and its reason."""
+    rows = openapi.with_operation(dedup.deduplicate(classify.classify(views.capture(spark, sf_dir), ["rest"])))
+    best = F.max(F.struct("confidence", "reason"))
+    return rows.groupBy(*openapi.OPERATION).agg(F.count("*").alias("endpoints"), F.sum("repeats").alias("exchanges"), best.alias("best")).select(*openapi.OPERATION, "endpoints", "exchanges", F.round("best.confidence", 4).alias("confidence"), "best.reason")
+
+
 def origin_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     flat = views.flat(spark, sf_dir).select("url", "page_url")
@@ -103,7 +111,7 @@ def xsd_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (operation_groups, observed_servers, slot_collision, query_param_types, openapi_document, origin_inventory, page_links, crawl_depth, allow_enrichment, refuted_candidates, api_path_mining, service_prefixes, uncovered_services, soap_operations, xsd_types)
+    for f in (api_inventory, operation_groups, observed_servers, slot_collision, query_param_types, openapi_document, origin_inventory, page_links, crawl_depth, allow_enrichment, refuted_candidates, api_path_mining, service_prefixes, uncovered_services, soap_operations, xsd_types)
 }
 
 _CANON = "CASE WHEN starts_with(url, 'https') THEN regexp_replace(o, ':443$', '') ELSE regexp_replace(o, ':80$', '') END"
@@ -117,6 +125,15 @@ servers AS (SELECT origin, CASE WHEN origin = 'https://api.example.com' THEN 'pr
 _WEB = _WEB.replace("{{", "{").replace("}}", "}").replace("@NAMES@", "WITH " + _NAMES.format(k="kinds").strip())
 
 ORACLES = {
+    "api_inventory": f"""WITH {CTE}, {_SEGMENTS}, templates AS (WITH {_NAMES.format(k="kinds").strip()}),
+kept AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS plain, lower(regexp_extract(url, '^[a-z]+://[^/?#]*')) AS o FROM v WHERE rest_c >= 0.5),
+keyed AS (SELECT *, concat_ws(':', method, plain, CASE WHEN soap_action <> '' THEN trim(soap_action, '"') END,
+  CASE WHEN body <> '' AND sent_type <> '' THEN sent END, CASE WHEN body <> '' THEN left(sha256(body), 16) END) AS dedup_key FROM kept),
+firsts AS (SELECT dedup_key, arg_min(plain, seq) AS path, lower(arg_min(method, seq)) AS method, arg_min(o, seq) AS o, arg_min(url, seq) AS url, count(*) AS repeats FROM keyed GROUP BY dedup_key),
+best AS (SELECT dedup_key, rest_c, rest_r FROM (SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY rest_c DESC, rest_r DESC) AS n FROM keyed) WHERE n = 1),
+rows AS (SELECT template, method, {_CANON} AS origin, repeats, rest_c, rest_r FROM firsts JOIN best USING (dedup_key) JOIN templates USING (path)),
+top AS (SELECT *, row_number() OVER (PARTITION BY template, method, origin ORDER BY rest_c DESC, rest_r DESC) AS n FROM rows)
+SELECT template, method, origin, count(*) AS endpoints, sum(repeats)::BIGINT AS exchanges, round(max(rest_c), 4) AS confidence, max(rest_r) FILTER (n = 1) AS reason FROM top GROUP BY ALL""",
     "operation_groups": f"WITH {_WEB} SELECT * FROM ops",
     "observed_servers": f"WITH {_WEB} SELECT * FROM servers",
     "slot_collision": f"""WITH {_WEB}, ranked AS (SELECT ops.*, row_number() OVER (PARTITION BY template, method ORDER BY CASE role WHEN 'primary' THEN 0 WHEN 'excluded' THEN 2 ELSE 1 END, origin) AS n FROM ops JOIN servers USING (origin)),

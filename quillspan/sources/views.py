@@ -68,7 +68,9 @@ def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     for table in _TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"recorded_{table}")
         sql = sql.replace(f"\nFROM {table}\n", f"\nFROM recorded_{table}\n")
-    return spark.sql(sql)
+    rows = spark.sql(sql)
+    # a generator stands for the scan that recorded traffic would be: what is above sees columns, not the expressions that make them
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def as_exchanges(plain: DataFrame) -> DataFrame:
