@@ -64,7 +64,7 @@ def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     edges = links.page_links(pages).select(U.normalized(F.col("base")).alias("source"), U.normalized(F.col("link")).alias("target"))
-    seeds = pages.filter(F.col("page_id") % 10 == 0).select(U.normalized(F.col("url")).alias("url"))
+    seeds = pages.groupBy(U.host(F.col("url"))).agg(F.min(U.normalized(F.col("url"))).alias("url"))
     return links.crawl_depths(edges, seeds, max_depth=2)
 
 
@@ -168,3 +168,10 @@ l AS (SELECT *, regexp_replace(regexp_replace(joined, '([^:])/[.]/', '\1/', 'g')
 SELECT page_id, min(pos) AS pos, link, any_value(lower(root) = lower(regexp_extract(link, '^[a-z]+://[^/?#]*'))) AS in_scope FROM l
 WHERE NOT regexp_matches(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '[.](js|css|png|jpg|jpeg|gif|svg|ico|webp|woff|woff2|ttf|eot|otf|mp3|mp4|webm|avi|mov|pdf|zip|gz|tar|rar|7z|exe|dmg|json|xml|rss|map)$') GROUP BY page_id, link""",
 }
+
+_PLAIN = "regexp_replace({}, '#.*$', '')"
+ORACLES["crawl_depth"] = f"""WITH RECURSIVE links AS ({ORACLES["page_links"]}),
+edges AS (SELECT DISTINCT {_PLAIN.format("url")} AS source, {_PLAIN.format("link")} AS target FROM links JOIN pages USING (page_id)),
+seeds AS (SELECT min({_PLAIN.format("url")}) AS url FROM pages GROUP BY lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))),
+reached(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT target, depth + 1 FROM reached JOIN edges ON source = url WHERE depth < 2)
+SELECT url, min(depth)::INTEGER AS depth FROM reached GROUP BY url"""
