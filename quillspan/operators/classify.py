@@ -149,8 +149,6 @@ def classify(exchanges: DataFrame, kinds: list[str], threshold: float = DEFAULT_
     the row are kept in ``multi_value_query_keys``.
     """
     rows = look(exchanges)
-    if threshold > 0 and kinds == ["rest"]:
-        rows = rows.filter(~F.col("_static"))  # such rows score 0; the optimiser cannot know
     verdicts = rows.withColumns({f"_{k}_verdict": CLASSIFIERS[k]().struct(k) for k in kinds})
     most = F.greatest(*[F.col(f"_{k}_verdict.confidence") for k in kinds], F.lit(0.0))
     best = F.coalesce(*[F.when(F.col(f"_{k}_verdict.confidence") == F.col("_most"), F.col(f"_{k}_verdict")) for k in kinds])

@@ -23,7 +23,9 @@ def is_static_source() -> Column:
 
 def with_operation(rows: DataFrame, merge_slugs: bool = False, threshold: int = 2) -> DataFrame:
     """http(s) exchanges with template, lower-case method and canonical origin. Templates are worked out over distinct paths."""
-    web = rows.withColumns({"path": U.path(F.col("url")), "origin": U.canonical_origin(F.col("url")), "method": F.lower("method")}).filter((F.col("origin") != "") & F.col("path").isNotNull())
+    seen = F.struct(U.path(F.col("url")).alias("path"), U.canonical_origin(F.col("url")).alias("origin"))
+    # a generator, so that the filter reads two columns and is not pushed down as all that makes them
+    web = rows.withColumn("method", F.lower("method")).select("*", F.inline(F.array(seen))).filter((F.col("origin") != "") & F.col("path").isNotNull())
     return web.join(normalize(web, merge_slugs, threshold), "path")
 
 

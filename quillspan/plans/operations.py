@@ -43,7 +43,11 @@ def openapi_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def api_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classify, deduplicate, normalise, group: the operations with their best confidence and its reason."""
-    rows = openapi.with_operation(dedup.deduplicate(classify.classify(views.capture(spark, sf_dir), ["rest"])))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
+    # distinct endpoints are far fewer than exchanges and are read twice: for their paths and for themselves
+    endpoints = dedup.deduplicate(classify.classify(views.capture(spark, sf_dir), ["rest"])).checkpoint()
+    rows = openapi.with_operation(endpoints)
     best = F.max(F.struct("confidence", "reason"))
     return rows.groupBy(*openapi.OPERATION).agg(F.count("*").alias("endpoints"), F.sum("repeats").alias("exchanges"), best.alias("best")).select(*openapi.OPERATION, "endpoints", "exchanges", F.round("best.confidence", 4).alias("confidence"), "best.reason")
 
