@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.batches import map_texts
-from quillspan.llm.store import cut
+from quillspan.llm.store import cut, written
 
 MAX_BITS = 3
 BLOCKS = 6
@@ -215,8 +215,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (a component of null ids alone is null). An empty table gives an empty result; other columns take no part.
     """
     marked = cut(fingerprints(docs, id_col, text_col, words))
-    nodes = cut(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
-    roots = cut(components(links(nodes.select("fp"))))
+    nodes = _nodes(marked, id_col)
+    return _placed(marked, nodes, cut(components(links(nodes.select("fp")))), id_col)
+
+
+def _nodes(marked: DataFrame, id_col: str) -> DataFrame:
+    return cut(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+
+
+def _placed(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     joined = roots.join(nodes, roots.node == nodes.fp).select("node", "root", "least_id")
     named = cut(joined.groupBy("root").agg(F.min("least_id").alias("component")))
     placed = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
@@ -227,9 +234,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The document of the smallest id of each component, with all columns of ``docs``.
 
-    Rows without an id stay as they are; of rows alike in id and text one stays.
+    Texts are linked by fingerprints within three bits, as in ``near_groups``, and by a Jaccard similarity of
+    their five-word runs of 0.8 or more. Rows without an id stay as they are; of rows alike in id and text one stays.
     """
+    from quillspan.llm import similar  # which builds on this module
+
     known = docs.filter(F.col(id_col).isNotNull())
-    keep = near_groups(known, id_col, text_col, words).filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id")).distinct()
+    marked = written(similar.mark(known, id_col, text_col, words))
+    nodes = written(_nodes(marked, id_col))
+    roots = similar.similar_roots(known, marked, links(nodes.select("fp")), id_col, text_col)
+    groups = _placed(marked.select(id_col, "fp"), nodes, roots, id_col)
+    keep = groups.filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id")).distinct()
     one = known.join(keep, known[id_col] == keep["kept_id"], "left_semi").dropDuplicates([id_col, text_col])
     return one.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspan.llm import bpe, counts, minhash, packing, pretokens, shard, simhash, tokens
+from quillspan.llm import bpe, counts, minhash, packing, pretokens, shard, similar, simhash, tokens
 
 from .conftest import TEXTS, prose
 
@@ -176,6 +176,39 @@ def test_near_groups_and_dedup(docs, empty):
     assert simhash.near_groups(empty).count() == 0 == simhash.near_dedup(empty).count()
 
 
+def test_near_dedup_finds_every_similar_text(spark, monkeypatch):
+    """Edits that move a fingerprint by more than three bits: similarity of five-word runs decides, in crowded bands too."""
+    monkeypatch.setattr(similar, "REACH", 2)
+    r = random.Random(5)
+
+    def edited(words, k):
+        places = set(r.sample(range(len(words)), k))
+        return [f"x{r.random()}" if i in places else w for i, w in enumerate(words)]
+
+    base = [[f"w{k}_{r.randint(0, 400)}" for _ in range(200)] for k in range(12)]
+    texts = [" ".join(b) for b in base] + [" ".join(edited(b, k)) for b in base for k in (2, 3, 4, 9)]
+    texts += [" ".join(edited(base[0], 3)) for _ in range(20)] + ["", " \n ", "a b", "a b"]
+    runs = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    marks, parent = [simhash.simhash(t.encode()) for t in texts], list(range(len(texts)))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    far = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            alike = 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b])
+            close = (marks[a] ^ marks[b]).bit_count() <= 3
+            far += alike and not close
+            if alike or close:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert far > 20
+    kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({root(v) for v in range(len(texts))})
+
+
 def test_fingerprints(spark, docs, empty):
     rows = sorted(minhash.fingerprint_with_next(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect(), key=lambda r: r.doc_id)
     assert len(rows) == len(TEXTS)
