@@ -36,10 +36,12 @@ def allowed_methods(allow: Column) -> Column:
     return F.filter(F.transform(F.split(allow, ","), lambda m: F.upper(F.trim(m))), lambda m: m != "")
 
 
-def enrich_by_url(rows: DataFrame, answers: DataFrame, columns: list[str], most: int = 500) -> DataFrame:
-    """Rows with the columns of the recorded answers for their URL; only the first ``most`` distinct URLs in order are asked for."""
-    asked = rows.select("url").distinct().orderBy("url").limit(most)
-    known = answers.join(asked, "url", "left_semi").groupBy("url").agg(*[F.min_by(c, F.col("seq")).alias(c) for c in columns])
+def enrich_by_url(rows: DataFrame, answers: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:
+    """Rows with the columns of the first recorded answer for their URL; with a budget, only the ``most`` URLs that appear first are asked for."""
+    if most is not None:
+        asked = rows.groupBy("url").agg(F.min("seq").alias("first")).orderBy("first", "url").limit(most)
+        answers = answers.join(asked, "url", "left_semi")
+    known = answers.groupBy("url").agg(*[F.min_by(c, F.col("seq")).alias(c) for c in columns])
     return rows.join(known, "url", "left")
 
 

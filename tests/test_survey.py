@@ -169,6 +169,14 @@ def test_mining_and_enrichment(spark):
     assert [one(spark, soap.xsd_type(F.col("v")), v=v) for v in ("true", "12", "1.5", "2024-02-30", "2024-02-28", "x")] == ["xsd:boolean", "xsd:int", "xsd:decimal", "xsd:string", "xsd:date", "xsd:string"]
 
 
+def test_enrichment_asks_for_every_url(spark):
+    rows = spark.range(1200).select(F.col("id").alias("seq"), F.format_string("https://a/%04d", 1199 - F.col("id")).alias("url"))
+    answers = rows.union(rows.withColumn("seq", F.col("seq") + 5000)).withColumn("x", F.col("seq"))
+    assert mining.enrich_by_url(rows, answers, ["x"]).filter("x = seq").count() == 1200
+    few = mining.enrich_by_url(rows, answers, ["x"], most=3).filter("x IS NOT NULL").collect()
+    assert {r.seq for r in few} == {0, 1, 2}
+
+
 def test_introspection(spark):
     schema = {"types": [{"kind": "OBJECT", "name": "User", "fields": [{"name": "tags", "type": {"kind": "LIST", "ofType": {"kind": "NON_NULL", "ofType": {"kind": "SCALAR", "name": "String"}}}}, {"name": "id", "type": {"kind": "NON_NULL", "ofType": {"kind": "SCALAR", "name": "ID"}}}]}, {"kind": "ENUM", "name": "E", "enumValues": [{"name": "B"}, {"name": "A"}]}, {"kind": "SCALAR", "name": "String"}, {"kind": "OBJECT", "name": "__Type"}]}
     rows = spark.createDataFrame([(json.dumps({"data": {"__schema": schema}}),)], "answer string")
