@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
-from quillspan.operators.dedup import union_values
 from quillspan.operators.paths import normalize
 from quillspan.sources.schema import STATIC_JS_SOURCES
 
@@ -71,16 +70,22 @@ def value_type(values: Column) -> Column:
     )
 
 
+def _common_type(kinds: Column) -> Column:
+    """The type of all values, from the set of the types of each exchange's values (four at most)."""
+    return F.when(F.size(kinds) == 1, kinds[0]).when(F.array_contains(kinds, "number") & (F.size(F.array_except(kinds, F.array(F.lit("integer"), F.lit("number")))) == 0), "number").otherwise("string")
+
+
 def query_parameters(rows: DataFrame) -> DataFrame:
     """(operation, name, type, several, required): required if every exchange with parameters has it."""
     keyed = rows.withColumn("operation", F.to_json(F.struct(*OPERATION))).filter(F.size("query_params") > 0)
     total = keyed.groupBy("operation").agg(F.count("*").alias("rows"))
     pairs = keyed.select("operation", F.explode("query_params").alias("name", "values"))
-    seen = pairs.groupBy("operation", "name").agg(F.count("*").alias("n"), F.bool_or(F.size("values") > 1).alias("several"))
-    values = union_values(keyed, "operation").select("operation", F.explode("query_params").alias("name", "values"))
-    joined = seen.join(total, "operation").join(values, ["operation", "name"])
+    kind = value_type(F.col("values"))
+    kinds = F.collect_set(F.when(F.size("values") > 0, kind))
+    seen = pairs.groupBy("operation", "name").agg(F.count("*").alias("n"), F.bool_or(F.size("values") > 1).alias("several"), kinds.alias("kinds"))
+    joined = seen.join(total, "operation")
     parsed = joined.withColumn("op", F.from_json("operation", "template string, method string, origin string"))
-    return parsed.select("op.*", "name", value_type(F.col("values")).alias("type"), "several", (F.col("n") == F.col("rows")).alias("required"))
+    return parsed.select("op.*", "name", _common_type(F.col("kinds")).alias("type"), "several", (F.col("n") == F.col("rows")).alias("required"))
 
 
 def render_openapi(ops: DataFrame, params: DataFrame, roles: DataFrame, title: str = "API") -> DataFrame:

@@ -146,6 +146,12 @@ def test_document(spark):
     assert [(p["name"], p["in"], p["schema"]["type"]) for p in get["parameters"]] == [("userId", "path", "string"), ("q", "query", "string")]
 
 
+def test_parameter_types_look_at_every_value(spark):
+    rows = exchanges(spark, *[{"url": f"https://a/x?p={i}&q={i}&r={i}"} for i in range(300)], {"url": "https://a/x?p=next&q=1.5&r=7"})
+    rows = rows.withColumns({"template": F.lit("/x"), "origin": F.lit("https://a")}).withColumn("method", F.lit("get"))
+    assert {r.name: r.type for r in openapi.query_parameters(rows).collect()} == {"p": "string", "q": "number", "r": "integer"}
+
+
 def test_links(spark):
     html = '<a href="/b?x=1&amp;y=2">b</a><a class="k" href=\'c#top\'>c</a><a href="mailto:x@y">m</a><a href="/i.png">i</a><a href="/b?x=1&amp;y=2">b</a>'
     pages = spark.createDataFrame([(1, "http://h.example/d/a", html)], "page_id long, url string, html string")
