@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import forms, specs
 from quillspan.sources import views
-
-
-def _checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
+from quillspan.sources.shared import ensure_shared_dir
 
 
 def soap_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +31,7 @@ def graphql_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_unification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _checkpoints(spark)
+    ensure_shared_dir(spark)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     kind = F.col("l_orderkey") % 40
     fields = lines.select(F.concat(F.lit("T"), F.lpad(kind.cast("string"), 2, "0")).alias("type"), F.concat(F.lit("f"), (kind % 9).cast("string"), F.lit("_"), (F.col("l_suppkey") % 10).cast("string")).alias("field"))

@@ -9,6 +9,7 @@ from quillspan.functions import url as U
 from quillspan.operators import classify, dedup, paths
 from quillspan.plans.classification import CTE
 from quillspan.sources import views
+from quillspan.sources.shared import ensure_shared_dir
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,8 +48,7 @@ def slug_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slug_template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
+    ensure_shared_dir(spark)
     return paths.normalize(_paths(spark, sf_dir), merge_slugs=True, threshold=3)
 
 

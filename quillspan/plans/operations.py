@@ -10,6 +10,7 @@ from quillspan.operators import classify, dedup, links, mining, openapi, soap
 from quillspan.plans.classification import CTE
 from quillspan.plans.inventory import _NAMES, _SEGMENTS
 from quillspan.sources import views
+from quillspan.sources.shared import ensure_shared_dir
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +44,7 @@ def openapi_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def api_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classify, deduplicate, normalise, group: the operations with their best confidence and its reason."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
+    ensure_shared_dir(spark)
     # distinct endpoints are far fewer than exchanges and are read twice: for their paths and for themselves
     endpoints = dedup.deduplicate(classify.classify(views.capture(spark, sf_dir), ["rest"])).checkpoint()
     rows = openapi.with_operation(endpoints)
@@ -64,8 +64,7 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
+    ensure_shared_dir(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     edges = links.page_links(pages).select(U.normalized(F.col("base")).alias("source"), U.normalized(F.col("link")).alias("target"))
     seeds = pages.groupBy(U.host(F.col("url"))).agg(F.min(U.normalized(F.col("url"))).alias("url"))
