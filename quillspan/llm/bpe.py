@@ -1,10 +1,20 @@
 """Byte-level BPE by recursive queries: each task runs DuckDB over the words and ids of its own rows.
 
-Encoding: every distinct word that is no token itself becomes rows of (word, position, token), one byte
-each. A round joins each row and its right neighbour to the merge table, finds the least rank of every
-word, leftmost first, contracts that pair and numbers the word's positions anew; words without a pair
-in the table drop out, and the rounds end when all have. Decoding joins ids to the vocabulary and
-aggregates the bytes in the order of positions.
+Encoding: every distinct word becomes rows of (word, position, token), one byte each. A round joins each
+row and its right neighbour to the merge table and contracts, in every word, the leftmost pair of least
+rank, together with every other pair of which the tables prove that it comes to be the leftmost pair of
+least rank before anything else can touch it. Words without a pair in the table drop out, and the rounds
+end when all have. Decoding joins ids to the vocabulary and aggregates the bytes in the order of positions.
+
+The proof. Let a pair (t, u) of rank r stand between q, p and n, o. Only a merge of some token that ends in p and
+of t, or of u and some token that begins with n, can take t or u away: p itself and t, or a token that ends in
+q and p together (``lefts`` holds the least rank of these), and likewise on the right (``rights``). If none on the
+left has a rank of r or less and none on the right one below r, (t, u) is still there when r is the least
+rank. If moreover no merge of the new token with what may come to stand beside it has a rank below r (``before``
+and ``behind`` hold the pairs that have one), contracting early changes nothing that comes before. A run of one
+token is dealt with as a whole: its ends are looked at, and every other pair is contracted, as from the left.
+All places of the least rank are contracted together under the same condition on the new token; else the
+leftmost alone is.
 """
 
 from __future__ import annotations
@@ -21,47 +31,37 @@ from pyspark.sql import DataFrame
 from quillspan.llm import pretokens
 from quillspan.llm.batches import map_texts
 
-#: Positions that go into one recursive query.
-BLOCK = 400_000
-#: Words of more bytes are contracted at all places of their least pair in one round, where that gives the same.
-LONG = 64
+#: Positions that go into one recursive query (one word at least), and rounds after which a query starts afresh from the words that are left.
+BLOCK, ROUNDS = 200_000, 8
+#: Bits of a token's id within a key of two or three.
+SHIFT = 21
 #: Words whose ids are remembered within a partition.
 REMEMBERED = 1 << 19
 
-_START = "SELECT 0 AS step, word, pos, tok, nxt FROM start"
-
-#: One contraction a word and round.
 _ROUNDS = f"""
-WITH RECURSIVE t(step, word, pos, tok, nxt) AS (
-  {_START}
-  UNION ALL
-  (WITH best AS (SELECT t.word, min((m.rank::BIGINT << 32) + t.pos) AS at FROM t JOIN merges m ON m.pair = (t.tok::BIGINT << 32) + t.nxt GROUP BY t.word),
-        gone AS (SELECT t.word, t.nxt AS beyond, (best.at & 4294967295)::INT AS pos, (best.at >> 32)::INT AS rank
-                 FROM t JOIN best ON best.word = t.word AND t.pos = (best.at & 4294967295) + 1)
-   SELECT t.step + 1, t.word, CASE WHEN t.pos > gone.pos THEN t.pos - 1 ELSE t.pos END,
-          CASE WHEN t.pos = gone.pos THEN gone.rank ELSE t.tok END,
-          CASE WHEN t.pos = gone.pos THEN gone.beyond WHEN t.pos = gone.pos - 1 THEN gone.rank ELSE t.nxt END
-   FROM t JOIN gone ON gone.word = t.word WHERE t.pos <> gone.pos + 1))
-"""
-
-#: All places of the least pair at once, from the left and without overlap. Where a contraction can bring
-#: about a pair of lower rank (merges.single), only the leftmost place is taken, as one by one.
-_LONG_ROUNDS = f"""
-WITH RECURSIVE t(step, word, pos, tok, nxt) AS (
-  {_START}
+WITH RECURSIVE t(step, word, pos, tok) AS (
+  SELECT 0 AS step, word, pos, tok FROM start
   UNION ALL
-  (WITH ranked AS (SELECT t.*, m.rank, m.single FROM t LEFT JOIN merges m ON m.pair = (t.tok::BIGINT << 32) + t.nxt),
-        least AS (SELECT word, min(rank) AS rank, min_by(single, rank) AS single FROM ranked WHERE rank IS NOT NULL GROUP BY word),
-        hits AS (SELECT r.step, r.word, r.pos, r.tok, least.rank, least.single, coalesce(r.rank = least.rank, false) AS hit FROM ranked r JOIN least USING (word)),
-        runs AS (SELECT *, pos - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS run, min(CASE WHEN hit THEN pos END) OVER (PARTITION BY word) AS leftmost FROM hits),
-        taken AS (SELECT *, hit AND CASE WHEN single THEN pos = leftmost ELSE row_number() OVER (PARTITION BY word, hit, run ORDER BY pos) % 2 = 1 END AS take FROM runs),
-        left_over AS (SELECT step + 1 AS step, word, pos, CASE WHEN take THEN rank ELSE tok END AS tok, lag(take, 1, false) OVER (PARTITION BY word ORDER BY pos) AS gone FROM taken)
-   SELECT step, word, (row_number() OVER w - 1)::INT, tok, coalesce(lead(tok) OVER w, -1)::INT FROM left_over WHERE NOT gone WINDOW w AS (PARTITION BY word ORDER BY pos)))
+  (WITH near AS (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM t WHERE step < {ROUNDS}),
+        ranked AS (SELECT n.*, m.rank, m.lower FROM near n LEFT JOIN merges m ON m.pair = (n.tok::BIGINT << {SHIFT}) + n.nxt),
+        seen AS (SELECT *, (word::BIGINT << 32) + row_number() OVER w AS place, lag(tok) OVER w AS prv, lag(tok, 2) OVER w AS prv2, lead(nxt) OVER w AS far, lead(nxt, 2) OVER w AS far2,
+                   lag(rank) OVER w AS rank_left, lead(rank) OVER w AS rank_right FROM ranked WINDOW w AS (PARTITION BY word ORDER BY pos)),
+        pairs AS (SELECT s.word, s.place, s.rank, s.tok = s.nxt AS twin, coalesce(s.rank_left > s.rank, true) AND coalesce(l.rank > s.rank, true) AS free_left,
+                    coalesce(s.rank_right >= s.rank, true) AND coalesce(r.rank >= s.rank, true) AS free_right, be.pair IS NULL AND af.pair IS NULL AS closed
+                  FROM seen s LEFT JOIN lefts l ON l.three = (((s.prv2::BIGINT << {SHIFT}) + s.prv) << {SHIFT}) + s.tok
+                  LEFT JOIN rights r ON r.three = (((s.nxt::BIGINT << {SHIFT}) + s.far) << {SHIFT}) + s.far2
+                  LEFT JOIN before be ON be.pair = CASE WHEN s.lower THEN (s.prv::BIGINT << {SHIFT}) + s.rank END
+                  LEFT JOIN behind af ON af.pair = CASE WHEN s.lower THEN (s.rank::BIGINT << {SHIFT}) + s.far END WHERE s.rank IS NOT NULL),
+        runs AS (SELECT *, place - row_number() OVER (PARTITION BY word, rank ORDER BY place) AS run FROM pairs),
+        whole AS (SELECT word, rank, run, min(place) AS head, arg_min(free_left, place) AND arg_max(free_right, place) AND bool_and(closed) AND (bool_and(twin) OR count(*) = 1) AS sure, bool_and(closed) AS closed FROM runs GROUP BY word, rank, run),
+        least AS (SELECT word, min(rank) AS rank, arg_min(head, (rank::BIGINT, head)) AS first FROM whole GROUP BY word),
+        together AS (SELECT word, bool_and(closed) AS together FROM whole JOIN least USING (word, rank) GROUP BY word),
+        taken AS (SELECT place, runs.rank, runs.word FROM runs JOIN whole USING (word, rank, run) JOIN least ON least.word = runs.word JOIN together ON together.word = runs.word
+                  WHERE (place - head) % 2 = 0 AND (sure OR (runs.rank = least.rank AND (together OR place = first))))
+   SELECT s.step + 1, s.word, s.pos, coalesce(a.rank, s.tok) FROM seen s SEMI JOIN taken ON taken.word = s.word LEFT JOIN taken a ON a.place = s.place ANTI JOIN taken b ON b.place + 1 = s.place))
 """
 
-_FIXPOINT = """
-SELECT word, list(tok ORDER BY pos) AS ids FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) USING (word, step) GROUP BY word ORDER BY word
-"""
+_LAST = "SELECT word, pos, tok, step FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) USING (word, step)"
 
 _DECODE = """
 SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS text FROM ids JOIN vocabulary USING (tok) GROUP BY doc ORDER BY doc
@@ -74,26 +74,56 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+def _key(*tokens: int) -> int:
+    out = 0
+    for t in tokens:
+        out = (out << SHIFT) + t
+    return out
+
+
+def _bounds(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes, int]]) -> tuple[dict[int, int], dict[int, int], set[int], set[int]]:
+    """lefts, rights, before and behind of the proof above, by keys of tokens."""
+    lefts: dict[int, int] = {}
+    rights: dict[int, int] = {}
+    before, behind = set(), set()
+    for left, right, rank in merges:
+        a, b = ranks[left], ranks[right]
+        for i in range(len(left)):
+            if (u := ranks.get(left[i:])) is not None:
+                if rank < b:
+                    before.add(_key(u, b))
+                for j in range(i):
+                    if (v := ranks.get(left[j:i])) is not None:
+                        key = _key(v, u, b)
+                        lefts[key] = min(rank, lefts.get(key, rank))
+        for i in range(1, len(right) + 1):
+            if (u := ranks.get(right[:i])) is not None:
+                if rank < a:
+                    behind.add(_key(a, u))
+                for j in range(i + 1, len(right) + 1):
+                    if (v := ranks.get(right[i:j])) is not None:
+                        key = _key(a, u, v)
+                        rights[key] = min(rank, rights.get(key, rank))
+    return lefts, rights, before, behind
+
+
 class Tables:
-    """The merge table and the vocabulary of one file in a DuckDB connection of one thread."""
+    """The merge table, the bounds and the vocabulary of one file in a DuckDB connection of one thread, which writes no files."""
 
     def __init__(self, path: str) -> None:
         self.ranks = read_ranks(path)
-        left, right, rank = [], [], []
-        for token, r in self.ranks.items():
-            for i in range(1, len(token)):
-                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if a is not None and b is not None:
-                    left.append(a)
-                    right.append(b)
-                    rank.append(r)
-        a, b, r = (np.array(x, np.int64) for x in (left, right, rank))
-        single = np.isin(r, np.concatenate((a[a > r], b[b > r])))
+        merges = [(t[:i], t[i:], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
+        ends = np.array([(self.ranks[a], self.ranks[b]) for a, b, _ in merges], np.int64)
+        rank = np.array([r for _, _, r in merges], np.int64)
+        lower = np.isin(rank, np.concatenate((ends[:, 0][ends[:, 0] > rank], ends[:, 1][ends[:, 1] > rank])))  # some merge of the new token has a lower rank
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = pa.table({"pair": (a << 32) + b, "rank": r.astype(np.int32), "single": single})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         vocabulary = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
-        for name, table in (("merges", merges), ("vocabulary", vocabulary)):
+        given = {"merges": pa.table({"pair": (ends[:, 0] << SHIFT) + ends[:, 1], "rank": rank.astype(np.int32), "lower": lower}), "vocabulary": vocabulary}
+        lefts, rights, before, behind = _bounds(self.ranks, merges)
+        given |= {name: pa.table({"three": pa.array(x, pa.int64()), "rank": pa.array(x.values(), pa.int32())}) for name, x in (("lefts", lefts), ("rights", rights))}
+        given |= {name: pa.table({"pair": pa.array(x, pa.int64())}) for name, x in (("before", before), ("behind", behind))}
+        for name, table in given.items():
             self.db.register("given", table)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
@@ -106,7 +136,7 @@ class Tables:
             self.db.unregister(name)
 
     def words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """(word, ids) for distinct words, ids as bytes of little-endian 32-bit integers."""
+        """(word, ids) for distinct words, ids as bytes of little-endian 32-bit integers. A word that is a token is that token, as the library has it."""
         hard = []
         for w in words:
             if (r := self.ranks.get(w)) is not None:
@@ -114,27 +144,31 @@ class Tables:
             else:
                 hard.append(w)
         hard.sort(key=len)
-        split = next((i for i, w in enumerate(hard) if len(w) > LONG), len(hard))
-        for some, rounds in ((hard[:split], _ROUNDS), (hard[split:], _LONG_ROUNDS)):
-            at = 0
-            while at < len(some):
-                size, end = 0, at
-                while end < len(some) and (end == at or size + len(some[end]) <= BLOCK):
-                    size += len(some[end])
-                    end += 1
-                yield from self._block(some[at:end], rounds)
-                at = end
-
-    def _block(self, words: list[bytes], rounds: str) -> Iterator[tuple[bytes, bytes]]:
+        at = 0
+        while at < len(hard):
+            size, end = 0, at
+            while end < len(hard) and (end == at or size + len(hard[end]) <= BLOCK):
+                size += len(hard[end])
+                end += 1
+            yield from zip(hard[at:end], self._block(hard[at:end]), strict=True)
+            at = end
+
+    def _block(self, words: list[bytes]) -> list[bytes]:
         length = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(length)
-        tok = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        nxt = np.append(tok[1:], np.int32(-1))
-        nxt[end - 1] = -1
-        start = pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), length), "pos": (np.arange(len(tok)) - np.repeat(end - length, length)).astype(np.int32), "tok": tok, "nxt": nxt})
-        found = self._query("start", start, rounds + _FIXPOINT)["ids"].combine_chunks()
-        offsets, values = found.offsets.to_numpy() * 4, found.values.to_numpy().astype("<u4").tobytes()
-        yield from zip(words, (values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), strict=True)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
+        rows = pa.table({"word": word, "pos": np.arange(len(word), dtype=np.int32), "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
+        out = [b""] * len(words)
+        while len(rows):
+            now = self._query("start", rows, _ROUNDS + _LAST)
+            open_still = now["step"].to_numpy() == ROUNDS
+            word, pos, tok = (now[c].to_numpy()[~open_still] for c in ("word", "pos", "tok"))
+            order = np.argsort(pos)
+            word, ids = word[order], tok[order].astype("<u4").tobytes()
+            edges = np.flatnonzero(np.diff(word, prepend=-1, append=-1)).tolist()
+            for a, b in zip(edges, edges[1:], strict=False):
+                out[word[a]] = ids[4 * a : 4 * b]
+            rows = now.filter(pa.array(open_still)).select(["word", "pos", "tok"])
+        return out
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each row of ids."""
