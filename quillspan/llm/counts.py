@@ -1,12 +1,18 @@
 """Token counts by finite-state transducers, without making the tokens.
 
 Two deterministic transducers are compiled from the tokenizer's file. The first reads classes of
-characters and marks where pre-tokens begin; it has a dozen states, so the effect of a whole chunk of
-text is a map from entry state to exit state. The chunks of a batch are run side by side from every
-entry state, a parallel prefix scan composes their maps, and so every chunk's true entry state is known
-without reading the text in order. The second reads a pre-token's bytes; each of its transitions says
-how many tokens the byte adds to (or takes from) what has been emitted, so that the sum is the count of
-tokens. Its states are made as they are met.
+characters and marks where pre-tokens begin. The second reads the bytes of pre-tokens, from its first state
+in each; every transition is annotated with the number of tokens that the byte adds to (or takes from) what
+has been emitted, so that the sum is the count of tokens. Both run over chunks of text side by side. What a
+chunk does is a map from the state in which it is entered to the state in which it is left (and, for the
+second, to a count); a parallel prefix scan composes these maps, and so every chunk's true entry state and
+count are known without reading the text in order.
+
+The splitter has a dozen states, so its maps hold them all. The states of the second are made as they are
+met; a chunk's map holds those in which the chunk before it can be left: first the state left by a run from
+the first state, then the states left by runs from those, until no map leads to a state that the next
+one lacks. Pre-tokens that begin in a chunk make its exit the same for all entries, and long ones bring runs
+together within a few bytes, so maps are small.
 """
 
 from __future__ import annotations
@@ -21,10 +27,16 @@ from quillspan.llm import pretokens
 from quillspan.llm.batches import map_texts
 from quillspan.llm.tokens import ByteLevelFile
 
-#: Characters of a chunk.
-CHUNK = 256
-#: Words and states of the word transducer that a worker keeps; beyond this it starts afresh.
-REMEMBERED, STATES = 1 << 19, 1 << 18
+#: Characters of a splitter's chunk, bytes of a counter's chunk, and chunks that are run together.
+CHUNK, COUNTED, LANES = 256, 64, 4096
+#: States that a worker keeps; beyond this it starts afresh from those in use.
+STATES = 1 << 18
+#: Fields of a transition: the state it leads to, and the change of the count plus the middle of its range.
+GAIN_BITS, GAIN_ZERO = 8, 128
+#: Multiplier of the hash of a transition's key.
+_SPREAD = 0x9E3779B97F4A7C15
+#: What stands in a chunk behind the end of a text: it changes nothing.
+_PAD = 256
 
 # Classes of the splitter: letters that can end a contraction apart from the rest.
 _ANY, _STMD, _RV, _ELL, _E, _NUMBER, _OTHER, _QUOTE, _BLANK, _WHITE, _BREAK = range(11)
@@ -117,6 +129,40 @@ def marks(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return begin[:n]
 
 
+class Moves:
+    """Transitions in arrays: values by keys of state and byte, found by hash and the next free place."""
+
+    def __init__(self, bits: int = 12) -> None:
+        self.bits, self.held = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+
+    def get(self, key: np.ndarray) -> np.ndarray:
+        """Values of many keys; -1 for a key that is not there."""
+        at = ((key.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        there = self.keys[at]
+        out = np.where(there == key, self.values[at], -1)
+        look = np.flatnonzero((there != key) & (there >= 0))
+        while look.size:
+            at[look] = (at[look] + 1) & (1 << self.bits) - 1
+            there = self.keys[at[look]]
+            hit = there == key[look]
+            out[look[hit]] = self.values[at[look[hit]]]
+            look = look[~hit & (there >= 0)]
+        return out
+
+    def put(self, key: int, value: int) -> None:
+        if 2 * self.held >= len(self.keys):
+            keys, values = self.keys, self.values
+            self.__init__(self.bits + 1)
+            for k, v in zip(keys[keys >= 0].tolist(), values[keys >= 0].tolist(), strict=True):
+                self.put(k, v)
+        at = (key * _SPREAD % 2**64) >> (64 - self.bits)
+        while self.keys[at] >= 0:
+            at = (at + 1) & (1 << self.bits) - 1
+        self.keys[at], self.values[at] = key, value
+        self.held += 1
+
+
 class WordTransducer:
     """Bytes of a word in, changes of its token count out.
 
@@ -137,17 +183,23 @@ class WordTransducer:
     def _clear(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, int]]] = []
+        self.moves = Moves()
         self.start = self._number(((0, None, 0),), b"")
 
     def _number(self, opened: tuple, suffix: bytes) -> int:
         key = (suffix, opened)
         if key not in self.numbers:
-            self.numbers[key] = len(self.states)
+            n = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
+            self.moves.put(n * 257 + _PAD, n << GAIN_BITS | GAIN_ZERO)
         return self.numbers[key]
 
+    def forget(self, kept: int) -> int:
+        """Start afresh from one state; its new number."""
+        suffix, opened = self.states[kept]
+        self._clear()
+        return self._number(opened, suffix)
+
     def merge(self, word: bytes) -> list[bytes]:
         """The tokens of a few bytes by their definition: merge the pair of least rank, leftmost first."""
         parts = [word[i : i + 1] for i in range(len(word))]
@@ -198,15 +250,73 @@ class WordTransducer:
         longest = still[0][0] if still else 0
         return self._number((*still, (0, last, 0)), text[len(text) - longest :]), change
 
-    def count(self, word: bytes) -> int:
-        state, total, moves = self.start, 0, self.moves
-        for byte in word:
-            move = moves[state].get(byte)
-            if move is None:
-                move = moves[state][byte] = self._move(state, byte)
-            state, change = move
-            total += change
-        return total
+    def step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states and the changes of the counts, for many states and bytes at once."""
+        key = state * 257 + byte
+        said = self.moves.get(key)
+        if (new := said < 0).any():
+            for k in np.unique(key[new]).tolist():
+                after, change = self._move(*divmod(k, 257))
+                if abs(change) >= GAIN_ZERO:
+                    raise OverflowError("a byte changes the count by more than a transition holds")
+                self.moves.put(k, after << GAIN_BITS | change + GAIN_ZERO)
+            said[new] = self.moves.get(key[new])
+        return said >> GAIN_BITS, (said & (1 << GAIN_BITS) - 1) - GAIN_ZERO
+
+    def run(self, data: np.ndarray, begin: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What chunks (columns of ``data``; ``begin`` marks first bytes of pre-tokens) do from their entry states: exit states and counts."""
+        state, total = entry.astype(np.int64), np.zeros(len(entry), np.int64)
+        for byte, fresh in zip(data, begin, strict=True):
+            state, gain = self.step(np.where(fresh, self.start, state), byte)
+            total += gain
+        return state, total
+
+
+def scan_counts(maps: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`scan_maps`, with the counts [chunk, state] that go with the maps added up on the way."""
+    maps, counts, d = maps.copy(), counts.copy(), 1
+    while d < len(maps):
+        after, more = maps.copy(), counts.copy()
+        after[d:] = np.take_along_axis(maps[d:], maps[:-d], axis=1)
+        more[d:] = counts[:-d] + np.take_along_axis(counts[d:], maps[:-d], axis=1)
+        maps, counts, d = after, more, 2 * d
+    return maps, counts
+
+
+def chunk_maps(machine: WordTransducer, data: np.ndarray, begin: np.ndarray, entry: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maps and counts [chunk, place] of consecutive chunks, the first entered in ``entry``; and the states [chunk, place] in which each may be left.
+
+    Place j of chunk k is the j-th of the states in which chunk k - 1 may be left; the map gives the place among
+    those of chunk k. Unused places are never reached. From its first pre-token on, a chunk is run once for all
+    entries, and what stands before it (the chunk, if none begins in it) once for each.
+    """
+    size, chunks = data.shape
+    head = np.where(begin.any(axis=0), begin.argmax(axis=0), size)
+    ahead = np.arange(size)[:, None] < head
+    body, body_total = machine.run(np.where(ahead & (head < size), _PAD, data), begin, np.full(chunks, machine.start))
+    domain: list[dict[int, int]] = [{entry: 0}, *({s: 0} for s in body.tolist())]
+    done: list[list[tuple[int, int]]] = [[] for _ in range(chunks)]
+    ask = [(k, s) for k in range(chunks) for s in domain[k]]
+    while ask:
+        where, states = (np.array(x) for x in zip(*ask, strict=True))
+        upto = int(head[where].max())
+        exits, totals = machine.run(np.where(ahead[:upto, where], data[:upto, where], _PAD), np.zeros((upto, len(where)), bool), states)
+        whole = head[where] == size
+        exits, totals = np.where(whole, exits, body[where]), np.where(whole, totals, totals + body_total[where])
+        found = []
+        for (k, _), after, total in zip(ask, exits.tolist(), totals.tolist(), strict=True):
+            if after not in domain[k + 1]:
+                domain[k + 1][after] = len(domain[k + 1])
+                found.append((k + 1, after))
+            done[k].append((domain[k + 1][after], total))
+        ask = [(k, s) for k, s in found if k < chunks]
+    width = max(map(len, domain))
+    maps, counts, left = np.zeros((chunks, width), np.int64), np.zeros((chunks, width), np.int64), np.zeros((chunks, width), np.int64)
+    for k, row in enumerate(done):
+        for j, (place, total) in enumerate(row):
+            maps[k, j], counts[k, j] = place, total
+        left[k, : len(domain[k + 1])] = list(domain[k + 1])
+    return maps, counts, left
 
 
 class Counter:
@@ -215,20 +325,32 @@ class Counter:
     def __init__(self, path: str) -> None:
         self.file = ByteLevelFile(path)
         self.machine = WordTransducer(self.file)
-        self.known: dict[bytes, int] = {}
 
     def count(self, texts: list[bytes]) -> np.ndarray:
         parts, first, special = self.file.parts(texts)
-        words, count = pretokens.split(parts, marks)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for w in set(words).difference(self.known):
+        joined, begins, _, _ = pretokens.places(parts, marks)
+        fresh = np.zeros(len(joined) + 1, bool)
+        fresh[begins] = True
+        length = np.fromiter(map(len, parts), np.int64, len(parts))
+        chunks = -(-length // COUNTED)
+        # every part begins a chunk, and the rest of its last chunk is padding
+        row = np.repeat(np.cumsum(length + 1) - length - 1 - np.concatenate(([0], np.cumsum(chunks)[:-1])) * COUNTED, chunks) + np.arange(chunks.sum()) * COUNTED
+        end = np.repeat(np.cumsum(length + 1) - 1, chunks)
+        at = row[:, None] + np.arange(COUNTED)
+        inside = at < end[:, None]
+        at = np.where(inside, at, len(joined))
+        data = np.where(inside, np.frombuffer(joined + b"\n", np.uint8).astype(np.int16)[at], np.int16(_PAD))
+        total = np.zeros(len(row) + 1, np.int64)
+        state = self.machine.start
+        for k in range(0, len(row), LANES):
             if len(self.machine.states) > STATES:
-                self.machine._clear()
-            self.known[w] = self.machine.count(w)
-        each = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        by_part = np.diff(np.concatenate(([0], np.cumsum(each)))[np.concatenate(([0], np.cumsum(count)))])
-        return np.add.reduceat(by_part, first) + np.fromiter(map(len, special), np.int64, len(special))
+                state = self.machine.forget(state)
+            maps, counts, left = chunk_maps(self.machine, np.ascontiguousarray(data[k : k + LANES].T), np.ascontiguousarray(fresh[at[k : k + LANES]].T), state)
+            maps, counts = scan_counts(maps, counts)
+            total[k + 1 : k + 1 + len(maps)] = total[k] + counts[:, 0]
+            state = int(left[-1, maps[-1, 0]])
+        upto = total[np.cumsum(chunks)]
+        return np.add.reduceat(np.diff(upto, prepend=0), first) + np.fromiter(map(len, special), np.int64, len(special))
 
 
 @lru_cache(maxsize=1)
@@ -240,8 +362,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """(id, n_bytes, n_tokens): UTF-8 bytes and tokens of every whole text.
 
     Null and empty texts have none. Null ids and repeated rows keep their rows; an empty table gives an
-    empty result; other columns take no part. Memory is bounded by a group of texts and by ``REMEMBERED``
-    and ``STATES``; nothing is shuffled.
+    empty result; other columns take no part. Memory is bounded by a group of texts (or one longer text) and
+    by ``STATES`` and what ``LANES`` chunks may add to them; nothing is shuffled.
     """
     def start():
         made = counter(tokenizer_path)

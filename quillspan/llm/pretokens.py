@@ -55,8 +55,11 @@ def starts(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return begin
 
 
-def split(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[list[bytes], np.ndarray]:
-    """The pre-tokens of all texts in a row, and how many each text has. find: says where pre-tokens begin, as :func:`starts`."""
+def places(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Where pre-tokens stand: all texts with a byte between them, first byte and end of each pre-token, and how many each text has.
+
+    find: says where pre-tokens begin, as :func:`starts`.
+    """
     joined = b"\n".join(texts)  # the line feeds between texts are marked as breaks
     chars = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
     offset = np.flatnonzero((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)
@@ -72,5 +75,10 @@ def split(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarra
     last = np.concatenate((first[1:], [len(joined)]))
     real = kinds[at] != BREAK
     first, last = first[real], last[real]
-    count = np.diff(np.searchsorted(first, ends), prepend=0)
+    return joined, first, last, np.diff(np.searchsorted(first, ends), prepend=0)
+
+
+def split(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[list[bytes], np.ndarray]:
+    """The pre-tokens of all texts in a row, and how many each text has."""
+    joined, first, last, count = places(texts, find)
     return [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], count
