@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def ensure_shared_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; without one (tests on one machine) make a folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+from quillspan.sources.shared import ensure_shared_dir
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,7 +18,6 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but read from files of known size: the planner multiplies the sizes of joined checkpoints, in loops without end."""
     spark = df.sparkSession
-    ensure_shared_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    path = f"{ensure_shared_dir(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
