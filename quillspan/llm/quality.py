@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.batches import map_texts
+from quillspan.llm.store import written
 
-#: Labelled documents that the model is fitted on, and lines of each of them.
-SAMPLE, SAMPLE_LINES = 6000, 256
+#: Labelled documents that the model is fitted on, and the lines of all of them together.
+SAMPLE, SAMPLE_LINES = 6000, 200_000
 STEPS, RATE, RIDGE = 250, 0.1, 1e-5
 
 _UPPER, _LOWER, _DIGIT, _SPACE, _STOP, _BANG, _SIGN, _HIGH = range(8)
@@ -184,23 +185,32 @@ def learnable(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 != 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` labelled documents, those of the least hashes of their ids.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, lines: int = SAMPLE_LINES) -> Chain:
+    """Fit on at most ``sample`` labelled documents, those of the least hashes of their ids, with all of their lines.
 
-    An id with several labels counts as bad if any of them is. Without labels all scores are one half.
+    In the order of the hashes a document is left out if with it there would be over ``lines`` lines, which bounds
+    what comes to the driver (31 numbers a line, 25 MB by default). An id with several labels counts as bad if any
+    of them is; of an id with several texts one is taken. Without labels all scores are one half.
     """
     known = labels.filter(learnable(id_col) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("good"))
     taken = known.orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    texts = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("line_text")).join(F.broadcast(taken), id_col)
+    picked = written(texts.groupBy(id_col).agg(F.min("good").alias("good"), F.min_by("line_text", F.xxhash64("line_text")).alias("line_text")).withColumn("place", F.xxhash64(id_col)))
+    size = F.length("line_text") - F.length(F.replace("line_text", F.lit("\n"), F.lit(""))) + 1
+    room, chosen = lines, []
+    for r in picked.select(F.col(id_col).alias("id"), "place", size.alias("n")).orderBy("place", "id").collect():  # ``sample`` rows
+        if r["n"] <= room:
+            room -= r["n"]
+            chosen.append(r["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for good, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                x, size, _ = line_features([(text or "").encode()])
-                row = [pa.array([int(good)]), pa.array([x[:SAMPLE_LINES].astype("<f4").tobytes()]), pa.array([size[:SAMPLE_LINES].tolist()])]
-                yield pa.RecordBatch.from_arrays(row, ["good", "x", "size"])
+            for place, good, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, size, _ = line_features([text.encode()])
+                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([int(good)]), pa.array([x.astype("<f4").tobytes()]), pa.array([size.tolist()])], ["place", "good", "x", "size"])
 
-    picked = docs.select(id_col, text_col).join(F.broadcast(taken), id_col).select("good", text_col)
-    rows = picked.mapInArrow(run, "good long, x binary, size array<long>").limit(sample).collect()  # the sample, bounded by its two parameters
+    found = picked.filter(F.col(id_col).isin(chosen)).select("place", "good", "line_text").mapInArrow(run, "place long, good long, x binary, size array<long>")
+    rows = sorted(found.collect(), key=lambda r: (r["place"], r["x"]))  # bounded by the two parameters
     if not rows:
         return untaught()
     parts = [np.frombuffer(r["x"], "<f4").reshape(-1, FEATURES) for r in rows]
