@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.llm.store import written
+
 #: Width of a quantised impact, vectors of an index block, queries of a block.
 STEP = 8
 BLOCK = 8192
@@ -29,10 +31,15 @@ ROUND = 128
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v): integer vectors floor(scale * x), without those that are null or hold null or non-finite components."""
+    """(id, v): integer vectors floor(scale * x), without those that have no id, are null or hold null or non-finite components.
+
+    A component beyond 31 bits ends the job.
+    """
     x = F.transform(vector_col, lambda c: c.cast("double"))
-    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.forall(F.col("x"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return vectors.withColumn("x", x).filter(fine).select(F.col(id_col).alias("id"), F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
+    rows = vectors.select(F.col(id_col).alias("id"), x.alias("x"))
+    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    whole = lambda c: F.when(F.abs(c * scale) < 2.0**31, F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is beyond 31 bits")).cast("bigint"))
+    return rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & fine).select("id", F.transform("x", whole).alias("v"))
 
 
 def _matrix(rows: pd.Series, width: int | None = None) -> np.ndarray:
@@ -48,9 +55,10 @@ def _matrix(rows: pd.Series, width: int | None = None) -> np.ndarray:
 class Block:
     """The postings of some vectors: for each component the rows by quantised impact, and the segments' bounds."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], np.ascontiguousarray(x[order])
+        self.ids, self.own, self.x = ids[order], rows[order], np.ascontiguousarray(x[order])
+        self.most = int(np.abs(x).max(initial=0))
         level = (self.x // STEP).T
         self.rows = np.argsort(level, axis=1, kind="stable").astype(np.int32)
         component, first, low = [], [], []
@@ -65,10 +73,12 @@ class Block:
         self.rows = self.rows.reshape(-1)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best vectors other than ``own`` (all, if fewer), ties to the smaller id."""
+        """Ids and scores of the k best vectors other than the row ``own`` (all, if fewer), ties to the smaller id."""
         n = len(self.ids)
+        if len(q) * self.most * int(np.abs(q).max(initial=0)) >= 1 << 53:
+            raise OverflowError("scores of these vectors are beyond 53 bits")
         q = np.pad(q, (0, max(0, self.x.shape[1] - len(q))))[: self.x.shape[1]]
-        mine = np.flatnonzero(self.ids == own)
+        mine = np.flatnonzero(self.own == own)
         want = min(k, n - len(mine))
         if want <= 0:
             return self.ids[:0], self.ids[:0]
@@ -96,38 +106,42 @@ class Block:
             members = np.flatnonzero(sums >= bar - reach)
             if len(members) <= max(FEW, n // 8) or not len(unread):
                 break
-        members = members[self.ids[members] != own]
+        members = members[self.own[members] != own]
         score = self.x[members] @ q
         top = np.lexsort((self.ids[members], -score))[:k]
         return self.ids[members][top], score[top]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query (id, v) the k vectors (id, v) of highest inner product other than its own.
+def top_k(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row of ``vectors`` (id, v) for which ``asked`` holds the k other rows of highest inner product.
 
     Every block of vectors meets every block of queries once; both block counts follow the row counts. Each
-    meeting yields at most k rows a query, of which the best k are kept. Ties go to the smaller id. Vectors of
-    unequal length are continued with zeros; a repeated vector id is several candidates. Components times
-    256 are taken to fit 31 bits. No vectors or no queries give no rows.
+    meeting yields at most k rows a query, of which the best k are kept. Rows are numbered and written down
+    once. A repeated id is several candidates and, if asked, several queries with k rows each (of equal ranks);
+    only a query's own row is left out. Ties go to the smaller id. Vectors of unequal length are continued with
+    zeros; scores beyond 53 bits end the job. No vectors or no queries give no rows.
     """
-    blocks = max(1, -(-vectors.count() // BLOCK))
+    rows = written(vectors.select("id", "v", F.monotonically_increasing_id().alias("row")))
+    queries = rows.filter(asked)
+    blocks = max(1, -(-rows.count() // BLOCK))
     groups = max(1, -(-queries.count() // QUERIES))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "v", deal(groups).alias("group"), each(blocks).alias("block"))
-    right = vectors.select("id", "v", deal(blocks).alias("block"), each(groups).alias("group"))
+    left = queries.select("id", "row", "v", deal(groups).alias("group"), each(blocks).alias("block"))
+    right = rows.select("id", "row", "v", deal(blocks).alias("block"), each(groups).alias("group"))
+    kinds = "query_row long, query_id long, vec_id long, score long"
 
     def meet(asked: pd.DataFrame, held: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(asked) and len(held):
             q = _matrix(asked["v"])
-            block = Block(held["id"].to_numpy(np.int64), _matrix(held["v"], q.shape[1]))
-            for query_id, row in zip(asked["id"], q, strict=True):
-                ids, scores = block.search(row, query_id, k)
-                yield pd.DataFrame({"query_id": query_id, "vec_id": ids, "score": scores})
+            block = Block(held["id"].to_numpy(np.int64), held["row"].to_numpy(np.int64), _matrix(held["v"], q.shape[1]))
+            for query_id, own, vector in zip(asked["id"], asked["row"], q, strict=True):
+                ids, scores = block.search(vector, own, k)
+                yield pd.DataFrame({"query_row": own, "query_id": query_id, "vec_id": ids, "score": scores})
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64"), *meet(asked, held)])
+        return pd.concat([pd.DataFrame({c.split()[0]: [] for c in kinds.split(", ")}, dtype="int64"), *meet(asked, held)])
 
-    met = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    met = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(run, kinds)
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
