@@ -82,12 +82,13 @@ def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """(conv, formatted, rounds, loss_spans): a row for each conversation; ``rounds`` counts renderings.
 
     Turns are ordered by turn (nulls first), then role and text. Null roles and texts are empty; rows of a
-    null conversation id form one conversation; repeated rows are repeated turns; an empty table gives an
-    empty result; other columns take no part. A conversation is one row by nature; its turns are combined
-    per task before they meet.
+    null conversation id belong to nothing and are a conversation each; repeated rows are repeated turns; an
+    empty table gives an empty result; other columns take no part. A conversation is one row by nature; its
+    turns are combined per task before they meet.
     """
     said = rows.select(F.col(conv_col), F.struct(F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")).alias("said"))
-    whole = said.groupBy(conv_col).agg(F.array_sort(F.collect_list("said")).alias("said"))
+    whole = said.filter(F.col(conv_col).isNotNull()).groupBy(conv_col).agg(F.array_sort(F.collect_list("said")).alias("said"))
+    whole = whole.union(said.filter(F.col(conv_col).isNull()).select(conv_col, F.array("said")))
     turns = whole.select(conv_col, F.transform("said", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).cast(SOURCE).alias("turns"))
     now = turns.withColumn("formatted", render(F.col("turns"), lambda x: x)).withColumn("rounds", F.lit(1))
     now = now.withColumn("same", parse(F.col("formatted")).eqNullSafe(F.col("turns")))
