@@ -24,6 +24,8 @@ SPAN, UNITS, LANES = 128, 8, 2048
 #: Training windows of each language, their bytes, and the batches that are learned from.
 SAMPLE, SAMPLE_SPAN, BATCHES, BATCH, RATE = 1500, 96, 600, 64, 0.015
 UNKNOWN = "und"
+#: More languages than this end the job: they are a row each on the driver and an output each of the network.
+MAX_LANGUAGES = 1000
 _LETTER = regex.compile(r"\p{L}")
 _FLOAT = np.float32
 #: Bytes that belong to no letter of ASCII; what is above 127 counts as part of letters.
@@ -180,13 +182,16 @@ def fit(windows: np.ndarray, language: np.ndarray, languages: list[str], seed: i
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Network | None:
-    """Train on about ``sample`` windows of each language, one from a document, chosen by hashes of ids; None without labelled texts.
+    """Train on about ``sample`` windows of each language, one from an id, chosen by hashes of ids; None without labelled texts.
 
     The languages are those that occur (a row of each passes through the driver). A window is
-    ``SAMPLE_SPAN`` bytes from a place in the text that depends on the id.
+    ``SAMPLE_SPAN`` bytes from a place in the text that depends on the id; of an id with several rows the least
+    language and window is taken. The same rows give the same network, however they are dealt.
     """
     known = docs.filter(learnable(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counted = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counted = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     if not counted:
         return None
     languages = sorted(counted)
@@ -194,7 +199,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, sample / counted[lang]) * (1 << 30)))])
     place = F.floor(F.pmod(F.xxhash64(id_col, F.lit(1)), F.greatest(F.length(text_col) - SAMPLE_SPAN, F.lit(1)))).cast("int") + 1
     picked = known.filter(hashed <= F.element_at(share, F.col(lang_col))).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.encode(F.substring(text_col, place, F.lit(SAMPLE_SPAN)), "UTF-8").alias("part"))
-    rows = sorted(picked.limit(2 * sample * len(languages)).collect(), key=lambda r: (r["id"], r["lang"]))  # the sample, bounded by its parameter
+    one = picked.groupBy("id").agg(F.min(F.struct("lang", "part")).alias("said")).select("id", "said.*")
+    rows = one.orderBy(F.xxhash64("id"), "id").limit(2 * sample * len(languages)).collect()  # the sample, bounded by its parameter
+    rows.sort(key=lambda r: (r["id"], r["lang"]))
     windows = np.zeros((len(rows), SAMPLE_SPAN), np.uint8)
     for w, r in zip(windows, rows, strict=True):
         part = bytes(r["part"])[:SAMPLE_SPAN]
@@ -205,7 +212,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def predict(docs: DataFrame, net: Network | None, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry``, ``lang_pred`` and ``score``: the likeliest language of every whole text and its probability.
 
-    Null texts and texts without a letter (and all, without a network) are ``und`` with score 0. Null ids and
+    Null texts and texts without a letter (and all, without a network) are ``und`` with score 0. Of languages
+    that are equally likely the first by name is given. Null ids and
     repeated rows keep their rows; an empty table gives an empty result; columns that are not carried take
     no part. Nothing is shuffled.
     """
