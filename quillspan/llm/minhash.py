@@ -2,8 +2,9 @@
 
 All column expressions. Every word run ("shingle") of a text is hashed once; the hash's top bits choose
 one of ``BINS`` bins and each bin keeps its least hash. An empty bin takes the value of the first filled
-bin on its own pseudo-random walk over all bins (every empty bin walks independently, so borrowed values
-are spread evenly over the filled bins). Of each value the low ``BITS`` bits are kept, one hex digit a
+bin on its own walk over all bins (start and stride are hashes of the bin, and attempt t looks at
+start + t * stride instead of at a fresh hash, which reaches every bin once and no bin twice; bins walk
+independently, so borrowed values are spread evenly over the filled bins). Of each value the low ``BITS`` bits are kept, one hex digit a
 bin. Two fingerprints agree in a bin by chance in one of 16 cases; :func:`likeness` takes that out again.
 """
 
@@ -118,8 +119,8 @@ def beside_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     The bounds of the buckets are ids that occur, so the first row of the next bucket (of the first one,
     after the last) is known by its id in the scan, and is sent to its predecessor's bucket as well, as a
-    guest. Texts are shuffled once. Null ids come first and null texts are empty; rows of one id are
-    ordered by text.
+    guest. Texts are shuffled once. Ids are integers; null ids come first, with the least long, and null texts
+    are empty; rows of one id are ordered by text.
     """
     key = F.coalesce(F.col(id_col), F.lit(-(2**63)))
     n = docs.count()

@@ -57,7 +57,7 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.file = ByteLevelFile(path)
-        self.piece = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=self.file.ranks, special_tokens={})._encode_single_piece
+        self.word = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=self.file.ranks, special_tokens={})  # the pattern takes a word as it is
         self.known: dict[bytes, bytes] = {}
 
     def _words(self, words: list[bytes]) -> list[bytes]:
@@ -65,7 +65,7 @@ class Encoder:
         if len(known) > REMEMBERED:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = np.array(self.piece(w), "<u4").tobytes()
+            known[w] = np.array(self.word.encode_ordinary(w.decode()), "<u4").tobytes()
         return [known[w] for w in words]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
