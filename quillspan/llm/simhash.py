@@ -232,18 +232,20 @@ def _placed(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The document of the smallest id of each component, with all columns of ``docs``.
+    """One row of each component, with all columns of ``docs``: that of the smallest id (of its several texts, that of the smallest hash).
 
     Texts are linked by fingerprints within three bits, as in ``near_groups``, and by a Jaccard similarity of
-    their five-word runs of 0.8 or more. Rows without an id stay as they are; of rows alike in id and text one stays.
+    their five-word runs of 0.8 or more. Rows without an id stay as they are; of rows alike in id and text one
+    stays. Null and blank texts are copies of each other; an empty table gives an empty result.
     """
     from quillspan.llm import similar  # which builds on this module
 
-    known = docs.filter(F.col(id_col).isNotNull())
-    marked = written(similar.mark(known, id_col, text_col, words))
+    text = next(name for i in range(len(docs.columns) + 1) if (name := f"text_hash_{i}") not in docs.columns)
+    known = docs.filter(F.col(id_col).isNotNull()).withColumn(text, F.xxhash64(text_col))
+    marked = written(similar.mark(known, [id_col, text], text_col, words))
     nodes = written(_nodes(marked, id_col))
     roots = similar.similar_roots(known, marked, links(nodes.select("fp")), id_col, text_col)
-    groups = _placed(marked.select(id_col, "fp"), nodes, roots, id_col)
-    keep = groups.filter(F.col(id_col) == F.col("component")).select(F.col(id_col).alias("kept_id")).distinct()
-    one = known.join(keep, known[id_col] == keep["kept_id"], "left_semi").dropDuplicates([id_col, text_col])
+    placed = marked.select(F.struct(F.col(id_col).alias("id"), F.col(text).alias("text")).alias("row"), "fp").join(roots, F.col("fp") == F.col("node"), "left")
+    keep = placed.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select(F.col("row.id").alias(id_col), F.col("row.text").alias(text))
+    one = known.join(keep, [id_col, text], "left_semi").dropDuplicates([id_col, text])
     return one.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))

@@ -1,34 +1,37 @@
-"""Near copies by exact similarity: MinHash bands name candidates, the Jaccard similarity of word runs decides.
+"""Near copies by exact similarity: prefixes of rare word runs name candidates, the Jaccard similarity of word runs decides.
 
-A text is the set of its five-word runs. Its 128 minima form 32 bands of four; two texts of similarity
-0.8 share none with probability (1 - 0.8^4)^32 = 5e-8. Texts that share a band are compared in order of
-their sizes, first with their next few neighbours, then with farther ones as long as any band still holds
-texts of different groups; so a group of copies costs a few comparisons a text, and no pair is left out.
+A text is the set of its five-word runs. All runs are put in one order, rare ones first. Two sets of which
+one has n runs can only be similar by 0.8 if they share a run among the first n - 0.8 n + 1 of each: so texts
+meet on these, and no pair is missed. The order rests on counts over all texts, kept in a table of fixed size by
+hashes of runs: a passage that many texts share comes last in all of them and makes no candidates. Any order
+would give the same result; this one makes it cheap.
+
+Texts that share a run are compared in the order of their sizes, first with the next one, then with farther
+ones as long as the run still brings together texts of different groups; so a group of copies costs a few
+comparisons a text, and no pair is left out.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.batches import map_texts
+from quillspan.llm.batches import map_texts, text_groups
 from quillspan.llm.simhash import components, shingle_hashes, simhash
 from quillspan.llm.store import written
 
 WORDS = 5
-BANDS, ROWS = 32, 4
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
-#: The first comparison is with so many next neighbours; each further one reaches as many times as far.
+#: Each further comparison reaches so many times as far.
 REACH = 4
-CHUNK = 1 << 12
-_DRAW = np.random.default_rng(42)
-_TIMES = _DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
-_PLUS = _DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)
-_MIX = _DRAW.integers(0, 1 << 64, BANDS, np.uint64, endpoint=False) | np.uint64(1)
+#: Counts of runs are kept for so many bits of their hashes: two megabytes, whatever the input.
+COUNT_BITS = 18
 
 
 def runs(text: bytes) -> np.ndarray:
@@ -40,31 +43,46 @@ def digest(words: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(words.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def bands(words: np.ndarray) -> np.ndarray:
-    """The keys of the 32 bands; none for a text without words."""
-    if not len(words):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(words), CHUNK):
-        np.minimum(least, (words[at : at + CHUNK, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    key = np.zeros(BANDS, np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        key = (key ^ row) * _MIX
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+def _slot(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def run_counts(docs: DataFrame, text_col: str) -> np.ndarray:
+    """How many runs of all texts fall into each slot. Every task sums up its own; the slots come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNT_BITS, np.int64)
+        for batch in batches:
+            for group in text_groups(batch.column(0)):
+                total += np.bincount(_slot(np.concatenate([runs(t) for t in group])), minlength=len(total))
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
 
+    out = np.zeros(1 << COUNT_BITS, np.int64)
+    for row in docs.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+        out[row["slot"]] = row["n"]
+    return out
 
-def mark(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, fp, d, n, keys): SimHash fingerprint, digest and number of the distinct runs, keys of the bands."""
+
+def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of which a similar text must share one: the first in the order of counts and hashes."""
+    n = len(words)
+    order = np.argsort(counts[_slot(words)], kind="stable")  # the hashes are in order
+    return words[order[: n - -(-NUM * n // DEN) + 1]] if n else words
+
+
+def mark(docs: DataFrame, carry: list[str], text_col: str, words: int) -> DataFrame:
+    """(*carry, fp, d, n, keys): SimHash fingerprint, digest and number of the distinct runs, and their prefix."""
+    counts = docs.sparkSession.sparkContext.broadcast(run_counts(docs, text_col))
 
     def make(group: list[bytes]) -> list[pa.Array]:
         sets = [runs(t) for t in group]
-        keys = [bands(s) for s in sets]
+        keys = [prefix(s, counts.value) for s in sets]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         fps = np.array([simhash(t, words) for t in group], np.uint64).view(np.int64)
-        return [pa.array(fps), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
+        return [pa.array(fps), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))]
 
-    return map_texts(docs, text_col, [id_col], "fp long, d long, n int, keys array<long>", lambda: make)
+    return map_texts(docs, text_col, carry, "fp long, d long, n int, keys array<long>", lambda: make)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -78,31 +96,37 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs, text_col, [id_col], "d long, words array<long>", lambda: make).dropDuplicates(["d"]).select("d", "words")
 
 
+def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with the root of their fingerprint as ``label``, of those keys alone that bring together different labels."""
+    whole = Window.partitionBy("key")
+    named = rows.join(roots, rows["fp"] == roots["node"], "left").select(*rows.columns, F.coalesce("root", "fp").alias("label"))
+    return named.withColumns({"lo": F.min("label").over(whole), "hi": F.max("label").over(whole)}).filter("lo <> hi").drop("lo", "hi")
+
+
 def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, root) over fingerprints: the components of the links ``known`` (a, b) and of all texts similar by 0.8 or more."""
     full = marked.filter("n > 0")
-    texts = written(full.groupBy("d").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("least_id"), F.min("keys").alias("keys")))
+    texts = written(full.groupBy("d").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("least_id"), F.first("keys").alias("keys")))
     same = full.select(F.col("fp").alias("b"), "d").distinct().join(texts.select("d", F.col("fp").alias("a")), "d").filter("a <> b").select("a", "b")
     edges = written(known.union(same).distinct())
-    whole, sized = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n", "d")
-    rows = texts.select(F.explode("keys").alias("key"), "d", "n", "fp").withColumns({"lo": F.min("fp").over(whole), "hi": F.max("fp").over(whole)})
-    shared = written(rows.filter("lo <> hi").select("key", "d", "n", "fp"))
+    roots = written(components(edges))
+    shared = written(_labelled(texts.select(F.explode("keys").alias("key"), "d", "n", "fp"), roots).drop("label"))
     asked = texts.join(shared.select("d").distinct(), "d", "left_semi").select(F.col("least_id").alias("asked_id")).distinct()
     sets = written(_sets(docs.join(asked, docs[id_col] == asked["asked_id"], "left_semi"), id_col, text_col))
-    roots, low, high = written(components(edges)), 1, REACH
+    by_size, low, high = Window.partitionBy("key").orderBy("n", "d"), 1, 1
     while True:
-        named = shared.join(roots, shared["fp"] == roots["node"], "left").select("key", "d", "n", "fp", F.coalesce("root", "fp").alias("label"))
-        apart = named.withColumns({"lo": F.min("label").over(whole), "hi": F.max("label").over(whole)}).filter("lo <> hi")
-        others = F.collect_list(F.struct("d", "n", "fp", "label")).over(sized.rowsBetween(low, high))
-        ahead = written(apart.select("d", "n", "fp", "label", others.alias("others"), F.lead("n", high + 1).over(sized).alias("beyond")))
-        pairs = ahead.select("d", "n", "fp", "label", F.explode("others").alias("o")).filter((F.col("o.label") != F.col("label")) & (DEN * F.col("n") >= NUM * F.col("o.n")))
-        pairs = pairs.select(F.col("d").alias("d1"), F.col("fp").alias("a"), F.col("o.d").alias("d2"), F.col("o.fp").alias("b")).distinct()
+        beside = F.collect_list(F.struct("d", "n", "fp", "label")).over(by_size.rowsBetween(low, high))
+        seen = _labelled(shared, roots).select("d", "n", "fp", "label", beside.alias("beside"), F.lead("n", high + 1).over(by_size).alias("beyond"))
+        others = F.filter("beside", lambda o: (o["label"] != F.col("label")) & (DEN * F.col("n") >= NUM * o["n"]))
+        ahead = seen.select("d", "fp", F.transform(others, lambda o: F.struct(o["d"].alias("d"), o["fp"].alias("fp"))).alias("others"), F.coalesce(DEN * F.col("n") >= NUM * F.col("beyond"), F.lit(False)).alias("farther"))
+        ahead = written(ahead.filter(F.col("farther") | (F.size("others") > 0)))
+        pairs = ahead.select(F.col("d").alias("d1"), F.col("fp").alias("a"), F.explode("others").alias("o")).select("d1", "a", F.col("o.d").alias("d2"), F.col("o.fp").alias("b")).distinct()
         both = pairs.join(sets.select(F.col("d").alias("d1"), F.col("words").alias("w1")), "d1").join(sets.select(F.col("d").alias("d2"), F.col("words").alias("w2")), "d2")
         alike = (NUM + DEN) * F.size(F.array_intersect("w1", "w2")) >= NUM * (F.size("w1") + F.size("w2"))
         more = written(both.filter(alike).select("a", "b").distinct())
         if not more.isEmpty():
             edges = written(edges.union(more))
             roots = written(components(edges))
-        if ahead.filter(DEN * F.col("n") >= NUM * F.col("beyond")).isEmpty():
+        if ahead.filter("farther").isEmpty():
             return roots
         low, high = high + 1, high * REACH
