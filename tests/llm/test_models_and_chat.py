@@ -7,11 +7,13 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillspan.llm import chat, langid, queries, quality, topk
+from quillspan.llm import chat, langid, queries, quality, simhash, topk
 
 from .conftest import TEXTS, prose
 
@@ -38,7 +40,8 @@ def test_chat_edge_cases(spark):
     rows = [(None, None, None, None), (None, None, None, None), (1, 0, "user", None), (1, 0, "user", "b"), (1, None, "assistant", "a" * 200_000), (2, 5, None, "</s>")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = {x.conv_id: [tuple(t) for t in x.back] for x in chat.format_chats(frame).select("conv_id", chat.parse(F.col("formatted")).alias("back")).collect()}
-    assert out == {None: [("", ""), ("", "")], 1: [("assistant", "a" * 200_000), ("user", ""), ("user", "b")], 2: [("", "</s>")]}
+    assert out == {None: [("", "")], 1: [("assistant", "a" * 200_000), ("user", ""), ("user", "b")], 2: [("", "</s>")]}
+    assert chat.format_chats(frame).filter("conv_id IS NULL").count() == 2
     assert chat.format_chats(frame.filter("1 = 0")).count() == 0
     broken = spark.createDataFrame([("<s>user[INST]x[/INST]",), ("<s>user[INST][INST]x[/INST]</s>",)], "f string")
     assert [r[0] for r in broken.select(chat.parse(F.col("f"))).collect()] == [None, None]
@@ -70,16 +73,46 @@ def test_top_k_is_exact(spark, monkeypatch, block, group):
     assert {i for i, _ in held} == {*range(190), 204, 205}
     asked = [(i, v) for i, v in held if i % 10 == 0]
     got = {}
-    for r in sorted(topk.top_k(vectors, vectors.filter("id % 10 = 0"), 5).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(topk.top_k(vectors, F.col("id") % 10 == 0, 5).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == brute_top(held, asked, 5)
-    assert topk.top_k(vectors.filter("1 = 0"), vectors.filter("1 = 0"), 5).count() == 0
+    assert topk.top_k(vectors.filter("1 = 0"), F.col("id") % 10 == 0, 5).count() == 0
+
+
+@pytest.mark.parametrize(("block", "group"), [(8192, 1024), (3, 1)])
+def test_top_k_of_repeated_ids(spark, monkeypatch, tmp_path, block, group):
+    """A repeated id is a query a row and a candidate a row; columns of clashing names take no part."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "QUERIES", group)
+    rng = np.random.default_rng(8)
+    rows = [(i % 60, [float(x) for x in rng.normal(0, 0.2, 6)], 1, 2, 3) for i in range(100)] + [(50, [0.25] * 6, 1, 2, 3), (50, [0.25] * 6, 1, 2, 3), (None, [0.25] * 6, 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, row int, id int, block int")
+    vectors = topk.quantise(frame, "vec_id", "embedding", 256.0)
+    held = [(r.id, list(r.v)) for r in vectors.collect()]
+    expected = []
+    for n, (q, v) in enumerate(held):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for m, (i, w) in enumerate(held) if m != n)[:5]
+            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    got = sorted(map(tuple, topk.top_k(vectors, F.col("id") % 50 == 0, 5).collect()))
+    assert got == sorted(expected)
+    frame.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(con.sql(queries.oracle_sql()["op6_impact_ordered_top5"]).fetchall()) == got
+
+
+def test_top_k_refuses_what_does_not_fit(spark):
+    with pytest.raises(Exception, match="31 bits"):
+        topk.quantise(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 256.0).collect()
+    with pytest.raises(OverflowError):
+        topk.Block(np.arange(2), np.arange(2), np.full((2, 3), 1 << 30)).search(np.full(3, 1 << 30), 0, 1)
 
 
 def test_top_k_reads_less_than_all_only_on_proof():
     rng = np.random.default_rng(0)
     x = rng.integers(-100, 100, (600, 8))
-    block = topk.Block(np.arange(600), x)
+    block = topk.Block(np.arange(600), np.arange(600), x)
     for i in range(0, 600, 60):
         ids, scores = block.search(x[i], i, 5)
         expected = sorted((-int(s), j) for j, s in enumerate(x @ x[i]) if j != i)[:5]
@@ -143,6 +176,79 @@ def test_quality_learns(spark, labelled, docs, empty):
     assert quality.score(docs, quality.train(docs, labels.filter("1 = 0"))).first().score == 0.5
 
 
+def plain_quality(model, text):
+    """A document's score by forward and backward sums over its lines, one at a time."""
+    x, size, _ = quality.line_features([text.encode()])
+    local = [[1.0, math.exp(row @ model.line)] for row in x]
+    step = [[math.exp(model.step[a, b]) for b in (0, 1)] for a in (0, 1)]
+    forward, backward = [local[0]], [[1.0, 1.0]]
+    for now in local[1:]:
+        forward.append([now[b] * sum(forward[-1][a] * step[a][b] for a in (0, 1)) for b in (0, 1)])
+    for after in reversed(local[1:]):
+        backward.insert(0, [sum(step[a][b] * after[b] * backward[0][b] for b in (0, 1)) for a in (0, 1)])
+    good = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, backward, strict=True)]
+    mean = sum(g * (n + 1) for g, n in zip(good, size)) / sum(n + 1 for n in size)
+    return 1 / (1 + math.exp(-(model.curve[0] + model.curve[1] * mean)))
+
+
+def test_quality_reads_every_line_and_takes_fewer_rows(spark):
+    """Bad lines behind the first 300 still teach; a bound on lines leaves out whole documents."""
+    rows = []
+    for i in range(160):
+        bad = i % 2 == 0
+        rows.append((i, "\n".join([prose(i + k, 8) for k in range(300)] + [("| = | " * 30 if bad else prose(i, 30)) for _ in range(300)])))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(160)], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in quality.score(texts, quality.train(texts, labels)).collect()}
+    assert np.mean([(s >= 0.7) == (i % 2 == 1) for i, s in scores.items() if held_out(i)]) > 0.9
+    assert quality.train(texts, labels, lines=599).curve.tolist() == [0.0, 0.0]
+    some = quality.train(texts, labels, lines=12_000)
+    repeated = texts.union(texts.filter("doc_id < 5")).union(texts.filter("doc_id = 1")).repartition(7)
+    assert (quality.train(repeated, labels, lines=12_000).line == some.line).all()
+
+
+def plain_language(net, text):
+    """Pooled probabilities of a text, window by window and byte by byte, states one at a time."""
+
+    def states(layer, data):
+        u, h, out = langid.UNITS, np.zeros(langid.UNITS), []
+        for b in data:
+            given, inner = layer.byte[:, b].astype(float), layer.state.astype(float) @ h
+            z, r = 1 / (1 + np.exp(-(given[:u] + inner[:u]))), 1 / (1 + np.exp(-(given[u : 2 * u] + inner[u : 2 * u])))
+            h = (1 - z) * np.tanh(given[2 * u :] + r * (inner[2 * u :] + layer.bias[:, 0])) + z * h
+            out.append(h)
+        return out
+
+    total, letters = np.zeros(len(net.languages)), 0
+    for at in range(0, len(text), langid.SPAN):
+        window = text[at : at + langid.SPAN].ljust(langid.SPAN, b"\0")
+        for b, f, g in zip(window, states(net.ahead, window), states(net.behind, window[::-1])[::-1], strict=True):
+            if b >= 128 or chr(b).isalpha():
+                score = net.out.astype(float) @ np.concatenate((f, g)) + net.out_bias[:, 0]
+                total += score - score.max() - math.log(np.exp(score - score.max()).sum())
+                letters += 1
+    mean = total / max(letters, 1)
+    return np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+
+
+def test_pooling_matches_a_plain_loop():
+    rng = np.random.default_rng(6)
+    net = langid.Network(langid.Layer.new(rng), langid.Layer.new(rng), rng.normal(0, 1, (3, 2 * langid.UNITS)).astype(np.float32), rng.normal(0, 1, (3, 1)).astype(np.float32), ["a", "b", "c"])
+    texts = [b"", b"12 !", b"one", prose(1, 60).encode(), "naïve 東京 𝒳 ".encode() * 30, b"x" * 128, b"y" * 129]
+    assert np.allclose(net.pooled(texts), [plain_language(net, t) for t in texts], atol=1e-4)
+
+
+def test_training_rows_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BATCHES", 3)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(i % 40, prose(i % 40, 20), ("de", "en")[i % 2]) for i in range(400)] + [(3, prose(3, 20), "en")] * 300
+    texts = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = langid.train(texts, sample=10), langid.train(texts.repartition(9), sample=10)
+    assert (one.out == two.out).all()
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(texts.union(spark.createDataFrame([(1000, "x", "fr"), (1001, "x", "fr"), (1003, "x", "fr")], texts.schema)))
+
+
 def test_gradient_of_the_network():
     rng = np.random.default_rng(5)
     layer = langid.Layer.new(rng)
@@ -200,6 +306,58 @@ def test_pipeline_stages_act(spark, labelled, tmp_path):
     assert {r.doc_id for r in rows} <= after | {901}
 
 
+def plain_near_dedup(rows):
+    """The smallest id of each group of texts within three bits or of five-word similarity 0.8, by looking at all pairs."""
+    runs = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows.items()}
+    marks = {i: simhash.simhash((t or "").encode()) for i, t in rows.items()}
+    root = {i: i for i in rows}
+    for a in sorted(rows):
+        for b in sorted(rows):
+            if a < b and ((marks[a] ^ marks[b]).bit_count() <= 3 or 5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b]) > 0):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_pipeline_matches_brute_force(spark, labelled, tmp_path):
+    """Each stage against a plain version on its own input; documents with further columns, null ids, null, empty and long texts."""
+    texts, labels = labelled
+    more = [(None, prose(3, 40), "en", None, None), (None, None, None, None, None), (901, "12 34", None, None, None), (902, "", "en", "s", 0), (903, None, None, None, None), (904, prose(8, 9000), "en", "s", 1), (905, prose(8, 8990) + " end", "en", "s", 1)]
+    texts.union(texts.filter("doc_id % 9 = 1").withColumn("doc_id", F.col("doc_id") + 1000)).union(spark.createDataFrame(more, texts.schema)).withColumns({"score": F.lit("x"), "id": F.lit(1)}).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    held = [(r.doc_id, r.text) for r in docs.collect()]
+    key = lambda rows: sorted(rows, key=repr)
+
+    def stage(k):
+        nonlocal docs
+        corpus_pipeline.STAGES[k][1](spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        return docs.collect()
+
+    model = quality.train(docs, labels)
+    held = [(i, t) for i, t in held if plain_quality(model, t or "") >= corpus_pipeline.MIN_QUALITY]
+    assert key((r.doc_id, r.text) for r in stage(0)) == key(held)
+    net = langid.train(docs)
+    held = [(i, t) for i, t in held if any(c.isalpha() for c in t or "") and plain_language(net, t.encode()).max() >= corpus_pipeline.MIN_LANGUAGE]
+    assert key((r.doc_id, r.text) for r in stage(1)) == key(held)
+    kept = plain_near_dedup({i: t for i, t in held if i is not None})
+    held = [(i, t) for i, t in held if i is None or i in kept]
+    assert key((r.doc_id, r.text) for r in stage(2)) == key(held)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in sorted(stage(3), key=lambda r: r.start):
+        pieces[r.doc_id] = pieces.get(r.doc_id, b"") + bytes(r.ids)
+    assert {i: np.frombuffer(x, "<u4").tolist() for i, x in pieces.items() if i is not None} == {i: [*library.encode(t, add_special_tokens=False).ids, 0] for i, t in held if i is not None}
+
+
+def test_pipeline_of_nothing(spark, labelled, tmp_path):
+    texts, labels = labelled
+    texts.filter("1 = 0").write.parquet(f"{tmp_path}/documents.parquet")
+    labels.filter("1 = 0").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_sql_of_top5(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")

@@ -1,7 +1,9 @@
 """Fingerprints, BPE, counts, packing and SimHash against the libraries and brute force."""
 
 import random
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -50,14 +52,45 @@ def test_ids_and_counts_match_the_library(library):
     assert counts.Counter(JSON).count([t.encode() for t in texts]).tolist() == [len(e) for e in expected]
 
 
-def test_counts_forget_and_go_on(library, monkeypatch):
-    monkeypatch.setattr(counts, "STATES", 20)
-    monkeypatch.setattr(counts, "REMEMBERED", 5)
+def long_words():
+    """Unbroken words of 100,000 bytes and texts that end at, before and behind a chunk's border."""
+    r = random.Random(9)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000))
+    return [letters, "=" * 100_000, ("the" * 40_000)[:100_000], "漢字" * 16_000, *(letters[:n] for n in range(60, 70)), *("ab cd " * 40)[:130].split("x"), *(" " * n + "x" for n in (63, 64, 65, 128))]
+
+
+def test_counts_of_long_words_and_at_borders(library):
+    texts = long_words()
+    assert counts.Counter(JSON).count([t.encode() for t in texts]).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize(("states", "lanes", "size"), [(20, 3, 64), (1 << 18, 4096, 1), (1 << 18, 2, 5)])
+def test_counts_do_not_depend_on_chunks_or_memory(library, monkeypatch, states, lanes, size):
+    monkeypatch.setattr(counts, "STATES", states)
+    monkeypatch.setattr(counts, "LANES", lanes)
+    monkeypatch.setattr(counts, "COUNTED", size)
     made = counts.Counter(JSON)
-    for t in odd_texts(30):
+    for t in [*odd_texts(30), *[t or "" for t in TEXTS if len(t or "") < 3000]]:
         assert made.count([t.encode()]).tolist() == [len(library.encode(t, add_special_tokens=False).ids)]
 
 
+def test_counts_of_chunks_add_up():
+    """Maps and counts of chunks, composed by the scan, against the machine run from the start byte by byte."""
+    machine = counts.Counter(JSON).machine
+    r = random.Random(3)
+    data = np.frombuffer("".join(r.choice("ainstother") for _ in range(37 * 8)).encode(), np.uint8).astype(np.int64)
+    begin = np.zeros(len(data), bool)
+    begin[[0, 20, 21, 200]] = True
+    maps, total, left = counts.chunk_maps(machine, data.reshape(37, 8).T, begin.reshape(37, 8).T, machine.start)
+    maps, total = counts.scan_counts(maps, total)
+    state, n = np.array([machine.start]), 0
+    for i, (byte, fresh) in enumerate(zip(data, begin, strict=True)):
+        state, gain = machine.step(np.array([machine.start]) if fresh else state, np.array([byte]))
+        n += int(gain[0])
+        if i % 8 == 7:
+            assert (left[i // 8, maps[i // 8, 0]], total[i // 8, 0]) == (state[0], n)
+
+
 def test_count_tokens(docs, empty):
     rows = {(r.doc_id, r.n_bytes): r.n_tokens for r in counts.count_tokens(docs, JSON).collect()}
     assert rows[(0, 0)] == rows[(1, 0)] == 0 and rows[(3, 3)] == 1
@@ -83,13 +116,22 @@ def test_bpe_words_match_tiktoken():
     assert all(np.frombuffer(found[w], "<u4").tolist() == library._encode_single_piece(w) for w in words)
 
 
-def test_bpe_documents(docs, empty):
+def test_bpe_long_words_match_tiktoken():
     made = bpe.tables(MULTI)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made.ranks, special_tokens={})
-    joined = bpe.encode(docs.dropDuplicates(["doc_id"]), MULTI).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect()
-    assert len(joined) == len(TEXTS)
-    for r in joined:
-        assert np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.text or "") and r.decoded.decode() == (r.text or "")
+    r = random.Random(2)
+    parts = list(made.ranks)
+    words = sorted({*(t.encode() for t in long_words()), *(b"".join(r.choice(parts) for _ in range(r.randint(2, 6))) for _ in range(3000)), *(bytes(r.choice(b"thein g") for _ in range(300)) for _ in range(50))} - {b""})
+    found = dict(made.words(words))
+    assert all(np.frombuffer(found[w], "<u4").tolist() == library._encode_single_piece(w) for w in words)
+
+
+def test_bpe_documents(docs, empty):
+    """All rows: null ids, repeated rows, null, empty and long texts."""
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.tables(MULTI).ranks, special_tokens={})
+    rows = bpe.encode(docs, MULTI).collect()
+    assert Counter((r.doc_id, r.decoded.decode()) for r in rows) == Counter((r.doc_id, r.text or "") for r in docs.collect())
+    assert all(np.frombuffer(r.ids, "<u4").tolist() == library.encode_ordinary(r.decoded.decode()) for r in rows)
     assert bpe.encode(empty, MULTI).count() == 0
 
 
@@ -123,6 +165,44 @@ def test_packing_wastes_little_and_balances():
     assert packing.pack_lengths([]) == []
 
 
+def plain_packing(lengths, capacity=1024):
+    """Descending rests, each to the cheapest sequence with room, else cut to fill the roomiest."""
+    cost = packing.Cost()
+    out, rests = [], []
+    for doc, n in enumerate(lengths):
+        for start in range(0, n - n % capacity, capacity):
+            out.append((doc, start, capacity, len(out), 0))
+        if n % capacity:
+            rests.append((n % capacity, doc, n - n % capacity))
+    base = len(out)
+    open_ = [[0.0, i, capacity] for i in range(-(-sum(n for n, _, _ in rests) // capacity))]
+    for n, doc, start in sorted(rests, key=lambda r: (-r[0], r[1])):
+        while n:
+            fits = [s for s in open_ if s[2] >= n]
+            s = min(fits) if fits else min(open_, key=lambda s: (-s[2], s[0], s[1]))
+            part = min(n, s[2])
+            out.append((doc, start, part, base + s[1], capacity - s[2]))
+            s[0], s[2], start, n = s[0] + cost(part), s[2] - part, start + part, n - part
+    return out
+
+
+def test_packing_matches_a_plain_greedy():
+    r = random.Random(7)
+    for _ in range(30):
+        lengths = [r.choice([r.randint(1, 2500), r.randint(1, 40), 1024, 512]) for _ in range(r.randint(1, 80))]
+        assert packing.pack_lengths(lengths) == plain_packing(lengths)
+
+
+def test_packing_keeps_repeated_and_null_ids(docs, library):
+    """Every row is packed whole: the pieces of each id hold as many ids as all its rows have."""
+    packed, expected = Counter(), Counter()
+    for r in packing.pack(docs, JSON).collect():
+        packed[r.doc_id] += r.length
+    for r in docs.collect():
+        expected[r.doc_id] += len(library.encode(r.text or "", add_special_tokens=False).ids) + 1
+    assert packed == expected
+
+
 def brute_simhash(text, words=3):
     folded = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
     for c in "\t\n\x0b\x0c\r":
@@ -176,8 +256,16 @@ def test_near_groups_and_dedup(docs, empty):
     assert simhash.near_groups(empty).count() == 0 == simhash.near_dedup(empty).count()
 
 
+def test_near_dedup_keeps_one_row_under_repeated_ids(spark):
+    text, other = prose(5, 60), prose(6, 60)
+    rows = [(1, text, "a", 1), (2, other, "b", 2), (2, text, "c", 3), (3, other, None, 4), (3, text + " more", None, 5), (None, text, "d", 6), (7, None, "e", 7), (8, "", "e", 8), (7, None, "e", 7)]
+    kept = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, fp string, text_hash_0 long"))
+    assert kept.columns == ["doc_id", "text", "fp", "text_hash_0"]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, text, "a", 1), (2, other, "b", 2), (None, text, "d", 6), (7, None, "e", 7)], key=repr)
+
+
 def test_near_dedup_finds_every_similar_text(spark, monkeypatch):
-    """Edits that move a fingerprint by more than three bits: similarity of five-word runs decides, in crowded bands too."""
+    """Edits that move a fingerprint by more than three bits: similarity of five-word runs decides, in crowded groups too."""
     monkeypatch.setattr(similar, "REACH", 2)
     r = random.Random(5)
 
@@ -222,6 +310,55 @@ def test_fingerprints(spark, docs, empty):
     assert minhash.fingerprint_with_next(docs).count() == docs.count()
 
 
+def spark_hash(*values, seed=42):
+    """xxhash64 of Spark: XXH64 of each value in turn, the last result being the next seed."""
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, np.int32) else "<q", v)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_fingerprint(text, words=5):
+    """One hash a shingle, the least of each bin, walks for empty bins, four bits of each."""
+    each = [spark_hash(w) for w in text.lower().split()]
+    hashes = [spark_hash(*each[i : i + words]) for i in range(max(1, len(each) - words + 1))] if each else []
+    if not hashes:
+        return minhash.NO_WORDS
+    bins = {}
+    for h in hashes:
+        b = (h >> minhash.SHIFT) + minhash.BINS // 2
+        bins[b] = min(h, bins.get(b, h))
+    digits = []
+    for b, (start, stride) in enumerate(zip(*minhash._walks(), strict=True)):
+        t = 0
+        value = bins.get(b)
+        while value is None:
+            value, t = bins.get((start + t * stride) % minhash.BINS), t + 1
+        digits.append(f"{spark_hash(value, np.int32(b)) & 15:x}")
+    return "".join(digits)
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if minhash.NO_WORDS in (a, b):
+        return 0.0
+    return max(0.0, (sum(x == y for x, y in zip(a, b, strict=True)) / minhash.BINS - 1 / 16) / (1 - 1 / 16))
+
+
+def test_fingerprints_match_brute_force(docs):
+    """All rows, null ids and repeated rows too: the next document is the next in the order of ids and texts, after the last the first."""
+    rows = sorted(((-(2**63) if r.doc_id is None else r.doc_id), r.text or "", r.doc_id) for r in docs.collect())
+    expected = Counter()
+    for i, (_, text, doc) in enumerate(rows):
+        after, half = rows[(i + 1) % len(rows)][1], len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, changed, beside = plain_fingerprint(text), plain_fingerprint(edited), plain_fingerprint(after)
+        expected[doc, len(text), edited, own, changed, round(plain_likeness(own, changed), 9), round(plain_likeness(own, beside), 9)] += 1
+    got = minhash.fingerprint_with_next(docs).collect()
+    assert Counter((r.doc_id, r.n_chars, r.edited, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == expected
+
+
 def test_likeness_is_near_jaccard(spark):
     def shingles(t):
         w = t.lower().split()
@@ -245,6 +382,36 @@ def test_feistel_permutes():
     assert (shard.permute(np.arange(1000), 1000, 1) != shard.permute(np.arange(1000), 1000, 2)).any()
 
 
+def plain_place(row, n, key):
+    """The Feistel network and the walk for one row, in plain integers."""
+    mask64 = (1 << 64) - 1
+
+    def mix(x, k):
+        x = (x + k) & mask64
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask64
+        return x ^ (x >> 31)
+
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    while True:
+        left, right = row >> half, row & ((1 << half) - 1)
+        for i in range(1, shard.ROUNDS + 1):
+            left, right = right, left ^ (mix(right, mix(i * 0x9E3779B97F4A7C15 & mask64, key)) & ((1 << half) - 1))
+        row = left << half | right
+        if row < n:
+            return row
+
+
+def test_shards_match_brute_force(docs):
+    facts = sorted(((r.doc_id is not None, r.doc_id or 0, 8 + len((r.text or "").encode()), zlib.crc32((r.text or "").encode())), r.doc_id) for r in docs.collect())
+    for shards, key in ((4, 0), (24, 9)):
+        expected = Counter()
+        for row, ((_, _, size, crc), doc) in enumerate(facts):
+            place = plain_place(row, len(facts), key)
+            expected[doc, size, crc, place % shards, place // shards] += 1
+        assert Counter(map(tuple, shard.shard(docs, shards, key).collect())) == expected
+
+
 def test_shards(docs, empty):
     rows = shard.shard(docs, 4).collect()
     assert len(rows) == docs.count()
