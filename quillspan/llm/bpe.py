@@ -35,30 +35,34 @@ from quillspan.llm.batches import map_texts
 BLOCK, ROUNDS = 200_000, 8
 #: Bits of a token's id within a key of two or three.
 SHIFT = 21
-#: Words whose ids are remembered within a partition.
+#: Words whose ids a worker remembers; beyond this it starts afresh.
 REMEMBERED = 1 << 19
 
 _ROUNDS = f"""
 WITH RECURSIVE t(step, word, pos, tok) AS (
   SELECT 0 AS step, word, pos, tok FROM start
   UNION ALL
-  (WITH near AS (SELECT *, lead(tok) OVER (PARTITION BY word ORDER BY pos) AS nxt FROM t WHERE step < {ROUNDS}),
-        ranked AS (SELECT n.*, m.rank, m.lower FROM near n LEFT JOIN merges m ON m.pair = (n.tok::BIGINT << {SHIFT}) + n.nxt),
-        seen AS (SELECT *, (word::BIGINT << 32) + row_number() OVER w AS place, lag(tok) OVER w AS prv, lag(tok, 2) OVER w AS prv2, lead(nxt) OVER w AS far, lead(nxt, 2) OVER w AS far2,
-                   lag(rank) OVER w AS rank_left, lead(rank) OVER w AS rank_right FROM ranked WINDOW w AS (PARTITION BY word ORDER BY pos)),
-        pairs AS (SELECT s.word, s.place, s.rank, s.tok = s.nxt AS twin, coalesce(s.rank_left > s.rank, true) AND coalesce(l.rank > s.rank, true) AS free_left,
-                    coalesce(s.rank_right >= s.rank, true) AND coalesce(r.rank >= s.rank, true) AS free_right, be.pair IS NULL AND af.pair IS NULL AS closed
-                  FROM seen s LEFT JOIN lefts l ON l.three = (((s.prv2::BIGINT << {SHIFT}) + s.prv) << {SHIFT}) + s.tok
+  (WITH near AS (SELECT *, (word::BIGINT << 32) + row_number() OVER w AS place, lag(tok, 2) OVER w AS prv2, lag(tok) OVER w AS prv, lead(tok) OVER w AS nxt, lead(tok, 2) OVER w AS far, lead(tok, 3) OVER w AS far2
+                 FROM t WHERE step < {ROUNDS} WINDOW w AS (PARTITION BY word ORDER BY pos)),
+        pairs AS (SELECT s.word, s.place, m.rank, s.tok = s.nxt AS twin, coalesce(ml.rank = m.rank, false) OR coalesce(mr.rank = m.rank, false) AS beside,
+                    coalesce(ml.rank > m.rank, true) AND coalesce(l.rank > m.rank, true) AS free_left, coalesce(mr.rank >= m.rank, true) AND coalesce(r.rank >= m.rank, true) AS free_right,
+                    be.pair IS NULL AND af.pair IS NULL AS closed
+                  FROM near s JOIN merges m ON m.pair = (s.tok::BIGINT << {SHIFT}) + s.nxt
+                  LEFT JOIN merges ml ON ml.pair = (s.prv::BIGINT << {SHIFT}) + s.tok LEFT JOIN merges mr ON mr.pair = (s.nxt::BIGINT << {SHIFT}) + s.far
+                  LEFT JOIN lefts l ON l.three = (((s.prv2::BIGINT << {SHIFT}) + s.prv) << {SHIFT}) + s.tok
                   LEFT JOIN rights r ON r.three = (((s.nxt::BIGINT << {SHIFT}) + s.far) << {SHIFT}) + s.far2
-                  LEFT JOIN before be ON be.pair = CASE WHEN s.lower THEN (s.prv::BIGINT << {SHIFT}) + s.rank END
-                  LEFT JOIN behind af ON af.pair = CASE WHEN s.lower THEN (s.rank::BIGINT << {SHIFT}) + s.far END WHERE s.rank IS NOT NULL),
-        runs AS (SELECT *, place - row_number() OVER (PARTITION BY word, rank ORDER BY place) AS run FROM pairs),
-        whole AS (SELECT word, rank, run, min(place) AS head, arg_min(free_left, place) AND arg_max(free_right, place) AND bool_and(closed) AND (bool_and(twin) OR count(*) = 1) AS sure, bool_and(closed) AS closed FROM runs GROUP BY word, rank, run),
-        least AS (SELECT word, min(rank) AS rank, arg_min(head, (rank::BIGINT, head)) AS first FROM whole GROUP BY word),
-        together AS (SELECT word, bool_and(closed) AS together FROM whole JOIN least USING (word, rank) GROUP BY word),
-        taken AS (SELECT place, runs.rank, runs.word FROM runs JOIN whole USING (word, rank, run) JOIN least ON least.word = runs.word JOIN together ON together.word = runs.word
-                  WHERE (place - head) % 2 = 0 AND (sure OR (runs.rank = least.rank AND (together OR place = first))))
-   SELECT s.step + 1, s.word, s.pos, coalesce(a.rank, s.tok) FROM seen s SEMI JOIN taken ON taken.word = s.word LEFT JOIN taken a ON a.place = s.place ANTI JOIN taken b ON b.place + 1 = s.place))
+                  LEFT JOIN before be ON be.pair = CASE WHEN m.lower THEN (s.prv::BIGINT << {SHIFT}) + m.rank END
+                  LEFT JOIN behind af ON af.pair = CASE WHEN m.lower THEN (m.rank::BIGINT << {SHIFT}) + s.far END),
+        firsts AS (SELECT word, min((rank::BIGINT << 32) + (place & 4294967295)) AS first FROM pairs GROUP BY word),
+        least AS (SELECT word, first >> 32 AS rank, (word::BIGINT << 32) + (first & 4294967295) AS first FROM firsts),
+        undone AS (SELECT DISTINCT word, rank FROM pairs WHERE NOT closed),
+        runs AS (SELECT *, place - row_number() OVER (PARTITION BY word, rank ORDER BY place) AS run FROM pairs WHERE beside),
+        whole AS (SELECT word, rank, run, min(place) AS head, arg_min(free_left, place) AND arg_max(free_right, place) AND bool_and(closed) AND bool_and(twin) AS sure FROM runs GROUP BY word, rank, run),
+        due AS (SELECT word, place, rank, place AS head, free_left AND free_right AND closed AS sure FROM pairs WHERE NOT beside
+                UNION ALL SELECT word, place, rank, head, sure FROM runs JOIN whole USING (word, rank, run) WHERE (place - head) % 2 = 0),
+        taken AS (SELECT d.word, d.place, d.rank FROM due d JOIN least l ON l.word = d.word LEFT JOIN undone u ON u.word = d.word AND u.rank = d.rank
+                  WHERE d.sure OR (d.rank = l.rank AND (u.word IS NULL OR d.place = l.first)))
+   SELECT s.step + 1, s.word, s.pos, coalesce(a.rank, s.tok) FROM near s SEMI JOIN taken ON taken.word = s.word LEFT JOIN taken a ON a.place = s.place ANTI JOIN taken b ON b.place + 1 = s.place))
 """
 
 _LAST = "SELECT word, pos, tok, step FROM t JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) USING (word, step)"
@@ -112,6 +116,7 @@ class Tables:
 
     def __init__(self, path: str) -> None:
         self.ranks = read_ranks(path)
+        self.known: dict[bytes, bytes] = {}
         merges = [(t[:i], t[i:], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         ends = np.array([(self.ranks[a], self.ranks[b]) for a, b, _ in merges], np.int64)
         rank = np.array([r for _, _, r in merges], np.int64)
@@ -192,21 +197,23 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
     Null and empty texts have no ids. Every match of the tokenizers' pattern is encoded by itself, without
     special tokens. Null ids and repeated rows keep their rows; an empty table gives an empty result; other
-    columns take no part. A task holds a few megabytes of text and the words of its partition, at most
-    ``REMEMBERED`` of them.
+    columns take no part. A worker holds a few megabytes of text and at most ``REMEMBERED`` words with their
+    ids. A word is never split, so the longest unbroken word must fit: a few hundred bytes for each of its own.
     """
+
     def start():
-        known: dict[bytes, bytes] = {}
+        made = tables(ranks_path)
 
         def make(group: list[bytes]) -> list[pa.Array]:
             words, count = pretokens.split(group)
+            known = made.known
             if len(known) > REMEMBERED:
                 known.clear()
-            known.update(tables(ranks_path).words(list(set(words).difference(known))))
+            known.update(made.words(list(set(words).difference(known))))
             pieces = list(map(known.__getitem__, words))
             end = np.cumsum(count).tolist()
             ids = [b"".join(pieces[a:b]) for a, b in zip([0, *end[:-1]], end, strict=True)]
-            return [pa.array(ids, pa.binary()), pa.array(tables(ranks_path).decode(ids), pa.binary())]
+            return [pa.array(ids, pa.binary()), pa.array(made.decode(ids), pa.binary())]
 
         return make
 
