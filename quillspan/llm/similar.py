@@ -8,7 +8,8 @@ would give the same result; this one makes it cheap.
 
 Texts that share a run are compared in the order of their sizes, first with the next one, then with farther
 ones as long as the run still brings together texts of different groups; so a group of copies costs a few
-comparisons a text, and no pair is left out.
+comparisons a text, and no pair is left out. Before the runs of two texts are fetched, sketches of 64 bytes
+(the least run of each of 64 ranges) must allow the similarity: a pair at 0.8 fails that less than once in a million.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Each further comparison reaches so many times as far.
 REACH = 4
+#: Ranges of a sketch, bits of the map of ids whose runs are fetched.
+RANGES, MAP_BITS = 64, 23
 #: Counts of runs are kept for so many bits of their hashes: two megabytes, whatever the input.
 COUNT_BITS = 18
 
@@ -71,8 +74,23 @@ def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return words[order[: n - -(-NUM * n // DEN) + 1]] if n else words
 
 
+def sketch(words: np.ndarray) -> bytes:
+    """A byte of the least run of each range of hashes; 0 for a range without any."""
+    out = np.zeros(RANGES, np.uint8)
+    place = (words >> np.uint64(58)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out[place[first]] = 1 + (words[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255)
+    return out.tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For sketches [pair, range]: can the similarity be 0.8, six standard deviations allowed?"""
+    filled = ((a > 0) | (b > 0)).sum(axis=1)
+    return ((a == b) & (a > 0)).sum(axis=1) >= 0.8 * filled - 6 * np.sqrt(0.16 * filled)
+
+
 def mark(docs: DataFrame, carry: list[str], text_col: str, words: int) -> DataFrame:
-    """(*carry, fp, d, n, keys): SimHash fingerprint, digest and number of the distinct runs, and their prefix."""
+    """(*carry, fp, d, n, sketch, keys): SimHash fingerprint, digest, number, sketch and prefix of the distinct runs (32 bits of each)."""
     counts = docs.sparkSession.sparkContext.broadcast(run_counts(docs, text_col))
 
     def make(group: list[bytes]) -> list[pa.Array]:
@@ -80,9 +98,10 @@ def mark(docs: DataFrame, carry: list[str], text_col: str, words: int) -> DataFr
         keys = [prefix(s, counts.value) for s in sets]
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         fps = np.array([simhash(t, words) for t in group], np.uint64).view(np.int64)
-        return [pa.array(fps), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))]
+        short = (np.concatenate(keys) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+        return [pa.array(fps), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(short))]
 
-    return map_texts(docs, text_col, carry, "fp long, d long, n int, keys array<long>", lambda: make)
+    return map_texts(docs, text_col, carry, "fp long, d long, n int, sketch binary, keys array<int>", lambda: make)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,6 +115,30 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_texts(docs, text_col, [id_col], "d long, words array<long>", lambda: make).dropDuplicates(["d"]).select("d", "words")
 
 
+def _mapped(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Documents whose id may be among ``ids``: a map of 2^23 bits, which passes more than it need where it fills up, is all that goes around."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
+    words = ids.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = np.zeros(1 << MAP_BITS - 6, np.int64)
+    for r in words.collect():
+        table[r["word"]] = r["bits"]
+    mine = F.pmod(F.xxhash64(id_col), F.lit(1 << MAP_BITS))
+    byte = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), F.floor(mine / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return docs.filter(F.getbit(byte, (mine % 8).cast("int")) == 1)
+
+
+def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (d1, a, d2, b) whose sketches allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, RANGES) for k in (4, 5))
+            yield batch.filter(pa.array(may_be_similar(one, two))).select(["d1", "a", "d2", "b"])
+
+    both = pairs.join(texts.select(F.col("d").alias("d1"), F.col("sketch").alias("s1")), "d1").join(texts.select(F.col("d").alias("d2"), F.col("sketch").alias("s2")), "d2")
+    return both.select("d1", "a", "d2", "b", "s1", "s2").mapInArrow(run, "d1 long, a long, d2 long, b long")
+
+
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows with the root of their fingerprint as ``label``, of those keys alone that bring together different labels."""
     whole = Window.partitionBy("key")
@@ -106,13 +149,14 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, root) over fingerprints: the components of the links ``known`` (a, b) and of all texts similar by 0.8 or more."""
     full = marked.filter("n > 0")
-    texts = written(full.groupBy("d").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("least_id"), F.first("keys").alias("keys")))
+    texts = written(full.groupBy("d").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("id"), F.first("sketch").alias("sketch")))
     same = full.select(F.col("fp").alias("b"), "d").distinct().join(texts.select("d", F.col("fp").alias("a")), "d").filter("a <> b").select("a", "b")
     edges = written(known.union(same).distinct())
     roots = written(components(edges))
-    shared = written(_labelled(texts.select(F.explode("keys").alias("key"), "d", "n", "fp"), roots).drop("label"))
-    asked = texts.join(shared.select("d").distinct(), "d", "left_semi").select(F.col("least_id").alias("asked_id")).distinct()
-    sets = written(_sets(docs.join(asked, docs[id_col] == asked["asked_id"], "left_semi"), id_col, text_col))
+    key = Window.partitionBy("key")
+    each = full.groupBy("d").agg(F.first("keys").alias("keys")).select("d", F.explode("keys").alias("key"))
+    met = each.withColumns({"lo": F.min("d").over(key), "hi": F.max("d").over(key)}).filter("lo <> hi").select("key", "d")
+    shared = written(_labelled(met.join(texts.select("d", "n", "fp"), "d"), roots).drop("label"))
     by_size, low, high = Window.partitionBy("key").orderBy("n", "d"), 1, 1
     while True:
         beside = F.collect_list(F.struct("d", "n", "fp", "label")).over(by_size.rowsBetween(low, high))
@@ -121,7 +165,10 @@ def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col:
         ahead = seen.select("d", "fp", F.transform(others, lambda o: F.struct(o["d"].alias("d"), o["fp"].alias("fp"))).alias("others"), F.coalesce(DEN * F.col("n") >= NUM * F.col("beyond"), F.lit(False)).alias("farther"))
         ahead = written(ahead.filter(F.col("farther") | (F.size("others") > 0)))
         pairs = ahead.select(F.col("d").alias("d1"), F.col("fp").alias("a"), F.explode("others").alias("o")).select("d1", "a", F.col("o.d").alias("d2"), F.col("o.fp").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("d").alias("d1"), F.col("words").alias("w1")), "d1").join(sets.select(F.col("d").alias("d2"), F.col("words").alias("w2")), "d2")
+        possible = written(_possible(pairs, texts))
+        asked = written(possible.select(F.col("d1").alias("d")).union(possible.select("d2")).distinct().join(texts.select("d", "id"), "d"))
+        sets = written(_sets(_mapped(docs, id_col, asked), id_col, text_col).join(asked.select("d"), "d", "left_semi"))
+        both = possible.join(sets.select(F.col("d").alias("d1"), F.col("words").alias("w1")), "d1").join(sets.select(F.col("d").alias("d2"), F.col("words").alias("w2")), "d2")
         alike = (NUM + DEN) * F.size(F.array_intersect("w1", "w2")) >= NUM * (F.size("w1") + F.size("w2"))
         more = written(both.filter(alike).select("a", "b").distinct())
         if not more.isEmpty():
