@@ -29,3 +29,26 @@ def body_text(body: Column) -> Column:
 def first_solid(text: Column) -> Column:
     """The first character that is no JSON white space."""
     return F.substring(F.regexp_replace(text, r"^[ \t\n\r]+", ""), 1, 1)
+
+
+_TOKEN = r"[A-Za-z0-9!#$%&'*+\-.^_`|~]+"
+
+
+def parse_header(line: Column) -> Column:
+    """(name, value) of ``Key: Value``; null without a colon, with a name that is no token, or with a line end or NUL in the value."""
+    name, value = F.trim(F.substring_index(line, ":", 1)), F.regexp_replace(F.regexp_replace(line, r"(?s)\A[^:]*:", ""), r"(?s)\A\s+|\s+\z", "")
+    fine = line.contains(":") & name.rlike(rf"\A{_TOKEN}\z") & ~value.rlike(r"[\r\n\x00]")
+    return F.when(fine, F.struct(name.alias("name"), value.alias("value")))
+
+
+def cookie_header(headers: Column) -> Column:
+    """(cookie, rest): the values of all headers that are ``Cookie`` but for case, in the order of their names, and the other headers."""
+    names = F.array_sort(F.filter(F.map_keys(headers), lambda k: F.lower(k) == "cookie"))
+    return F.struct(F.array_join(F.transform(names, lambda k: F.element_at(headers, k)), "; ").alias("cookie"), F.map_filter(headers, lambda k, _: F.lower(k) != "cookie").alias("rest"))
+
+
+def cookies(value: Column) -> Column:
+    """(name, value) of each cookie of a header; pieces without an equals sign or a name are left out."""
+    pieces = F.filter(F.transform(F.split(value, ";"), lambda p: F.trim(p)), lambda p: F.trim(F.substring_index(p, "=", 1)) != "")
+    pair = lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("name"), F.trim(F.regexp_replace(p, r"(?s)\A[^=]*=", "")).alias("value"))
+    return F.transform(F.filter(pieces, lambda p: p.contains("=")), pair)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import ipaddress
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,7 +14,8 @@ _HOST = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:\[\]]*)(?::([0-9]*))?\z"
 
 
 def _part(url: Column, group: int) -> Column:
-    return F.regexp_extract(url, _URL, group)
+    """One of the five parts. All come from one array, which Spark computes once for all accessors of a projection."""
+    return F.element_at(F.split(F.regexp_replace(url, _URL, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001", -1), group)
 
 
 def scheme(url: Column) -> Column:
@@ -99,3 +104,41 @@ def query_params(url: Column, max_values: int = 256, max_keys: int = 512) -> Col
     names = F.slice(F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"]))), 1, max_keys)
     values = F.transform(names, lambda n: F.slice(F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["value"]), 1, max_values))
     return F.when(scheme(url) != "", F.map_from_arrays(names, values))
+
+
+# Networks that are nobody's in public, as first and last address of four bytes, and what stands for an address with credentials.
+PRIVATE_NETWORKS = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
+    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+    "::1/128", "fe80::/10", "fc00::/7", "2002::/16", "64:ff9b::/96",
+)
+REDACTED = "[redacted]"
+
+
+def is_private_ip(address: Column) -> Column:
+    """Is a literal address unspecified, empty or of a private network? Null for what is no address."""
+    octet = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    value = F.aggregate(F.split(address, r"\."), F.lit(0).cast("long"), lambda total, o: total * 256 + o.cast("long"))
+    v4 = [n for n in map(ipaddress.ip_network, PRIVATE_NETWORKS) if n.version == 4]
+    inside = functools.reduce(lambda a, b: a | b, [value.between(int(n.network_address), int(n.broadcast_address)) for n in v4])
+
+    @F.pandas_udf("boolean")
+    def of_six(addresses: pd.Series) -> pd.Series:
+        return addresses.map(_is_private_six)
+
+    return F.when(F.coalesce(address, F.lit("")) == "", True).when(address.rlike(rf"\A{octet}(?:\.{octet}){{3}}\z"), inside).when(address.contains(":"), of_six(address))
+
+
+def _is_private_six(address: str | None) -> bool | None:
+    try:
+        ip = ipaddress.ip_address(address)
+    except ValueError:
+        return None
+    ip = getattr(ip, "ipv4_mapped", None) or ip
+    return int(ip) == 0 or any(ip in n for n in map(ipaddress.ip_network, PRIVATE_NETWORKS) if n.version == ip.version)
+
+
+def redact(url: Column) -> Column:
+    """A URL without user information; a placeholder if an ``@`` is left anywhere."""
+    bare = F.when(is_valid(url), F.regexp_replace(url, r"\A([A-Za-z][A-Za-z0-9+.\-]*://)[^/?#]*@", "$1")).otherwise(url)
+    return F.when(bare.contains("@"), REDACTED).otherwise(bare)

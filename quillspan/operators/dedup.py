@@ -41,12 +41,17 @@ def response_order() -> Column:
 
 
 def union_values(rows: DataFrame, key: str, most: int = MAX_VALUES_PER_KEY) -> DataFrame:
-    """(key, query_params): per parameter the distinct values of all rows in the order in which they were first seen, at most ``most``."""
-    values = rows.select(key, "seq", F.explode("query_params").alias("name", "values")).select(key, "seq", "name", F.posexplode("values").alias("pos", "value"))
-    first = values.groupBy(key, "name", "value").agg(F.min(F.struct("seq", "pos")).alias("at"))
-    kept = first.withColumn("n", F.row_number().over(Window.partitionBy(key, "name").orderBy("at"))).filter(F.col("n") <= most)
-    listed = kept.groupBy(key, "name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda v: v["value"]).alias("values"))
-    return listed.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "values")))).alias("query_params"))
+    """(key, query_params, multi_value_query_keys): per parameter the distinct values of all rows in the order in which they were first seen, at most ``most``, and which parameters have several values in any row."""
+    given = rows.filter(F.size("query_params") > 0).select(key, "seq", F.explode("query_params").alias("name", "values"))
+    values = given.select(key, "seq", "name", (F.size("values") > 1).alias("several"), F.posexplode("values").alias("pos", "value"))
+    first = values.groupBy(key, "name", "value").agg(F.min(F.struct("seq", "pos")).alias("at"), F.bool_or("several").alias("several"))
+    ranked = first.withColumn("n", F.row_number().over(Window.partitionBy(key, "name").orderBy("at")))
+    shown = F.when(F.col("n") <= most, F.struct("n", "value"))
+    listed = ranked.groupBy(key, "name").agg(F.transform(F.array_sort(F.collect_list(shown)), lambda v: v["value"]).alias("values"), F.bool_or("several").alias("several"))
+    all_names = F.array_sort(F.collect_list(F.struct("name", "values", "several"))).alias("all")
+    whole = listed.groupBy(key).agg(all_names)
+    flags = F.map_from_entries(F.transform(F.filter("all", lambda x: x["several"]), lambda x: F.struct(x["name"], x["several"])))
+    return whole.select(key, F.map_from_entries(F.transform("all", lambda x: F.struct(x["name"], x["values"]))).alias("query_params"), flags.alias("multi_value_query_keys"))
 
 
 def deduplicate(classified: DataFrame) -> DataFrame:
@@ -54,7 +59,8 @@ def deduplicate(classified: DataFrame) -> DataFrame:
 
     The first row gives address, headers and body; the most confident verdict (then the greater type and
     reason) and the best response win by themselves; query values and names with several values are united.
-    A key's repetitions are combined before the shuffle, so a hot key costs one row a task.
+    A key's repetitions are combined before the shuffle, so a hot key costs one row a task. Rows with a query are
+    read a second time, without what they carry.
     """
     keyed = classified.withColumn("dedup_key", dedup_key())
     verdict = F.struct("confidence", "api_type", "reason", "is_api")
@@ -65,7 +71,12 @@ def deduplicate(classified: DataFrame) -> DataFrame:
         F.max(verdict).alias("verdict"),
         F.min_by("response", response_order()).alias("response"),
     )
-    several = keyed.select("dedup_key", F.explode("multi_value_query_keys").alias("name", "flag")).groupBy("dedup_key").agg(F.array_sort(F.collect_set("name")).alias("names"))
-    joined = merged.join(union_values(keyed, "dedup_key"), "dedup_key", "left").join(several, "dedup_key", "left")
-    flags = F.transform_values(F.map_from_arrays(F.coalesce("names", F.array().cast("array<string>")), F.coalesce("names", F.array().cast("array<string>"))), lambda k, v: F.lit(True))
+    joined = merged.join(union_values(keyed, "dedup_key"), "dedup_key", "left")
+    flags = F.coalesce("multi_value_query_keys", F.create_map().cast("map<string,boolean>"))
     return joined.select(F.col("first_seq").alias("seq"), "first.*", "query_params", "response", "verdict.*", flags.alias("multi_value_query_keys"), "dedup_key", "repeats")
+
+
+def distinct_scripts(exchanges: DataFrame) -> DataFrame:
+    """Script addresses, each path and query of an origin once, in the order in which they were first seen."""
+    address = F.struct(U.canonical_origin(F.col("url")).alias("origin"), U.raw_path(F.col("url")).alias("path"), U.raw_query(F.col("url")).alias("query"))
+    return exchanges.groupBy(address.alias("address")).agg(F.min_by("url", "seq").alias("url"), F.min("seq").alias("seq")).select("seq", "url")

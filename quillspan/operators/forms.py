@@ -7,15 +7,27 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
+from quillspan.functions.rows import settle
 from quillspan.operators.links import resolve
 
-# Bounds on what a page may declare, and names whose values are never kept.
+# Bounds on what a page may declare, and parts of names whose values are never kept ("_token" only as a whole name).
 MAX_FORMS, MAX_FIELDS, MAX_TEXT, MAX_PAGE = 1000, 500, 4096, 8 << 20
-SENSITIVE = r"(?i)csrf|xsrf|password|passwd|secret|token|api[_-]?key|session|credit|card|cvv|ssn|auth|nonce|signature|otp"
+SENSITIVE = (
+    "csrf", "xsrf", "authenticity_token",
+    "session", "access_token", "refresh_token",
+    "bearer", "jwt", "oauth",
+    "apikey", "api_key", "api-key",
+    "samlrequest", "samlresponse", "relaystate",
+)
+
+
+def is_sensitive(name: Column) -> Column:
+    """Does a field's name say that its value is a secret?"""
+    return (F.lower(name) == "_token") | F.lower(name).rlike("|".join(SENSITIVE))
 
 
 class _Forms(HTMLParser):
@@ -76,12 +88,12 @@ def extract_forms(exchanges: DataFrame) -> DataFrame:
 
     found = pages.mapInArrow(run, "seq long, url string, ord long, form string")
     form = F.from_json("form", "action string, method string, enctype string, fields array<struct<name:string,value:string>>")
-    rows = found.withColumn("form", form).withColumn("target", resolve(F.col("url"), F.col("form.action")))
+    rows = settle(found.withColumn("form", form), target=resolve(F.col("url"), F.col("form.action")))
     rows = rows.filter(U.same_origin(F.col("url"), F.col("target")) & U.is_admissible(F.col("target")))
     method = F.when(F.col("form.method").isin("GET", "POST", "PUT", "PATCH", "DELETE"), F.col("form.method")).otherwise("GET")
-    pair = lambda f: F.concat(F.url_encode(f["name"]), F.lit("="), F.url_encode(F.when(f["name"].rlike(SENSITIVE), "").otherwise(f["value"])))
+    pair = lambda f: F.concat(F.url_encode(f["name"]), F.lit("="), F.url_encode(F.when(is_sensitive(f["name"]), "").otherwise(f["value"])))
     rows = rows.withColumns({"method": method, "sent": F.array_join(F.array_sort(F.transform("form.fields", pair)), "&")})
-    base = F.regexp_replace("target", r"\?.*\z", "")
-    url = F.when((F.col("method") == "GET") & (F.col("sent") != ""), F.concat(base, F.lit("?"), F.col("sent"))).otherwise(F.col("target"))
+    whole = F.concat("target", F.when(F.col("target").contains("?"), F.when(F.col("target").endswith("?"), "").otherwise("&")).otherwise("?"), "sent")
+    url = F.when((F.col("method") == "GET") & (F.col("sent") != ""), whole).otherwise(F.col("target"))
     body = F.when(F.col("method") != "GET", F.col("sent"))
     return rows.select("seq", "ord", "method", url.alias("url"), body.alias("body"), F.lit("static:html").alias("source"), F.col("url").alias("page_url"))

@@ -6,14 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
+from quillspan.functions.rows import settle
 
-# Extensions that are no pages.
-NOT_PAGES = "js css png jpg jpeg gif svg ico webp woff woff2 ttf eot otf mp3 mp4 webm avi mov pdf zip gz tar rar 7z exe dmg json xml rss map".split()
+# Extensions that are no pages, segments of transports, and elements and attributes that name links.
+NOT_PAGES = (
+    ".js", ".mjs", ".cjs", ".css", ".map",
+    ".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".bmp", ".avif",
+    ".woff", ".woff2", ".ttf", ".otf", ".eot",
+    ".mp3", ".mp4", ".webm", ".ogg", ".wav", ".avi", ".mov",
+    ".pdf", ".zip", ".tar", ".gz", ".rar", ".7z",
+)
+TRANSPORTS = ("socket.io", "engine.io")
 
 
 def is_likely_page(url: Column) -> Column:
-    last = F.lower(F.element_at(F.split(U.raw_path(url), "/"), -1))
-    return ~last.rlike(r"\.(" + "|".join(NOT_PAGES) + r")\z") & ~F.arrays_overlap(F.split(F.lower(U.raw_path(url)), "/"), F.array(F.lit("socket.io"), F.lit("engine.io")))
+    """Neither a file of an extension that is no page, nor a transport's address; a malformed URL may be a page."""
+    path = F.lower(F.coalesce(U.path(url), F.lit("")))
+    return ~path.rlike("(" + "|".join(e.replace(".", r"\.") for e in NOT_PAGES) + r")\z") & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, TRANSPORTS)))
 
 
 def resolve(base: Column, ref: Column) -> Column:
@@ -38,8 +47,8 @@ def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     unescaped = lambda h: F.replace(h, F.lit("&amp;"), F.lit("&"))
     hrefs = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1)), unescaped)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("base"), F.posexplode(hrefs).alias("pos", "href"))
-    links = rows.withColumn("link", resolve(F.col("base"), F.col("href"))).filter(F.col("link").isNotNull()).filter(is_likely_page(F.col("link")))
-    return links.groupBy("page_id", "base", "link").agg(F.min("pos").alias("pos"))
+    links = settle(rows, link=resolve(F.col("base"), F.col("href"))).filter(F.col("link").isNotNull())
+    return settle(links, likely=is_likely_page(F.col("link"))).filter("likely").groupBy("page_id", "base", "link").agg(F.min("pos").alias("pos"))
 
 
 def crawl_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:

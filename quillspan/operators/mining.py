@@ -2,34 +2,140 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
 
-# What marks a path as an API's, and the bound on service prefixes.
-INDICATOR = r"(?:api|rest|rpc|graphql|v[1-9][0-9]*)"
-MAX_PREFIXES = 8
-
-
-def quoted_paths(script: Column) -> Column:
-    """Distinct quoted or back-ticked literals with an API segment, in the order in which they stand."""
-    found = F.regexp_extract_all(script, F.lit(r"""["'`]((?:https?://[^"'`\s]+)?/?(?:[A-Za-z0-9_.\-]+/)*""" + INDICATOR + r"""/[A-Za-z0-9_./{}$\-]*)["'`]"""), F.lit(1))
-    return F.array_distinct(found)
+# What marks a path as an API's, what a path is written with, static files, what stands for an operand that is no literal, and bounds.
+INDICATOR = r"(?:api/|v[1-9][0-9]*/|rest/|rpc/|graphql)"
+_API_PATH = r"(/?(?:[a-zA-Z0-9_-]+/)*" + INDICATOR + r"[a-zA-Z0-9/_{}.:-]*)"
+_FULL_URL = r"(https?://[a-zA-Z0-9._-]+(?::[0-9]+)?/(?:[a-zA-Z0-9_-]+/)*" + INDICATOR + r"[a-zA-Z0-9/_{}.:-]*)"
+STATIC_FILES = (".js", ".css", ".map", ".html", ".htm", ".png", ".jpg", ".svg")
+SENTINEL = "0"
+MAX_PREFIXES, MAX_CONCATS, MAX_OPERANDS, MAX_CHAIN, MAX_ARGUMENTS = 8, 256, 16, 1024, 500
+
+#: JavaScript's strings, templates and balanced brackets, as groups that the patterns below call by name.
+_JS = r"""(?(DEFINE)(?<string>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')(?<template>`(?:\\.|\$\{(?&inner)*\}|[^`\\])*+`)(?<inner>\\.|\{(?&inner)*\}|(?&template)|[^{}`\\])
+(?<bracket>\((?&piece)*\)|\[(?&piece)*\]|\{(?&piece)*\})(?<piece>(?&string)|(?&template)|(?&bracket)|[^()\[\]{}"'`]))""".replace("\n(", "(")
+_TEMPLATE = regex.compile(_JS + r"(?:(?<whole>(?&template))|`)", regex.S)
+_HOLE = regex.compile(_JS + r"\$\{(?&inner)*\}", regex.S)
+_ARGUMENTS = regex.compile(_JS + r"(?:(?&string)|(?&template)|(?&bracket)|[^()\[\]{}\"'`])*(?=\))", regex.S)
+_ARGUMENT = regex.compile(_JS + r"(?:(?&string)|(?&template)|(?&bracket)|[^()\[\]{}\"'`,])+", regex.S)
+_OPERAND = regex.compile(_JS + r"\s*+(?:(?<literal>(?&string)|(?&template))|(?:(?&string)|(?&template)|(?&bracket)|[^()\[\]{}\"'`+;,\n\r])+)\s*+(?<more>\+?)", regex.S)
+_CONCAT = regex.compile(r"""["'](/?[a-zA-Z0-9/_{}.:?=&%~-]+)["']\.concat\(""")
+_CHAIN = regex.compile(r"""["']""" + _API_PATH + r"""["']\s*\+""")
+_PREFIX_CHAIN = regex.compile(r"""["']([a-zA-Z][a-zA-Z0-9_-]{0,30}/)["']\s*\+""")
+_MARKED = regex.compile(INDICATOR, regex.I)
+_IN_PATH = regex.compile(r"(?:[A-Za-z0-9/_.:{}~@!$'()*+,;\[\]|-]|%(?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]))*+\Z")
+_IN_QUERY = regex.compile(r"(?:[A-Za-z0-9/_.:{}~@!$'()*+,;\[\]|?=&#-]|%(?:[2-6][0-9A-Fa-f]|7[0-9A-Ea-e]))*+\Z")
+
+
+def template_paths(script: str) -> list[str]:
+    """Template literals that name an API path, each hole written as ``{param}``; what stands before the path is left out. Nothing is read behind a literal without an end."""
+    out = []
+    for m in _TEMPLATE.finditer(script):
+        if m["whole"] is None:
+            break
+        text = _HOLE.sub("{param}", m["whole"][1:-1]).strip()
+        if not text.startswith("/") and not regex.match("(?i)https?://", text) and text.find("/") > 0:
+            text = text[text.index("/") :]
+        if _MARKED.search(text) and not regex.search(r"[ \t\r\n]", text):
+            out.append(text)
+    return out
+
+
+def _literal(operand: str) -> str:
+    """A literal's text; the sentinel for anything else."""
+    text = operand.strip()
+    whole = text[:1] in "\"'`" and text[-1:] == text[:1] and len(text) > 1 and not (text[0] == "`" and "${" in text)
+    return text[1:-1] if whole and text[0] not in text[1:-1].replace("\\" + text[0], "") else SENTINEL
+
+
+def _chain(script: str, at: int) -> str:
+    """The operands of a chain of plus signs from ``at`` on."""
+    out, end = [], min(len(script), at + MAX_CHAIN)
+    for _ in range(MAX_OPERANDS):
+        m = _OPERAND.match(script, at, end)
+        if m is None or not m[0].strip(" \t\n\r+"):
+            break
+        out.append(_literal(m["literal"] or "x"))
+        if not m["more"]:
+            break
+        at = m.end()
+    return "".join(out)
+
+
+def clean_path(path: str) -> str:
+    """A path put together: single slashes, none at its end; empty without an API's mark or with characters that no URL has."""
+    head, sign, tail = (*regex.split("([?#])", path, maxsplit=1), "", "")[:3]
+    scheme, colon, rest = head.partition("://")
+    head = scheme + colon + regex.sub("/+", "/", rest) if colon else regex.sub("/+", "/", head)
+    head, tail = head.rstrip("/"), sign + tail
+    return head + tail if _MARKED.search(head + tail) and _IN_PATH.match(head) and _IN_QUERY.match(tail) else ""
+
+
+def concat_paths(script: str) -> list[str]:
+    """Paths put together by ``.concat()``, by plus signs behind an API path, and by plus signs behind a service's prefix."""
+    calls = []
+    for m in _CONCAT.finditer(script):
+        args = _ARGUMENTS.match(script, m.end(), min(len(script), m.end() + MAX_ARGUMENTS))
+        if args:
+            calls.append(m[1] + "".join(_literal(a[0]) for a in _ARGUMENT.finditer(args[0]) if a[0].strip()))
+    chains = [m[1] + _chain(script, m.end()) for m in _CHAIN.finditer(script)]
+    prefixed = [m[1] + _chain(script, m.end()) for m in _PREFIX_CHAIN.finditer(script)]
+    unique = lambda found: [p for p in dict.fromkeys(map(clean_path, found)) if p][:MAX_CONCATS]
+    return unique([*calls, *chains]) + unique(prefixed)
+
+
+def _scanned(find):
+    """A function from a script to paths, as a column over Arrow batches; null has none."""
+
+    @F.pandas_udf("array<string>")
+    def scan(scripts: pd.Series) -> pd.Series:
+        return scripts.map(lambda s: find(s or ""))
+
+    return scan
+
+
+def service_prefixes(script: Column, most: int = MAX_PREFIXES) -> Column:
+    """Prefixes (``identity/``) of services: those joined to an API path by a plus sign, then short literals by falling frequency and name, up to ``most`` in all."""
+    joined = F.array_distinct(F.regexp_extract_all(script, F.lit(r"""["']([a-zA-Z][a-zA-Z0-9_-]{1,30}/)["']\s*\+\s*["']""" + INDICATOR), F.lit(1)))
+    alone = F.filter(F.regexp_extract_all(script, F.lit(r"""["']([a-z][a-z0-9_-]{1,30}/)["']"""), F.lit(1)), lambda p: ~p.rlike("(?i)" + INDICATOR))
+    new = F.array_except(alone, joined)
+    ranked = F.array_sort(F.transform(new, lambda p: F.struct((-F.size(F.filter(alone, lambda q: q == p))).alias("n"), p.alias("prefix"))))
+    room = F.greatest(F.lit(0), F.lit(most) - F.size(joined))
+    return F.concat(joined, F.transform(F.slice(ranked, F.lit(1), room), lambda r: r["prefix"]))
+
+
+def is_static_file(path: Column) -> Column:
+    return F.lower(path).rlike("(" + "|".join(e.replace(".", r"\.") for e in STATIC_FILES) + r")\z")
 
 
 def mine_paths(scripts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, pos, path) of the API paths in scripts, static files left out."""
-    rows = scripts.select(id_col, F.posexplode(quoted_paths(F.col(text_col))).alias("pos", "path"))
-    return rows.filter(~F.lower("path").rlike(r"\.(js|css|png|jpg|gif|svg|map|html)\z"))
-
-
-def service_prefixes(scripts: DataFrame, id_col: str, text_col: str, most: int = MAX_PREFIXES) -> DataFrame:
-    """(id, prefix, n): the most frequent first segments of quoted relative paths, by falling frequency, then name."""
-    names = F.regexp_extract_all(F.col(text_col), F.lit(r"""["'`]/?([a-z][a-z0-9\-]*)/["'`]"""), F.lit(1))
-    counted = scripts.select(id_col, F.explode(names).alias("prefix")).groupBy(id_col, "prefix").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("n"), "prefix"))
-    return counted.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
+    """(id, pos, path): distinct API paths that scripts name, in the order in which the strategies find them.
+
+    Quoted paths, template literals (with and without holes), full URLs, paths put together. A path without a service's
+    prefix is tried under every prefix that its script names. Static files are left out; null scripts have none.
+    """
+    text = F.col(text_col)
+    take = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    found = [take(f"[\"']{_API_PATH}[\"']"), _scanned(template_paths)(text), take(f"`{_API_PATH}`"), take(f"[\"'`]{_FULL_URL}[\"'`]"), _scanned(concat_paths)(text)]
+    rows = scripts.select(id_col, service_prefixes(text).alias("prefixes"), F.concat(*found).alias("found")).select(id_col, "prefixes", F.posexplode("found").alias("at", "raw"))
+    rows = rows.filter(~is_static_file(F.col("raw"))).withColumns({"absolute": U.is_absolute_http(F.col("raw")), "bare": F.regexp_replace("raw", "^/", "")})
+    own = F.exists("prefixes", lambda p: F.col("bare").startswith(p)) | (~F.col("bare").rlike("(?i)^" + INDICATOR) & F.col("bare").rlike("(?i)" + INDICATOR)) | (F.size("prefixes") == 0)
+    whole = F.when(F.col("absolute"), F.when(U.is_admissible(F.col("raw")), F.array(F.rtrim(F.col("raw"), F.lit("/")))).otherwise(F.array().cast("array<string>")))
+    tried = whole.when(own, F.array(F.concat(F.lit("/"), F.col("bare")))).otherwise(F.transform("prefixes", lambda p: F.concat(F.lit("/"), p, F.col("bare"))))
+    spread = rows.select(id_col, "at", F.posexplode(tried).alias("nth", "path")).withColumn("path", F.when(U.is_absolute_http(F.col("path")), F.col("path")).otherwise(F.rtrim(F.col("path"), F.lit("/")))).filter("path <> ''")
+    first = spread.groupBy(id_col, "path").agg(F.min(F.struct("at", "nth")).alias("place"))
+    return first.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("place")) - 1).alias("pos"), "path")
+
+
+def prefix_counts(scripts: DataFrame, text_col: str) -> DataFrame:
+    """(prefix, scripts): in how many scripts each service prefix is named."""
+    return scripts.select(F.explode(service_prefixes(F.col(text_col))).alias("prefix")).groupBy("prefix").agg(F.count("*").alias("scripts"))
 
 
 def allowed_methods(allow: Column) -> Column:

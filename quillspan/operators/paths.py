@@ -57,6 +57,17 @@ def named_template(parts: Column, kinds: Column) -> Column:
     return F.array_join(F.zip_with(parts, shown, lambda p, n: F.coalesce(F.concat(F.lit("{"), n, F.lit("}")), p)), "/")
 
 
+def path_template(path: Column) -> Column:
+    """The template of a path by itself."""
+    parts = segments(path)
+    return named_template(parts, F.transform(parts, segment_kind))
+
+
+def plain_template(path: Column) -> Column:
+    """The template of a path by itself, with every parameter as ``{id}``."""
+    return F.array_join(F.transform(segments(path), lambda s: F.when(segment_kind(s) == LITERAL, s).otherwise("{id}")), "/")
+
+
 def classify_paths(paths: DataFrame) -> DataFrame:
     """(path, parts, kinds) of the distinct paths."""
     return paths.select("path").distinct().withColumn("parts", segments(F.col("path"))).withColumn("kinds", F.transform("parts", segment_kind))

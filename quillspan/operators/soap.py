@@ -9,13 +9,28 @@ from quillspan.functions import headers as H
 
 
 def uri_tail(uri: Column) -> Column:
-    """What an action's URI names: after ``#``, after the last slash, or after ``urn:``."""
-    return F.when(uri.contains("#"), F.substring_index(uri, "#", -1)).when(uri.startswith("urn:"), F.regexp_replace(uri, "^urn:", "")).when(uri.contains("/"), F.substring_index(uri, "/", -1)).otherwise(uri)
+    """What an action's URI names: all behind ``urn:``, else what follows the last ``#``, else the last slash; the whole URI where nothing follows."""
+    behind = lambda sign: F.nullif(F.substring_index(uri, sign, -1), F.lit(""))
+    return F.when(uri.startswith("urn:"), F.substring(uri, F.lit(5), F.length(uri))).otherwise(F.coalesce(F.when(uri.contains("#"), behind("#")), F.when(uri.contains("/"), behind("/")), uri))
+
+
+# The namespaces of SOAP 1.1 and 1.2 envelopes.
+ENVELOPES = ("http://schemas.xmlsoap.org/soap/envelope/", "http://www.w3.org/2003/05/soap-envelope")
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 
 
 def body_child(body: Column) -> Column:
-    """The local name of the first element in the envelope's body."""
-    return F.regexp_extract(body, r"(?s)<(?:[A-Za-z0-9_\-]+:)?Body[^>]*>\s*<(?:[A-Za-z0-9_\-]+:)?([A-Za-z_][A-Za-z0-9_.\-]*)", 1)
+    """The local name of the first element in the body of an envelope; empty unless the body's prefix stands for SOAP's namespace.
+
+    Prefixes are looked up in the document as a whole, and comments are left out.
+    """
+    text = F.regexp_replace(body, r"(?s)<!--.*?-->", "")
+    prefix = F.regexp_extract(text, rf"<((?:{_NAME}:)?)Body(?:\s[^>]*)?>", 1)
+    space = "|".join(ENVELOPES).replace(".", r"\.")
+    named = F.concat(F.lit("xmlns"), F.when(prefix == "", "").otherwise(F.concat(F.lit(":"), F.rtrim(prefix, F.lit(":")))))
+    declared = F.exists(F.regexp_extract_all(text, F.lit(rf"""(xmlns(?::{_NAME})?)\s*=\s*["'](?:{space})["']"""), F.lit(1)), lambda n: n == named)
+    child = F.regexp_extract(text, rf"(?s)<(?:{_NAME}:)?Body(?:\s[^>]*)?>\s*<(?:{_NAME}:)?({_NAME})", 1)
+    return F.when(declared, child).otherwise("")
 
 
 def operation_name() -> Column:

@@ -41,7 +41,7 @@ SELECT p_partkey * 8 + 2, CASE WHEN p_size % 5 = 0 THEN 'POST' ELSE 'GET' END,
   concat('https://shop.example.com/', CASE p_size % 7 WHEN 0 THEN 'static/app.js' WHEN 1 THEN 'img/logo.PNG' WHEN 2 THEN 'feed' WHEN 3 THEN 'StockService.asmx?WSDL' WHEN 4 THEN 'soap/stock' WHEN 5 THEN 'rpc/v2' ELSE concat('api/v12/parts/', CAST(p_partkey AS STRING)) END),
   CASE WHEN p_partkey % 2 = 0 THEN 'application/json' ELSE '' END, CASE WHEN p_size % 7 = 4 THEN 'text/xml' ELSE '' END,
   CASE WHEN p_size % 7 = 4 AND p_partkey % 2 = 0 THEN '"urn:stock#GetStock"' ELSE '' END,
-  CASE WHEN p_size % 7 = 4 THEN concat('<soap:Envelope><soap:Body><GetStock><part>', CAST(p_partkey AS STRING), '</part></GetStock></soap:Body></soap:Envelope>') ELSE '' END,
+  CASE WHEN p_size % 7 = 4 THEN concat('<soap:Envelope', CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' xmlns:soap="http://schemas.xmlsoap.org/soap/envelope/"' END, '><soap:Body><GetStock><part>', CAST(p_partkey AS STRING), '</part></GetStock></soap:Body></soap:Envelope>') ELSE '' END,
   200, CASE WHEN p_size % 7 IN (2, 3, 4) THEN 'text/xml' WHEN p_size % 7 = 0 THEN 'application/javascript' ELSE 'text/plain' END,
   CASE p_size % 7 WHEN 2 THEN '<?xml version="1.0"?><rss></rss>' WHEN 3 THEN '<definitions/>' ELSE '' END, '', 'static:js', 'https://shop.example.com/p'
 FROM part
@@ -62,13 +62,13 @@ FROM pages
 """
 
 
-def flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plain columns of :data:`FLAT` over the tables of a folder."""
+def flat(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The plain columns of :data:`FLAT` (or those named) over the tables of a folder."""
     sql = FLAT
     for table in _TABLES:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"recorded_{table}")
         sql = sql.replace(f"\nFROM {table}\n", f"\nFROM recorded_{table}\n")
-    rows = spark.sql(sql)
+    rows = spark.sql(sql).select(*(columns or ["*"]))
     # a generator stands for the scan that recorded traffic would be: what is above sees columns, not the expressions that make them
     return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
