@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import forms, specs
+from quillspan.operators import classify, forms, specs
 from quillspan.sources import views
 from quillspan.sources.shared import ensure_shared_dir
 
@@ -19,7 +19,7 @@ def wsdl_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grpc_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.grpc_services(views.capture(spark, sf_dir).filter(F.col("url").startswith("https://grpc.")))
+    return specs.grpc_services(classify.classify(views.capture(spark, sf_dir), ["grpc"]))
 
 
 def proto_document(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,16 +39,20 @@ def type_unification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = F.concat(F.lit('<html><form action="/find" method="'), F.when(F.col("o_orderstatus") == "F", "post").otherwise("get"), F.lit('"><input name="q" value="'), F.col("o_custkey").cast("string"), F.lit('"><input type="hidden" name="csrf_token" value="s"><input type="submit" name="go"></form></html>'))
+    key = F.col("o_orderkey")
+    # "nonce" is no secret name, "jwt" is one
+    made = F.concat(F.lit('<html><form action="/find?in='), (key % 3).cast("string"), F.lit('" method="'), F.when(F.col("o_orderstatus") == "F", "post").otherwise("get"), F.lit('"><input name="q" value="'), F.col("o_custkey").cast("string"), F.lit('"><input name="nonce" value="'), (key % 7).cast("string"), F.lit('"><input name="jwt" value="s"><input type="submit" name="go"></form></html>'))
     pages = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("https://shop.example.com/p/"), F.col("o_orderkey").cast("string")).alias("url"), F.struct(F.lit("text/html").alias("content_type"), made.cast("binary").alias("body")).alias("response"))
     return forms.extract_forms(pages).select("seq", "method", "url", F.coalesce("body", F.lit("")).alias("body"), "source")
 
 
 QUERIES = {f.__name__: f for f in (soap_parameters, wsdl_document, grpc_services, proto_document, graphql_operations, type_unification, page_forms)}
+#: An action's name is what stands behind "urn:"; without an action the body's element counts where its prefix is declared.
+_NAMED = f"SELECT * FROM (SELECT seq, CASE WHEN soap_action <> '' THEN 'stock#GetStock' WHEN contains(body, 'xmlns:soap') THEN 'GetStock' END AS operation FROM ({views.FLAT})) WHERE operation IS NOT NULL"
 ORACLES = {
-    "soap_parameters": f"SELECT 'GetStock' AS operation, 'part' AS name, 'xsd:int' AS type, min(seq) AS first_seq FROM ({views.FLAT}) WHERE contains(body, 'Envelope') HAVING count(*) > 0",
-    "wsdl_document": f"""SELECT 'GetStock' AS operation, '<xsd:element name="GetStock"><xsd:complexType><xsd:sequence><xsd:element name="part" type="xsd:int"/></xsd:sequence></xsd:complexType></xsd:element><operation name="GetStock"><input message="tns:GetStockRequest"/><output message="tns:GetStockResponse"/></operation>' AS wsdl FROM ({views.FLAT}) WHERE contains(body, 'Envelope') HAVING count(*) > 0""",
-    "grpc_services": f"SELECT 'shop.v1.Catalog' AS service, regexp_extract(url, '/([A-Z][A-Za-z]*)$', 1) AS method, min(seq) AS first_seq FROM ({views.FLAT}) WHERE starts_with(url, 'https://grpc.') AND regexp_matches(url, '/[A-Z][A-Za-z]*$') GROUP BY ALL",
+    "soap_parameters": f"SELECT operation, 'part' AS name, 'xsd:int' AS type, min(seq) AS first_seq FROM ({_NAMED}) GROUP BY operation",
+    "wsdl_document": f"""SELECT operation, concat('<xsd:element name="', operation, '"><xsd:complexType><xsd:sequence><xsd:element name="part" type="xsd:int"/></xsd:sequence></xsd:complexType></xsd:element><operation name="', operation, '"><input message="tns:', operation, 'Request"/><output message="tns:', operation, 'Response"/></operation>') AS wsdl FROM ({_NAMED}) GROUP BY operation""",
+    "grpc_services": f"SELECT regexp_extract(url, '^[a-z]+://[^/]+/([A-Za-z][A-Za-z0-9_.]*)/([A-Z][A-Za-z0-9_]*)$', 1) AS service, regexp_extract(url, '/([A-Z][A-Za-z0-9_]*)$', 1) AS method, min(seq) AS first_seq FROM ({views.FLAT}) WHERE method ILIKE 'post' AND regexp_matches(url, '^[a-z]+://[^/]+/[A-Za-z][A-Za-z0-9_.]*/[A-Z][A-Za-z0-9_]*$') GROUP BY ALL",
     "proto_document": f"""WITH m AS (SELECT DISTINCT regexp_extract(url, '/([A-Z][A-Za-z]*)$', 1) AS method FROM ({views.FLAT}) WHERE starts_with(url, 'https://grpc.') AND regexp_matches(url, '/[A-Z][A-Za-z]*$'))
 SELECT 'shop.v1' AS package, concat('syntax = "proto3";' || chr(10) || 'package shop.v1;' || chr(10) || 'service Catalog {{' || chr(10), string_agg('  rpc ' || method || ' (' || method || 'Request) returns (' || method || 'Response);' || chr(10), '' ORDER BY method), '}}' || chr(10),
   string_agg('message ' || method || 'Request {{}}' || chr(10) || 'message ' || method || 'Response {{}}' || chr(10), '' ORDER BY method)) AS proto FROM m""".replace("{{", "{").replace("}}", "}"),
@@ -59,6 +63,6 @@ s AS (SELECT a.type AS a, b.type AS b, count(*) AS both_ FROM f a JOIN f b USING
 l AS (SELECT a, b FROM s JOIN n x ON x.type = a JOIN n y ON y.type = b WHERE both_ >= 3 AND both_ / (x.n + y.n - both_) >= 0.5),
 r(type, reached) AS (SELECT type, type FROM n UNION SELECT r.type, l.b FROM r JOIN l ON l.a = r.reached)
 SELECT type, min(reached) AS representative FROM r GROUP BY type""",
-    "page_forms": """SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'POST' ELSE 'GET' END AS method, concat('https://shop.example.com/find', CASE WHEN o_orderstatus = 'F' THEN '' ELSE concat('?csrf_token=&q=', o_custkey::STRING) END) AS url,
-CASE WHEN o_orderstatus = 'F' THEN concat('csrf_token=&q=', o_custkey::STRING) ELSE '' END AS body, 'static:html' AS source FROM orders""",
+    "page_forms": """SELECT o_orderkey AS seq, CASE WHEN o_orderstatus = 'F' THEN 'POST' ELSE 'GET' END AS method, concat('https://shop.example.com/find?in=', o_orderkey % 3, CASE WHEN o_orderstatus = 'F' THEN '' ELSE concat('&jwt=&nonce=', o_orderkey % 7, '&q=', o_custkey::STRING) END) AS url,
+CASE WHEN o_orderstatus = 'F' THEN concat('jwt=&nonce=', o_orderkey % 7, '&q=', o_custkey::STRING) ELSE '' END AS body, 'static:html' AS source FROM orders""",
 }

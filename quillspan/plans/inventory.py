@@ -32,7 +32,7 @@ def dedup_query_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.flat(spark, sf_dir).select(U.path(F.col("url")).alias("path"))
+    return views.flat(spark, sf_dir, "url").select(U.path(F.col("url")).alias("path"))
 
 
 def path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspan.plans import classification, documents, inventory, operations
+from quillspan.plans import classification, documents, inventory, operations, probes
 
-_MODULES = (classification, inventory, operations, documents)
+_MODULES = (classification, inventory, operations, documents, probes)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -1,5 +1,6 @@
 """Classification, deduplication, templates, operations, forms and streams on small tables."""
 
+import base64
 import json
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import headers as H
 from quillspan.functions import url as U
-from quillspan.operators import classify, dedup, forms, links, mining, openapi, paths, soap, specs
+from quillspan.operators import bundles, classify, dedup, enrich, forms, links, mining, openapi, pages, paths, schemas, soap, specs, wire
 from quillspan.sources import views
 from quillspan.sources.schema import EXCHANGE
 from quillspan.streaming import live
@@ -100,7 +101,7 @@ TEMPLATES = {
     "/s/QWxhZGRpbjpvcGVuIHNlc2FtZQ==": "/s/{sToken}",
     "/users/me": "/users/me",
     "/commit/3fa4b2c": "/commit/{commitId}",
-    "/commit/deface": "/commit/deface",
+    "/commit/facade": "/commit/facade",
 }
 
 
@@ -137,18 +138,82 @@ def test_value_types(spark, values, kind):
 
 
 def test_document(spark):
-    rows = openapi.with_operation(exchanges(spark, {"url": "https://a/users/1?q=1"}, {"url": "https://a/users/2?q=x"}, {"url": "https://b/users/3", "source": "static:js"}))
-    roles = openapi.servers(rows)
-    kept = openapi.resolve_collisions(openapi.operations(rows), roles)
-    doc = json.loads(openapi.document(openapi.render_openapi(kept, openapi.query_parameters(rows), roles), ["https://a"]))
+    rows = exchanges(
+        spark,
+        {"url": "https://a/users/1?q=1&t=a&t=b", "answer": '{"id": 1, "tags": ["x"]}', "answer_type": "application/json"},
+        {"url": "https://a/users/2?q=x", "answer": '{"id": 1.5, "name": null}', "answer_type": "application/json"},
+        {"url": "https://b/users/3", "source": "static:js"},
+        {"url": "https://a/users", "method": "POST", "body": '{"name": "n", "age": 3}', "status": 201},
+        {"url": "https://a/users?z", "method": "POST", "body": '{"age": "old", "x": {"y": [1]}}', "status": 201},
+    )
+    places = openapi.templated(openapi.places(rows))
+    kept = openapi.resolve_collisions(openapi.operations(places), openapi.servers(places))
+    with_ops = openapi.with_operation(rows)
+    doc = json.loads(openapi.document(openapi.render_openapi(kept, openapi.query_parameters(rows), schemas.request_bodies(with_ops), schemas.response_bodies(with_ops)), ["https://a"]))
     get = doc["paths"]["/users/{userId}"]["get"]
     assert get["x-source"] == "dynamic" and get["x-collision-origins"] == "https://b"
-    assert [(p["name"], p["in"], p["schema"]["type"]) for p in get["parameters"]] == [("userId", "path", "string"), ("q", "query", "string")]
+    assert [(p["name"], p["in"], p["schema"]["type"]) for p in get["parameters"]] == [("q", "query", "string"), ("t", "query", "array"), ("userId", "path", "string")]
+    assert get["parameters"][1]["schema"]["items"] == {"type": "string"} and get["parameters"][1]["style"] == "form" and get["parameters"][1]["explode"]
+    assert get["responses"]["200"] == {"content": {"application/json": {"schema": {"type": "object", "properties": {"id": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}, "name": {"nullable": True}}}}}, "description": "OK"}
+    sent = doc["paths"]["/users"]["post"]["requestBody"]["content"]["application/json"]["schema"]
+    assert sent["properties"] == {"name": {"type": "string"}, "age": {"type": "string"}, "x": {"type": "object", "properties": {"y": {"type": "array", "items": {"type": "integer"}}}}}
+
+
+BODIES = [
+    (b'{"a": 1.0, "b": 9999999999999999999, "c": [], "d": null}', schemas.JSON, "", {"a": "integer", "b": "number", "c": "array", "d": ""}),
+    (b"[1, \"x\"]", schemas.JSON, "", None),
+    (b"{bad", schemas.JSON, "", False),
+    (b"NaN", schemas.JSON, "", False),
+    (b"a=1&b=2.5&c=true&d=x+y&a=zz&=", schemas.FORM, "", {"a": "integer", "b": "number", "c": "boolean", "d": "string", "": "string"}),
+    (b"a=%zz", schemas.FORM, "", False),
+    (b'--X9\r\nContent-Disposition: form-data; name="n"\r\n\r\n12\r\n--X9\r\nContent-Disposition: form-data; name="f"; filename="p.png"\r\n\r\n\x00\x01\r\n--X9--\r\n', schemas.MULTIPART, "multipart/form-data; boundary=X9", {"n": "integer", "f": "string"}),
+    (b"", schemas.JSON, "", False),
+]
+
+
+@pytest.mark.parametrize(("body", "media", "given", "kinds"), BODIES)
+def test_body_schemas(body, media, given, kinds):
+    found = schemas.body_schema(body, media, given)
+    if kinds is False:
+        assert found is None
+    elif kinds is None:
+        assert found == {"type": "array", "items": {"type": "integer"}}
+    else:
+        assert {k: v.get("type", "") for k, v in found["properties"].items()} == kinds
+
+
+def test_schemas_have_a_depth():
+    deep = schemas.body_schema(b"[" * 30 + b"]" * 30, schemas.JSON, "")
+    for _ in range(schemas.MAX_DEPTH):
+        deep = deep["items"]
+    assert deep == {"type": "object"} and schemas.body_schema(b"[" * 200_000, schemas.JSON, "") is None
+
+
+def test_first_null_stays_and_types_promote(spark):
+    rows = exchanges(spark, *[{"url": f"https://a/x?{i}", "method": "PUT", "body": b} for i, b in enumerate(['{"a": null, "b": 1}', '{"a": 1, "b": null}', '{"a": "s", "b": true}', "[1]"])], {"url": "https://a/y", "method": "PATCH", "body": "[1]"}, {"url": "https://a/y?2", "method": "PATCH", "body": '{"z": 1}'}, {"url": "https://a/z", "body": "{}"})
+    out = {(r.template, r.name): r.type for r in schemas.request_bodies(openapi.with_operation(rows)).collect()}
+    assert out == {("/x", "a"): "", ("/x", "b"): "string", ("/y", None): "array"}
+
+
+def test_components_are_named_in_order(spark):
+    rows = [("/users", "post", "application/json", "id", "integer"), ("/users/{userId}", "put", "application/json", "id", "integer"), ("/login.php", "post", "application/json", "u", "string"), ("/a/login", "post", "application/json", "v", "")]
+    asked = spark.createDataFrame([(t, m, "o", k, n, y, "") for t, m, k, n, y in rows], "template string, method string, origin string, media string, name string, type string, schema string")
+    told = spark.createDataFrame([("/users", "get", "o", "200", "id", "integer", ""), ("/users", "post", "o", "204", "x", "string", ""), ("/users", "post", "o", "418", "y", "string", "")], "template string, method string, origin string, status string, name string, type string, schema string")
+    out = {(r.template, r.method, r.place, r.key): r.component for r in schemas.components(asked, told).collect()}
+    assert out == {
+        ("/users", "post", "request", "application/json"): "CreateUserRequest",
+        ("/users/{userId}", "put", "request", "application/json"): "CreateUserRequest",
+        ("/a/login", "post", "request", "application/json"): "CreateLoginRequest",
+        ("/login.php", "post", "request", "application/json"): "CreateLoginRequest2",
+        ("/users", "get", "response", "200"): "UserResponse",
+        ("/users", "post", "response", "418"): "User418Response",
+    }
+    names = spark.createDataFrame([(p,) for p in ("/api/v2/tickets/{ticketId}", "/stored-xss", "/{id}", "/2fa", "/categories")], "p string").select(schemas.resource_name(F.col("p"))).collect()
+    assert [r[0] for r in names] == ["Ticket", "StoredXss", "Resource", "Resource2fa", "Category"]
 
 
 def test_parameter_types_look_at_every_value(spark):
     rows = exchanges(spark, *[{"url": f"https://a/x?p={i}&q={i}&r={i}"} for i in range(300)], {"url": "https://a/x?p=next&q=1.5&r=7"})
-    rows = rows.withColumns({"template": F.lit("/x"), "origin": F.lit("https://a")}).withColumn("method", F.lit("get"))
     assert {r.name: r.type for r in openapi.query_parameters(rows).collect()} == {"p": "string", "q": "number", "r": "integer"}
 
 
@@ -163,16 +228,104 @@ def test_links(spark):
 def test_forms(spark):
     html = '<html><form action="/s" method="post"><input name="b" value="x y"><input type="password" name="p" value="z"><textarea name="t">hi</textarea><select name="c"><option value="1"><option value="2" selected></select></form><form action="https://evil/"><input name="a"></form><form><input name="q" placeholder="find">'
     out = forms.extract_forms(exchanges(spark, {"url": "https://h.example/d/p?k=1", "answer_type": "text/html", "answer": html})).orderBy("ord").collect()
-    assert [(r.method, r.url, r.body) for r in out] == [("POST", "https://h.example/s", "b=x+y&c=2&p=&t=hi"), ("GET", "https://h.example/d/p?q=find", None)]
+    assert [(r.method, r.url, r.body) for r in out] == [("POST", "https://h.example/s", "b=x+y&c=2&p=&t=hi"), ("GET", "https://h.example/d/p?k=1&q=find", None)]
 
 
 def test_mining_and_enrichment(spark):
-    text = "fetch('/api/users');x=\"rest/a/b.js\";y=`/v2/items/${id}`;z='/about'"
-    rows = mining.mine_paths(spark.createDataFrame([(1, text)], "id long, script string"), "id", "script").collect()
-    assert [r.path for r in rows] == ["/api/users", "/v2/items/${id}"]
+    text = "fetch('/api/users');x=\"rest/a/b.js\";y=`/v2/items/${id}`;z='/about';g('/graphql')"
+    rows = mining.mine_paths(spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, script string"), "id", "script").orderBy("pos").collect()
+    assert [(r.id, r.path) for r in rows] == [(1, "/api/users"), (1, "/graphql"), (1, "/v2/items/{param}")]
     assert one(spark, mining.allowed_methods(F.col("a")), a=" get, ,Post") == ["GET", "POST"]
-    assert one(spark, soap.uri_tail(F.col("u")), u="urn:x#Get") == "Get"
+    tails = {"urn:stock#GetStock": "stock#GetStock", "http://x/ws#Get": "Get", "http://x/y/": "http://x/y/", "http://x/y#": "y#", "http://x/a/Do": "Do", "Plain": "Plain"}
+    assert {u: one(spark, soap.uri_tail(F.col("u")), u=u) for u in tails} == tails
     assert [one(spark, soap.xsd_type(F.col("v")), v=v) for v in ("true", "12", "1.5", "2024-02-30", "2024-02-28", "x")] == ["xsd:boolean", "xsd:int", "xsd:decimal", "xsd:string", "xsd:date", "xsd:string"]
+    bodies = ["<s:Envelope xmlns:s='http://www.w3.org/2003/05/soap-envelope'><s:Body><m:Do xmlns:m='u'/></s:Body></s:Envelope>", "<Envelope><Body><Do/></Body></Envelope>", "<Envelope xmlns='http://schemas.xmlsoap.org/soap/envelope/'><Body><!-- x --> <Do/></Body></Envelope>"]
+    assert [one(spark, soap.body_child(F.col("b")), b=b) for b in bodies] == ["Do", "", "Do"]
+
+
+def test_scripts_are_scanned():
+    found = mining.template_paths("x=`/api/u/${a.b(`n${1}`)}/p`;y=`no`;z=`${host}/v2/items`;w=`/api/ has space`;q=`https://h/api/${x}`;e=`/api/\\`q`;bad=`/api/z")
+    assert found == ["/api/u/{param}/p", "/v2/items", "https://h/api/{param}", "/api/\\`q"]
+    script = """a="/api/posts/".concat(id, "/comment", f(a,b)); b="/api/users/" + id + "/posts"; c="identity/" + "api/auth/login"; d="/x/".concat(y); e='/api/a//b/' + foo(1, {a:"+"})+`/t`+`${u}`, f = '/api/q' + "\u00e9" """
+    assert mining.concat_paths(script) == ["/api/posts/0/comment0", "/api/users/0/posts", "/api/a/b/0/t0", "identity/api/auth/login"]
+    assert [mining.clean_path(p) for p in ("https://h//api//x/", "/api/x?a=b#c", "/about", "/api/%0a", "/api/%41/")] == ["https://h/api/x", "/api/x?a=b#c", "", "", "/api/%41"]
+    assert mining.concat_paths("'/api/x/'.concat(" + "(" * 2000) == [] and mining.template_paths("`" * 3001) == []
+
+
+def test_prefixes_spread_paths(spark):
+    script = "a='pay/'+'api/charge';b='/api/me';c='orders/';d='orders/';e='inventory/';f='/pay/api/x'"
+    rows = mining.mine_paths(spark.createDataFrame([(1, script)], "id long, script string"), "id", "script").orderBy("pos").collect()
+    assert [r.path for r in rows][:4] == ["/pay/api/charge", "/orders/api/charge", "/inventory/api/charge", "/pay/api/me"] and "/pay/api/x" in [r.path for r in rows]
+
+
+BUNDLE = """
+fetch("/api/users", {method:"POST", headers:{a:1}, body: JSON.stringify({name: n, "age": f(1,2), ok})});
+axios.get('/api/items'); axios.post(`/api/items/${item.id}/x/${f(1)}/${g()}`, {title: t, tags:[1,2]});
+axios({url:"/api/cfg", method:'put', data:{q:1}}); axios.request({url:'/api/d'});
+fetch(`${base}`); fetch('/logo.png'); fetch("javascript:x"); fetch("/api/opt",{body:fd});
+p = "/api/users/" + id + "/posts"; z="/api/items/"+q;
+"""
+
+
+def test_bundles(spark):
+    assert bundles.calls(BUNDLE) == [
+        ("GET", "/api/items", [], "call"),
+        ("POST", "/api/items/{id}/x/{param}/{param1}", ["title", "tags"], "call"),
+        ("PUT", "/api/cfg", ["q"], "call"),
+        ("GET", "/api/d", [], "call"),
+        ("POST", "/api/users", ["name", "age", "ok"], "call"),
+        ("POST", "/api/opt", [], "call"),
+        ("GET", "/api/users/0/posts", [], "concat"),
+        ("GET", "/api/items/0", [], "concat"),
+    ]
+    data = base64.b64encode(json.dumps({"sourcesContent": ["fetch('/api/mapped')", None, ""]}).encode()).decode()
+    assert bundles.inline_sources(f"x\n//# sourceMappingURL=data:application/json;base64,{data}") == ["fetch('/api/mapped')"]
+    assert bundles.inline_sources("//# sourceMappingURL=data:application/json,%7B") == [] == bundles.inline_sources("//# sourceMappingURL=app.js.map")
+    rows = exchanges(spark, {"url": "https://a/x.js", "answer": f"fetch('/api/own')\n//# sourceMappingURL=data:application/json;base64,{data}"}, {"url": "https://a/page", "answer": "fetch('/no')", "answer_type": "text/html"}, {"url": "https://a/y.js"})
+    assert [(r.seq, r.method, r.url, r.source) for r in bundles.analyze(rows).orderBy("nth").collect()] == [(0, "GET", "https://a/api/own", "static:js"), (0, "GET", "https://a/api/mapped", "static:js-sourcemap")]
+    assert bundles.statistics(rows).first().asDict() == {"analyzed": 1, "skipped": 0, "from_scripts": 1, "from_sourcemaps": 1, "from_concats": 0}
+
+
+def test_sensitive_names_and_pages(spark):
+    names = {"_token": True, "my_token": False, "csrfmiddlewaretoken": True, "nonce": False, "state": False, "JWT": True, "signature": False, "SAMLResponse": True, "card": False, "sessionid": True}
+    assert {n: one(spark, forms.is_sensitive(F.col("n")), n=n) for n in names} == names
+    pages_ = {"https://a/x.json": True, "https://a/x.MJS": False, "https://a/x.bmp?y": False, "https://a/feed.xml": True, "https://a/main.js/index": True, "https://a/socket.io": False, "https://a/%zz": True}
+    assert {u: one(spark, links.is_likely_page(F.col("u")), u=u) for u in pages_} == pages_
+
+
+def test_pages_and_reports(spark):
+    rows = exchanges(spark, {"url": "https://a/api/x", "method": "get", "answer_type": "application/json"}, {"url": "https://a/x.css"}, {"url": "https://a/api/y\u0007", "status": 0})
+    assert [(r.page, r.exchanges, r.answered) for r in pages.page_sizes(rows).orderBy("page").collect()] == [("https://a/api/x", 1, 1), ("https://a/api/y\u0007", 1, 0)]
+    report = pages.explain(classify.classify(rows, ["rest"])).collect()
+    assert [r.line for r in report] == ["  GET    /api/x [type=rest confidence=0.95 reason=content-type:application/json+path-heuristic]"]
+    assert one(spark, pages.printable(F.col("t")), t="a\u0007b\u009f") == "a\\x07b\\x9f"
+    html = '<base href="/deep/"><script>var a=1</script><script src="x.js">no</script><script> </script>'
+    bases = {"https://h/p": "https://h/deep/", "ftp://h/p": "ftp://h/p"}
+    assert {p: spark.range(1).select(pages.base_url(F.lit(html), F.lit(p))).first()[0] for p in bases} == bases
+    assert spark.range(1).select(pages.base_url(F.lit('<base href="http://h/">'), F.lit("https://h/p"))).first()[0] == "https://h/p"
+    page = spark.createDataFrame([(1, "https://h/d/p", html)], "page_id long, url string, html string")
+    assert [r.script for r in pages.inline_scripts(page).collect()] == ["var a=1"] and [r.script for r in pages.script_urls(page).collect()] == ["https://h/d/x.js"]
+
+
+def test_addresses(spark):
+    private = {"": True, "10.1.2.3": True, "8.8.8.8": False, "172.32.0.1": False, "100.127.255.255": True, "::": True, "::1": True, "2001:4860::1": False, "::ffff:10.0.0.1": True, "fd00:ec2::254": True, "999.1.1.1": None, "h.example": None, "x:y": None}
+    assert {a: one(spark, U.is_private_ip(F.col("a")), a=a) for a in private} == private
+
+
+def test_wire_formats(spark):
+    assert wire.split_frames(b"\x00\x00\x00\x00\x02ab\x01\x00\x00\x00\x00\x00\x00\x00\x00\x05x") == [(False, b"ab"), (True, b"")]
+    assert wire.walk_fields(bytes.fromhex("089601")) == [(1, 0, 150, b"")] and wire.walk_fields(bytes.fromhex("0d01000000")) == [(1, 5, 1, b"")]
+    assert wire.walk_fields(b"\x0a\x05ab") is None and wire.walk_fields(b"\x00") is None and wire.walk_fields(b"\x08" + b"\xff" * 11) is None
+    rows = spark.createDataFrame([("a", bytes.fromhex("0000000003089601")), ("b", None), ("c", b"\x01\x00\x00\x00\x01x")], "id string, body binary")
+    assert [(r.id, r.field, r.number) for r in wire.fields(rows, "id", "body").collect()] == [("a", 1, 150)]
+
+
+def test_bindings_fill_rows(spark):
+    rows = spark.createDataFrame([(5, "a.A", ["X"]), (6, "b.B", None)], "seq long, service string, methods array<string>")
+    bound = spark.createDataFrame([("b.B", "Do"), ("b.B", "Be"), ("c.C", "Go")], "service string, method string")
+    assert sorted(map(tuple, enrich.fill_from_bindings(rows, bound).collect())) == [(5, "a.A", ["X"]), (6, "b.B", ["Be", "Do"]), (7, "c.C", ["Go"])]
+    kept, rejected = enrich.same_origin_only(spark.createDataFrame([("https://a:443/x",), ("https://b/",), ("https://b/2",)], "url string"), "https://a/")
+    assert kept.count() == 1 and [(r.origin, r.rejected) for r in rejected.collect()] == [("https://b", 2)]
 
 
 def test_enrichment_asks_for_every_url(spark):
