@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
@@ -17,6 +19,7 @@ NOT_PAGES = (
     ".pdf", ".zip", ".tar", ".gz", ".rar", ".7z",
 )
 TRANSPORTS = ("socket.io", "engine.io")
+LINKS = (("a", "href"), ("form", "action"), ("iframe", "src"), ("area", "href"), (r"[a-z][a-z0-9-]*", "data-href"), (r"[a-z][a-z0-9-]*", "data-url"))
 
 
 def is_likely_page(url: Column) -> Column:
@@ -43,14 +46,24 @@ def resolve(base: Column, ref: Column) -> Column:
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page, pos, link): distinct page-like links in the order in which a page names them."""
+    """(page, base, pos, link): distinct page-like links in the order of :data:`LINKS`, then of the page, relative to its base."""
     unescaped = lambda h: F.replace(h, F.lit("&amp;"), F.lit("&"))
-    hrefs = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""), F.lit(1)), unescaped)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("base"), F.posexplode(hrefs).alias("pos", "href"))
-    links = settle(rows, link=resolve(F.col("base"), F.col("href"))).filter(F.col("link").isNotNull())
+    take = lambda tag, name: F.transform(F.regexp_extract_all(F.col(html_col), F.lit(rf"""(?is)<{tag}\s(?:[^>]*?\s)?{name}\s*=\s*["']([^"']*)["']"""), F.lit(1)), unescaped)
+    refs = F.filter(F.concat(*[take(tag, name) for tag, name in LINKS]), lambda h: F.trim(h) != "")
+    based = settle(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("base"), F.col(html_col)), root=base_url(F.col(html_col), F.col("base")))
+    rows = based.select("page_id", "base", "root", F.posexplode(refs).alias("pos", "href"))
+    links = settle(rows, link=resolve(F.col("root"), F.col("href"))).filter(F.col("link").isNotNull())
     return settle(links, likely=is_likely_page(F.col("link"))).filter("likely").groupBy("page_id", "base", "link").agg(F.min("pos").alias("pos"))
 
 
+def base_url(html: Column, page: Column) -> Column:
+    """What a page's references are relative to: its first ``base``, unless that is no http address, less secure or another host."""
+    href = F.trim(F.replace(F.regexp_extract(html, r"""(?is)<base\s(?:[^>]*?\s)?href\s*=\s*["']([^"']*)["']""", 1), F.lit("&amp;"), F.lit("&")))
+    base = resolve(page, href)
+    fine = (href != "") & U.scheme(base).isin("http", "https") & ~((U.scheme(page) == "https") & (U.scheme(base) == "http")) & (F.lower(U.authority(base)) == F.lower(U.authority(page)))
+    return F.when(fine, base).otherwise(page)
+
+
 def crawl_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
     """(url, depth): pages by the least number of links from a seed; each level leaves out what was seen before.
 
@@ -65,3 +78,16 @@ def crawl_depths(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> Data
             break
         seen = seen.union(level)
     return seen
+
+
+def within_budget(reached: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` pages (url, depth) of each host, by depth, then address."""
+    place = F.row_number().over(Window.partitionBy(U.host(F.col("url"))).orderBy("depth", "url"))
+    return reached.withColumn("place", place).filter(F.col("place") <= most).drop("place")
+
+
+def merge_links(*found: DataFrame) -> DataFrame:
+    """(page, pos, link): the links of several extractions of a page, each once, in the order of the extractions."""
+    every = functools.reduce(DataFrame.unionByName, [f.select("page_id", "pos", "link", F.lit(i).alias("nth")) for i, f in enumerate(found)])
+    first = every.groupBy("page_id", "link").agg(F.min(F.struct("nth", "pos")).alias("at"))
+    return first.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1).alias("pos"), "link")

@@ -66,14 +66,6 @@ def explain(classified: DataFrame) -> DataFrame:
     return classified.groupBy(line.alias("line")).agg(F.count("*").alias("n"))
 
 
-def base_url(html: Column, page: Column) -> Column:
-    """What a page's references are relative to: its first ``base``, unless that is no http address, less secure or another host."""
-    href = F.trim(F.replace(F.regexp_extract(html, r"""(?is)<base\s[^>]*?href\s*=\s*["']([^"']*)["']""", 1), F.lit("&amp;"), F.lit("&")))
-    base = resolve(page, href)
-    fine = (href != "") & U.scheme(base).isin("http", "https") & ~((U.scheme(page) == "https") & (U.scheme(base) == "http")) & (F.lower(U.authority(base)) == F.lower(U.authority(page)))
-    return F.when(fine, base).otherwise(page)
-
-
 def is_script_url(url: Column) -> Column:
     return F.lower(F.coalesce(U.path(url), F.lit(""))).rlike(r"\.m?js\z")
 
