@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import headers as H
 from quillspan.functions import url as U
-from quillspan.operators import bundles, classify, enrich, pages, wire
+from quillspan.operators import bundles, classify, enrich, graphql, pages, wire
 from quillspan.plans.classification import CTE
 from quillspan.sources import views
 
@@ -145,9 +145,40 @@ def wire_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "frame", "nth", "field", "kind", "number", F.col("data").cast("string").alias("data"))
 
 
+def _graphql_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A made call for each order: a query with variables, an alias and a fragment, a mutation, or a query over types that differ."""
+    key = F.col("o_orderkey")
+    k, id_ = key % 3, key.cast("string")
+    price = F.when(key % 2 == 0, "2").otherwise("1.5")
+    body = (
+        F.when(k == 0, F.concat(F.lit('{"query":"query Q($id: ID!, $n: Int = 3) { order(id: $id) { id total: price items(first: $n) { sku qty } ...F } } fragment F on Order { note }","variables":{"id":"'), id_, F.lit('","filter":{"a":'), price, F.lit(',"b":true}}}')))
+        .when(k == 1, '{"query":"mutation M { addOrder(input: {a: 1}, flag: true) { ok } }"}')
+        .otherwise('{"query":"{ search(q: \\"x\\") { __typename ... on Order { id } ... on User { name } } } # by type"}')
+    )
+    answer = (
+        F.when(k == 0, F.concat(F.lit('{"data":{"order":{"id":'), id_, F.lit(',"total":'), price, F.lit(',"items":[{"sku":"a","qty":1},{"sku":null,"qty":2}],"note":null}}}')))
+        .when(k == 1, '{"data":{"addOrder":{"ok":true}}}')
+        .otherwise('{"data":{"search":[{"id":5},{"name":"n"}]}}')
+    )
+    return _table(spark, sf_dir, "orders").select(key.alias("seq"), body.cast("binary").alias("body"), F.struct(answer.cast("binary").alias("body")).alias("response"))
+
+
+def graphql_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphql.fields(graphql.observe(_graphql_calls(spark, sf_dir)))
+
+
+def graphql_sdl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed = graphql.observe(_graphql_calls(spark, sf_dir))
+    return graphql.render(graphql.fields(observed), graphql.unions(observed))
+
+
+def graphql_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphql.input_types(_graphql_calls(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (bundle_endpoints, page_scripts, page_script_urls, page_sizes, explain_report, private_addresses, header_lines, cookie_values, redacted_urls, schema_enrichment, wsdl_enrichment, introspection_enrichment, gateway_services, grpc_bindings, host_seeds, name_only_services, wire_fields)
+    for f in (bundle_endpoints, page_scripts, page_script_urls, page_sizes, explain_report, private_addresses, header_lines, cookie_values, redacted_urls, schema_enrichment, wsdl_enrichment, introspection_enrichment, gateway_services, grpc_bindings, host_seeds, name_only_services, wire_fields, graphql_fields, graphql_sdl, graphql_inputs)
 }
 
 _ASSETS = "[.](css|js|map|png|jpg|jpeg|gif|svg|ico|webp|avif|woff|woff2|ttf|eot|otf|webmanifest|mp4|webm|mp3|ogg)$"
@@ -196,4 +227,12 @@ UNION ALL SELECT 'shop.v1.C' || t, 'Put', 'PutRequest', 'PutReply', true, false,
 SELECT DISTINCT CASE WHEN starts_with(url, 'https') THEN regexp_replace(o, ':443$', '') ELSE regexp_replace(o, ':80$', '') END AS origin FROM o WHERE NOT starts_with(url, 'https://grpc.')""",
     "name_only_services": "SELECT DISTINCT p_brand AS service FROM part WHERE p_size < 30 AND p_brand IN (SELECT p_brand FROM part WHERE p_size > 10 AND right(p_brand, 1) <> '3') AND right(p_brand, 1) <> '1'",
     "wire_fields": """SELECT s_suppkey AS id, 0 AS frame, unnest([0, 1]) AS nth, unnest([1, 2]) AS field, unnest([0, 2]) AS kind, unnest([s_suppkey % 100, 3])::BIGINT AS number, unnest(['', 'abc']) AS data FROM supplier""",
+    "graphql_fields": """WITH m AS (SELECT o_orderkey % 3 AS k, min(o_orderkey) AS first_seq FROM orders GROUP BY ALL),
+f(k, type, field, of, scalar, args) AS (VALUES (0, 'Query', 'order', 'Order', false, 'id: ID!'), (0, 'Order', 'id', 'ID', true, ''), (2, 'Order', 'id', 'ID', true, ''), (0, 'Order', 'price', 'Float', true, ''), (0, 'Order', 'items', '[Item]', false, 'first: Int'),
+  (0, 'Item', 'sku', 'String', true, ''), (0, 'Item', 'qty', 'Int', true, ''), (0, 'Order', 'note', 'String', true, ''), (1, 'Mutation', 'addOrder', 'AddOrder', false, 'flag: Boolean, input: InputInput'), (1, 'AddOrder', 'ok', 'Boolean', true, ''), (2, 'Query', 'search', '[Search]', false, 'q: String'), (2, 'User', 'name', 'String', true, ''))
+SELECT type, field, of, scalar, args, min(first_seq) AS first_seq FROM f JOIN m USING (k) GROUP BY ALL""",
+    "graphql_sdl": """SELECT * FROM (VALUES ('Query', concat('type Query {', chr(10), '  order(id: ID!): Order', chr(10), '  search(q: String): [Search]', chr(10), '}', chr(10))), ('Mutation', concat('type Mutation {', chr(10), '  addOrder(flag: Boolean, input: InputInput): AddOrder', chr(10), '}', chr(10))),
+  ('Order', concat('type Order {', chr(10), '  id: ID', chr(10), '  items(first: Int): [Item]', chr(10), '  note: String', chr(10), '  price: Float', chr(10), '}', chr(10))), ('Item', concat('type Item {', chr(10), '  qty: Int', chr(10), '  sku: String', chr(10), '}', chr(10))),
+  ('AddOrder', concat('type AddOrder {', chr(10), '  ok: Boolean', chr(10), '}', chr(10))), ('User', concat('type User {', chr(10), '  name: String', chr(10), '}', chr(10))), ('schema', concat('schema {', chr(10), '  mutation: Mutation', chr(10), '  query: Query', chr(10), '}', chr(10))), ('Search', concat('union Search = Order | User', chr(10)))) AS t(name, sdl)""",
+    "graphql_inputs": "SELECT 'filter' AS variable, unnest(['a', 'b']) AS field, unnest(['Float', 'Boolean']) AS type",
 }

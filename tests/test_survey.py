@@ -221,6 +221,13 @@ def test_links(spark):
     html = '<a href="/b?x=1&amp;y=2">b</a><a class="k" href=\'c#top\'>c</a><a href="mailto:x@y">m</a><a href="/i.png">i</a><a href="/b?x=1&amp;y=2">b</a>'
     pages = spark.createDataFrame([(1, "http://h.example/d/a", html)], "page_id long, url string, html string")
     assert sorted((r.pos, r.link) for r in links.page_links(pages).collect()) == [(0, "http://h.example/b?x=1&y=2"), (1, "http://h.example/d/c")]
+    html = '<base href="/deep/"><a href="x">x</a><form action="/f"></form><iframe src="y.html"></iframe><map><area href="?q"></map><div data-href="z"></div><p class="k" data-url="/w"></p><a href=" ">e</a><a href="y.html">y</a>'
+    deep = links.page_links(spark.createDataFrame([(1, "http://h.example/d/a", html)], "page_id long, url string, html string"))
+    assert sorted((r.pos, r.link) for r in deep.collect()) == [(0, "http://h.example/deep/x"), (1, "http://h.example/deep/y.html"), (2, "http://h.example/f"), (4, "http://h.example/deep/?q"), (5, "http://h.example/deep/z"), (6, "http://h.example/w")]
+    both = links.merge_links(deep, spark.createDataFrame([(1, 0, "http://h.example/w"), (1, 1, "http://h.example/new")], "page_id long, pos int, link string"))
+    assert [(r.pos, r.link) for r in both.orderBy("pos").collect()][-2:] == [(5, "http://h.example/w"), (6, "http://h.example/new")]
+    reached = spark.createDataFrame([("http://a/1", 1), ("http://a/0", 0), ("http://a/2", 1), ("http://b/", 2)], "url string, depth int")
+    assert {r.url for r in links.within_budget(reached, 2).collect()} == {"http://a/0", "http://a/1", "http://b/"}
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string")
     assert {r.url: r.depth for r in links.crawl_depths(edges, spark.createDataFrame([("a",)], "url string")).collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
 
@@ -301,8 +308,8 @@ def test_pages_and_reports(spark):
     assert one(spark, pages.printable(F.col("t")), t="a\u0007b\u009f") == "a\\x07b\\x9f"
     html = '<base href="/deep/"><script>var a=1</script><script src="x.js">no</script><script> </script>'
     bases = {"https://h/p": "https://h/deep/", "ftp://h/p": "ftp://h/p"}
-    assert {p: spark.range(1).select(pages.base_url(F.lit(html), F.lit(p))).first()[0] for p in bases} == bases
-    assert spark.range(1).select(pages.base_url(F.lit('<base href="http://h/">'), F.lit("https://h/p"))).first()[0] == "https://h/p"
+    assert {p: spark.range(1).select(links.base_url(F.lit(html), F.lit(p))).first()[0] for p in bases} == bases
+    assert spark.range(1).select(links.base_url(F.lit('<base href="http://h/">'), F.lit("https://h/p"))).first()[0] == "https://h/p"
     page = spark.createDataFrame([(1, "https://h/d/p", html)], "page_id long, url string, html string")
     assert [r.script for r in pages.inline_scripts(page).collect()] == ["var a=1"] and [r.script for r in pages.script_urls(page).collect()] == ["https://h/d/x.js"]
 
@@ -352,6 +359,28 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def _drained(stream, name, tmp_path, mode="append"):
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.table(name).collect()
+
+
+def test_windows_over_a_stream(spark, tmp_path):
+    batch = views.capture(spark, "/root/testdata/sf0.001").withColumn("at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq") % 600))
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
+    got = _drained(live.detected_over_time(stream, "at"), "over_time", tmp_path, "complete")
+    assert sorted(map(tuple, got)) == sorted(map(tuple, live.detected_over_time(batch, "at").collect())) and len(got) > 10
+
+
+def test_requests_meet_their_answers(spark, tmp_path):
+    at = lambda s: F.timestamp_seconds(F.lit(1_700_000_000) + s)
+    spark.range(20).select(F.col("id").alias("request_id"), at(F.col("id") * 10).alias("asked_at"), F.lit("GET").alias("method"), F.lit("u").alias("url")).write.parquet(str(tmp_path / "asked"))
+    spark.range(20).filter("id % 3 <> 0").select(F.col("id").alias("request_id"), at(F.col("id") * 10 + F.when(F.col("id") % 5 == 0, 90).otherwise(2)).alias("told_at"), F.lit(200).alias("status")).write.parquet(str(tmp_path / "told"))
+    read = lambda name: spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+    got = _drained(live.correlate(read("asked"), read("told")), "correlated", tmp_path)
+    assert {r.request_id for r in got if r.status == 200} == {i for i in range(20) if i % 3 and i % 5}
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__
 
