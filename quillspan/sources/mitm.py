@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillspan.sources.readers import MAX_IMPORT, check_size, flows_to_exchanges
 
 # Fixed values of the format.
-MAX_DEPTH, MAX_ELEMENT, MAX_FLOWS = 64, 64 << 20, 500_000
+MAX_DEPTH, MAX_ELEMENT, MAX_ENTRIES, MAX_FLOWS = 64, 64 << 20, 1 << 20, 500_000
 FLOW = "request struct<method:string,scheme:string,host:string,port:long,path:string,headers:array<array<string>>,content:string>, response struct<status_code:int,headers:array<array<string>>,content:string>"
 
 
@@ -32,6 +32,8 @@ def decode(data: bytes, at: int = 0, depth: int = 0) -> tuple[object, int]:
         while pos < size:
             item, pos = decode(payload, pos, depth + 1)
             items.append(item)
+            if len(items) > (MAX_ENTRIES if kind == b"]" else 2 * MAX_ENTRIES):
+                raise ValueError("tnetstring list or dictionary of too many entries")
         if kind == b"]":
             return items, end + 1
         keys = [k.decode() if isinstance(k, bytes) else k for k in items[::2]]
@@ -75,6 +77,11 @@ def flows(data: bytes) -> Iterator[dict]:
 def read_mitmproxy_native(spark: SparkSession, path: str) -> DataFrame:
     """Exchanges of native dumps. Spark reads the files, so they may lie in any store; a file is one task."""
     check_size(spark, path, MAX_IMPORT)
+    return native_dumps(spark.read.format("binaryFile").load(path).select("content"))
+
+
+def native_dumps(dumps: DataFrame) -> DataFrame:
+    """Exchanges of native dumps, one a row in the column ``content``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,8 +90,7 @@ def read_mitmproxy_native(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, pa.schema([("seq", pa.int64()), ("request", _ASKED), ("response", _TOLD)]))
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return flows_to_exchanges(files.mapInArrow(run, f"seq long, {FLOW}").select(F.col("seq"), "request", "response"))
+    return flows_to_exchanges(dumps.select("content").mapInArrow(run, f"seq long, {FLOW}").select(F.col("seq"), "request", "response"))
 
 
 _PAIRS = pa.list_(pa.list_(pa.string()))

@@ -6,6 +6,9 @@ exchange, fails the read with a message, as a capture must be whole or not at al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,7 +60,12 @@ def _method(column: Column) -> Column:
 def read_capture(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of exchanges, bodies in base64; ``seq`` follows the array."""
     check_size(spark, path, MAX_CAPTURE)
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_ddl(_CAPTURE)}>>", {"mode": "FAILFAST"})).alias("seq", "x")).select("seq", "x.*")
+    return captures(spark.read.text(path, wholetext=True))
+
+
+def captures(texts: DataFrame) -> DataFrame:
+    """Exchanges of captures, one a row in the column ``value``."""
+    rows = texts.select(F.posexplode(F.from_json("value", f"array<struct<{_ddl(_CAPTURE)}>>", {"mode": "FAILFAST"})).alias("seq", "x")).select("seq", "x.*")
     answer = F.struct(*[F.unbase64(F.col("response.body")).alias("body") if c == "body" else F.col(f"response.{c}").alias(c) for c in ("status_code", "headers", "content_type", "body")])
     return _records(rows.withColumn("body", F.unbase64("body")).withColumn("response", answer))
 
@@ -76,16 +84,46 @@ def _ddl(columns: str) -> str:
     return ",".join(out)
 
 
-def write_capture(exchanges: DataFrame, path: str) -> None:
-    """Exchanges as JSON lines with bodies in base64, in the order of ``seq``; Parquet is the format between stages."""
+def capture_records(exchanges: DataFrame) -> DataFrame:
+    """Exchanges as a capture writes them: bodies in base64."""
     answer = F.struct(*[F.base64(F.col("response.body")).alias("body") if c == "body" else F.col(f"response.{c}").alias(c) for c in ("status_code", "headers", "content_type", "body")])
-    exchanges.withColumn("body", F.base64("body")).withColumn("response", answer).sort("seq").drop("seq").write.json(path)
+    return exchanges.withColumn("body", F.base64("body")).withColumn("response", answer)
+
+
+def write_capture(exchanges: DataFrame, path: str, lines: bool = False) -> None:
+    """A capture as a JSON array in the order of ``seq``, in one file, which its readers limit to 100 MB; or as JSON lines, in any number of files. Parquet is the format between stages."""
+    ordered = capture_records(exchanges)
+    if lines:
+        ordered.sort("seq").drop("seq").write.json(path)
+        return
+    total = ordered.count()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            texts = [("[" if n + i == 0 else "") + t + ("," if n + i + 1 < total else "]") for i, t in enumerate(batch.column(0).to_pylist())]
+            n += len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(texts)], ["value"])
+
+    text = F.to_json(F.struct(*[c for c in ordered.columns if c != "seq"])).alias("value")
+    rows = ordered.coalesce(1).sortWithinPartitions("seq").select(text).mapInArrow(run, "value string") if total else ordered.sparkSession.createDataFrame([("[]",)], "value string")
+    rows.coalesce(1).write.text(path)
 
 
 def read_har(spark: SparkSession, path: str) -> DataFrame:
     """HAR entries: bodies from the posted and the content text as they stand."""
     check_size(spark, path, MAX_IMPORT)
-    rows = spark.read.schema(_HAR).option("multiLine", True).option("mode", "FAILFAST").json(path).select(F.posexplode("log.entries").alias("seq", "e"))
+    return har_entries(spark.read.schema(_HAR).option("multiLine", True).option("mode", "FAILFAST").json(path))
+
+
+def har_documents(texts: DataFrame) -> DataFrame:
+    """Exchanges of HAR documents, one a row in the column ``value``."""
+    return har_entries(texts.select(F.from_json("value", _HAR, {"mode": "FAILFAST"}).alias("d")).select("d.*"))
+
+
+def har_entries(documents: DataFrame) -> DataFrame:
+    """Exchanges of parsed HAR documents."""
+    rows = documents.select(F.posexplode("log.entries").alias("seq", "e"))
     answer_headers = last_wins(F.col("e.response.headers"))
     kind = F.coalesce(F.nullif(F.col("e.response.content.mimeType"), F.lit("")), F.try_element_at(answer_headers, F.lit("Content-Type")), F.lit(""))
     return _records(
@@ -116,10 +154,17 @@ def read_burp(spark: SparkSession, path: str) -> DataFrame:
     """Burp's items: messages in base64 where flagged; an item's status wins over the status line's."""
     check_size(spark, path, MAX_IMPORT)
     rows = spark.read.format("xml").option("rowTag", "item").option("ignoreSurroundingSpaces", False).option("mode", "FAILFAST").schema(_BURP).load(path)
+    return burp_items(rows)
+
+
+def burp_items(rows: DataFrame) -> DataFrame:
+    """Exchanges of Burp's items. A request line names a known method; a status line's second word is a number."""
     blob = lambda c: F.when(F.lower(f"{c}._base64") == "true", F.unbase64(F.trim(f"{c}._VALUE"))).otherwise(F.encode(f"{c}._VALUE", "ISO-8859-1"))
     rows = rows.withColumn("seq", F.monotonically_increasing_id()).withColumns({"asked": split_message(blob("request")), "told": split_message(blob("response"))})
-    status = F.coalesce(F.col("status").try_cast("int"), F.split_part(F.col("told.first"), F.lit(" "), F.lit(2)).try_cast("int"), F.lit(0))
-    method = F.split_part(F.col("asked.first"), F.lit(" "), F.lit(1))
+    said = F.split_part(F.col("told.first"), F.lit(" "), F.lit(2))
+    status = F.coalesce(F.nullif(F.col("status").try_cast("int"), F.lit(0)), F.when(F.col("told").isNotNull(), _sure(said.try_cast("int"), said.rlike("^[0-9]+$"), "no status line")), F.lit(0))
+    words = F.split(F.col("asked.first"), " +")
+    method = _sure(words[0], F.size(words) >= 2, "no request line")
     return _records(
         rows.select(
             "seq",
@@ -136,7 +181,9 @@ def read_burp(spark: SparkSession, path: str) -> DataFrame:
 def flow_url(scheme: Column, host: Column, port: Column, path: Column) -> Column:
     """The URL of a flow, its default port left out."""
     plain = ((scheme == "https") & (port == 443)) | ((scheme == "http") & (port == 80))
-    return F.concat(scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), port.cast("string"))), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)))
+    bare, query = F.substring_index(path, "?", 1), F.regexp_replace(path, r"(?s)\A[^?]*", "")
+    fine = F.when(U.unescape(bare).isNotNull(), bare).otherwise(F.replace(bare, F.lit("%"), F.lit("%25")))  # a path that cannot be decoded stands for itself
+    return F.concat(scheme, F.lit("://"), host, F.when(plain, "").otherwise(F.concat(F.lit(":"), port.cast("string"))), F.when(bare.startswith("/"), fine).otherwise(F.concat(F.lit("/"), fine)), query)
 
 
 def is_host(host: Column) -> Column:
@@ -167,12 +214,31 @@ def flows_to_exchanges(flows: DataFrame) -> DataFrame:
 def read_mitmproxy_json(spark: SparkSession, path: str) -> DataFrame:
     """Flows as a JSON array or a single object."""
     check_size(spark, path, MAX_IMPORT)
+    return mitmproxy_documents(spark.read.text(path, wholetext=True))
+
+
+def mitmproxy_documents(texts: DataFrame) -> DataFrame:
+    """Exchanges of flows in JSON, an array or an object a row in the column ``value``."""
     text = F.trim("value")
     whole = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(_sure(text, text.startswith("["), "neither a JSON array nor an object"))
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json(whole, f"array<struct<{_ddl(_MITM)}>>", {"mode": "FAILFAST"})).alias("seq", "x"))
+    rows = texts.select(F.posexplode(F.from_json(whole, f"array<struct<{_ddl(_MITM)}>>", {"mode": "FAILFAST"})).alias("seq", "x"))
     return flows_to_exchanges(rows.select("seq", "x.*"))
 
 
+def read_mitmproxy(spark: SparkSession, path: str) -> DataFrame:
+    """Flows in JSON or as native dumps, by the first byte of the files that is no white space; files of a path are of one kind."""
+    from quillspan.sources.mitm import read_mitmproxy_native
+
+    check_size(spark, path, MAX_IMPORT)
+    head = F.ltrim(F.decode(F.substring("content", 1, 1024), "ISO-8859-1"), F.lit(" \t\r\n"))
+    kinds = {r[0] for r in spark.read.format("binaryFile").load(path).select(F.left(head, F.lit(1))).distinct().limit(3).collect()}
+    if kinds and kinds <= {"[", "{"}:
+        return read_mitmproxy_json(spark, path)
+    if kinds and all(k.isdigit() for k in kinds):
+        return read_mitmproxy_native(spark, path)
+    raise ValueError(f"{path}: neither JSON nor a native dump: {sorted(kinds)}")
+
+
 def in_scope(url: Column, scope: str) -> Column:
     """Exactly the host, or ``*.domain`` with the domain itself; an empty scope takes all."""
     if not scope:
@@ -184,9 +250,7 @@ def in_scope(url: Column, scope: str) -> Column:
 
 def read(spark: SparkSession, kind: str, path: str, scope: str = "", max_entries: int | None = None) -> DataFrame:
     """Exchanges of a file by the name of its format; too many entries fail before the scope is applied."""
-    from quillspan.sources.mitm import read_mitmproxy_native
-
-    readers = {"capture": read_capture, "burp": read_burp, "har": read_har, "mitmproxy": read_mitmproxy_json, "mitmproxy-native": read_mitmproxy_native}
+    readers = {"capture": read_capture, "burp": read_burp, "har": read_har, "mitmproxy": read_mitmproxy}
     if kind not in readers:
         raise ValueError(f"unknown format {kind!r}; known are {', '.join(sorted(readers))}")
     rows = readers[kind](spark, path)
