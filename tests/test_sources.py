@@ -19,7 +19,12 @@ def test_capture(spark, tmp_path):
     rows = readers.read(spark, "capture", put(tmp_path, "c.json", json.dumps([one, one | {"url": "https://b.example/"}]))).orderBy("seq").collect()
     assert [r.seq for r in rows] == [0, 1] and bytes(rows[0].response.body) == b"hi" and rows[0].headers == {"Accept": "x"}
     readers.write_capture(readers.read_capture(spark, str(tmp_path / "c.json")), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    back = readers.read_capture(spark, str(tmp_path / "out"))
+    assert sorted(map(str, back.collect())) == sorted(map(str, readers.read_capture(spark, str(tmp_path / "c.json")).collect()))
+    readers.write_capture(back.filter("1 = 0"), str(tmp_path / "none"))
+    assert readers.read_capture(spark, str(tmp_path / "none")).count() == 0
+    readers.write_capture(back, str(tmp_path / "lines"), lines=True)
+    assert spark.read.json(str(tmp_path / "lines")).count() == 2
 
 
 def test_har(spark, tmp_path):
@@ -65,13 +70,17 @@ FLOW = {"type": "http", "request": {"method": b"GET", "scheme": b"https", "host"
 
 def test_mitmproxy(spark, tmp_path):
     data = tnet(FLOW) + tnet({"type": "tcp"}) + tnet(FLOW | {"response": None})
-    rows = readers.read(spark, "mitmproxy-native", put(tmp_path, "m.mitm", data)).orderBy("seq").collect()
+    rows = readers.read(spark, "mitmproxy", put(tmp_path, "m.mitm", data)).orderBy("seq").collect()
     assert [r.url for r in rows] == ["https://m.example/a?x=1"] * 2 and rows[0].response.content_type == "text/html" and rows[1].response.status_code is None
     plain = {"request": {"method": "get", "scheme": "http", "host": "j.example", "port": 8080, "path": "/", "headers": [["A", "b"]], "content": None}, "response": {"status_code": 404, "headers": [], "content": None}}
     for name, value in (("one.json", plain), ("many.json", [plain])):
         assert readers.read(spark, "mitmproxy", put(tmp_path, name, json.dumps(value))).first().url == "http://j.example:8080/"
     with pytest.raises(ValueError):
         mitm.decode(b"5:abc,")
+    with pytest.raises(ValueError, match="neither JSON"):
+        readers.read(spark, "mitmproxy", put(tmp_path, "x.mitm", "  <xml/>"))
+    odd = {"request": plain["request"] | {"path": "/a%zz?x=%41", "port": 80}}
+    assert readers.read(spark, "mitmproxy", put(tmp_path, "odd.json", json.dumps(odd))).first().url == "http://j.example/a%25zz?x=%41"
 
 
 def test_unknown_format(spark):
