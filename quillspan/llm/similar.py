@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -30,7 +31,7 @@ WORDS = 5
 #: The least similarity, as a fraction.
 NUM, DEN = 4, 5
 #: Each further comparison reaches so many times as far.
-REACH = 4
+REACH = 8
 #: Ranges of a sketch, bits of the map of ids whose runs are fetched.
 RANGES, MAP_BITS = 64, 23
 #: Counts of runs are kept for so many bits of their hashes: two megabytes, whatever the input.
@@ -62,8 +63,8 @@ def run_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
 
     out = np.zeros(1 << COUNT_BITS, np.int64)
-    for row in docs.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
-        out[row["slot"]] = row["n"]
+    found = docs.select(text_col).mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -119,12 +120,16 @@ def _mapped(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """Documents whose id may be among ``ids``: a map of 2^23 bits, which passes more than it need where it fills up, is all that goes around."""
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
     words = ids.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table = np.zeros(1 << MAP_BITS - 6, np.int64)
-    for r in words.collect():
-        table[r["word"]] = r["bits"]
-    mine = F.pmod(F.xxhash64(id_col), F.lit(1 << MAP_BITS))
-    byte = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), F.floor(mine / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return docs.filter(F.getbit(byte, (mine % 8).cast("int")) == 1)
+    table, found = np.zeros(1 << MAP_BITS - 6, np.int64), words.toArrow()
+    table[found["word"].to_numpy()] = found["bits"].to_numpy()
+    held = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def among(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy()
+        return pd.Series((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return docs.filter(among(F.pmod(F.xxhash64(id_col), F.lit(1 << MAP_BITS))))
 
 
 def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
