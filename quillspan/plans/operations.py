@@ -218,3 +218,16 @@ edges AS (SELECT DISTINCT {_PLAIN.format("url")} AS source, {_PLAIN.format("link
 seeds AS (SELECT min({_PLAIN.format("url")}) AS url FROM pages GROUP BY lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1))),
 reached(url, depth) AS (SELECT url, 0 FROM seeds UNION SELECT target, depth + 1 FROM reached JOIN edges ON source = url WHERE depth < 2)
 SELECT url, min(depth)::INTEGER AS depth FROM reached GROUP BY url"""
+
+_PAIR = "name || ':' || CASE WHEN type = '' THEN 'unknown' ELSE type END"
+_MATCH = "[.](action|html|aspx|json|php|asp|jsp|mvc|htm|xml|do)$"
+ORACLES["schema_components"] = f"""WITH f AS (SELECT template, method, origin, 'request' AS place, media AS key, string_agg({_PAIR}, ',' ORDER BY {_PAIR}) AS fp FROM ({ORACLES["body_schemas"]}) WHERE name <> '' GROUP BY ALL
+  UNION ALL SELECT template, method, origin, 'response', status, string_agg({_PAIR}, ',' ORDER BY {_PAIR}) FROM ({ORACLES["response_schemas"]}) WHERE name <> '' AND status <> '204' GROUP BY ALL),
+c AS (SELECT *, list_aggregate(list_transform(string_split_regex(regexp_replace(coalesce(list_filter(string_split(template, '/'), lambda s: s <> '' AND NOT starts_with(s, '{{'))[-1], ''), '{_MATCH}', '', 'i'), '[^A-Za-z0-9]+'), lambda w: upper(left(w, 1)) || substr(w, 2)), 'string_agg', '') AS camel FROM f),
+r AS (SELECT *, CASE WHEN camel = '' THEN 'Resource' WHEN regexp_matches(camel, '^[0-9]') THEN 'Resource' || camel WHEN ends_with(camel, 'ies') THEN left(camel, len(camel) - 3) || 'y' WHEN ends_with(camel, 'sses') THEN left(camel, len(camel) - 2)
+  WHEN regexp_matches(camel, '[^s]s$') THEN left(camel, len(camel) - 1) ELSE camel END AS resource, list_position(['post', 'put', 'patch', 'get', 'delete', 'head', 'options'], method) AS rank FROM c),
+n AS (SELECT *, CASE WHEN place = 'request' THEN CASE method WHEN 'post' THEN 'Create' ELSE 'Update' END || resource || 'Request' ELSE resource || CASE key WHEN '200' THEN 'Response' WHEN '201' THEN 'CreatedResponse' WHEN '404' THEN 'NotFoundResponse' ELSE key || 'Response' END END AS name,
+  (template, rank, place, key, origin) AS place_in_order FROM r),
+firsts AS (SELECT place, fp, arg_min(name, place_in_order) AS name, min(place_in_order) AS o FROM n GROUP BY ALL),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o) AS k FROM firsts)
+SELECT template, method, origin, n.place, n.key, numbered.name || CASE WHEN k > 1 THEN k::STRING ELSE '' END AS component FROM n JOIN numbered USING (place, fp)"""
