@@ -165,3 +165,21 @@ def fill_from_bindings(rows: DataFrame, bindings: DataFrame) -> DataFrame:
     missing = known.join(rows.select("service").distinct(), "service", "left_anti").crossJoin(F.broadcast(last))  # one row
     number = F.col("last") + F.row_number().over(Window.orderBy("service"))
     return filled.unionByName(missing.select(number.alias("seq"), "service", F.col("bound").alias("methods")))
+
+
+def descriptor_closure(imports: DataFrame, roots: DataFrame, most: int = 1000, rounds: int = 64) -> DataFrame:
+    """(root, file, depth): the files that descriptors import, directly or through others, nearest first and ``most`` of each root.
+
+    imports: (file, dependency); roots: (root, file). Each level is joined to the imports and leaves out what was seen;
+    it is written out, so plans stay short. Cycles end.
+    """
+    seen = roots.select("root", "file", F.lit(0).alias("depth")).distinct().checkpoint()
+    level = seen
+    for depth in range(1, rounds + 1):
+        reached = level.select("root", "file").join(imports, "file").select("root", F.col("dependency").alias("file")).distinct()
+        level = reached.join(seen, ["root", "file"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
+    place = F.row_number().over(Window.partitionBy("root").orderBy("depth", "file"))
+    return seen.withColumn("place", place).filter(F.col("place") <= most).drop("place")

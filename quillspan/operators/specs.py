@@ -2,29 +2,62 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.functions import headers as H
 from quillspan.functions import url as U
-from quillspan.operators.soap import operation_name, xsd_type
+from quillspan.operators.soap import body_child, operation_name, xsd_type
 
 # GraphQL's own scalars, and what makes two types alike.
 SCALARS = ("String", "Int", "Float", "Boolean", "ID")
 SHARED_FIELDS, SHARED_PART = 3, 0.5
 
 
+_LEAF = r"<(?:[A-Za-z0-9_\-]+:)?([A-Za-z_][A-Za-z0-9_.\-]*)((?:\s[^>]*?)?)(?:/>|>([^<]*)</)"
+
+
 def soap_parameters(rows: DataFrame) -> DataFrame:
-    """(operation, name, type, ord): leaf elements of SOAP bodies; the first typed observation decides, in the order in which names come up."""
-    leaf = F.regexp_extract_all(H.body_text(F.col("body")), F.lit(r"<(?:[A-Za-z0-9_\-]+:)?([A-Za-z_][A-Za-z0-9_.\-]*)(?:\s[^>]*)?>([^<]*)</"), F.lit(1))
-    value = F.regexp_extract_all(H.body_text(F.col("body")), F.lit(r"<(?:[A-Za-z0-9_\-]+:)?([A-Za-z_][A-Za-z0-9_.\-]*)(?:\s[^>]*)?>([^<]*)</"), F.lit(2))
+    """(operation, name, type, ord): leaf elements of SOAP bodies; the first typed observation decides, in the order in which names come up.
+
+    An element's ``xsi:type`` goes before what its text looks like; of it the local name counts.
+    """
+    body = H.body_text(F.col("body"))
+    leaves = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(_LEAF), F.lit(g)).alias(n) for n, g in (("name", 1), ("given", 2), ("value", 3))])
     named = rows.withColumn("operation", operation_name()).filter(F.col("operation").isNotNull())
-    seen = named.select("operation", "seq", F.posexplode(F.arrays_zip(leaf.alias("name"), value.alias("value"))).alias("pos", "leaf")).select("operation", "seq", "pos", "leaf.name", "leaf.value")
-    kind = F.when(F.trim("value") != "", xsd_type(F.col("value")))
+    seen = named.select("operation", "seq", body_child(body).alias("child"), F.posexplode(leaves).alias("pos", "leaf")).select("operation", "seq", "pos", "leaf.name", "leaf.given", "leaf.value", "child").filter("name <> child")
+    declared = F.nullif(F.regexp_extract("given", r"""\b(?:xsi:)?type\s*=\s*["'](?:[^"':]*:)?([^"']+)["']""", 1), F.lit(""))
+    kind = F.coalesce(F.concat(F.lit("xsd:"), declared), F.when(F.trim("value") != "", xsd_type(F.col("value"))))
     order = F.struct(kind.isNull(), "seq", "pos")
     return seen.groupBy("operation", "name").agg(F.coalesce(F.min_by(kind, order), F.lit("xsd:string")).alias("type"), F.min(F.struct("seq", "pos")).alias("ord"))
 
 
+def soap_services(rows: DataFrame) -> DataFrame:
+    """(location, service, namespace, calls): SOAP endpoints by address without query: named by the last segment, in the namespace that most of their calls' elements declare."""
+    body = F.regexp_replace(H.body_text(F.col("body")), r"(?s)<!--.*?-->", "")
+    child = F.regexp_extract(body, r"(?s)<(?:[\w\-]+:)?Body(?:\s[^>]*)?>\s*(<[^>]*>)", 1)
+    prefix = F.regexp_extract(child, r"^<(?:([\w\-]+):)?", 1)
+    declaration = F.when(prefix == "", F.lit("xmlns")).otherwise(F.concat(F.lit("xmlns:"), prefix))
+    pairs = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(r"""(xmlns(?::[\w\-]+)?)\s*=\s*["']([^"']*)["']"""), F.lit(g)).alias(n) for n, g in (("name", 1), ("space", 2))])
+    space = F.try_element_at(F.filter(pairs, lambda p: p["name"] == declaration), F.lit(-1))["space"]
+    calls = rows.withColumn("operation", operation_name()).filter(F.col("operation").isNotNull())
+    counted = calls.select(F.substring_index("url", "?", 1).alias("location"), F.when(child != "", space).alias("space")).groupBy("location", "space").agg(F.count("*").alias("n"))
+    most = F.max_by("space", F.when(F.col("space").isNotNull(), F.struct("n", "space")))
+    name = F.regexp_replace(F.element_at(F.split(F.col("location"), "/"), -1), r"\.[A-Za-z0-9]+\z", "")
+    service = F.when(name == "", "Service").otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name))))
+    found = counted.groupBy("location").agg(most.alias("space"), F.sum("n").alias("calls"))
+    return found.select("location", service.alias("service"), F.coalesce("space", F.concat(F.lit("urn:"), service)).alias("namespace"), "calls")
+
+
+def wsdl_operations(documents: DataFrame, key: str, body_col: str = "body") -> DataFrame:
+    """(key, operation): what the port types of recorded WSDL documents declare."""
+    text = F.regexp_replace(H.body_text(F.col(body_col)), r"(?s)<!--.*?-->", "")
+    ports = F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)<(?:[\w\-]+:)?portType\b[^>]*>(.*?)</(?:[\w\-]+:)?portType\s*>"), F.lit(1)), "")
+    return documents.select(key, F.explode(F.regexp_extract_all(ports, F.lit(r"""<(?:[\w\-]+:)?operation\s[^>]*?\bname\s*=\s*["']([^"']+)["']"""), F.lit(1))).alias("operation")).distinct()
+
+
 def render_wsdl(parameters: DataFrame) -> DataFrame:
     """(operation, wsdl): the element and port operation of each SOAP operation."""
     element = F.format_string('<xsd:element name="%s" type="%s"/>', "name", "type")
@@ -34,6 +67,27 @@ def render_wsdl(parameters: DataFrame) -> DataFrame:
     return listed.select("operation", F.concat(body, port).alias("wsdl"))
 
 
+def wsdl_document(parameters: DataFrame, service: str, namespace: str, location: str) -> DataFrame:
+    """One row: the WSDL of a service by its operations' parameters, as far as operations go the size of an interface."""
+    lines = parameters.groupBy("operation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.format_string('<xsd:element name="%s" type="%s"/>', "name", "type").alias("e")))), lambda x: x["e"]), "").alias("elements"))
+    o = F.col("operation")
+    parts = {
+        "types": F.format_string('<xsd:element name="%s"><xsd:complexType><xsd:sequence>%s</xsd:sequence></xsd:complexType></xsd:element><xsd:element name="%sResponse"><xsd:complexType/></xsd:element>', o, "elements", o),
+        "messages": F.format_string('<message name="%sRequest"><part name="parameters" element="tns:%s"/></message><message name="%sResponse"><part name="parameters" element="tns:%sResponse"/></message>', o, o, o, o),
+        "port": F.format_string('<operation name="%s"><input message="tns:%sRequest"/><output message="tns:%sResponse"/></operation>', o, o, o),
+        "binding": F.format_string('<operation name="%s"><soap:operation soapAction="%s"/><input><soap:body use="literal"/></input><output><soap:body use="literal"/></output></operation>', o, F.concat(F.lit(namespace.rstrip("/") + "/"), o)),
+    }
+    one = lines.agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("operation", text.alias("t")))), lambda x: x["t"]), "").alias(name) for name, text in parts.items()])
+    head = f'<definitions name="{service}" targetNamespace="{namespace}" xmlns="http://schemas.xmlsoap.org/wsdl/" xmlns:soap="http://schemas.xmlsoap.org/wsdl/soap/" xmlns:tns="{namespace}" xmlns:xsd="http://www.w3.org/2001/XMLSchema">'
+    tail = f'<service name="{service}"><port name="{service}Port" binding="tns:{service}Binding"><soap:address location="{location}"/></port></service></definitions>'
+    return one.select(
+        F.concat(
+            F.lit(f'{head}<types><xsd:schema targetNamespace="{namespace}">'), "types", F.lit("</xsd:schema></types>"), "messages",
+            F.lit(f'<portType name="{service}PortType">'), "port", F.lit(f'</portType><binding name="{service}Binding" type="tns:{service}PortType"><soap:binding style="document" transport="http://schemas.xmlsoap.org/soap/http"/>'), "binding", F.lit(f"</binding>{tail}"),
+        ).alias("wsdl")
+    )
+
+
 def grpc_services(rows: DataFrame) -> DataFrame:
     """(service, method, first_seq) of the paths of gRPC calls."""
     path = U.path(F.col("url"))
@@ -64,11 +118,17 @@ def graphql_operations(rows: DataFrame) -> DataFrame:
     return seen.filter(F.col("fine") & (F.col("field") != "")).groupBy("kind", "name", "field").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"))
 
 
-_TYPE = "struct<kind:string,name:string,ofType:struct<kind:string,name:string,ofType:struct<kind:string,name:string,ofType:struct<kind:string,name:string>>>>"
-INTROSPECTION = f"struct<data:struct<__schema:struct<types:array<struct<kind:string,name:string,fields:array<struct<name:string,type:{_TYPE}>>,inputFields:array<struct<name:string,type:{_TYPE}>>,enumValues:array<struct<name:string>>,possibleTypes:array<struct<name:string>>>>>>>"
+#: How many wrappers of a type reference are read.
+WRAPPERS = 7
+_TYPE = functools.reduce(lambda inner, _: f"struct<kind:string,name:string,ofType:{inner}>", range(WRAPPERS), "struct<kind:string,name:string>")
+_VALUE = f"struct<name:string,type:{_TYPE}>"
+INTROSPECTION = (
+    f"struct<data:struct<__schema:struct<queryType:struct<name:string>,mutationType:struct<name:string>,subscriptionType:struct<name:string>,types:array<struct<kind:string,name:string,"
+    f"fields:array<struct<name:string,args:array<{_VALUE}>,type:{_TYPE}>>,inputFields:array<{_VALUE}>,interfaces:array<struct<name:string>>,enumValues:array<struct<name:string>>,possibleTypes:array<struct<name:string>>>>>>>"
+)
 
 
-def _shown(t: Column, depth: int = 3) -> Column:
+def _shown(t: Column, depth: int = WRAPPERS) -> Column:
     """A type reference in SDL: ``T``, ``T!``, ``[T]``."""
     if not depth:
         return t["name"]
@@ -77,41 +137,53 @@ def _shown(t: Column, depth: int = 3) -> Column:
 
 
 def introspection_sdl(answers: DataFrame, text_col: str = "answer") -> DataFrame:
-    """(name, sdl): the types of recorded introspection answers, in SDL; built-in types left out, fields in order."""
-    types = answers.select(F.explode(F.from_json(text_col, INTROSPECTION)["data"]["__schema"]["types"]).alias("t")).select("t.*")
-    own = types.filter(~F.col("name").startswith("__") & ~F.col("name").isin(*SCALARS)).dropDuplicates(["name"])
-    line = lambda f: F.concat(F.lit("  "), f["name"], F.lit(": "), _shown(f["type"]), F.lit("\n"))
-    block = lambda word, items: F.concat(F.lit(word + " "), "name", F.lit(" {\n"), F.array_join(F.array_sort(items), ""), F.lit("}\n"))
+    """(name, sdl): the types of recorded introspection answers, in SDL; built-in types left out, fields in order, and a ``schema`` block of the roots."""
+    said = answers.select(F.from_json(text_col, INTROSPECTION)["data"]["__schema"].alias("s"))
+    own = said.select(F.explode("s.types").alias("t")).select("t.*").filter(~F.col("name").startswith("__") & ~F.col("name").isin(*SCALARS)).dropDuplicates(["name"])
+    value = lambda v: F.concat(v["name"], F.lit(": "), _shown(v["type"]))
+    given = lambda f: F.when(F.size(f["args"]) > 0, F.concat(F.lit("("), F.array_join(F.transform(f["args"], value), ", "), F.lit(")"))).otherwise("")
+    line = lambda f: F.concat(F.lit("  "), f["name"], given(f), F.lit(": "), _shown(f["type"]), F.lit("\n"))
+    names = F.array_join(F.array_sort(F.transform("interfaces", lambda i: i["name"])), " & ")
+    implements = F.when(F.size("interfaces") > 0, F.concat(F.lit(" implements "), names)).otherwise("")
+    block = lambda word, items: F.concat(F.lit(word + " "), "name", implements, F.lit(" {\n"), F.array_join(F.array_sort(items), ""), F.lit("}\n"))
     sdl = (
         F.when(F.col("kind") == "OBJECT", block("type", F.transform("fields", line)))
         .when(F.col("kind") == "INTERFACE", block("interface", F.transform("fields", line)))
-        .when(F.col("kind") == "INPUT_OBJECT", block("input", F.transform("inputFields", line)))
+        .when(F.col("kind") == "INPUT_OBJECT", block("input", F.transform("inputFields", lambda v: F.concat(F.lit("  "), value(v), F.lit("\n")))))
         .when(F.col("kind") == "ENUM", block("enum", F.transform("enumValues", lambda v: F.concat(F.lit("  "), v["name"], F.lit("\n")))))
         .when(F.col("kind") == "UNION", F.concat(F.lit("union "), "name", F.lit(" = "), F.array_join(F.array_sort(F.transform("possibleTypes", lambda p: p["name"])), " | "), F.lit("\n")))
         .otherwise(F.concat(F.lit("scalar "), "name", F.lit("\n")))
     )
-    return own.select("name", sdl.alias("sdl"))
+    root = lambda word: F.when(F.col(f"s.{word}Type.name").isNotNull(), F.concat(F.lit(f"  {word}: "), F.col(f"s.{word}Type.name"), F.lit("\n"))).otherwise("")
+    roots = said.filter("s.queryType.name IS NOT NULL").select(F.lit("schema").alias("name"), F.concat(F.lit("schema {\n"), root("query"), root("mutation"), root("subscription"), F.lit("}\n")).alias("sdl")).distinct()
+    return own.select("name", sdl.alias("sdl")).union(roots)
 
 
 def like_types(fields: DataFrame) -> DataFrame:
     """(type, representative): types that share at least three fields and half of all they have, and chains of such.
 
-    fields: (type, field). Types are joined on fields; a field of more than a thousand types says nothing about
-    likeness by itself, but is counted once two types meet on another. The components are found by passing
-    the least name along links until nothing changes; each round is written out.
+    fields: (type, field). Types of which one has n fields can only be alike if they share one of the first n - n/2 + 1 of
+    each in the order of rarity, so types meet on those alone and a field that all have brings none together; what they
+    share is counted then. The components are found by passing the least name along links until nothing changes, a
+    chain of n types in about log n rounds since names jump; each round is written out.
     """
-    size = fields.distinct().groupBy("type").agg(F.count("*").alias("n"))
     f = fields.distinct()
-    a, b = f.select(F.col("type").alias("a"), "field"), f.select(F.col("type").alias("b"), "field")
-    shared = a.join(b, "field").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    sized = shared.join(size.select(F.col("type").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("type").alias("b"), F.col("n").alias("nb")), "b")
-    links = sized.filter((F.col("both") >= SHARED_FIELDS) & (F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) >= SHARED_PART)).select("a", "b")
+    rarity = f.groupBy("field").agg(F.count("*").alias("types"))
+    listed = f.join(rarity, "field").groupBy("type").agg(F.array_sort(F.collect_list(F.struct("types", "field"))).alias("all"))
+    sets = listed.select("type", F.transform("all", lambda x: x["field"]).alias("fields"), F.size("all").alias("n")).checkpoint()
+    first = sets.select("type", F.explode(F.slice("fields", F.lit(1), F.col("n") - F.ceil(F.col("n") * SHARED_PART).cast("int") + 1)).alias("field"))
+    pairs = first.withColumnRenamed("type", "a").join(first.withColumnRenamed("type", "b"), "field").filter("a < b").select("a", "b").distinct()
+    one, two = (sets.select(F.col("type").alias(c), F.col("fields").alias(f"f{c}")) for c in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b").withColumns({"both": F.size(F.array_intersect("fa", "fb")), "either": F.size(F.array_union("fa", "fb"))})
+    links = both.filter((F.col("both") >= SHARED_FIELDS) & (F.col("both") / F.col("either") >= SHARED_PART)).select("a", "b")
     both_ways = links.union(links.select("b", "a")).checkpoint()
-    label = size.select("type", F.col("type").alias("representative")).checkpoint()
+    label = sets.select("type", F.col("type").alias("representative")).checkpoint()
     while True:
         told = both_ways.join(label, both_ways["b"] == label["type"]).groupBy("a").agg(F.min("representative").alias("least"))
-        after = label.join(told, label["type"] == told["a"], "left").select("type", F.least("representative", F.coalesce("least", "representative")).alias("representative")).checkpoint()
-        changed = after.join(label.withColumnRenamed("representative", "old"), "type").filter("old <> representative").isEmpty()
+        heard = label.join(told, label["type"] == told["a"], "left").select("type", F.least("representative", F.coalesce("least", "representative")).alias("heard"))
+        jump = label.select(F.col("type").alias("at"), F.col("representative").alias("beyond"))
+        after = heard.join(jump, heard["heard"] == jump["at"]).select("type", F.least("heard", "beyond").alias("representative")).checkpoint()
+        same = after.join(label.withColumnRenamed("representative", "old"), "type").filter("old <> representative").isEmpty()
         label = after
-        if changed:
+        if same:
             return label
