@@ -344,9 +344,9 @@ def test_enrichment_asks_for_every_url(spark):
 
 
 def test_introspection(spark):
-    schema = {"types": [{"kind": "OBJECT", "name": "User", "fields": [{"name": "tags", "type": {"kind": "LIST", "ofType": {"kind": "NON_NULL", "ofType": {"kind": "SCALAR", "name": "String"}}}}, {"name": "id", "type": {"kind": "NON_NULL", "ofType": {"kind": "SCALAR", "name": "ID"}}}]}, {"kind": "ENUM", "name": "E", "enumValues": [{"name": "B"}, {"name": "A"}]}, {"kind": "SCALAR", "name": "String"}, {"kind": "OBJECT", "name": "__Type"}]}
+    schema = {"queryType": {"name": "User"}, "types": [{"kind": "OBJECT", "name": "User", "interfaces": [{"name": "Node"}], "fields": [{"name": "tags", "args": [{"name": "n", "type": {"kind": "NON_NULL", "ofType": {"kind": "SCALAR", "name": "Int"}}}], "type": {"kind": "LIST", "ofType": {"kind": "NON_NULL", "ofType": {"kind": "SCALAR", "name": "String"}}}}, {"name": "id", "type": {"kind": "NON_NULL", "ofType": {"kind": "SCALAR", "name": "ID"}}}]}, {"kind": "ENUM", "name": "E", "enumValues": [{"name": "B"}, {"name": "A"}]}, {"kind": "SCALAR", "name": "String"}, {"kind": "OBJECT", "name": "__Type"}]}
     rows = spark.createDataFrame([(json.dumps({"data": {"__schema": schema}}),)], "answer string")
-    assert {r.name: r.sdl for r in specs.introspection_sdl(rows).collect()} == {"User": "type User {\n  id: ID!\n  tags: [String!]\n}\n", "E": "enum E {\n  A\n  B\n}\n"}
+    assert {r.name: r.sdl for r in specs.introspection_sdl(rows).collect()} == {"schema": "schema {\n  query: User\n}\n", "User": "type User implements Node {\n  id: ID!\n  tags(n: Int!): [String!]\n}\n", "E": "enum E {\n  A\n  B\n}\n"}
 
 
 def test_stream_equals_batch(spark, tmp_path):
