@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once: within a lambda an expression is computed for every element, a lambda's argument is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def settle(rows: DataFrame, **columns: Column) -> DataFrame:
     """Rows with further columns. They pass through a generator, which keeps Catalyst from copying their expressions into filters and into every column that reads them."""
     return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

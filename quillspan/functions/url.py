@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspan.functions.rows import let
+
 _URL = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?\z"
 _HOST = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:\[\]]*)(?::([0-9]*))?\z"
 
@@ -100,10 +102,14 @@ def query_pairs(url: Column) -> Column:
 
 def query_params(url: Column, max_values: int = 256, max_keys: int = 512) -> Column:
     """map(name, values in order) of an absolute URL: the first values of each name, the first names in order."""
-    pairs = query_pairs(url)
-    names = F.slice(F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"]))), 1, max_keys)
-    values = F.transform(names, lambda n: F.slice(F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["value"]), 1, max_values))
-    return F.when(scheme(url) != "", F.map_from_arrays(names, values))
+
+    def grouped(pairs: Column) -> Column:
+        names = F.slice(F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"]))), 1, max_keys)
+        values = lambda n: F.slice(F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["value"]), 1, max_values)
+        return F.map_from_entries(F.transform(names, lambda n: F.struct(n, values(n))))
+
+    none = F.create_map().cast("map<string,array<string>>")
+    return F.when(scheme(url) != "", F.when(raw_query(url) == "", none).otherwise(let(query_pairs(url), grouped)))
 
 
 # Networks that are nobody's in public, as first and last address of four bytes, and what stands for an address with credentials.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import headers as H
 from quillspan.functions import url as U
+from quillspan.functions.rows import let
 from quillspan.operators.mining import enrich_by_url
 
 # Bounds of what a probe's schema shows, and the shapes of services' names in a gateway's document.
@@ -149,9 +150,10 @@ def grpc_bindings(scripts: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return F.transform(inner, lambda y: shape(x["s"], y["m"], y["i"], y["o"], y["k"].isin("ClientStreaming", "BiDiStreaming"), y["k"].isin("ServerStreaming", "BiDiStreaming")))
 
     two = F.flatten(F.transform(every(service, {"s": 1, "b": 2}), of_service))
-    owners = F.map_from_entries(F.transform(F.array_distinct(F.transform(every(owner, {"x": 1, "s": 2}), lambda x: x["x"])), lambda x: F.struct(x, F.try_element_at(F.filter(every(owner, {"x": 1, "s": 2}), lambda y: y["x"] == x), F.lit(1))["s"])))
     true = lambda c: c.isin("true", "!0")
-    three = F.transform(every(stub, {"x": 1, "m": 2, "c": 3, "r": 4, "i": 5, "o": 6}), lambda x: shape(F.try_element_at(owners, x["x"]), x["m"], x["i"], x["o"], true(x["c"]), true(x["r"])))
+    whose = lambda x, owners: F.try_element_at(F.filter(owners, lambda y: y["x"] == x["x"]), F.lit(1))["s"]
+    stubs = every(stub, {"x": 1, "m": 2, "c": 3, "r": 4, "i": 5, "o": 6})
+    three = let(every(owner, {"x": 1, "s": 2}), lambda owners: F.transform(stubs, lambda x: shape(whose(x, owners), x["m"], x["i"], x["o"], true(x["c"]), true(x["r"]))))
     found = scripts.select(F.col(id_col).alias("seq"), F.posexplode(F.concat(one, two, three)).alias("pos", "b")).select("seq", "pos", "b.*").filter("service IS NOT NULL")
     first = F.min_by(F.struct("input_type", "output_type", "client_streaming", "server_streaming"), F.struct("seq", "pos")).alias("d")
     return found.groupBy("service", "method").agg(first, F.min("seq").alias("first_seq")).select("service", "method", "d.*", "first_seq")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
+from quillspan.functions.rows import let
 
 # What marks a path as an API's, what a path is written with, static files, what stands for an operand that is no literal, and bounds.
 INDICATOR = r"(?:api/|v[1-9][0-9]*/|rest/|rpc/|graphql)"
@@ -104,10 +105,19 @@ def service_prefixes(script: Column, most: int = MAX_PREFIXES) -> Column:
     """Prefixes (``identity/``) of services: those joined to an API path by a plus sign, then short literals by falling frequency and name, up to ``most`` in all."""
     joined = F.array_distinct(F.regexp_extract_all(script, F.lit(r"""["']([a-zA-Z][a-zA-Z0-9_-]{1,30}/)["']\s*\+\s*["']""" + INDICATOR), F.lit(1)))
     alone = F.filter(F.regexp_extract_all(script, F.lit(r"""["']([a-z][a-z0-9_-]{1,30}/)["']"""), F.lit(1)), lambda p: ~p.rlike("(?i)" + INDICATOR))
-    new = F.array_except(alone, joined)
-    ranked = F.array_sort(F.transform(new, lambda p: F.struct((-F.size(F.filter(alone, lambda q: q == p))).alias("n"), p.alias("prefix"))))
-    room = F.greatest(F.lit(0), F.lit(most) - F.size(joined))
-    return F.concat(joined, F.transform(F.slice(ranked, F.lit(1), room), lambda r: r["prefix"]))
+
+    def ranked(names: Column) -> Column:
+        """(-n, prefix) of sorted names, best first: a run of equal names begins where one differs from the one before."""
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(names), F.lit(1))), lambda i: (i <= F.size(names)) & ((i == 1) | (F.get(names, i - 1) != F.get(names, F.greatest(i - 2, F.lit(0))))))
+        ends = lambda starts: F.transform(starts, lambda at, j: F.struct((at - F.coalesce(F.get(starts, j + 1), F.size(names) + 1)).alias("n"), F.get(names, at - 1).alias("prefix")))
+        return F.array_sort(let(starts, ends))
+
+    def chosen(joined: Column) -> Column:
+        room = F.greatest(F.lit(0), F.lit(most) - F.size(joined))
+        others = F.filter(let(F.array_sort(alone), ranked), lambda r: ~F.array_contains(joined, r["prefix"]))
+        return F.concat(joined, F.transform(F.slice(others, F.lit(1), room), lambda r: r["prefix"]))
+
+    return let(joined, chosen)
 
 
 def is_static_file(path: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.rows import let
+
 # Words that are never parameters, words that only scaffold a path, and the bound of the fixed point.
 KNOWN_LITERALS = ("me", "current", "self", "new", "list", "search")
 SCAFFOLD = r"^(api|apis|rest|v[1-9][0-9]*)\z"
@@ -51,16 +53,17 @@ def named_template(parts: Column, kinds: Column) -> Column:
         tail = F.when(kind == TOKEN, "Token").when(kind == SLUG, "Slug").otherwise("Id")
         return F.when(word == "", F.lower(tail)).otherwise(camel(F.concat(singular(word), tail)))
 
-    names = F.transform(kinds, lambda k, i: F.when(k != LITERAL, name(k, i)))
-    count = lambda n, i: F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda m: m == n))
-    shown = F.transform(names, lambda n, i: F.when(count(n, i) > 1, F.concat(n, count(n, i).cast("string"))).otherwise(n))
+    def numbered(names: Column) -> Column:
+        count = lambda n, i: F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda m: m == n))
+        return F.transform(names, lambda n, i: F.when(n.isNotNull(), let(count(n, i), lambda c: F.when(c > 1, F.concat(n, c.cast("string"))).otherwise(n))))
+
+    shown = let(F.transform(kinds, lambda k, i: F.when(k != LITERAL, name(k, i))), numbered)
     return F.array_join(F.zip_with(parts, shown, lambda p, n: F.coalesce(F.concat(F.lit("{"), n, F.lit("}")), p)), "/")
 
 
 def path_template(path: Column) -> Column:
     """The template of a path by itself."""
-    parts = segments(path)
-    return named_template(parts, F.transform(parts, segment_kind))
+    return let(segments(path), lambda parts: let(F.transform(parts, segment_kind), lambda kinds: named_template(parts, kinds)))
 
 
 def plain_template(path: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
+from quillspan.functions.rows import let
 from quillspan.sources.schema import EXCHANGE, METHODS
 
 # Limits on files, in bytes.
@@ -42,10 +43,13 @@ def _sure(value: Column, test: Column, message: str) -> Column:
 
 def last_wins(pairs: Column) -> Column:
     """A map of (name, value) pairs without empty names; of a repeated name the last value stays."""
-    named = F.filter(pairs, lambda p: F.coalesce(p["name"], F.lit("")) != "")
-    names = F.array_distinct(F.transform(named, lambda p: p["name"]))
-    value = lambda n: F.element_at(F.filter(named, lambda p: p["name"] == n), -1)["value"]
-    return F.map_from_arrays(F.coalesce(names, F.array().cast("array<string>")), F.coalesce(F.transform(names, value), F.array().cast("array<string>")))
+
+    def kept(named: Column) -> Column:
+        value = lambda n: F.element_at(F.filter(named, lambda p: p["name"] == n), -1)["value"]
+        return F.map_from_entries(F.transform(F.array_distinct(F.transform(named, lambda p: p["name"])), lambda n: F.struct(n, value(n))))
+
+    given = F.coalesce(F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), p["value"].alias("value"))), F.array().cast("array<struct<name:string,value:string>>"))
+    return let(F.filter(given, lambda p: F.coalesce(p["name"], F.lit("")) != ""), kept)
 
 
 def _records(rows: DataFrame, source: str | None = None) -> DataFrame:
