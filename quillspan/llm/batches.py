@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 GROUP_BYTES = 2 << 20
 
 
-def text_groups(column: pa.Array) -> Iterator[list[bytes]]:
+def text_groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
     """The texts of an Arrow column as UTF-8, null as empty, in groups of bounded size (one text at least)."""
     group, size = [], 0
     for value in column.cast(pa.binary()).to_pylist():
         value = value or b""
-        if group and size + len(value) > GROUP_BYTES:
+        if group and size + len(value) > most:
             yield group
             group, size = [], 0
         group.append(value)
@@ -26,10 +26,10 @@ def text_groups(column: pa.Array) -> Iterator[list[bytes]]:
         yield group
 
 
-def map_texts(docs: DataFrame, text_col: str, carry: list[str], added: str, start: Callable[[], Callable[[list[bytes]], list[pa.Array]]]) -> DataFrame:
+def map_texts(docs: DataFrame, text_col: str, carry: list[str], added: str, start: Callable[[], Callable[[list[bytes]], list[pa.Array]]], most: int = GROUP_BYTES) -> DataFrame:
     """The columns ``carry`` of ``docs`` and the columns ``added`` (a schema), one row for each row.
 
-    ``start`` is called in each partition and gives a function from a group of texts to the added columns.
+    ``start`` is called in each partition and gives a function from a group of texts (``most`` bytes) to the added columns.
     Rows keep their partition and order; nothing is shuffled.
     """
     schema = T.StructType([*(docs.schema[c] for c in carry), *T.StructType.fromDDL(added).fields])
@@ -38,7 +38,7 @@ def map_texts(docs: DataFrame, text_col: str, carry: list[str], added: str, star
         make = start()
         for batch in batches:
             at = 0
-            for group in text_groups(batch.column(0)):
+            for group in text_groups(batch.column(0), most):
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(group)) for c in batch.columns[1:]), *make(group)], schema.names)
                 at += len(group)
 

@@ -32,9 +32,12 @@ from quillspan.llm import pretokens
 from quillspan.llm.batches import map_texts
 
 #: Positions that go into one recursive query (one word at least), and rounds after which a query starts afresh from the words that are left.
-BLOCK, ROUNDS = 200_000, 8
+BLOCK, ROUNDS = 600_000, 8
+#: Bytes of texts whose new words are encoded together: the more, the less often the tables are read.
+GROUP_BYTES = 8 << 20
 #: Bits of a token's id within a key of two or three.
 SHIFT = 21
+NONE = (1 << SHIFT) - 1
 #: Words whose ids a worker remembers; beyond this it starts afresh.
 REMEMBERED = 1 << 19
 
@@ -42,8 +45,8 @@ _ROUNDS = f"""
 WITH RECURSIVE t(step, word, pos, tok) AS (
   SELECT 0 AS step, word, pos, tok FROM start
   UNION ALL
-  (WITH near AS (SELECT *, (word::BIGINT << 32) + row_number() OVER w AS place, lag(tok, 2) OVER w AS prv2, lag(tok) OVER w AS prv, lead(tok) OVER w AS nxt, lead(tok, 2) OVER w AS far, lead(tok, 3) OVER w AS far2
-                 FROM t WHERE step < {ROUNDS} WINDOW w AS (PARTITION BY word ORDER BY pos)),
+  (WITH near AS (SELECT *, row_number() OVER w AS place, lag(tok, 2) OVER w AS prv2, lag(tok) OVER w AS prv, lead(tok) OVER w AS nxt, lead(tok, 2) OVER w AS far, lead(tok, 3) OVER w AS far2
+                 FROM t WHERE step < {ROUNDS} WINDOW w AS (ORDER BY pos)),
         pairs AS (SELECT s.word, s.place, m.rank, s.tok = s.nxt AS twin, coalesce(ml.rank = m.rank, false) OR coalesce(mr.rank = m.rank, false) AS beside,
                     coalesce(ml.rank > m.rank, true) AND coalesce(l.rank > m.rank, true) AS free_left, coalesce(mr.rank >= m.rank, true) AND coalesce(r.rank >= m.rank, true) AS free_right,
                     be.pair IS NULL AND af.pair IS NULL AS closed
@@ -53,8 +56,8 @@ WITH RECURSIVE t(step, word, pos, tok) AS (
                   LEFT JOIN rights r ON r.three = (((s.nxt::BIGINT << {SHIFT}) + s.far) << {SHIFT}) + s.far2
                   LEFT JOIN before be ON be.pair = CASE WHEN m.lower THEN (s.prv::BIGINT << {SHIFT}) + m.rank END
                   LEFT JOIN behind af ON af.pair = CASE WHEN m.lower THEN (m.rank::BIGINT << {SHIFT}) + s.far END),
-        firsts AS (SELECT word, min((rank::BIGINT << 32) + (place & 4294967295)) AS first FROM pairs GROUP BY word),
-        least AS (SELECT word, first >> 32 AS rank, (word::BIGINT << 32) + (first & 4294967295) AS first FROM firsts),
+        firsts AS (SELECT word, min((rank::BIGINT << 32) + place) AS first FROM pairs GROUP BY word),
+        least AS (SELECT word, first >> 32 AS rank, first & 4294967295 AS first FROM firsts),
         undone AS (SELECT DISTINCT word, rank FROM pairs WHERE NOT closed),
         runs AS (SELECT *, place - row_number() OVER (PARTITION BY word, rank ORDER BY place) AS run FROM pairs WHERE beside),
         whole AS (SELECT word, rank, run, min(place) AS head, arg_min(free_left, place) AND arg_max(free_right, place) AND bool_and(closed) AND bool_and(twin) AS sure FROM runs GROUP BY word, rank, run),
@@ -86,7 +89,17 @@ def _key(*tokens: int) -> int:
 
 
 def _bounds(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes, int]]) -> tuple[dict[int, int], dict[int, int], set[int], set[int]]:
-    """lefts, rights, before and behind of the proof above, by keys of tokens."""
+    """lefts, rights, before and behind of the proof above, by keys of tokens.
+
+    What a neighbouring pair's own rank forbids already, or what lies above every rank that it could forbid, is left out.
+    """
+    pair: dict[tuple[int, int], int] = {}
+    most_left: dict[int, int] = {}
+    most_right: dict[int, int] = {}
+    for left, right, rank in merges:
+        a, b = ranks[left], ranks[right]
+        pair[a, b] = rank
+        most_left[a], most_right[b] = max(rank, most_left.get(a, 0)), max(rank, most_right.get(b, 0))
     lefts: dict[int, int] = {}
     rights: dict[int, int] = {}
     before, behind = set(), set()
@@ -96,18 +109,20 @@ def _bounds(ranks: dict[bytes, int], merges: list[tuple[bytes, bytes, int]]) ->
             if (u := ranks.get(left[i:])) is not None:
                 if rank < b:
                     before.add(_key(u, b))
-                for j in range(i):
-                    if (v := ranks.get(left[j:i])) is not None:
-                        key = _key(v, u, b)
-                        lefts[key] = min(rank, lefts.get(key, rank))
+                if rank <= most_left.get(b, -1) and pair.get((u, b), rank + 1) > rank:
+                    for j in range(i):
+                        if (v := ranks.get(left[j:i])) is not None:
+                            key = _key(v, u, b)
+                            lefts[key] = min(rank, lefts.get(key, rank))
         for i in range(1, len(right) + 1):
             if (u := ranks.get(right[:i])) is not None:
                 if rank < a:
                     behind.add(_key(a, u))
-                for j in range(i + 1, len(right) + 1):
-                    if (v := ranks.get(right[i:j])) is not None:
-                        key = _key(a, u, v)
-                        rights[key] = min(rank, rights.get(key, rank))
+                if rank < most_right.get(a, -1) and pair.get((a, u), rank + 1) > rank:
+                    for j in range(i + 1, len(right) + 1):
+                        if (v := ranks.get(right[i:j])) is not None:
+                            key = _key(a, u, v)
+                            rights[key] = min(rank, rights.get(key, rank))
     return lefts, rights, before, behind
 
 
@@ -160,14 +175,17 @@ class Tables:
 
     def _block(self, words: list[bytes]) -> list[bytes]:
         length = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words), dtype=np.int32), length)
-        rows = pa.table({"word": word, "pos": np.arange(len(word), dtype=np.int32), "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
+        word = np.repeat(np.arange(len(words), dtype=np.int32), length + 1)  # behind each word stands what merges with nothing
+        tok = np.full(len(word), NONE, np.int32)
+        tok[np.diff(word, append=-1) == 0] = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        rows = pa.table({"word": word, "pos": np.arange(len(word), dtype=np.int32), "tok": tok})
         out = [b""] * len(words)
         while len(rows):
             now = self._query("start", rows, _ROUNDS + _LAST)
             open_still = now["step"].to_numpy() == ROUNDS
             word, pos, tok = (now[c].to_numpy()[~open_still] for c in ("word", "pos", "tok"))
             order = np.argsort(pos)
+            order = order[tok[order] != NONE]
             word, ids = word[order], tok[order].astype("<u4").tobytes()
             edges = np.flatnonzero(np.diff(word, prepend=-1, append=-1)).tolist()
             for a, b in zip(edges, edges[1:], strict=False):
@@ -217,4 +235,4 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
 
         return make
 
-    return map_texts(docs, text_col, [id_col], "ids binary, decoded binary", start)
+    return map_texts(docs, text_col, [id_col], "ids binary, decoded binary", start, GROUP_BYTES)
