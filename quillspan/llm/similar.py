@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -105,31 +104,29 @@ def mark(docs: DataFrame, carry: list[str], text_col: str, words: int) -> DataFr
     return map_texts(docs, text_col, carry, "fp long, d long, n int, sketch binary, keys array<int>", lambda: make)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(d, words): the distinct runs of the texts, each text once."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFrame:
+    """(d, words): the distinct runs of the texts whose id may be among ``ids``, each text once.
 
-    def make(group: list[bytes]) -> list[pa.Array]:
-        sets = [runs(t) for t in group]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        return [pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))]
-
-    return map_texts(docs, text_col, [id_col], "d long, words array<long>", lambda: make).dropDuplicates(["d"]).select("d", "words")
-
-
-def _mapped(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """Documents whose id may be among ``ids``: a map of 2^23 bits, which passes more than it need where it fills up, is all that goes around."""
+    A map of 2^23 bits, which passes more than it need where it fills up, is all that goes around. Texts are not
+    shuffled, and a task has one Python worker: a filter in Python before this would start another.
+    """
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << MAP_BITS))
-    words = ids.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table, found = np.zeros(1 << MAP_BITS - 6, np.int64), words.toArrow()
+    bits = ids.select(F.floor(bit / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table, found = np.zeros(1 << MAP_BITS - 6, np.int64), bits.toArrow()
     table[found["word"].to_numpy()] = found["bits"].to_numpy()
     held = docs.sparkSession.sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def among(bits: pd.Series) -> pd.Series:
-        at = bits.to_numpy()
-        return pd.Series((held.value[at >> 6] >> (at & 63) & 1).astype(bool))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy()
+            asked = batch.column(1).filter(pa.array((held.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+            for group in text_groups(asked):
+                sets = [runs(t) for t in group]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["d", "words"])
 
-    return docs.filter(among(F.pmod(F.xxhash64(id_col), F.lit(1 << MAP_BITS))))
+    rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(1 << MAP_BITS)).alias("bit"), F.col(text_col).alias("run_text"))
+    return rows.mapInArrow(run, "d long, words array<long>").dropDuplicates(["d"])
 
 
 def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -172,7 +169,7 @@ def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col:
         pairs = ahead.select(F.col("d").alias("d1"), F.col("fp").alias("a"), F.explode("others").alias("o")).select("d1", "a", F.col("o.d").alias("d2"), F.col("o.fp").alias("b")).distinct()
         possible = written(_possible(pairs, texts))
         asked = written(possible.select(F.col("d1").alias("d")).union(possible.select("d2")).distinct().join(texts.select("d", "id"), "d"))
-        sets = written(_sets(_mapped(docs, id_col, asked), id_col, text_col).join(asked.select("d"), "d", "left_semi"))
+        sets = written(_sets(docs, id_col, text_col, asked).join(asked.select("d"), "d", "left_semi"))
         both = possible.join(sets.select(F.col("d").alias("d1"), F.col("words").alias("w1")), "d1").join(sets.select(F.col("d").alias("d2"), F.col("words").alias("w2")), "d2")
         alike = (NUM + DEN) * F.size(F.array_intersect("w1", "w2")) >= NUM * (F.size("w1") + F.size("w2"))
         more = written(both.filter(alike).select("a", "b").distinct())
