@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import headers as H
 from quillspan.functions import url as U
-from quillspan.operators import bundles, classify, dedup, enrich, forms, links, mining, openapi, pages, paths, schemas, soap, specs, wire
+from quillspan.operators import bundles, classify, dedup, enrich, forms, graphql, links, mining, openapi, pages, paths, schemas, soap, specs, wire
 from quillspan.sources import views
 from quillspan.sources.schema import EXCHANGE
 from quillspan.streaming import live
@@ -327,6 +327,17 @@ def test_wire_formats(spark):
     assert [(r.id, r.field, r.number) for r in wire.fields(rows, "id", "body").collect()] == [("a", 1, 150)]
 
 
+def test_graphql_documents():
+    said = graphql._Document('query Q($id: ID!, $n: [Int!] = [3]) @x(a: 1) { user(id: $id, o: {x: [1]}) { id name: full ...F ... on Admin { level } } } # c } \n fragment F on User { email ...F }')
+    rows = said.fields(said.operations[0])
+    assert [(r["parent"], r["key"], r["field"], r["on"]) for r in rows] == [("", "user", "user", ""), ("user", "id", "id", ""), ("user", "name", "full", ""), ("user", "email", "email", "User"), ("user", "level", "level", "Admin")]
+    assert rows[0]["args"] == [{"name": "id", "type": "ID!"}, {"name": "o", "type": "Object"}]
+    for broken in ("{", "query {", "type A { x: Int }", "{ a(", "{ ... on }", "{ a }}", "{" * 50):
+        with pytest.raises(ValueError):
+            graphql._Document(broken)
+    assert list(graphql.value_kinds({"a": [[1.5]], "b": [], "c": 1 << 40})) == [("a", "Float", 2), ("b", "Null", 1), ("c", "Float", 0)]
+
+
 def test_bindings_fill_rows(spark):
     rows = spark.createDataFrame([(5, "a.A", ["X"]), (6, "b.B", None)], "seq long, service string, methods array<string>")
     bound = spark.createDataFrame([("b.B", "Do"), ("b.B", "Be"), ("c.C", "Go")], "service string, method string")
