@@ -12,7 +12,7 @@ import tiktoken
 from quillspan.llm import pretokens
 
 #: Words whose ids are remembered in a worker; beyond this the memory starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 
 def byte_of_char() -> dict[str, int]:
