@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from quillspan.llm import langid, packing, quality, simhash
 from quillspan.sources.shared import ensure_shared_dir
 
-#: A document is rejected below this score, and where its language is less likely than all others together.
+#: A document is rejected below this quality, and below this probability of its likeliest language.
 MIN_QUALITY = 0.7
-MIN_LANGUAGE = 0.5
+MIN_LANGUAGE = 0.4
 #: Columns of documents, which all stages but the last return.
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
