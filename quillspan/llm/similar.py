@@ -8,8 +8,9 @@ would give the same result; this one makes it cheap.
 
 Texts that share a run are compared in the order of their sizes, first with the next one, then with farther
 ones as long as the run still brings together texts of different groups; so a group of copies costs a few
-comparisons a text, and no pair is left out. Before the runs of two texts are fetched, sketches of 64 bytes
-(the least run of each of 64 ranges) must allow the similarity: a pair at 0.8 fails that less than once in a million.
+comparisons a text, and no pair is left out. Before the runs of two texts are fetched, their sketches must allow the
+similarity: maps of bits that their runs set, of a size that follows theirs. A bit that one has alone is a run that the other lacks, so
+no similar pair fails.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ WORDS = 5
 NUM, DEN = 4, 5
 #: Each further comparison reaches so many times as far.
 REACH = 8
-#: Ranges of a sketch, bits of the map of ids whose runs are fetched.
-RANGES, MAP_BITS = 64, 23
+#: Bits of the map of ids whose runs are fetched, as a power of two.
+MAP_BITS = 23
 #: Counts of runs are kept for so many bits of their hashes: two megabytes, whatever the input.
 COUNT_BITS = 18
 
@@ -75,18 +76,29 @@ def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> bytes:
-    """A byte of the least run of each range of hashes; 0 for a range without any."""
-    out = np.zeros(RANGES, np.uint8)
-    place = (words >> np.uint64(58)).astype(np.int64)
-    first = np.flatnonzero(np.diff(place, prepend=-1))
-    out[place[first]] = 1 + (words[first] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(255)
-    return out.tobytes()
+    """A map of bits that the runs set, at least one and less than two for each run (64 at least)."""
+    size = max(64, 1 << len(words).bit_length())
+    out = np.zeros(size, bool)
+    out[(words >> np.uint64(20)).astype(np.int64) & (size - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
 
 
-def may_be_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For sketches [pair, range]: can the similarity be 0.8, six standard deviations allowed?"""
-    filled = ((a > 0) | (b > 0)).sum(axis=1)
-    return ((a == b) & (a > 0)).sum(axis=1) >= 0.8 * filled - 6 * np.sqrt(0.16 * filled)
+def may_be_similar(one: bytes, n: int, other: bytes, m: int) -> bool:
+    """For the sketches of sets of n and m runs: is a similarity of 0.8 possible?
+
+    A bit that only one of them has stands for a run at least that the other lacks. Of two sizes the larger map is folded,
+    which can only hide differences. So no pair that is similar fails.
+    """
+    a, b, bits = _bits(one, len(other)), _bits(other, len(one)), NUM + DEN
+    return bits * (a & ~b).bit_count() <= DEN * n - NUM * m and bits * (b & ~a).bit_count() <= DEN * m - NUM * n
+
+
+def _bits(sketched: bytes, size: int) -> int:
+    """A sketch as a number, folded to ``size`` bytes if it has more."""
+    value, half = int.from_bytes(sketched, "little"), len(sketched) * 4
+    while half >= size * 8:
+        value, half = value >> half | value & (1 << half) - 1, half // 2
+    return value
 
 
 def mark(docs: DataFrame, carry: list[str], text_col: str, words: int) -> DataFrame:
@@ -134,11 +146,12 @@ def _possible(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, RANGES) for k in (4, 5))
-            yield batch.filter(pa.array(may_be_similar(one, two))).select(["d1", "a", "d2", "b"])
+            fits = [may_be_similar(*pair) for pair in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)]
+            yield batch.filter(pa.array(fits, pa.bool_())).select(["d1", "a", "d2", "b"])
 
-    both = pairs.join(texts.select(F.col("d").alias("d1"), F.col("sketch").alias("s1")), "d1").join(texts.select(F.col("d").alias("d2"), F.col("sketch").alias("s2")), "d2")
-    return both.select("d1", "a", "d2", "b", "s1", "s2").mapInArrow(run, "d1 long, a long, d2 long, b long")
+    side = lambda k: texts.select(F.col("d").alias(f"d{k}"), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}"))
+    both = pairs.join(side(1), "d1").join(side(2), "d2")
+    return both.select("d1", "a", "d2", "b", "s1", "n1", "s2", "n2").mapInArrow(run, "d1 long, a long, d2 long, b long")
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:

@@ -126,6 +126,31 @@ def test_bpe_long_words_match_tiktoken():
     assert all(np.frombuffer(found[w], "<u4").tolist() == library._encode_single_piece(w) for w in words)
 
 
+def test_bpe_words_of_a_million_bytes_match_tiktoken():
+    """Letters at random are cut where no token can reach across; a run of one letter has no such place."""
+    made = bpe.tables(MULTI)
+    rng = np.random.default_rng(11)
+    words = [bytes(rng.integers(97, 123, 1_000_000, dtype=np.uint8)), b"a" * 300_000, "é".encode() * 100_000]
+    assert [len(made._segments(w)) > 1 for w in words[:2]] == [True, False]
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=made.ranks, special_tokens={})
+    for word, ids in made.words(words):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode_ordinary(word.decode()), word[:20]
+
+
+def test_sketches_never_lose_a_similar_pair():
+    rng = np.random.default_rng(1)
+    unrelated = 0
+    for _ in range(500):
+        a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 3000)), dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.7, 1)], rng.integers(0, 2**63, int(rng.integers(0, len(a) // 4 + 2)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert similar.may_be_similar(similar.sketch(a), len(a), similar.sketch(b), len(b))
+        c = np.unique(rng.integers(0, 2**63, len(a), dtype=np.uint64))
+        unrelated += similar.may_be_similar(similar.sketch(a), len(a), similar.sketch(c), len(c))
+    assert unrelated < 25
+
+
 def test_bpe_documents(docs, empty):
     """All rows: null ids, repeated rows, null, empty and long texts."""
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.tables(MULTI).ranks, special_tokens={})
