@@ -33,6 +33,8 @@ from quillspan.llm.batches import map_texts
 
 #: Positions that go into one recursive query (one word at least), and rounds after which a query starts afresh from the words that are left.
 BLOCK, ROUNDS = 600_000, 8
+#: Words of more bytes are cut where two bytes meet that stand side by side in no token, into segments of about so many.
+LONG = 1 << 16
 #: Bytes of texts whose new words are encoded together: the more, the less often the tables are read.
 GROUP_BYTES = 8 << 20
 #: Bits of a token's id within a key of two or three.
@@ -137,6 +139,10 @@ class Tables:
         rank = np.array([r for _, _, r in merges], np.int64)
         lower = np.isin(rank, np.concatenate((ends[:, 0][ends[:, 0] > rank], ends[:, 1][ends[:, 1] > rank])))  # some merge of the new token has a lower rank
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        self.together = np.zeros(1 << 16, bool)  # which two bytes stand side by side in some token
+        for t in self.ranks:
+            for pair in zip(t, t[1:], strict=False):
+                self.together[pair[0] << 8 | pair[1]] = True
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         vocabulary = pa.table({"tok": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         given = {"merges": pa.table({"pair": (ends[:, 0] << SHIFT) + ends[:, 1], "rank": rank.astype(np.int32), "lower": lower}), "vocabulary": vocabulary}
@@ -163,15 +169,29 @@ class Tables:
                 yield w, r.to_bytes(4, "little")
             else:
                 hard.append(w)
-        hard.sort(key=len)
+        parts = [(w, self._segments(w)) for w in hard]
+        pieces = sorted({s for _, segments in parts for s in segments}, key=len)
+        ids: dict[bytes, bytes] = {}
         at = 0
-        while at < len(hard):
+        while at < len(pieces):
             size, end = 0, at
-            while end < len(hard) and (end == at or size + len(hard[end]) <= BLOCK):
-                size += len(hard[end])
+            while end < len(pieces) and (end == at or size + len(pieces[end]) <= BLOCK):
+                size += len(pieces[end])
                 end += 1
-            yield from zip(hard[at:end], self._block(hard[at:end]), strict=True)
+            ids.update(zip(pieces[at:end], self._block(pieces[at:end]), strict=True))
             at = end
+        for w, segments in parts:
+            yield w, b"".join(map(ids.__getitem__, segments))
+
+    def _segments(self, word: bytes) -> list[bytes]:
+        """A word in segments of about ``LONG`` bytes that no merge can join: no token has the two bytes at a cut side by side."""
+        if len(word) <= LONG:
+            return [word]
+        b = np.frombuffer(word, np.uint8).astype(np.int32)
+        cuts = np.flatnonzero(~self.together[b[:-1] << 8 | b[1:]]) + 1
+        at = np.searchsorted(cuts, np.arange(LONG, len(word), LONG))
+        ends = np.unique(cuts[at[at < len(cuts)]]).tolist()
+        return [word[i:j] for i, j in zip([0, *ends], [*ends, len(word)], strict=True)]
 
     def _block(self, words: list[bytes]) -> list[bytes]:
         length = np.fromiter(map(len, words), np.int64, len(words))
@@ -216,7 +236,8 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts have no ids. Every match of the tokenizers' pattern is encoded by itself, without
     special tokens. Null ids and repeated rows keep their rows; an empty table gives an empty result; other
     columns take no part. A worker holds a few megabytes of text and at most ``REMEMBERED`` words with their
-    ids. A word is never split, so the longest unbroken word must fit: a few hundred bytes for each of its own.
+    ids. Words of more than ``LONG`` bytes are encoded in segments that no merge can join; what has no place for a cut (two bytes that stand side by side in no
+    token) must fit, with a few hundred bytes for each of its own.
     """
 
     def start():
