@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.llm import hardneg
 from quillspan.llm.store import written
 
 #: Width of a quantised impact, vectors of an index block, queries of a block.
@@ -31,25 +32,8 @@ ROUND = 128
 
 
 def quantise(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id, v): integer vectors floor(scale * x), without those that have no id, are null or hold null or non-finite components.
-
-    A component beyond 31 bits ends the job.
-    """
-    x = F.transform(vector_col, lambda c: c.cast("double"))
-    rows = vectors.select(F.col(id_col).alias("id"), x.alias("x"))
-    fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    whole = lambda c: F.when(F.abs(c * scale) < 2.0**31, F.floor(c * scale)).otherwise(F.raise_error(F.lit("a component is beyond 31 bits")).cast("bigint"))
-    return rows.filter(F.col("id").isNotNull() & F.col("x").isNotNull() & fine).select("id", F.transform("x", whole).alias("v"))
-
-
-def _matrix(rows: pd.Series, width: int | None = None) -> np.ndarray:
-    """Vectors as a matrix; shorter ones are continued with zeros."""
-    lengths = rows.map(len).to_numpy()
-    width = max(width or 0, int(lengths.max(initial=0)))
-    out = np.zeros((len(rows), width), np.int64)
-    for i, v in enumerate(rows):
-        out[i, : len(v)] = v
-    return out
+    """(id, v): integer vectors floor(scale * x) as doubles, without those that have no id, are null or hold null or non-finite components."""
+    return hardneg.vectors(vectors, id_col, vector_col, F.lit(0), scale).select("id", F.col("x").alias("v"))
 
 
 class Block:
@@ -58,7 +42,6 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.own, self.x = ids[order], rows[order], np.ascontiguousarray(x[order])
-        self.most = int(np.abs(x).max(initial=0))
         level = (self.x // STEP).T
         self.rows = np.argsort(level, axis=1, kind="stable").astype(np.int32)
         component, first, low = [], [], []
@@ -75,8 +58,6 @@ class Block:
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best vectors other than the row ``own`` (all, if fewer), ties to the smaller id."""
         n = len(self.ids)
-        if len(q) * self.most * int(np.abs(q).max(initial=0)) >= 1 << 53:
-            raise OverflowError("scores of these vectors are beyond 53 bits")
         q = np.pad(q, (0, max(0, self.x.shape[1] - len(q))))[: self.x.shape[1]]
         mine = np.flatnonzero(self.own == own)
         want = min(k, n - len(mine))
@@ -119,7 +100,8 @@ def top_k(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
     meeting yields at most k rows a query, of which the best k are kept. Rows are numbered and written down
     once. A repeated id is several candidates and, if asked, several queries with k rows each (of equal ranks);
     only a query's own row is left out. Ties go to the smaller id. Vectors of unequal length are continued with
-    zeros; scores beyond 53 bits end the job. No vectors or no queries give no rows.
+    zeros. Vectors with components so wide that a sum could pass 53 bits stay out of the index and are scored in Python's integers; a
+    score beyond 64 bits counts as the nearest long. No vectors or no queries give no rows.
     """
     rows = written(vectors.select("id", "v", F.monotonically_increasing_id().alias("row")))
     queries = rows.filter(asked)
@@ -133,11 +115,23 @@ def top_k(vectors: DataFrame, asked: Column, k: int) -> DataFrame:
 
     def meet(asked: pd.DataFrame, held: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if len(asked) and len(held):
-            q = _matrix(asked["v"])
-            block = Block(held["id"].to_numpy(np.int64), held["row"].to_numpy(np.int64), _matrix(held["v"], q.shape[1]))
+            width = max(1, *asked["v"].map(len), *held["v"].map(len))
+            q, x = hardneg.matrix(asked["v"], width), hardneg.matrix(held["v"], width)
+            ids, rows = held["id"].to_numpy(np.int64), held["row"].to_numpy(np.int64)
+            narrow = (2.0**52 / width) ** 0.5
+            wide = np.abs(x).max(axis=1) > narrow
+            block = None if wide.all() else Block(ids[~wide], rows[~wide], x[~wide].astype(np.int64))
             for query_id, own, vector in zip(asked["id"], asked["row"], q, strict=True):
-                ids, scores = block.search(vector, own, k)
-                yield pd.DataFrame({"query_row": own, "query_id": query_id, "vec_id": ids, "score": scores})
+                if block is None or np.abs(vector).max() > narrow:
+                    found, scores, apart = ids[:0], ids[:0], rows != own
+                else:
+                    found, scores = block.search(vector.astype(np.int64), own, k)
+                    apart = wide & (rows != own)
+                if apart.any():
+                    found, scores = np.append(found, ids[apart]), np.append(scores, hardneg.scores(vector[None], x[apart])[0])
+                    best = np.lexsort((found, ~scores))[:k]
+                    found, scores = found[best], scores[best]
+                yield pd.DataFrame({"query_row": own, "query_id": query_id, "vec_id": found, "score": scores})
 
     def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         return pd.concat([pd.DataFrame({c.split()[0]: [] for c in kinds.split(", ")}, dtype="int64"), *meet(asked, held)])

@@ -102,11 +102,19 @@ def test_top_k_of_repeated_ids(spark, monkeypatch, tmp_path, block, group):
     assert sorted(con.sql(queries.oracle_sql()["op6_impact_ordered_top5"]).fetchall()) == got
 
 
-def test_top_k_refuses_what_does_not_fit(spark):
-    with pytest.raises(Exception, match="31 bits"):
-        topk.quantise(spark.createDataFrame([(1, [1e30])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 256.0).collect()
-    with pytest.raises(OverflowError):
-        topk.Block(np.arange(2), np.arange(2), np.full((2, 3), 1 << 30)).search(np.full(3, 1 << 30), 0, 1)
+@pytest.mark.parametrize("wide", [[(1, [1e30, 1.0]), (50, [1e300, -1e300])], [(7, [2.0**33, 0.5])], [(50, [2.0**20, 2.0**20]), (2, [2.0**20, -(2.0**20)])]])
+def test_top_k_of_wide_components_is_exact(spark, wide):
+    """Beyond 53 bits Python's integers score; beyond 64 bits the nearest long counts."""
+    rng = np.random.default_rng(4)
+    rows = wide + [(i, [float(x) for x in rng.normal(0, 2, 2)]) for i in (0, 3, 4, 5, 100, 101)]
+    got = sorted(map(tuple, topk.top_k(topk.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256.0), F.col("id") % 50 == 0, 3).collect()))
+    whole = [(i, [math.floor(min(max(256 * x, -1.7976931348623157e308), 1.7976931348623157e308)) for x in v]) for i, v in rows]
+    expected = []
+    for n, (q, v) in enumerate(whole):
+        if q % 50 == 0:
+            best = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -(2**63)), 2**63 - 1), i) for m, (i, w) in enumerate(whole) if m != n)[:3]
+            expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert got == sorted(expected)
 
 
 def test_top_k_reads_less_than_all_only_on_proof():
