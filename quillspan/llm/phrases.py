@@ -9,6 +9,7 @@ are joins over the exact table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ WIDTH = 1 << 25
 #: Counters that travel and are merged together, and sketches that one task merges.
 SKETCH_BLOCK = 1 << 19
 FAN_IN = 64
-#: Phrases that a task counts before it hands them on.
-TABLE = 200_000
+#: Phrases that a task counts before it hands them on, and rows that it hands on at a time.
+TABLE, HANDED = 800_000, 100_000
 #: Marks the end of a piece; no text in UTF-8 has this byte.
 _END = b"\xff"
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _END * 10 + b" ")
@@ -92,6 +93,11 @@ def _counter(least: int) -> type[np.unsignedinteger]:
     return np.uint8 if least <= 0xFF else np.uint16 if least <= 0xFFFF else np.uint32
 
 
+def _few(docs: DataFrame) -> DataFrame:
+    """Texts and languages in two tasks for each core: what a task sums up before the shuffle grows less than its input."""
+    return docs.select("text", "lang").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def sketches(docs: DataFrame, least: int, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
     """(part, block, counters): each task's sketch of all runs of its documents (text, lang), in compressed blocks.
 
@@ -115,8 +121,7 @@ def sketches(docs: DataFrame, least: int, width: int = WIDTH, rows: int = ROWS)
             if piece.any():
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block // size], pa.int32()), "counters": pa.array([pack(piece.tobytes())], pa.binary())})
 
-    few = docs.select("text", "lang").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
-    return few.mapInArrow(run, "part int, block int, counters binary")
+    return _few(docs).mapInArrow(run, "part int, block int, counters binary")
 
 
 def merged(parts: DataFrame, least: int) -> np.ndarray:
@@ -163,7 +168,7 @@ def frequent(docs: DataFrame, least: int, width: int = WIDTH, rows: int = ROWS)
             out &= (known[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def counted(runs: Runs) -> Iterator[tuple[int, bytes, int]]:
+    def counted(runs: Runs) -> Iterator[tuple[bytes, int]]:
         """Exact counts of the runs that may be frequent: equal runs are told by the words' numbers, never by hashes."""
         before, key = None, runs.ids
         for n, hashes in enumerate(runs.hashed(), 1):
@@ -176,31 +181,34 @@ def frequent(docs: DataFrame, least: int, width: int = WIDTH, rows: int = ROWS)
             pair = key[at] if n == 1 else key[at] << 32 | runs.ids[at + n - 1]
             distinct, first, inverse, times = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
             for i, t in zip(at[first].tolist(), times.tolist(), strict=True):
-                yield n, b" ".join(runs.words[w] for w in runs.ids[i : i + n].tolist()), t
+                yield b" ".join(runs.words[w] for w in runs.ids[i : i + n].tolist()), t
             key = np.full(len(runs.ids), -1)
             key[at] = inverse
             before = good
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple[bytes, int, bytes], int] = {}
-
-        def out() -> pa.RecordBatch:
-            langs, words, phrases = zip(*table, strict=True)
-            text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-            return pa.RecordBatch.from_pydict({"lang": text(langs), "words": pa.array(words, pa.int32()), "phrase": text(phrases), "a": pa.array(table.values(), pa.int64())})
+        tables: dict[bytes, dict[bytes, int]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, table in tables.items():
+                entries = iter(table.items())
+                while some := list(islice(entries, HANDED)):
+                    phrases, times = zip(*some, strict=True)
+                    words = [p.count(b" ") + 1 if p else 0 for p in phrases]
+                    text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_pydict({"lang": text([lang] * len(some)), "words": pa.array(words, pa.int32()), "phrase": text(phrases), "a": pa.array(times, pa.int64())})
+            tables.clear()
 
         for lang, runs in _by_lang(batches):
-            table[lang, 0, b""] = table.get((lang, 0, b""), 0) + len(runs.ids)
-            for n, phrase, times in counted(runs):
-                place = (lang, n, phrase)
-                table[place] = table.get(place, 0) + times
-            if len(table) >= TABLE:
-                yield out()
-                table = {}
-        if table:
-            yield out()
-
-    found = docs.select("text", "lang").mapInArrow(run, "lang string, words int, phrase string, a long")
+            table = tables.setdefault(lang, {})
+            table[b""] = table.get(b"", 0) + len(runs.ids)
+            for phrase, times in counted(runs):
+                table[phrase] = table.get(phrase, 0) + times
+            if sum(map(len, tables.values())) >= TABLE:
+                yield from out()
+        yield from out()
+
+    found = _few(docs).mapInArrow(run, "lang string, words int, phrase string, a long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("a").alias("a")).filter((F.col("a") >= least) | (F.col("words") == 0))
 
 
