@@ -32,16 +32,16 @@ from quillspan.llm import pretokens
 from quillspan.llm.batches import map_texts
 
 #: Positions that go into one recursive query (one word at least), and rounds after which a query starts afresh from the words that are left.
-BLOCK, ROUNDS = 600_000, 8
+BLOCK, ROUNDS = 300_000, 8
 #: Words of more bytes are cut where two bytes meet that stand side by side in no token, into segments of about so many.
 LONG = 1 << 16
 #: Bytes of texts whose new words are encoded together: the more, the less often the tables are read.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Bits of a token's id within a key of two or three.
 SHIFT = 21
 NONE = (1 << SHIFT) - 1
 #: Words whose ids a worker remembers; beyond this it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 3 << 17
 
 _ROUNDS = f"""
 WITH RECURSIVE t(step, word, pos, tok) AS (
