@@ -41,13 +41,15 @@ def operation_name() -> Column:
 
 
 def xsd_type(value: Column) -> Column:
-    """boolean, int, decimal, date, dateTime or string, from the text of a value."""
+    """boolean, int, decimal, date, dateTime or string, from the text of a value. Numbers with leading zeros, and dates and times that do not exist, are texts."""
     v = F.trim(value)
+    exists = lambda form, size: F.try_to_timestamp(F.left(v, F.lit(size)), F.lit(form)).isNotNull()
+    zone = r"(Z|[+-]([01][0-9]|2[0-4]):[0-5][0-9])?"
     return (
         F.when(v.isin("true", "false"), "xsd:boolean")
-        .when(v.rlike(r"^[+-]?[0-9]{1,18}\z"), "xsd:int")
-        .when(v.rlike(r"^[+-]?[0-9]+\.[0-9]+\z"), "xsd:decimal")
-        .when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_timestamp(v, F.lit("yyyy-MM-dd")).isNotNull(), "xsd:date")
-        .when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}"), "xsd:dateTime")
+        .when(v.rlike(r"^-?(0|[1-9][0-9]*)\z"), "xsd:int")
+        .when(v.rlike(r"^-?[0-9]+\.[0-9]+\z"), "xsd:decimal")
+        .when(v.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & exists("yyyy-MM-dd", 10), "xsd:date")
+        .when(v.rlike(rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T[0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}(\.[0-9]+)?{zone}\z") & exists("yyyy-MM-dd'T'HH:mm:ss", 19), "xsd:dateTime")
         .otherwise("xsd:string")
     )

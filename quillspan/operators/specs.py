@@ -1,4 +1,4 @@
-"""SOAP parameters and WSDL, gRPC services and proto3, GraphQL operations, introspection and like types."""
+"""gRPC services and proto3, GraphQL operations, introspection and like types."""
 
 from __future__ import annotations
 
@@ -9,85 +9,12 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import headers as H
 from quillspan.functions import url as U
-from quillspan.operators.soap import body_child, operation_name, xsd_type
 
 # GraphQL's own scalars, and what makes two types alike.
 SCALARS = ("String", "Int", "Float", "Boolean", "ID")
 SHARED_FIELDS, SHARED_PART = 3, 0.5
 
 
-_LEAF = r"<(?:[A-Za-z0-9_\-]+:)?([A-Za-z_][A-Za-z0-9_.\-]*)((?:\s[^>]*?)?)(?:/>|>([^<]*)</)"
-
-
-def soap_parameters(rows: DataFrame) -> DataFrame:
-    """(operation, name, type, ord): leaf elements of SOAP bodies; the first typed observation decides, in the order in which names come up.
-
-    An element's ``xsi:type`` goes before what its text looks like; of it the local name counts.
-    """
-    body = H.body_text(F.col("body"))
-    leaves = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(_LEAF), F.lit(g)).alias(n) for n, g in (("name", 1), ("given", 2), ("value", 3))])
-    named = rows.withColumn("operation", operation_name()).filter(F.col("operation").isNotNull())
-    seen = named.select("operation", "seq", body_child(body).alias("child"), F.posexplode(leaves).alias("pos", "leaf")).select("operation", "seq", "pos", "leaf.name", "leaf.given", "leaf.value", "child").filter("name <> child")
-    declared = F.nullif(F.regexp_extract("given", r"""\b(?:xsi:)?type\s*=\s*["'](?:[^"':]*:)?([^"']+)["']""", 1), F.lit(""))
-    kind = F.coalesce(F.concat(F.lit("xsd:"), declared), F.when(F.trim("value") != "", xsd_type(F.col("value"))))
-    order = F.struct(kind.isNull(), "seq", "pos")
-    return seen.groupBy("operation", "name").agg(F.coalesce(F.min_by(kind, order), F.lit("xsd:string")).alias("type"), F.min(F.struct("seq", "pos")).alias("ord"))
-
-
-def soap_services(rows: DataFrame) -> DataFrame:
-    """(location, service, namespace, calls): SOAP endpoints by address without query: named by the last segment, in the namespace that most of their calls' elements declare."""
-    body = F.regexp_replace(H.body_text(F.col("body")), r"(?s)<!--.*?-->", "")
-    child = F.regexp_extract(body, r"(?s)<(?:[\w\-]+:)?Body(?:\s[^>]*)?>\s*(<[^>]*>)", 1)
-    prefix = F.regexp_extract(child, r"^<(?:([\w\-]+):)?", 1)
-    declaration = F.when(prefix == "", F.lit("xmlns")).otherwise(F.concat(F.lit("xmlns:"), prefix))
-    pairs = F.arrays_zip(*[F.regexp_extract_all(body, F.lit(r"""(xmlns(?::[\w\-]+)?)\s*=\s*["']([^"']*)["']"""), F.lit(g)).alias(n) for n, g in (("name", 1), ("space", 2))])
-    space = F.try_element_at(F.filter(pairs, lambda p: p["name"] == declaration), F.lit(-1))["space"]
-    calls = rows.withColumn("operation", operation_name()).filter(F.col("operation").isNotNull())
-    counted = calls.select(F.substring_index("url", "?", 1).alias("location"), F.when(child != "", space).alias("space")).groupBy("location", "space").agg(F.count("*").alias("n"))
-    most = F.max_by("space", F.when(F.col("space").isNotNull(), F.struct("n", "space")))
-    name = F.regexp_replace(F.element_at(F.split(F.col("location"), "/"), -1), r"\.[A-Za-z0-9]+\z", "")
-    service = F.when(name == "", "Service").otherwise(F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name))))
-    found = counted.groupBy("location").agg(most.alias("space"), F.sum("n").alias("calls"))
-    return found.select("location", service.alias("service"), F.coalesce("space", F.concat(F.lit("urn:"), service)).alias("namespace"), "calls")
-
-
-def wsdl_operations(documents: DataFrame, key: str, body_col: str = "body") -> DataFrame:
-    """(key, operation): what the port types of recorded WSDL documents declare."""
-    text = F.regexp_replace(H.body_text(F.col(body_col)), r"(?s)<!--.*?-->", "")
-    ports = F.array_join(F.regexp_extract_all(text, F.lit(r"(?s)<(?:[\w\-]+:)?portType\b[^>]*>(.*?)</(?:[\w\-]+:)?portType\s*>"), F.lit(1)), "")
-    return documents.select(key, F.explode(F.regexp_extract_all(ports, F.lit(r"""<(?:[\w\-]+:)?operation\s[^>]*?\bname\s*=\s*["']([^"']+)["']"""), F.lit(1))).alias("operation")).distinct()
-
-
-def render_wsdl(parameters: DataFrame) -> DataFrame:
-    """(operation, wsdl): the element and port operation of each SOAP operation."""
-    element = F.format_string('<xsd:element name="%s" type="%s"/>', "name", "type")
-    listed = parameters.groupBy("operation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", element.alias("e")))), lambda x: x["e"]), "").alias("elements"))
-    body = F.format_string('<xsd:element name="%s"><xsd:complexType><xsd:sequence>%s</xsd:sequence></xsd:complexType></xsd:element>', "operation", "elements")
-    port = F.format_string('<operation name="%s"><input message="tns:%sRequest"/><output message="tns:%sResponse"/></operation>', "operation", "operation", "operation")
-    return listed.select("operation", F.concat(body, port).alias("wsdl"))
-
-
-def wsdl_document(parameters: DataFrame, service: str, namespace: str, location: str) -> DataFrame:
-    """One row: the WSDL of a service by its operations' parameters, as far as operations go the size of an interface."""
-    lines = parameters.groupBy("operation").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.format_string('<xsd:element name="%s" type="%s"/>', "name", "type").alias("e")))), lambda x: x["e"]), "").alias("elements"))
-    o = F.col("operation")
-    parts = {
-        "types": F.format_string('<xsd:element name="%s"><xsd:complexType><xsd:sequence>%s</xsd:sequence></xsd:complexType></xsd:element><xsd:element name="%sResponse"><xsd:complexType/></xsd:element>', o, "elements", o),
-        "messages": F.format_string('<message name="%sRequest"><part name="parameters" element="tns:%s"/></message><message name="%sResponse"><part name="parameters" element="tns:%sResponse"/></message>', o, o, o, o),
-        "port": F.format_string('<operation name="%s"><input message="tns:%sRequest"/><output message="tns:%sResponse"/></operation>', o, o, o),
-        "binding": F.format_string('<operation name="%s"><soap:operation soapAction="%s"/><input><soap:body use="literal"/></input><output><soap:body use="literal"/></output></operation>', o, F.concat(F.lit(namespace.rstrip("/") + "/"), o)),
-    }
-    one = lines.agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("operation", text.alias("t")))), lambda x: x["t"]), "").alias(name) for name, text in parts.items()])
-    head = f'<definitions name="{service}" targetNamespace="{namespace}" xmlns="http://schemas.xmlsoap.org/wsdl/" xmlns:soap="http://schemas.xmlsoap.org/wsdl/soap/" xmlns:tns="{namespace}" xmlns:xsd="http://www.w3.org/2001/XMLSchema">'
-    tail = f'<service name="{service}"><port name="{service}Port" binding="tns:{service}Binding"><soap:address location="{location}"/></port></service></definitions>'
-    return one.select(
-        F.concat(
-            F.lit(f'{head}<types><xsd:schema targetNamespace="{namespace}">'), "types", F.lit("</xsd:schema></types>"), "messages",
-            F.lit(f'<portType name="{service}PortType">'), "port", F.lit(f'</portType><binding name="{service}Binding" type="tns:{service}PortType"><soap:binding style="document" transport="http://schemas.xmlsoap.org/soap/http"/>'), "binding", F.lit(f"</binding>{tail}"),
-        ).alias("wsdl")
-    )
-
-
 def grpc_services(rows: DataFrame) -> DataFrame:
     """(service, method, first_seq) of the paths of gRPC calls."""
     path = U.path(F.col("url"))

@@ -10,47 +10,6 @@ from quillspan.sources import views
 from quillspan.sources.shared import ensure_shared_dir
 
 
-def soap_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.soap_parameters(views.capture(spark, sf_dir)).select("operation", "name", "type", F.col("ord.seq").alias("first_seq"))
-
-
-def wsdl_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.render_wsdl(specs.soap_parameters(views.capture(spark, sf_dir)))
-
-
-def soap_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.soap_services(views.capture(spark, sf_dir))
-
-
-def _soap_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made SOAP call for each part: two operations, values of several types, of which one is declared."""
-    k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
-    inner = F.when(k % 2 == 0, F.concat(F.lit("<m:Price><part>"), key, F.lit("</part><day>2024-01-0"), (k % 9 + 1).cast("string"), F.lit("</day><code xsi:type='xsd:string'>"), key, F.lit("</code></m:Price>"))).otherwise(F.concat(F.lit("<m:Stock><note/><amount>"), key, F.lit(".5</amount></m:Stock>")))
-    space = F.when(k % 5 == 0, "urn:old").otherwise("urn:shop")
-    body = F.concat(F.lit("<e:Envelope xmlns:e='http://www.w3.org/2003/05/soap-envelope' xmlns:m='"), space, F.lit("'><e:Body>"), inner, F.lit("</e:Body></e:Envelope>"))
-    url = F.concat(F.lit("https://shop.example.com/ws/"), F.when(k % 3 == 0, "prices.asmx?x=1").otherwise("stock"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("seq"), url.alias("url"), F.create_map().cast("map<string,string>").alias("headers"), body.cast("binary").alias("body"), F.struct(F.lit(None).cast("binary").alias("body")).alias("response"))
-
-
-def soap_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.soap_parameters(_soap_calls(spark, sf_dir)).select("operation", "name", "type")
-
-
-def soap_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.soap_services(_soap_calls(spark, sf_dir))
-
-
-def wsdl_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return specs.wsdl_document(specs.soap_parameters(_soap_calls(spark, sf_dir)), "Shop", "urn:shop", "https://shop.example.com/ws")
-
-
-def wsdl_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operations of one made document for each part; those of bindings do not count."""
-    key = F.col("p_partkey").cast("string")
-    body = F.concat(F.lit("<definitions><!-- <portType><operation name='no'/></portType> --><w:portType name='P'><w:operation name='Get"), key, F.lit("'/><w:operation style='x' name=\"List\"/></w:portType><binding><operation name='Bound'/></binding></definitions>"))
-    return specs.wsdl_operations(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", body.cast("binary").alias("body")), "p_partkey")
-
-
 def descriptor_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by part: each imports that of half its number, and every tenth the next one, which closes cycles."""
     ensure_shared_dir(spark)
@@ -88,25 +47,8 @@ def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.extract_forms(pages).select("seq", "method", "url", F.coalesce("body", F.lit("")).alias("body"), "source")
 
 
-QUERIES = {f.__name__: f for f in (soap_parameters, wsdl_document, soap_services, soap_types, soap_namespaces, wsdl_text, wsdl_operations, descriptor_closure, grpc_services, proto_document, graphql_operations, type_unification, page_forms)}
-#: An action's name is what stands behind "urn:"; without an action the body's element counts where its prefix is declared.
-_NAMED = f"SELECT * FROM (SELECT seq, CASE WHEN soap_action <> '' THEN 'stock#GetStock' WHEN contains(body, 'xmlns:soap') THEN 'GetStock' END AS operation FROM ({views.FLAT})) WHERE operation IS NOT NULL"
+QUERIES = {f.__name__: f for f in (descriptor_closure, grpc_services, proto_document, graphql_operations, type_unification, page_forms)}
 ORACLES = {
-    "soap_parameters": f"SELECT operation, 'part' AS name, 'xsd:int' AS type, min(seq) AS first_seq FROM ({_NAMED}) GROUP BY operation",
-    "wsdl_document": f"""SELECT operation, concat('<xsd:element name="', operation, '"><xsd:complexType><xsd:sequence><xsd:element name="part" type="xsd:int"/></xsd:sequence></xsd:complexType></xsd:element><operation name="', operation, '"><input message="tns:', operation, 'Request"/><output message="tns:', operation, 'Response"/></operation>') AS wsdl FROM ({_NAMED}) GROUP BY operation""",
-    "soap_services": f"""WITH f AS (SELECT split_part(url, '?', 1) AS location FROM ({views.FLAT}) WHERE soap_action <> '' OR contains(body, 'xmlns:soap'))
-SELECT location, 'Stock' AS service, 'urn:Stock' AS namespace, count(*) AS calls FROM f GROUP BY ALL""",
-    "soap_types": "SELECT * FROM (VALUES ('Price', 'part', 'xsd:int'), ('Price', 'day', 'xsd:date'), ('Price', 'code', 'xsd:string'), ('Stock', 'amount', 'xsd:decimal'), ('Stock', 'note', 'xsd:string')) AS t(operation, name, type) WHERE EXISTS (SELECT 1 FROM part)",
-    "soap_namespaces": """WITH c AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'prices.asmx' ELSE 'stock' END AS name, CASE WHEN p_partkey % 5 = 0 THEN 'urn:old' ELSE 'urn:shop' END AS space, count(*) AS n FROM part GROUP BY ALL)
-SELECT 'https://shop.example.com/ws/' || name AS location, CASE WHEN name = 'stock' THEN 'Stock' ELSE 'Prices' END AS service, arg_max(space, (n, space)) AS namespace, sum(n)::BIGINT AS calls FROM c GROUP BY name""",
-    "wsdl_text": """SELECT concat('<definitions name="Shop" targetNamespace="urn:shop" xmlns="http://schemas.xmlsoap.org/wsdl/" xmlns:soap="http://schemas.xmlsoap.org/wsdl/soap/" xmlns:tns="urn:shop" xmlns:xsd="http://www.w3.org/2001/XMLSchema"><types><xsd:schema targetNamespace="urn:shop">',
-  '<xsd:element name="Price"><xsd:complexType><xsd:sequence><xsd:element name="part" type="xsd:int"/><xsd:element name="day" type="xsd:date"/><xsd:element name="code" type="xsd:string"/></xsd:sequence></xsd:complexType></xsd:element><xsd:element name="PriceResponse"><xsd:complexType/></xsd:element>',
-  '<xsd:element name="Stock"><xsd:complexType><xsd:sequence><xsd:element name="note" type="xsd:string"/><xsd:element name="amount" type="xsd:decimal"/></xsd:sequence></xsd:complexType></xsd:element><xsd:element name="StockResponse"><xsd:complexType/></xsd:element></xsd:schema></types>',
-  string_agg(concat('<message name="', o, 'Request"><part name="parameters" element="tns:', o, '"/></message><message name="', o, 'Response"><part name="parameters" element="tns:', o, 'Response"/></message>'), '' ORDER BY o), '<portType name="ShopPortType">',
-  string_agg(concat('<operation name="', o, '"><input message="tns:', o, 'Request"/><output message="tns:', o, 'Response"/></operation>'), '' ORDER BY o), '</portType><binding name="ShopBinding" type="tns:ShopPortType"><soap:binding style="document" transport="http://schemas.xmlsoap.org/soap/http"/>',
-  string_agg(concat('<operation name="', o, '"><soap:operation soapAction="urn:shop/', o, '"/><input><soap:body use="literal"/></input><output><soap:body use="literal"/></output></operation>'), '' ORDER BY o),
-  '</binding><service name="Shop"><port name="ShopPort" binding="tns:ShopBinding"><soap:address location="https://shop.example.com/ws"/></port></service></definitions>') AS wsdl FROM (SELECT DISTINCT CASE p_partkey % 2 WHEN 0 THEN 'Price' ELSE 'Stock' END AS o FROM part)""",
-    "wsdl_operations": "SELECT p_partkey, unnest(['Get' || p_partkey::STRING, 'List']) AS operation FROM part",
     "descriptor_closure": """WITH RECURSIVE i AS (SELECT p_partkey AS file, p_partkey // 2 AS dependency FROM part WHERE p_partkey > 1 UNION SELECT p_partkey, p_partkey + 1 FROM part WHERE p_partkey % 10 = 0),
 r(root, file, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 100 UNION SELECT root, dependency, depth + 1 FROM r JOIN i USING (file) WHERE depth < 40)
 SELECT root, file, min(depth)::INTEGER AS depth FROM r GROUP BY ALL""",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspan.plans import classification, documents, imports, inventory, operations, probes
+from quillspan.plans import classification, documents, imports, inventory, operations, probes, soap
 
-_MODULES = (classification, inventory, operations, documents, probes, imports)
+_MODULES = (classification, inventory, operations, documents, probes, imports, soap)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
