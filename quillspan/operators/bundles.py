@@ -29,6 +29,8 @@ ASSETS = (
     ".map", ".js", ".ico", ".pdf", ".zip",
 )
 MAX_BUNDLE, MAX_ENDPOINTS, MAP_TAIL, MAX_MAP = 5 << 20, 500, 2048, 10 << 20
+#: Places that paths put together keep of a bundle's endpoints, at most half of them.
+CONCAT_PLACES = 16
 SCRIPT, SOURCEMAP, CONCAT = "static:js", "static:js-sourcemap", "static:js-concat"
 
 _JS = mining._JS
@@ -38,6 +40,7 @@ _FETCH = regex.compile(_JS + r"\bfetch\s*\(\s*(?<url>(?&string)|(?&template))\s*
 _URL = regex.compile(_JS + r"[{,]\s*[\"']?url[\"']?\s*:\s*(?<url>(?&string)|(?&template))", regex.S)
 _METHOD = regex.compile(r"""[{,]\s*["']?method["']?\s*:\s*["']([A-Za-z]+)["']""")
 _SENT = regex.compile(_JS + r"[{,]\s*[\"']?(?:body|data)[\"']?\s*:\s*(?:JSON\.stringify\s*\(\s*)?(?<body>\{(?&piece)*\})", regex.S)
+_DATA = regex.compile(_JS + r"[{,]\s*[\"']?data[\"']?\s*:\s*(?<body>\{(?&piece)*\})", regex.S)
 _HAS_BODY = regex.compile(r"""[{,]\s*["']?body["']?\s*[:,}]""")
 _KEY = regex.compile(_JS + r"(?:^|,)\s*(?:(?<quoted>(?&string))|(?<name>[A-Za-z_$][\w$]*))\s*(?=[:,]|$)(?:(?&string)|(?&template)|(?&bracket)|[^()\[\]{}\"'`,])*", regex.S)
 _HOLE = regex.compile(_JS + r"\$\{(?<hole>(?&inner)*)\}", regex.S)
@@ -85,8 +88,11 @@ def calls(script: str) -> list[tuple[str, str, list[str], str]]:
     """(method, address, body fields, kind) of a script: axios calls, fetch calls, then paths put together, each method and address once."""
     found: list[tuple[str, str, list[str]]] = []
     for m in _AXIOS.finditer(script):
-        takes_body = m["method"] in ("post", "put", "patch")
-        found.append((m["method"].upper(), address(m["url"]), fields(m["body"]) if m["body"] and takes_body else []))
+        takes_body, sent = m["method"] in ("post", "put", "patch"), m["body"]
+        if sent and m["method"] == "delete":  # whose second argument holds options, and among them data
+            option = _DATA.search(sent)
+            takes_body, sent = bool(option), option and option["body"]
+        found.append((m["method"].upper(), address(m["url"]), fields(sent) if sent and takes_body else []))
     for m in _CONFIG.finditer(script):
         if url := _URL.search(m["config"]):
             method, names = _configured(m["config"])
@@ -120,6 +126,14 @@ def inline_sources(script: str) -> list[str]:
         return []
 
 
+def within_budget(endpoints: list[dict], most: int = MAX_ENDPOINTS) -> list[dict]:
+    """The first ``most`` endpoints, calls before paths put together, for which some places are kept and which take those that calls leave."""
+    called = [e for e in endpoints if e["source"] != CONCAT]
+    joined = [e for e in endpoints if e["source"] == CONCAT]
+    called = called[: most - min(len(joined), CONCAT_PLACES, most // 2)]
+    return called + joined[: most - len(called)]
+
+
 def is_bundle() -> Column:
     """A script by its answer's media type or its address."""
     kind = F.lower(F.coalesce("response.content_type", F.lit("")))
@@ -143,7 +157,7 @@ def analyze(exchanges: DataFrame) -> DataFrame:
         for tag, text in [(SCRIPT, script), *((SOURCEMAP, s) for s in inline_sources(script))]:
             for method, url, names, how in calls(text):
                 once.setdefault((method, url), {"method": method, "address": url, "fields": names, "source": CONCAT if how == "concat" else tag})
-        return list(once.values())[:MAX_ENDPOINTS]
+        return within_budget(list(once.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

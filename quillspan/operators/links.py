@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
-from quillspan.functions.rows import settle
+from quillspan.functions.rows import let, settle
 
 # Extensions that are no pages, segments of transports, and elements and attributes that name links.
 NOT_PAGES = (
@@ -28,8 +28,19 @@ def is_likely_page(url: Column) -> Column:
     return ~path.rlike("(" + "|".join(e.replace(".", r"\.") for e in NOT_PAGES) + r")\z") & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, TRANSPORTS)))
 
 
+def fold_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments (RFC 3986, 5.2.4): ``..`` takes the segment before it away and never goes above the root."""
+    kept = F.aggregate(
+        F.slice(F.split(path, "/", -1), F.lit(2), F.size(F.split(path, "/", -1))),
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s))),
+    )
+    tail = F.when(path.rlike(r"/\.\.?\z") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(path.rlike(r"/\.\.?(/|\z)"), F.concat(F.lit("/"), F.array_join(kept, "/"), tail)).otherwise(path)
+
+
 def resolve(base: Column, ref: Column) -> Column:
-    """The absolute form of a reference, without its fragment; null for other schemes. ``..`` segments are folded."""
+    """The absolute form of a reference, without its fragment; null for other schemes. As RFC 3986 has it (5.2), dot segments of the path are folded."""
     ref = F.regexp_replace(F.trim(ref), r"#.*\z", "")
     root = F.concat(U.scheme(base), F.lit("://"), U.authority(base))
     folder = F.regexp_replace(U.raw_path(base), r"[^/]*\z", "")
@@ -42,7 +53,12 @@ def resolve(base: Column, ref: Column) -> Column:
         .when(ref.startswith("?"), F.concat(root, U.raw_path(base), ref))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), ref))
     )
-    return F.regexp_replace(F.regexp_replace(joined, r"(?<!:)/\./", "/"), r"/[^/?]+/\.\./", "/")
+
+    def folded(whole: Column) -> Column:
+        cut = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)\z"
+        return F.concat(F.regexp_extract(whole, cut, 1), fold_dots(F.regexp_extract(whole, cut, 2)), F.regexp_extract(whole, cut, 3))
+
+    return let(joined, lambda whole: F.when(whole.rlike(r"^[^?#]*/\.\.?([/?#]|\z)"), folded(whole)).otherwise(whole))
 
 
 def page_links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
-from quillspan.functions.rows import let
+from quillspan.functions.rows import let, settle
 
 # What marks a path as an API's, what a path is written with, static files, what stands for an operand that is no literal, and bounds.
 INDICATOR = r"(?:api/|v[1-9][0-9]*/|rest/|rpc/|graphql)"
@@ -120,20 +120,41 @@ def service_prefixes(script: Column, most: int = MAX_PREFIXES) -> Column:
     return let(joined, chosen)
 
 
+def recorded_prefixes(rows: DataFrame) -> DataFrame:
+    """(origin, prefix, first_seq): prefixes of services that a crawl shows: addresses (seq, url, source) taken from a recorded script that are one short segment below its folder.
+
+    Scripts are matched to what came from them by address, so that a script of very many addresses costs no more than its rows.
+    """
+    is_script = lambda c: F.lower(F.coalesce(U.raw_path(F.col(c)), F.lit(""))).rlike(r"\.m?js\z")
+    scripts = rows.filter(is_script("url")).select(F.col("url").alias("source")).distinct()
+    taken = rows.filter(is_script("source")).join(scripts, "source", "left_semi")
+    folder = F.regexp_replace(U.path(F.col("source")), r"[^/]*\z", "")
+    path = U.path(F.col("url"))
+    below = F.when(F.startswith(path, folder), F.rtrim(F.substring(path, F.length(folder) + 1, F.length(path)), F.lit("/")))
+    named = settle(taken, origin=U.origin(F.col("source")), below=below).filter(F.col("below").rlike(r"^[a-z0-9_\-]{2,30}\z"))
+    return named.groupBy("origin", F.concat("below", F.lit("/")).alias("prefix")).agg(F.min("seq").alias("first_seq"))
+
+
 def is_static_file(path: Column) -> Column:
     return F.lower(path).rlike("(" + "|".join(e.replace(".", r"\.") for e in STATIC_FILES) + r")\z")
 
 
-def mine_paths(scripts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def mine_paths(scripts: DataFrame, id_col: str, text_col: str, recorded: DataFrame | None = None, url_col: str = "url") -> DataFrame:
     """(id, pos, path): distinct API paths that scripts name, in the order in which the strategies find them.
 
     Quoted paths, template literals (with and without holes), full URLs, paths put together. A path without a service's
-    prefix is tried under every prefix that its script names. Static files are left out; null scripts have none.
+    prefix is tried under every prefix that its script names, and under those that requests of the script's origin show (``recorded``, see
+    :func:`recorded_prefixes`; an origin's services stand in one list). Static files are left out; null scripts have none.
     """
     text = F.col(text_col)
     take = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
     found = [take(f"[\"']{_API_PATH}[\"']"), _scanned(template_paths)(text), take(f"`{_API_PATH}`"), take(f"[\"'`]{_FULL_URL}[\"'`]"), _scanned(concat_paths)(text)]
-    rows = scripts.select(id_col, service_prefixes(text).alias("prefixes"), F.concat(*found).alias("found")).select(id_col, "prefixes", F.posexplode("found").alias("at", "raw"))
+    named = scripts.select(id_col, *([url_col] if recorded is not None else []), service_prefixes(text).alias("prefixes"), F.concat(*found).alias("found"))
+    if recorded is not None:
+        shown = recorded.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("first_seq", "prefix"))).alias("shown"))
+        named = settle(named, origin=U.origin(F.col(url_col))).join(shown, "origin", "left")
+        named = named.withColumn("prefixes", F.array_distinct(F.concat("prefixes", F.coalesce(F.transform("shown", lambda x: x["prefix"]), F.array().cast("array<string>")))))
+    rows = named.select(id_col, "prefixes", F.posexplode("found").alias("at", "raw"))
     rows = rows.filter(~is_static_file(F.col("raw"))).withColumns({"absolute": U.is_absolute_http(F.col("raw")), "bare": F.regexp_replace("raw", "^/", "")})
     own = F.exists("prefixes", lambda p: F.col("bare").startswith(p)) | (~F.col("bare").rlike("(?i)^" + INDICATOR) & F.col("bare").rlike("(?i)" + INDICATOR)) | (F.size("prefixes") == 0)
     whole = F.when(F.col("absolute"), F.when(U.is_admissible(F.col("raw")), F.array(F.rtrim(F.col("raw"), F.lit("/")))).otherwise(F.array().cast("array<string>")))
