@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quillspan.plans import classification, documents, imports, inventory, operations, probes, protos, soap, web
+from quillspan.plans import classification, documents, graph, imports, inventory, operations, probes, protos, soap, web
 
-_MODULES = (classification, inventory, operations, documents, probes, imports, soap, protos, web)
+_MODULES = (classification, inventory, operations, documents, probes, imports, soap, protos, web, graph)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
