@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.batches import map_texts, text_groups
 from quillspan.llm.simhash import components, shingle_hashes, simhash
-from quillspan.llm.store import written
+from quillspan.llm.store import dropped, written
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -76,8 +76,8 @@ def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def sketch(words: np.ndarray) -> bytes:
-    """A map of bits that the runs set, at least one and less than two for each run (64 at least)."""
-    size = max(64, 1 << len(words).bit_length())
+    """A map of bits that the runs set, four to eight for each run (64 at least)."""
+    size = max(64, 4 << len(words).bit_length())
     out = np.zeros(size, bool)
     out[(words >> np.uint64(20)).astype(np.int64) & (size - 1)] = True
     return np.packbits(out, bitorder="little").tobytes()
@@ -187,8 +187,12 @@ def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col:
         alike = (NUM + DEN) * F.size(F.array_intersect("w1", "w2")) >= NUM * (F.size("w1") + F.size("w2"))
         more = written(both.filter(alike).select("a", "b").distinct())
         if not more.isEmpty():
-            edges = written(edges.union(more))
+            before, edges = (edges, roots), written(edges.union(more))
             roots = written(components(edges))
-        if ahead.filter("farther").isEmpty():
+            dropped(*before)
+        last = ahead.filter("farther").isEmpty()
+        dropped(ahead, possible, asked, sets, more)
+        if last:
+            dropped(texts, shared, edges)
             return roots
         low, high = high + 1, high * REACH

@@ -20,4 +20,13 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_shared_dir(spark)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Removes the files of tables that ``written`` made, once nothing reads them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
