@@ -1,7 +1,6 @@
 """Endpoints that script bundles call: fetch and axios calls and paths put together, as synthetic exchanges.
 
-Scripts are read by patterns, not by a parser: calls whose address is a literal or a template are found, calls
-through variables are not.
+Calls of fetch, axios, XMLHttpRequest and jQuery and changes of location are found by :mod:`scripts`, which follows constants through scopes; paths put together by patterns.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
 from quillspan.functions.rows import settle
-from quillspan.operators import mining
+from quillspan.operators import mining, scripts
 from quillspan.operators.links import resolve
 
 # Schemes and assets that are no endpoints, bounds of a bundle, and tags of the rows.
@@ -34,14 +33,6 @@ CONCAT_PLACES = 16
 SCRIPT, SOURCEMAP, CONCAT = "static:js", "static:js-sourcemap", "static:js-concat"
 
 _JS = mining._JS
-_AXIOS = regex.compile(_JS + r"\baxios\.(?<method>get|post|put|patch|delete|head|options)\s*\(\s*(?<url>(?&string)|(?&template))\s*(?:,\s*(?<body>\{(?&piece)*\}))?", regex.S)
-_CONFIG = regex.compile(_JS + r"\baxios(?:\.request)?\s*\(\s*(?<config>\{(?&piece)*\})", regex.S)
-_FETCH = regex.compile(_JS + r"\bfetch\s*\(\s*(?<url>(?&string)|(?&template))\s*(?:,\s*(?<config>\{(?&piece)*\}))?", regex.S)
-_URL = regex.compile(_JS + r"[{,]\s*[\"']?url[\"']?\s*:\s*(?<url>(?&string)|(?&template))", regex.S)
-_METHOD = regex.compile(r"""[{,]\s*["']?method["']?\s*:\s*["']([A-Za-z]+)["']""")
-_SENT = regex.compile(_JS + r"[{,]\s*[\"']?(?:body|data)[\"']?\s*:\s*(?:JSON\.stringify\s*\(\s*)?(?<body>\{(?&piece)*\})", regex.S)
-_DATA = regex.compile(_JS + r"[{,]\s*[\"']?data[\"']?\s*:\s*(?<body>\{(?&piece)*\})", regex.S)
-_HAS_BODY = regex.compile(r"""[{,]\s*["']?body["']?\s*[:,}]""")
 _KEY = regex.compile(_JS + r"(?:^|,)\s*(?:(?<quoted>(?&string))|(?<name>[A-Za-z_$][\w$]*))\s*(?=[:,]|$)(?:(?&string)|(?&template)|(?&bracket)|[^()\[\]{}\"'`,])*", regex.S)
 _HOLE = regex.compile(_JS + r"\$\{(?<hole>(?&inner)*)\}", regex.S)
 _MAP = regex.compile(r"//[#@]\s*sourceMappingURL=(\S+)")
@@ -76,30 +67,10 @@ def fields(body: str) -> list[str]:
     return list(dict.fromkeys((m["quoted"] or "")[1:-1] or m["name"] for m in _KEY.finditer(body[1:-1]) if m["quoted"] or m["name"]))
 
 
-def _configured(config: str) -> tuple[str, list[str]]:
-    """Method and body fields of a call's options; a body without a method means POST."""
-    sent = _SENT.search(config)
-    method = _METHOD.search(config)
-    names = fields(sent["body"]) if sent else []
-    return (method[1].upper() if method else "POST" if sent or _HAS_BODY.search(config) else "GET"), names
-
-
 def calls(script: str) -> list[tuple[str, str, list[str], str]]:
     """(method, address, body fields, kind) of a script: axios calls, fetch calls, then paths put together, each method and address once."""
-    found: list[tuple[str, str, list[str]]] = []
-    for m in _AXIOS.finditer(script):
-        takes_body, sent = m["method"] in ("post", "put", "patch"), m["body"]
-        if sent and m["method"] == "delete":  # whose second argument holds options, and among them data
-            option = _DATA.search(sent)
-            takes_body, sent = bool(option), option and option["body"]
-        found.append((m["method"].upper(), address(m["url"]), fields(sent) if sent and takes_body else []))
-    for m in _CONFIG.finditer(script):
-        if url := _URL.search(m["config"]):
-            method, names = _configured(m["config"])
-            found.append((method if _METHOD.search(m["config"]) else "GET", address(url["url"]), names))
-    for m in _FETCH.finditer(script):
-        method, names = _configured(m["config"] or "{}")
-        found.append((method, address(m["url"]), names))
+    told = sorted(scripts.sinks(script), key=lambda c: ("axios", "fetch").index(c[3]) if c[3] in ("axios", "fetch") else 2)
+    found = [(method, address(f'"{url}"'), fields(sent) if sent.startswith("{") else []) for method, url, sent, _ in told]
     once: dict[tuple[str, str], tuple[list[str], str]] = {}
     for method, url, names in found:
         if url and (not once.get((method, url)) or names and not once[method, url][0]):

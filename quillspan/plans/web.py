@@ -73,7 +73,29 @@ def bundle_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("seq").agg(F.count_if(F.col("source") == bundles.SCRIPT).alias("calls"), F.count_if(F.col("source") == bundles.CONCAT).alias("joined"), F.max(F.when(F.col("method") == "DELETE", F.col("body"))).alias("deleted"))
 
 
-QUERIES = {f.__name__: f for f in (resolved_references, event_correlation, recorded_prefixes, prefixed_paths, bundle_budget)}
+#: Scripts whose addresses go through names, with @ for the key; and what they call: method, path, fields of the body.
+_SCRIPTED = (
+    ('var u="/api/y@";fetch(u)', [("GET", "/api/y@", None)]),
+    ('const b="/api@";function f(b){fetch(b+"/x")}fetch(b+"/z")', [("GET", "/{b}/x", None), ("GET", "/api@/z", None)]),
+    ('let w="/a@";w="/b";fetch(w);fetch("/c")', [("GET", "/c", None)]),
+    ('const A="/v@",B=`${A}/o`;const o={method:"PUT",body:JSON.stringify({n:1,m:x})};fetch(`${B}/${i.id}?q=${q()}`,o)', [("PUT", "/v@/o/{id}?q={param}", '{"m":null,"n":null}')]),
+    ('var r=new XMLHttpRequest();r.open("post",p,true);var p="/late@"', [("POST", "/late@", None)]),
+    ('$.ajax({url:root+"/q",type:"DELETE",data:{why:1}});var root="/j@"', [("DELETE", "/j@/q", '{"why":null}')]),
+    ('for(const u of us){fetch(u)}{let u="/in@";fetch(u)}location.href="/go@/"+n', [("GET", "/in@", None), ("GET", "/go@/{n}", None)]),
+    ('axios.post(e,{a:1});const e="/x@";// fetch("/no")\nvar t=/fetch("no")/;[1].map(e=>fetch(e+"/d"))', [("POST", "/x@", '{"a":null}'), ("GET", "/{e}/d", None)]),
+)
+
+
+def script_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a script for each customer, through constants, shadowed names, options and loops."""
+    key = F.col("c_custkey")
+    text = F.element_at(F.array(*[F.lit(script) for script, _ in _SCRIPTED]), (key % len(_SCRIPTED) + 1).cast("int"))
+    body = F.replace(text, F.lit("@"), key.cast("string")).cast("binary")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("seq"), F.lit("https://a.example/app.js").alias("url"), F.lit("").alias("page_url"), F.struct(F.lit("text/javascript").alias("content_type"), body.alias("body")).alias("response"))
+    return bundles.analyze(rows).select("seq", "method", "url", "body")
+
+
+QUERIES = {f.__name__: f for f in (resolved_references, event_correlation, recorded_prefixes, prefixed_paths, bundle_budget, script_variables)}
 
 _SCRIPTS = """
 SELECT s_suppkey AS s, concat('https://s', s_suppkey % 7, '.example') AS host, concat('https://s', s_suppkey % 7, '.example/static/js/app', s_suppkey % 3, '.js') AS script,
@@ -106,4 +128,7 @@ UNION SELECT s, '/api/lead' FROM t WHERE host NOT IN (SELECT origin FROM p)
 WITH b AS (SELECT s_suppkey AS seq, 400 + s_suppkey % 5 * 50 + 1 AS n, s_suppkey % 5 * 10 + 1 AS m FROM supplier), c AS (SELECT *, least(n, 500 - least(m, 16)) AS calls FROM b)
 SELECT seq, calls::BIGINT AS calls, least(m, 500 - calls)::BIGINT AS joined, '{"who":null,"why":null}' AS deleted FROM c
 """,
+    "script_variables": "SELECT c_custkey AS seq, r.method, concat('https://a.example', replace(r.path, '@', c_custkey::VARCHAR)) AS url, r.body FROM (SELECT c_custkey, unnest(["
+    + ", ".join("[" + ", ".join(f"{{'method': '{m}', 'path': '{p}', 'body': " + (f"'{b}'" if b else "NULL") + "}" for m, p, b in calls) + "]" for _, calls in _SCRIPTED)
+    + f"][c_custkey % {len(_SCRIPTED)} + 1]) AS r FROM customer)",
 }
