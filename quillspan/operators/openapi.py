@@ -131,10 +131,11 @@ def body_content(properties: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, F.coalesce("plain", F.concat(F.lit('{"properties":'), _object(F.col("pairs")), F.lit(',"type":"object"}'))).alias("schema"))
 
 
-def render_openapi(ops: DataFrame, params: DataFrame, requests: DataFrame | None = None, responses: DataFrame | None = None) -> DataFrame:
+def render_openapi(ops: DataFrame, params: DataFrame, requests: DataFrame | None = None, responses: DataFrame | None = None, named: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:
     """One row (path, item) for each path of an OpenAPI 3.0 document, as JSON text; assembled by operation, not by traffic.
 
-    requests, responses: merged properties of bodies, by media type and by status.
+    requests, responses: merged properties of bodies, by media type and by status; named: which component stands for a body
+    (:func:`schemas.components`), which is referred to instead of shown; statuses: (operation, status) of answers, with or without a body.
     """
     query = params.groupBy(*OPERATION).agg(F.array_sort(F.collect_list(F.struct("name", "required", "type", "several"))).alias("query"))
     rows = ops.join(query, OPERATION, "left")
@@ -147,16 +148,23 @@ def render_openapi(ops: DataFrame, params: DataFrame, requests: DataFrame | None
         lambda p: one(p["name"], "query", p["required"], listed(p), F.when(p["several"], "form"), F.when(p["several"], F.lit(True))),
     )
     summary = F.concat(F.initcap("method"), F.lit(" "), F.col("template"))
-    item = F.struct(summary.alias("summary"), F.col("source_tag").alias("x-source"), F.nullif(F.col("collision_origins"), F.lit("")).alias("x-collision-origins"), F.concat(query_list, path_list).alias("parameters"))
+    every = F.concat(query_list, path_list)
+    item = F.struct(summary.alias("summary"), F.nullif("source_tag", F.lit("dynamic")).alias("x-source"), F.nullif(F.col("collision_origins"), F.lit("")).alias("x-collision-origins"), F.when(F.size(every) > 0, every).alias("parameters"))
     rows = rows.withColumn("item", F.to_json(item))
     for bodies, key, wrap in ((requests, "media", "requestBody"), (responses, "status", "responses")):
         if bodies is None:
             continue
         told = body_content(bodies, [*OPERATION, key])
+        if named is not None:
+            place = named.filter(F.col("place") == wrap.removesuffix("Body").removesuffix("s")).select(*OPERATION, F.col("key").alias(key), "component")
+            told = told.join(place, [*OPERATION, key], "left").withColumn("schema", F.coalesce(F.concat(F.lit('{"$ref":"#/components/schemas/'), "component", F.lit('"}')), "schema"))
+        if wrap == "responses" and statuses is not None:
+            told = statuses.select(*OPERATION, key).join(told, [*OPERATION, key], "left")
         text = F.concat(F.lit('{"schema":'), "schema", F.lit("}"))
         if wrap == "responses":
             phrase = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in STATUS_TEXT.items() for x in (str(k), v)]), F.col(key)), F.col(key))
-            text = F.concat(F.lit('{"content":{"application/json":'), text, F.lit('},"description":'), _quoted(phrase), F.lit("}"))
+            held = F.coalesce(F.concat(F.lit('"content":{"application/json":'), text, F.lit("},")), F.lit(""))
+            text = F.concat(F.lit("{"), held, F.lit('"description":'), _quoted(phrase), F.lit("}"))
         merged = told.groupBy(*OPERATION).agg(_object(F.collect_list(F.concat(_quoted(F.col(key)), F.lit(":"), text))).alias("body"))
         shown = F.concat(F.lit('{"content":'), "body", F.lit("}")) if wrap == "requestBody" else F.col("body")
         added = F.concat(F.expr("left(item, length(item) - 1)"), F.lit(f',"{wrap}":'), shown, F.lit("}"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import bundles, links, mining
+from quillspan.functions import url as U
+from quillspan.operators import bundles, classify, dedup, document, links, mining
+from quillspan.sources.shared import ensure_shared_dir
 from quillspan.streaming import correlate
 
 #: References and what they come to relative to /b/c/d;p?q: the examples of RFC 3986 (5.4), fragments left out, those that have no scheme or http's.
@@ -95,12 +97,139 @@ def script_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundles.analyze(rows).select("seq", "method", "url", "body")
 
 
-QUERIES = {f.__name__: f for f in (resolved_references, event_correlation, recorded_prefixes, prefixed_paths, bundle_budget, script_variables)}
+def openapi_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document of made endpoints: items of suppliers on two hosts, of which one is the target, and calls that make and remove them."""
+    ensure_shared_dir(spark)
+    s = F.col("s_suppkey")
+    key = s.cast("string")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    host = F.concat(F.lit("https://h"), (s % 2).cast("string"), F.lit(".example"))
+    none = F.lit(None).cast("binary")
+
+    def exchange(n: int, method: str, url, body, status: int, answer):
+        said = F.struct(F.lit(status).alias("status_code"), F.create_map().cast("map<string,string>").alias("headers"), F.lit("application/json").alias("content_type"), answer.cast("binary").alias("body"))
+        return F.struct((s * 4 + n).alias("seq"), F.lit(method).alias("method"), url.alias("url"), F.create_map().cast("map<string,string>").alias("headers"), body.cast("binary").alias("body"), said.alias("response"))
+
+    items = F.concat(host, F.lit("/api/items/"), key)
+    calls = F.array(
+        exchange(0, "GET", items, none, 200, F.concat(F.lit('{"id":'), key, F.lit(',"name":"n","on":'), F.when(s % 2 == 0, "true").otherwise("false"), F.lit("}"))),
+        exchange(1, "POST", F.lit("https://h0.example/api/items"), F.lit('{"name":"x","tags":["a"]}'), 201, F.concat(F.lit('{"id":'), key, F.lit("}"))),
+        exchange(2, "DELETE", items, none, 204, none),
+        exchange(3, "GET", F.concat(F.lit("https://h0.example/api/items?page="), (s % 5).cast("string")), none, 200, F.concat(F.lit('[{"id":'), key, F.lit("}]"))),
+    )
+    made = rows.select(F.explode(calls).alias("c")).select("c.*").select(
+        "*", U.query_params(F.col("url")).alias("query_params"), F.lit("browser").alias("source"), F.lit("").alias("tag"), F.lit("").alias("attribute"), F.lit("").alias("page_url")
+    )
+    endpoints = dedup.deduplicate(classify.classify(made, ["rest"], 0.0)).checkpoint()
+    return document.yaml_document(endpoints, "https://h0.example")
+
+
+QUERIES = {f.__name__: f for f in (openapi_yaml, resolved_references, event_correlation, recorded_prefixes, prefixed_paths, bundle_budget, script_variables)}
 
 _SCRIPTS = """
 SELECT s_suppkey AS s, concat('https://s', s_suppkey % 7, '.example') AS host, concat('https://s', s_suppkey % 7, '.example/static/js/app', s_suppkey % 3, '.js') AS script,
   CASE WHEN s_suppkey % 6 = 0 THEN concat('svc-', s_suppkey % 9) WHEN s_suppkey % 6 = 5 THEN concat('w_', s_suppkey % 4) END AS name FROM supplier
 """
+_YAML = """components:
+    schemas:
+        CreateItemRequest:
+            properties:
+                name:
+                    type: string
+                tags:
+                    items:
+                        type: string
+                    type: array
+            type: object
+        ItemCreatedResponse:
+            properties:
+                id:
+                    type: integer
+            type: object
+        ItemResponse:
+            properties:
+                id:
+                    type: integer
+                name:
+                    type: string
+                "on":
+                    type: boolean
+            type: object
+info:
+    title: h0.example API
+    version: 1.0.0
+openapi: 3.0.3
+paths:
+    /api/items:
+        get:
+            parameters:
+                - explode: true
+                  in: query
+                  name: page
+                  required: true
+                  schema:
+                    items:
+                        type: integer
+                    type: array
+                  style: form
+            responses:
+                "200":
+                    content:
+                        application/json:
+                            schema:
+                                items:
+                                    properties:
+                                        id:
+                                            type: integer
+                                    type: object
+                                type: array
+                    description: OK
+            summary: Get /api/items
+        post:
+            requestBody:
+                content:
+                    application/json:
+                        schema:
+                            $ref: ''#/components/schemas/CreateItemRequest''
+            responses:
+                "201":
+                    content:
+                        application/json:
+                            schema:
+                                $ref: ''#/components/schemas/ItemCreatedResponse''
+                    description: Created
+            summary: Post /api/items
+    /api/items/{itemId}:
+        delete:
+            parameters:
+                - in: path
+                  name: itemId
+                  required: true
+                  schema:
+                    type: string
+            responses:
+                "204":
+                    description: No Content
+            summary: Delete /api/items/{itemId}
+            x-collision-origins: @
+        get:
+            parameters:
+                - in: path
+                  name: itemId
+                  required: true
+                  schema:
+                    type: string
+            responses:
+                "200":
+                    content:
+                        application/json:
+                            schema:
+                                $ref: ''#/components/schemas/ItemResponse''
+                    description: OK
+            summary: Get /api/items/{itemId}
+            x-collision-origins: @
+servers:
+"""
 _PREFIXES = f"SELECT host AS origin, concat(name, '/') AS prefix, min(2 * s + 1) AS first_seq FROM ({_SCRIPTS}) WHERE name IS NOT NULL AND s % 10 <> 9 AND s % 7 <> 5 GROUP BY ALL"
 ORACLES = {
     "resolved_references": "SELECT c_custkey, r[1] AS ref, concat('https://H', c_custkey, '.example:8443', r[2]) AS link FROM (SELECT c_custkey, ["
@@ -131,4 +260,8 @@ SELECT seq, calls::BIGINT AS calls, least(m, 500 - calls)::BIGINT AS joined, '{"
     "script_variables": "SELECT c_custkey AS seq, r.method, concat('https://a.example', replace(r.path, '@', c_custkey::VARCHAR)) AS url, r.body FROM (SELECT c_custkey, unnest(["
     + ", ".join("[" + ", ".join(f"{{'method': '{m}', 'path': '{p}', 'body': " + (f"'{b}'" if b else "NULL") + "}" for m, p, b in calls) + "]" for _, calls in _SCRIPTED)
     + f"][c_custkey % {len(_SCRIPTED)} + 1]) AS r FROM customer)",
+    "openapi_yaml": f"""
+WITH h AS (SELECT DISTINCT concat('https://h', s_suppkey % 2, '.example') AS host FROM supplier)
+SELECT concat(replace('{_YAML}', '@', (SELECT string_agg(host, ',' ORDER BY host) FROM h WHERE host <> 'https://h0.example')), (SELECT string_agg(concat('    - url: ', host, chr(10)), '' ORDER BY host) FROM h)) AS yaml
+""",
 }
