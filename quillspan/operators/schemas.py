@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from urllib.parse import unquote_plus
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import headers as H
@@ -144,15 +144,14 @@ def merge(observed: DataFrame, keys: list[str], promote: bool) -> DataFrame:
     string, unless it was null at first.
     """
     rows = observed.select(*keys, "at", F.explode("found").alias("f")).select(*keys, "at", "f.*")
-    first = F.min_by(F.struct("type", "schema"), "at").alias("first")
-    roots = rows.filter("name IS NULL").groupBy(*keys).agg(first).select(*keys, F.col("first.type").alias("root_type"), F.col("first.schema").alias("root_schema"))
     kinds = F.count_distinct(F.when(F.col("type") != "", F.col("type"))).alias("kinds") if promote else F.lit(1).alias("kinds")
-    named = rows.filter("name IS NOT NULL").groupBy(*keys, "name").agg(first, kinds)
-    mixed = (F.col("kinds") > 1) & (F.col("first.type") != "")
-    merged = named.select(*keys, "name", F.when(mixed, "string").otherwise(F.col("first.type")).alias("type"), F.when(mixed, '{"type":"string"}').otherwise(F.col("first.schema")).alias("schema"))
-    objects = roots.filter("root_type = 'object'").select(*keys)
-    others = roots.filter("root_type <> 'object'").select(*keys, F.lit(None).cast("string").alias("name"), F.col("root_type").alias("type"), F.col("root_schema").alias("schema"))
-    return merged.join(objects, keys, "left_semi").unionByName(others)
+    # the root (without a name) and the properties in one pass, in which every body is read once; a window tells each property its root
+    every = rows.groupBy(*keys, "name").agg(F.min_by(F.struct("type", "schema"), "at").alias("first"), kinds)
+    own = F.col("name").isNull()
+    whole = every.withColumn("root", F.max(F.when(own, F.col("first"))).over(Window.partitionBy(*keys)))
+    mixed = ~own & (F.col("kinds") > 1) & (F.col("first.type") != "")
+    kept = whole.filter((~own & (F.col("root.type") == "object")) | (own & (F.col("root.type") != "object")))
+    return kept.select(*keys, "name", F.when(mixed, "string").otherwise(F.col("first.type")).alias("type"), F.when(mixed, '{"type":"string"}').otherwise(F.col("first.schema")).alias("schema"))
 
 
 def request_bodies(rows: DataFrame) -> DataFrame:

@@ -58,8 +58,10 @@ def response_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schema_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_shared_dir(spark)
     rows = _observed(spark, sf_dir)
-    return schemas.components(schemas.request_bodies(rows), schemas.response_bodies(rows))
+    # merged bodies are small and read several times
+    return schemas.components(schemas.request_bodies(rows).checkpoint(), schemas.response_bodies(rows).checkpoint())
 
 
 def api_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
