@@ -64,9 +64,15 @@ def _shown(t: Column, depth: int = WRAPPERS) -> Column:
 
 
 def introspection_sdl(answers: DataFrame, text_col: str = "answer") -> DataFrame:
-    """(name, sdl): the types of recorded introspection answers, in SDL; built-in types left out, fields in order, and a ``schema`` block of the roots."""
-    said = answers.select(F.from_json(text_col, INTROSPECTION)["data"]["__schema"].alias("s"))
-    own = said.select(F.explode("s.types").alias("t")).select("t.*").filter(~F.col("name").startswith("__") & ~F.col("name").isin(*SCALARS)).dropDuplicates(["name"])
+    """(name, sdl): the types of the first recorded introspection answer that has any, in SDL; built-in types left out, fields in order, and a ``schema`` block of the roots.
+
+    Answers are never mixed: the least ``seq`` counts (the least text, without that column), and of a name that comes twice in it the first.
+    """
+    order = F.col("seq") if "seq" in answers.columns else F.col(text_col)
+    read = answers.select(order.alias("at"), F.from_json(text_col, INTROSPECTION)["data"]["__schema"].alias("s")).filter(F.size("s.types") > 0)
+    said = read.agg(F.min_by("s", "at").alias("s"))
+    first = said.select(F.posexplode("s.types").alias("pos", "t")).groupBy(F.col("t.name").alias("type_name")).agg(F.min_by("t", "pos").alias("t"))
+    own = first.select("t.*").filter(~F.col("name").startswith("__") & ~F.col("name").isin(*SCALARS))
     value = lambda v: F.concat(v["name"], F.lit(": "), _shown(v["type"]))
     given = lambda f: F.when(F.size(f["args"]) > 0, F.concat(F.lit("("), F.array_join(F.transform(f["args"], value), ", "), F.lit(")"))).otherwise("")
     line = lambda f: F.concat(F.lit("  "), f["name"], given(f), F.lit(": "), _shown(f["type"]), F.lit("\n"))
