@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
 from quillspan.operators import schemas
-from quillspan.operators.openapi import OPERATION, body_content, operations, places, query_parameters, render_openapi, resolve_collisions, servers, templated, with_operation
+from quillspan.operators.openapi import OPERATION, body_content, is_static_source, operations, places, query_parameters, render_openapi, resolve_collisions, servers, templated, with_operation
 from quillspan.operators.schemas import METHOD_ORDER
 
 
@@ -86,7 +86,8 @@ def yaml_document(endpoints: DataFrame, target: str = "") -> DataFrame:
     requests = schemas.request_bodies(held).join(kept, OPERATION, "left_semi").checkpoint()
     responses = schemas.response_bodies(held).join(kept, OPERATION, "left_semi").checkpoint()
     named = schemas.components(requests, responses).checkpoint()
-    items = render_openapi(ops, query_parameters(endpoints), requests, responses, named, statuses(held).join(kept, OPERATION, "left_semi"))
+    sources = endpoints.agg(F.coalesce(F.bool_or(is_static_source()), F.lit(False)).alias("from_scripts"))  # without scripts, sources go without saying
+    items = render_openapi(ops, query_parameters(endpoints), requests, responses, named, statuses(held).join(kept, OPERATION, "left_semi"), sources)
     gather = lambda rows, name: rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "text"))), lambda x: x["text"]), "").alias(name))
     key = F.udf(_scalar, "string", useArrow=True)
     paths = gather(items.select(F.col("template").alias("name"), F.concat(F.lit("    "), key("template"), F.lit(":\n"), yaml_text(F.col("item"), 8)).alias("text")), "paths")

@@ -131,14 +131,16 @@ def body_content(properties: DataFrame, keys: list[str]) -> DataFrame:
     return whole.select(*keys, F.coalesce("plain", F.concat(F.lit('{"properties":'), _object(F.col("pairs")), F.lit(',"type":"object"}'))).alias("schema"))
 
 
-def render_openapi(ops: DataFrame, params: DataFrame, requests: DataFrame | None = None, responses: DataFrame | None = None, named: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:
+def render_openapi(ops: DataFrame, params: DataFrame, requests: DataFrame | None = None, responses: DataFrame | None = None, named: DataFrame | None = None, statuses: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
     """One row (path, item) for each path of an OpenAPI 3.0 document, as JSON text; assembled by operation, not by traffic.
 
     requests, responses: merged properties of bodies, by media type and by status; named: which component stands for a body
-    (:func:`schemas.components`), which is referred to instead of shown; statuses: (operation, status) of answers, with or without a body.
+    (:func:`schemas.components`), which is referred to instead of shown; statuses: (operation, status) of answers, with or without a body;
+    sources: one row (from_scripts), whether operations' sources are named at all.
     """
     query = params.groupBy(*OPERATION).agg(F.array_sort(F.collect_list(F.struct("name", "required", "type", "several"))).alias("query"))
     rows = ops.join(query, OPERATION, "left")
+    rows = rows.withColumn("from_scripts", F.lit(True)) if sources is None else rows.crossJoin(F.broadcast(sources))  # one row
     simple = lambda kind: F.struct(kind.alias("type"), F.lit(None).cast("struct<type:string>").alias("items"))
     one = lambda p, where, required, schema, style, explode: F.struct(p.alias("name"), F.lit(where).alias("in"), required.alias("required"), schema.alias("schema"), style.alias("style"), explode.alias("explode"))
     path_list = F.transform(F.filter(F.split("path_params", ","), lambda p: p != ""), lambda p: one(p, "path", F.lit(True), simple(F.lit("string")), F.lit(None).cast("string"), F.lit(None).cast("boolean")))
@@ -149,7 +151,7 @@ def render_openapi(ops: DataFrame, params: DataFrame, requests: DataFrame | None
     )
     summary = F.concat(F.initcap("method"), F.lit(" "), F.col("template"))
     every = F.concat(query_list, path_list)
-    item = F.struct(summary.alias("summary"), F.nullif("source_tag", F.lit("dynamic")).alias("x-source"), F.nullif(F.col("collision_origins"), F.lit("")).alias("x-collision-origins"), F.when(F.size(every) > 0, every).alias("parameters"))
+    item = F.struct(summary.alias("summary"), F.when(F.col("from_scripts"), F.col("source_tag")).alias("x-source"), F.nullif(F.col("collision_origins"), F.lit("")).alias("x-collision-origins"), F.when(F.size(every) > 0, every).alias("parameters"))
     rows = rows.withColumn("item", F.to_json(item))
     for bodies, key, wrap in ((requests, "media", "requestBody"), (responses, "status", "responses")):
         if bodies is None:
