@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.batches import map_texts, text_groups
 from quillspan.llm.simhash import components, shingle_hashes, simhash
-from quillspan.llm.store import dropped, written
+from quillspan.llm.store import dropped, forgotten, written
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -192,6 +192,8 @@ def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col:
             dropped(*before)
         last = ahead.filter("farther").isEmpty()
         dropped(ahead, possible, asked, sets, more)
+        del seen, pairs, both, alike, ahead, possible, asked, sets, more
+        forgotten(docs)
         if last:
             dropped(texts, shared, edges)
             return roots

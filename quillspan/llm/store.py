@@ -30,3 +30,8 @@ def dropped(*frames: DataFrame) -> None:
     for df in frames:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forgotten(df: DataFrame) -> None:
+    """Lets Spark's cleaner take away the files of shuffles that nothing refers to: it learns of them when the driver collects garbage, which a large heap puts off."""
+    df.sparkSession._jvm.System.gc()
