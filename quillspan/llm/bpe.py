@@ -4,7 +4,8 @@ Encoding: every distinct word becomes rows of (word, position, token), one byte
 row and its right neighbour to the merge table and contracts, in every word, the leftmost pair of least
 rank, together with every other pair of which the tables prove that it comes to be the leftmost pair of
 least rank before anything else can touch it. Words without a pair in the table drop out, and the rounds
-end when all have. Decoding joins ids to the vocabulary and aggregates the bytes in the order of positions.
+end when all have. Decoding joins ids to the vocabulary and aggregates the bytes in the order of positions,
+once for each distinct run of ids that a word of the group has; a document is put together from these.
 
 The proof. Let a pair (t, u) of rank r stand between q, p and n, o. Only a merge of some token that ends in p and
 of t, or of u and some token that begins with n, can take t or u away: p itself and t, or a token that ends in
@@ -230,6 +231,21 @@ def tables(path: str) -> Tables:
     return Tables(path)
 
 
+def code(made: Tables, group: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """The ids of each text of a group and the bytes that they decode to."""
+    words, count = pretokens.split(group)
+    known = made.known
+    if len(known) > REMEMBERED:
+        known.clear()
+    known.update(made.words(list(set(words).difference(known))))
+    pieces = list(map(known.__getitem__, words))
+    distinct = list(set(pieces))  # ids of words recur, and what they decode to does not depend on their neighbours
+    said = dict(zip(distinct, made.decode(distinct), strict=True))
+    end = np.cumsum(count).tolist()
+    runs = list(zip([0, *end[:-1]], end, strict=True))
+    return [b"".join(pieces[a:b]) for a, b in runs], [b"".join(map(said.__getitem__, pieces[a:b])) for a, b in runs]
+
+
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded): token ids of every whole text (bytes of little-endian 32-bit integers) and the bytes they decode to.
 
@@ -244,15 +260,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
         made = tables(ranks_path)
 
         def make(group: list[bytes]) -> list[pa.Array]:
-            words, count = pretokens.split(group)
-            known = made.known
-            if len(known) > REMEMBERED:
-                known.clear()
-            known.update(made.words(list(set(words).difference(known))))
-            pieces = list(map(known.__getitem__, words))
-            end = np.cumsum(count).tolist()
-            ids = [b"".join(pieces[a:b]) for a, b in zip([0, *end[:-1]], end, strict=True)]
-            return [pa.array(ids, pa.binary()), pa.array(made.decode(ids), pa.binary())]
+            return [pa.array(x, pa.binary()) for x in code(made, group)]
 
         return make
 

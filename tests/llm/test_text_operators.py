@@ -160,6 +160,17 @@ def test_bpe_documents(docs, empty):
     assert bpe.encode(empty, MULTI).count() == 0
 
 
+def test_bpe_decodes_each_run_of_ids_once(monkeypatch):
+    made, asked = bpe.tables(MULTI), []
+    decode = made.decode
+    monkeypatch.setattr(made, "decode", lambda ids: asked.append(sum(map(len, ids)) // 4) or decode(ids))
+    group = [b"", "the word naïve 東京 ".encode() * 500, b"the word", b"   \n"]
+    ids, decoded = bpe.code(made, group)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=made.ranks, special_tokens={})
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [library.encode_ordinary(t.decode()) for t in group]
+    assert decoded == group and sum(asked) < 100
+
+
 def test_packing_covers_every_id_once(docs, empty, library):
     rows = packing.pack(docs.dropDuplicates(["doc_id"]), JSON).collect()
     used = {}
