@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.llm.batches import map_texts
-from quillspan.llm.store import cut, written
+from quillspan.llm.store import cut, few, written
 
 MAX_BITS = 3
 BLOCKS = 6
@@ -164,7 +164,7 @@ def links(fps: DataFrame) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(_signed(mask))).alias("value")) for i, mask in enumerate(_masks(1))])
     rows = fps.select("fp", F.explode(keys).alias("key")).select("key.m", "key.value", "fp")
     for level in range(1, LEVELS + 1):
-        runs = cut(rows.repartition("m", "value").sortWithinPartitions("m", "value", "fp").mapInArrow(_scan_runs, "kind tinyint, m int, a long, b long"))
+        runs = cut(few(rows.repartition("m", "value").sortWithinPartitions("m", "value", "fp").mapInArrow(_scan_runs, "kind tinyint, m int, a long, b long")))
         found.append(runs.filter("kind = 0").select("a", "b"))
         crowded = runs.filter("kind = 1").select("m", F.col("a").alias("fp"))
         if level == LEVELS or crowded.isEmpty():
@@ -186,20 +186,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def star(pairs: DataFrame) -> DataFrame:
-        return cut(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")))
+        return cut(few(pairs.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))))
 
     def total(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now = cut(few(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()))
     state = total(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.filter("v > u").join(star(both), "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        large = cut(large.filter("u <> v").distinct())
+        large = cut(few(large.filter("u <> v").distinct()))
         least = star(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-        now = cut(small.union(least.select("u", F.col("least").alias("v"))).filter("u <> v").distinct())
+        now = cut(few(small.union(least.select("u", F.col("least").alias("v"))).filter("u <> v").distinct()))
         state, before = total(now), state
         if state == before:
             break
@@ -214,20 +214,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blank texts have fingerprint zero and link like any other; null ids and repeated rows keep their rows
     (a component of null ids alone is null). An empty table gives an empty result; other columns take no part.
     """
-    marked = cut(fingerprints(docs, id_col, text_col, words))
+    marked = cut(few(fingerprints(docs, id_col, text_col, words)))
     nodes = _nodes(marked, id_col)
-    return _placed(marked, nodes, cut(components(links(nodes.select("fp")))), id_col)
+    return _placed(marked, nodes, cut(few(components(links(nodes.select("fp"))))), id_col)
 
 
 def _nodes(marked: DataFrame, id_col: str) -> DataFrame:
-    return cut(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")))
+    return cut(few(marked.groupBy("fp").agg(F.min(id_col).alias("least_id"))))
 
 
 def _placed(marked: DataFrame, nodes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
     joined = roots.join(nodes, roots.node == nodes.fp).select("node", "root", "least_id")
-    named = cut(joined.groupBy("root").agg(F.min("least_id").alias("component")))
+    named = cut(few(joined.groupBy("root").agg(F.min("least_id").alias("component"))))
     placed = roots.join(named, "root").select(F.col("node").alias("fp"), "component")
-    whole = cut(nodes.join(placed, "fp", "left").select("fp", F.coalesce("component", "least_id").alias("component")))
+    whole = cut(few(nodes.join(placed, "fp", "left").select("fp", F.coalesce("component", "least_id").alias("component"))))
     return marked.join(whole, "fp").select(id_col, "fp", "component")
 
 
@@ -242,8 +242,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = next(name for i in range(len(docs.columns) + 1) if (name := f"text_hash_{i}") not in docs.columns)
     known = docs.filter(F.col(id_col).isNotNull()).withColumn(text, F.xxhash64(text_col))
-    marked = written(similar.mark(known, [id_col, text], text_col, words))
-    nodes = written(_nodes(marked, id_col))
+    marked = written(few(similar.mark(known, [id_col, text], text_col, words)))
+    nodes = written(few(_nodes(marked, id_col)))
     roots = similar.similar_roots(known, marked, links(nodes.select("fp")), id_col, text_col)
     placed = marked.select(F.struct(F.col(id_col).alias("id"), F.col(text).alias("text")).alias("row"), "fp").join(roots, F.col("fp") == F.col("node"), "left")
     keep = placed.groupBy(F.coalesce("root", "fp")).agg(F.min("row").alias("row")).select(F.col("row.id").alias(id_col), F.col("row.text").alias(text))

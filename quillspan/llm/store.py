@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from quillspan.sources.shared import ensure_shared_dir
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df`` from two tasks for each core at most: Hadoop starts a process for each file that it writes to a local disk, and one that starts holds all of the executor's memory for a moment."""
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files, so that a lost executor costs no more than its tasks."""
     ensure_shared_dir(df.sparkSession)

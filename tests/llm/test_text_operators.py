@@ -282,6 +282,21 @@ def test_links_connect_all_within_three_bits(spark, monkeypatch):
     assert groups(got) == groups(expected)
 
 
+def test_components_are_written_from_few_tasks(spark, monkeypatch):
+    """Files of a step follow the cores, however many shuffle partitions there are."""
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cut, parts = simhash.cut, []
+    monkeypatch.setattr(simhash, "cut", lambda df: parts.append(df.rdd.getNumPartitions()) or cut(df))
+    try:
+        found = simhash.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert {r.root for r in found} == {0} and len(found) == 41
+    assert max(parts) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_near_groups_and_dedup(docs, empty):
     rows = [(r.doc_id, r.component) for r in simhash.near_groups(docs).collect()]
     assert len(rows) == docs.count() and dict(rows)[11] == 10 and dict(rows)[2] == 0 == dict(rows)[1]
