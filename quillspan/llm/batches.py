@@ -10,18 +10,21 @@ from pyspark.sql import types as T
 
 #: Texts are taken together up to so many bytes.
 GROUP_BYTES = 2 << 20
+#: Rows of a batch that are made Python objects at a time.
+ROWS = 256
 
 
 def text_groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
     """The texts of an Arrow column as UTF-8, null as empty, in groups of bounded size (one text at least)."""
     group, size = [], 0
-    for value in column.cast(pa.binary()).to_pylist():
-        value = value or b""
-        if group and size + len(value) > most:
-            yield group
-            group, size = [], 0
-        group.append(value)
-        size += len(value)
+    for at in range(0, len(column), ROWS):  # else all texts of a batch are held twice
+        for value in column.slice(at, ROWS).cast(pa.binary()).to_pylist():
+            value = value or b""
+            if group and size + len(value) > most:
+                yield group
+                group, size = [], 0
+            group.append(value)
+            size += len(value)
     if group:
         yield group
 

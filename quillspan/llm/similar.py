@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspan.llm.batches import map_texts, text_groups
 from quillspan.llm.simhash import components, shingle_hashes, simhash
-from quillspan.llm.store import dropped, forgotten, written
+from quillspan.llm.store import dropped, few, forgotten, written
 
 WORDS = 5
 #: The least similarity, as a fraction.
@@ -164,31 +164,31 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, root) over fingerprints: the components of the links ``known`` (a, b) and of all texts similar by 0.8 or more."""
     full = marked.filter("n > 0")
-    texts = written(full.groupBy("d").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("id"), F.first("sketch").alias("sketch")))
+    texts = written(few(full.groupBy("d").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min(id_col).alias("id"), F.first("sketch").alias("sketch"))))
     same = full.select(F.col("fp").alias("b"), "d").distinct().join(texts.select("d", F.col("fp").alias("a")), "d").filter("a <> b").select("a", "b")
-    edges = written(known.union(same).distinct())
-    roots = written(components(edges))
+    edges = written(few(known.union(same).distinct()))
+    roots = written(few(components(edges)))
     key = Window.partitionBy("key")
     each = full.groupBy("d").agg(F.first("keys").alias("keys")).select("d", F.explode("keys").alias("key"))
     met = each.withColumns({"lo": F.min("d").over(key), "hi": F.max("d").over(key)}).filter("lo <> hi").select("key", "d")
-    shared = written(_labelled(met.join(texts.select("d", "n", "fp"), "d"), roots).drop("label"))
+    shared = written(few(_labelled(met.join(texts.select("d", "n", "fp"), "d"), roots).drop("label")))
     by_size, low, high = Window.partitionBy("key").orderBy("n", "d"), 1, 1
     while True:
         beside = F.collect_list(F.struct("d", "n", "fp", "label")).over(by_size.rowsBetween(low, high))
         seen = _labelled(shared, roots).select("d", "n", "fp", "label", beside.alias("beside"), F.lead("n", high + 1).over(by_size).alias("beyond"))
         others = F.filter("beside", lambda o: (o["label"] != F.col("label")) & (DEN * F.col("n") >= NUM * o["n"]))
         ahead = seen.select("d", "fp", F.transform(others, lambda o: F.struct(o["d"].alias("d"), o["fp"].alias("fp"))).alias("others"), F.coalesce(DEN * F.col("n") >= NUM * F.col("beyond"), F.lit(False)).alias("farther"))
-        ahead = written(ahead.filter(F.col("farther") | (F.size("others") > 0)))
+        ahead = written(few(ahead.filter(F.col("farther") | (F.size("others") > 0))))
         pairs = ahead.select(F.col("d").alias("d1"), F.col("fp").alias("a"), F.explode("others").alias("o")).select("d1", "a", F.col("o.d").alias("d2"), F.col("o.fp").alias("b")).distinct()
-        possible = written(_possible(pairs, texts))
-        asked = written(possible.select(F.col("d1").alias("d")).union(possible.select("d2")).distinct().join(texts.select("d", "id"), "d"))
-        sets = written(_sets(docs, id_col, text_col, asked).join(asked.select("d"), "d", "left_semi"))
+        possible = written(few(_possible(pairs, texts)))
+        asked = written(few(possible.select(F.col("d1").alias("d")).union(possible.select("d2")).distinct().join(texts.select("d", "id"), "d")))
+        sets = written(few(_sets(docs, id_col, text_col, asked).join(asked.select("d"), "d", "left_semi")))
         both = possible.join(sets.select(F.col("d").alias("d1"), F.col("words").alias("w1")), "d1").join(sets.select(F.col("d").alias("d2"), F.col("words").alias("w2")), "d2")
         alike = (NUM + DEN) * F.size(F.array_intersect("w1", "w2")) >= NUM * (F.size("w1") + F.size("w2"))
-        more = written(both.filter(alike).select("a", "b").distinct())
+        more = written(few(both.filter(alike).select("a", "b").distinct()))
         if not more.isEmpty():
-            before, edges = (edges, roots), written(edges.union(more))
-            roots = written(components(edges))
+            before, edges = (edges, roots), written(few(edges.union(more)))
+            roots = written(few(components(edges)))
             dropped(*before)
         last = ahead.filter("farther").isEmpty()
         dropped(ahead, possible, asked, sets, more)

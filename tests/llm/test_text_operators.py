@@ -2,18 +2,20 @@
 
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillspan.llm import bpe, counts, minhash, packing, pretokens, shard, similar, simhash, tokens
+from quillspan.llm import batches, bpe, counts, minhash, packing, pretokens, shard, similar, simhash, tokens
 
 from .conftest import TEXTS, prose
 
@@ -474,3 +476,13 @@ def test_shards(docs, empty):
     assert {(r.doc_id, r.size, r.text_crc32) for r in rows if r.doc_id in (0, 3)} == {(0, 8, 0), (3, 11, zlib.crc32(b"one"))}
     assert sorted(map(tuple, shard.shard(docs.repartition(5), 4).collect()), key=repr) == sorted(map(tuple, rows), key=repr)
     assert shard.shard(empty, 4).count() == 0
+
+
+def test_groups_hold_few_texts_at_a_time():
+    column = pa.array([f"{i} " * 400 for i in range(10_000)])
+    tracemalloc.start()
+    try:
+        assert sum(map(len, batches.text_groups(column, 1 << 16))) == 10_000
+        assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    finally:
+        tracemalloc.stop()
