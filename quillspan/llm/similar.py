@@ -6,9 +6,12 @@ meet on these, and no pair is missed. The order rests on counts over all texts,
 hashes of runs: a passage that many texts share comes last in all of them and makes no candidates. Any order
 would give the same result; this one makes it cheap.
 
-Texts that share a run are compared in the order of their sizes, first with the next one, then with farther
-ones as long as the run still brings together texts of different groups; so a group of copies costs a few
-comparisons a text, and no pair is left out. Before the runs of two texts are fetched, their sketches must allow the
+Texts that share a run are compared if the places of the run allow it: the first run in order that two sets share
+has all others behind it in both, so they share no more than the fewer runs that one of them has from there on.
+If that is too few, either they share an earlier run and meet there, or they are not similar. Each text is
+compared with the one that has the run at the earliest place (of a text and its edited copies that is the text) and with the
+next one in the order of sizes, then with farther ones as long as the run still brings together texts of different
+groups; so a group of copies costs a few comparisons a text, and no pair is left out. Before the runs of two texts are fetched, their sketches must allow the
 similarity: maps of bits that their runs set, of a size that follows theirs. A bit that one has alone is a run that the other lacks, so
 no similar pair fails.
 """
@@ -169,15 +172,18 @@ def similar_roots(docs: DataFrame, marked: DataFrame, known: DataFrame, id_col:
     edges = written(few(known.union(same).distinct()))
     roots = written(few(components(edges)))
     key = Window.partitionBy("key")
-    each = full.groupBy("d").agg(F.first("keys").alias("keys")).select("d", F.explode("keys").alias("key"))
-    met = each.withColumns({"lo": F.min("d").over(key), "hi": F.max("d").over(key)}).filter("lo <> hi").select("key", "d")
-    shared = written(few(_labelled(met.join(texts.select("d", "n", "fp"), "d"), roots).drop("label")))
+    each = full.groupBy("d").agg(F.first("keys").alias("keys")).select("d", F.posexplode("keys").alias("at", "key"))
+    met = each.withColumns({"lo": F.min("d").over(key), "hi": F.max("d").over(key)}).filter("lo <> hi").select("key", "d", "at")
+    shared = written(few(_labelled(met.join(texts.select("d", "n", "fp"), "d"), roots).drop("label").withColumn("rest", F.col("n") - F.col("at"))))
     by_size, low, high = Window.partitionBy("key").orderBy("n", "d"), 1, 1
     while True:
-        beside = F.collect_list(F.struct("d", "n", "fp", "label")).over(by_size.rowsBetween(low, high))
-        seen = _labelled(shared, roots).select("d", "n", "fp", "label", beside.alias("beside"), F.lead("n", high + 1).over(by_size).alias("beyond"))
-        others = F.filter("beside", lambda o: (o["label"] != F.col("label")) & (DEN * F.col("n") >= NUM * o["n"]))
-        ahead = seen.select("d", "fp", F.transform(others, lambda o: F.struct(o["d"].alias("d"), o["fp"].alias("fp"))).alias("others"), F.coalesce(DEN * F.col("n") >= NUM * F.col("beyond"), F.lit(False)).alias("farther"))
+        who = F.struct("at", "n", "d", "fp", "label", "rest")
+        beside = F.collect_list(who).over(by_size.rowsBetween(low, high))
+        if low == 1:
+            beside = F.concat(beside, F.array(F.min(who).over(key)))
+        seen = _labelled(shared, roots).select("d", "n", "fp", "label", "rest", beside.alias("beside"), F.lead("n", high + 1).over(by_size).alias("beyond"))
+        others = F.filter("beside", lambda o: (o["label"] != F.col("label")) & ((NUM + DEN) * F.least("rest", o["rest"]) >= NUM * (F.col("n") + o["n"])))
+        ahead = seen.select("d", "fp", F.transform(others, lambda o: F.struct(o["d"].alias("d"), o["fp"].alias("fp"))).alias("others"), F.coalesce((NUM + DEN) * F.col("rest") >= NUM * (F.col("n") + F.col("beyond")), F.lit(False)).alias("farther"))
         ahead = written(few(ahead.filter(F.col("farther") | (F.size("others") > 0))))
         pairs = ahead.select(F.col("d").alias("d1"), F.col("fp").alias("a"), F.explode("others").alias("o")).select("d1", "a", F.col("o.d").alias("d2"), F.col("o.fp").alias("b")).distinct()
         possible = written(few(_possible(pairs, texts)))

@@ -317,6 +317,30 @@ def test_near_dedup_keeps_one_row_under_repeated_ids(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, text, "a", 1), (2, other, "b", 2), (None, text, "d", 6), (7, None, "e", 7)], key=repr)
 
 
+def test_near_copies_of_one_text_are_compared_a_few_times_each(spark, monkeypatch):
+    """Copies edited too much for the similarity make no pairs, those edited little meet the text itself; none is lost."""
+    compared, real = [], similar._possible
+    monkeypatch.setattr(similar, "_possible", lambda pairs, texts: (compared.append(pairs.count()), real(pairs, texts))[1])
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+
+    def edited(n):
+        places = {3 + 140 // n * i + r.randint(0, 9) for i in range(n)}
+        return " ".join(f"x{r.random()}" if i in places else w for i, w in enumerate(base))
+
+    texts = [" ".join(base)] + [edited(2 + i % 2) for i in range(30)] + [edited(5) for _ in range(60)]
+    kept = simhash.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    runs = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    marks = [simhash.simhash(t.encode()) for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if root[a] != root[b] and (5 * len(runs[a] & runs[b]) >= 4 * len(runs[a] | runs[b]) or (marks[a] ^ marks[b]).bit_count() <= 3):
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert sorted(row.doc_id for row in kept.collect()) == sorted(set(root)) and len(set(root)) > 40
+    assert sum(compared) < 3 * len(texts)
+
+
 def test_near_dedup_finds_every_similar_text(spark, monkeypatch):
     """Edits that move a fingerprint by more than three bits: similarity of five-word runs decides, in crowded groups too."""
     monkeypatch.setattr(similar, "REACH", 2)
