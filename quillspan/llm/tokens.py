@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -52,21 +54,31 @@ class ByteLevelFile:
         return parts, first, found
 
 
+class Words(dict):
+    """The ids of words, found when a word is first asked for: one look-up for each word of a text."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.find = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # the pattern takes a word as it is
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = array("I", self.find(word.decode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out = self[word] = ids.tobytes()
+        return out
+
+
 class Encoder:
     """Ids of whole texts, as bytes of little-endian 32-bit integers."""
 
     def __init__(self, path: str) -> None:
         self.file = ByteLevelFile(path)
-        self.word = tiktoken.Encoding("own", pat_str="(?s:.+)", mergeable_ranks=self.file.ranks, special_tokens={})  # the pattern takes a word as it is
-        self.known: dict[bytes, bytes] = {}
+        self.known = Words(self.file.ranks)
 
     def _words(self, words: list[bytes]) -> list[bytes]:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = np.array(self.word.encode_ordinary(w.decode()), "<u4").tobytes()
-        return [known[w] for w in words]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        return list(map(self.known.__getitem__, words))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         parts, first, special = self.file.parts(texts)

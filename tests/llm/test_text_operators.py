@@ -317,6 +317,15 @@ def test_near_dedup_keeps_one_row_under_repeated_ids(spark):
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(1, text, "a", 1), (2, other, "b", 2), (None, text, "d", 6), (7, None, "e", 7)], key=repr)
 
 
+def test_ids_of_a_word_are_found_once_and_as_little_endian_integers():
+    encoder = tokens.Encoder(JSON)
+    asked, find = [], encoder.known.find
+    encoder.known.find = lambda word: (asked.append(word), find(word))[1]
+    one, two = encoder.encode([b"stone river", b"stone river stone river"])
+    assert two[: len(one)] == one and asked == ["stone", " river", " stone"]
+    assert encoder.known[b" river"] == b"".join(i.to_bytes(4, "little") for i in find(" river"))
+
+
 def test_near_copies_of_one_text_are_compared_a_few_times_each(spark, monkeypatch):
     """Copies edited too much for the similarity make no pairs, those edited little meet the text itself; none is lost."""
     compared, real = [], similar._possible
