@@ -5,7 +5,7 @@ row and its right neighbour to the merge table and contracts, in every word, the
 rank, together with every other pair of which the tables prove that it comes to be the leftmost pair of
 least rank before anything else can touch it. Words without a pair in the table drop out, and the rounds
 end when all have. Decoding joins ids to the vocabulary and aggregates the bytes in the order of positions,
-once for each distinct run of ids that a word of the group has; a document is put together from these.
+once for each distinct run of ids as long as the worker remembers it; a document is put together from these.
 
 The proof. Let a pair (t, u) of rank r stand between q, p and n, o. Only a merge of some token that ends in p and
 of t, or of u and some token that begins with n, can take t or u away: p itself and t, or a token that ends in
@@ -135,6 +135,7 @@ class Tables:
     def __init__(self, path: str) -> None:
         self.ranks = read_ranks(path)
         self.known: dict[bytes, bytes] = {}
+        self.said: dict[bytes, bytes] = {}
         merges = [(t[:i], t[i:], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         ends = np.array([(self.ranks[a], self.ranks[b]) for a, b, _ in merges], np.int64)
         rank = np.array([r for _, _, r in merges], np.int64)
@@ -170,8 +171,8 @@ class Tables:
                 yield w, r.to_bytes(4, "little")
             else:
                 hard.append(w)
-        parts = [(w, self._segments(w)) for w in hard]
-        pieces = sorted({s for _, segments in parts for s in segments}, key=len)
+        parts = [(w, self._segments(w)) for w in hard if len(w) > LONG]
+        pieces = sorted({*(w for w in hard if len(w) <= LONG), *(s for _, segments in parts for s in segments)}, key=len)
         ids: dict[bytes, bytes] = {}
         at = 0
         while at < len(pieces):
@@ -181,6 +182,7 @@ class Tables:
                 end += 1
             ids.update(zip(pieces[at:end], self._block(pieces[at:end]), strict=True))
             at = end
+        yield from ((w, ids[w]) for w in hard if len(w) <= LONG)
         for w, segments in parts:
             yield w, b"".join(map(ids.__getitem__, segments))
 
@@ -216,6 +218,8 @@ class Tables:
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes behind each row of ids."""
+        if not ids:
+            return []
         count = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
         tok = np.frombuffer(b"".join(ids), "<i4")
         rows = pa.table({"doc": np.repeat(np.arange(len(ids), dtype=np.int32), count), "pos": np.arange(len(tok), dtype=np.int32), "tok": tok})
@@ -234,16 +238,18 @@ def tables(path: str) -> Tables:
 def code(made: Tables, group: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     """The ids of each text of a group and the bytes that they decode to."""
     words, count = pretokens.split(group)
-    known = made.known
+    known, said = made.known, made.said
     if len(known) > REMEMBERED:
         known.clear()
-    known.update(made.words(list(set(words).difference(known))))
+        said.clear()
+    new = dict(made.words(list(set(words).difference(known))))
+    known.update(new)
+    runs = list(set(new.values()).difference(said))  # what ids decode to does not depend on their neighbours
+    said.update(zip(runs, made.decode(runs), strict=True))
     pieces = list(map(known.__getitem__, words))
-    distinct = list(set(pieces))  # ids of words recur, and what they decode to does not depend on their neighbours
-    said = dict(zip(distinct, made.decode(distinct), strict=True))
     end = np.cumsum(count).tolist()
-    runs = list(zip([0, *end[:-1]], end, strict=True))
-    return [b"".join(pieces[a:b]) for a, b in runs], [b"".join(map(said.__getitem__, pieces[a:b])) for a, b in runs]
+    spans = list(zip([0, *end[:-1]], end, strict=True))
+    return [b"".join(pieces[a:b]) for a, b in spans], [b"".join(map(said.__getitem__, pieces[a:b])) for a, b in spans]
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,7 +258,7 @@ def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: s
     Null and empty texts have no ids. Every match of the tokenizers' pattern is encoded by itself, without
     special tokens. Null ids and repeated rows keep their rows; an empty table gives an empty result; other
     columns take no part. A worker holds a few megabytes of text and at most ``REMEMBERED`` words with their
-    ids. Words of more than ``LONG`` bytes are encoded in segments that no merge can join; what has no place for a cut (two bytes that stand side by side in no
+    ids and bytes. Words of more than ``LONG`` bytes are encoded in segments that no merge can join; what has no place for a cut (two bytes that stand side by side in no
     token) must fit, with a few hundred bytes for each of its own.
     """
 

@@ -326,6 +326,18 @@ def test_ids_of_a_word_are_found_once_and_as_little_endian_integers():
     assert encoder.known[b" river"] == b"".join(i.to_bytes(4, "little") for i in find(" river"))
 
 
+def test_runs_of_ids_are_decoded_once_for_a_worker(monkeypatch):
+    made = bpe.Tables(MULTI)
+    decoded, real = [], made.decode
+    monkeypatch.setattr(made, "decode", lambda ids: (decoded.extend(ids), real(ids))[1])
+    text = b"Anblewh sttible athawh anblewh"
+    assert bpe.code(made, [text, b""])[1] == [text, b""] and len(decoded) == 4
+    first, again = bpe.code(made, [text]), bpe.code(made, [b"", text])
+    assert first[1] == [text] and again[1] == [b"", text] and first[0] == again[0][1:] and len(decoded) == 4
+    monkeypatch.setattr(bpe, "REMEMBERED", 0)
+    assert bpe.code(made, [text]) == first and len(decoded) == 8
+
+
 def test_near_copies_of_one_text_are_compared_a_few_times_each(spark, monkeypatch):
     """Copies edited too much for the similarity make no pairs, those edited little meet the text itself; none is lost."""
     compared, real = [], similar._possible
