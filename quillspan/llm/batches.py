@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +14,15 @@ GROUP_BYTES = 2 << 20
 #: Rows of a batch that are made Python objects at a time.
 ROWS = 256
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+
+
+def release() -> None:
+    """Gives free memory back to the system: Arrow and the allocator keep what a batch took, and a worker that waits for its next task holds it all the while."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
 
 def text_groups(column: pa.Array, most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
     """The texts of an Arrow column as UTF-8, null as empty, in groups of bounded size (one text at least)."""
@@ -33,8 +43,10 @@ def map_texts(docs: DataFrame, text_col: str, carry: list[str], added: str, star
     """The columns ``carry`` of ``docs`` and the columns ``added`` (a schema), one row for each row.
 
     ``start`` is called in each partition and gives a function from a group of texts (``most`` bytes) to the added columns.
-    Rows keep their partition and order; nothing is shuffled.
+    Rows keep their partition and order; nothing is shuffled. Texts that are carried go to Python once; memory is released after each batch.
     """
+    columns = list(dict.fromkeys((text_col, *carry)))
+    places = [columns.index(c) for c in carry]
     schema = T.StructType([*(docs.schema[c] for c in carry), *T.StructType.fromDDL(added).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +54,9 @@ def map_texts(docs: DataFrame, text_col: str, carry: list[str], added: str, star
         for batch in batches:
             at = 0
             for group in text_groups(batch.column(0), most):
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(group)) for c in batch.columns[1:]), *make(group)], schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(group)) for k in places), *make(group)], schema.names)
                 at += len(group)
+            batch = group = None
+            release()
 
-    return docs.select(text_col, *carry).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(run, schema)

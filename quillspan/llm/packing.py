@@ -149,8 +149,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int
                 if held >= WINDOW_TOKENS:
                     yield flush()
                     held = 0
+            batch = group = encoded = None
+            texts.release()
         if window:
             yield flush()
+            texts.release()
 
     out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.llm.batches import map_texts, text_groups
+from quillspan.llm.batches import map_texts, release, text_groups
 from quillspan.llm.simhash import components, shingle_hashes, simhash
 from quillspan.llm.store import dropped, few, forgotten, written
 
@@ -62,6 +62,8 @@ def run_counts(docs: DataFrame, text_col: str) -> np.ndarray:
         for batch in batches:
             for group in text_groups(batch.column(0)):
                 total += np.bincount(_slot(np.concatenate([runs(t) for t in group])), minlength=len(total))
+            batch = group = None
+            release()
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(total[slots])], ["slot", "n"])
 
@@ -139,6 +141,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, ids: DataFrame) -> DataFr
                 sets = [runs(t) for t in group]
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["d", "words"])
+            batch = asked = group = sets = None
+            release()
 
     rows = docs.select(F.pmod(F.xxhash64(id_col), F.lit(1 << MAP_BITS)).alias("bit"), F.col(text_col).alias("run_text"))
     return rows.mapInArrow(run, "d long, words array<long>").dropDuplicates(["d"])

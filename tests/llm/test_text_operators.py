@@ -1,10 +1,12 @@
 """Fingerprints, BPE, counts, packing and SimHash against the libraries and brute force."""
 
 import random
+import re
 import struct
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -531,3 +533,40 @@ def test_groups_hold_few_texts_at_a_time():
         assert tracemalloc.get_traced_memory()[1] < 4 << 20
     finally:
         tracemalloc.stop()
+
+
+class Sent:
+    """Stands for a table: holds what is selected and the function that batches go through."""
+
+    def __init__(self, schema):
+        self.schema = schema
+
+    def select(self, *columns):
+        self.columns = columns
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_carried_texts_go_to_python_once_and_batches_leave_no_memory_behind(spark):
+    from pyspark.sql import types as T
+
+    held = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+    sent = batches.map_texts(Sent(T.StructType.fromDDL("doc_id long, text string")), "text", ["doc_id", "text"], "n long", lambda: lambda group: [pa.array([len(pretokens.split([t])[0]) for t in group])])
+    assert sent.columns == ("text", "doc_id")
+    texts = [None, "", *(prose(i, 400) for i in range(1000)), *["one two " * 2000] * 2000]
+
+    def given():
+        for _ in range(2):
+            columns = {"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in sent.columns], list(sent.columns))
+
+    before, seen = held(), 0
+    for out in sent.run(given()):
+        rows = out.to_pydict()
+        assert [texts[i] for i in rows["doc_id"]] == rows["text"]
+        seen += out.num_rows
+    del out, rows
+    assert seen == 2 * len(texts) and held() - before < 24
