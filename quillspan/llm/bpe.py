@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -41,7 +42,7 @@ GROUP_BYTES = 4 << 20
 #: Bits of a token's id within a key of two or three.
 SHIFT = 21
 NONE = (1 << SHIFT) - 1
-#: Words whose ids a worker remembers; beyond this it starts afresh.
+#: Words whose ids a worker remembers; beyond this it keeps those that it met in several groups, half as many at most.
 REMEMBERED = 3 << 17
 
 _ROUNDS = f"""
@@ -136,6 +137,7 @@ class Tables:
         self.ranks = read_ranks(path)
         self.known: dict[bytes, bytes] = {}
         self.said: dict[bytes, bytes] = {}
+        self.met: set[bytes] = set()
         merges = [(t[:i], t[i:], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         ends = np.array([(self.ranks[a], self.ranks[b]) for a, b, _ in merges], np.int64)
         rank = np.array([r for _, _, r in merges], np.int64)
@@ -156,6 +158,13 @@ class Tables:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
 
+    def forget(self) -> None:
+        """Of what is remembered, keeps the words (at most half of ``REMEMBERED``) that several groups have had since this was last done."""
+        kept = set(islice(self.met, REMEMBERED // 2))
+        self.known = {word: ids for word, ids in self.known.items() if ids in kept}
+        self.said = {ids: text for ids, text in self.said.items() if ids in kept}
+        self.met = set()
+
     def _query(self, name: str, table: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, table)
         try:
@@ -235,21 +244,33 @@ def tables(path: str) -> Tables:
     return Tables(path)
 
 
+def _in_a_row(pieces: list[bytes], at: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """The texts of ``count`` pieces each, put together; ``at``: which piece stands at each place."""
+    if not len(at):
+        return [b""] * len(count)
+    row = pa.array(pieces, pa.large_binary()).take(pa.array(at))
+    _, edges, data = row.buffers()
+    end = np.frombuffer(edges, np.int64)[np.concatenate(([0], np.cumsum(count)))].tolist()
+    whole = memoryview(data)
+    return [bytes(whole[a:b]) for a, b in zip(end, end[1:], strict=False)]
+
+
 def code(made: Tables, group: list[bytes]) -> tuple[list[bytes], list[bytes]]:
     """The ids of each text of a group and the bytes that they decode to."""
-    words, count = pretokens.split(group)
+    words, at, count = pretokens.distinct(group)
+    if len(made.known) > REMEMBERED:
+        made.forget()
     known, said = made.known, made.said
-    if len(known) > REMEMBERED:
-        known.clear()
-        said.clear()
-    new = dict(made.words(list(set(words).difference(known))))
+    found = list(map(known.get, words))
+    made.met.update(found)
+    made.met.discard(None)
+    new = dict(made.words([w for w, ids in zip(words, found, strict=True) if ids is None]))
     known.update(new)
-    runs = list(set(new.values()).difference(said))  # what ids decode to does not depend on their neighbours
-    said.update(zip(runs, made.decode(runs), strict=True))
-    pieces = list(map(known.__getitem__, words))
-    end = np.cumsum(count).tolist()
-    spans = list(zip([0, *end[:-1]], end, strict=True))
-    return [b"".join(pieces[a:b]) for a, b in spans], [b"".join(map(said.__getitem__, pieces[a:b])) for a, b in spans]
+    runs = {ids: w for w, ids in new.items() if ids not in said}  # what ids decode to does not depend on their neighbours
+    decoded = zip(runs.items(), made.decode(list(runs)), strict=True)
+    said.update((ids, w if text == w else text) for (ids, w), text in decoded)  # one object for a word and its equal
+    ids = list(map(known.__getitem__, words))
+    return _in_a_row(ids, at, count), _in_a_row(list(map(said.__getitem__, ids)), at, count)
 
 
 def encode(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 LETTER, NUMBER, OTHER, SPACE, BREAK = range(5)
@@ -55,11 +56,8 @@ def starts(chars: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return begin
 
 
-def places(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """Where pre-tokens stand: all texts with a byte between them, first byte and end of each pre-token, and how many each text has.
-
-    find: says where pre-tokens begin, as :func:`starts`.
-    """
+def _begun(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts with a byte between them, first byte of each pre-token and of each byte between, which are pre-tokens, and how many each text has."""
     joined = b"\n".join(texts)  # the line feeds between texts are marked as breaks
     chars = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
     offset = np.flatnonzero((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)
@@ -72,13 +70,30 @@ def places(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarr
     begin[edge] = True
     at = np.flatnonzero(begin)
     first = offset[at]
-    last = np.concatenate((first[1:], [len(joined)]))
     real = kinds[at] != BREAK
-    first, last = first[real], last[real]
-    return joined, first, last, np.diff(np.searchsorted(first, ends), prepend=0)
+    return joined, first, real, np.diff(np.searchsorted(first[real], ends), prepend=0)
+
+
+def places(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """Where pre-tokens stand: all texts with a byte between them, first byte and end of each pre-token, and how many each text has.
+
+    find: says where pre-tokens begin, as :func:`starts`.
+    """
+    joined, first, real, count = _begun(texts, find)
+    last = np.concatenate((first[1:], [len(joined)]))
+    return joined, first[real], last[real], count
 
 
 def split(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[list[bytes], np.ndarray]:
     """The pre-tokens of all texts in a row, and how many each text has."""
     joined, first, last, count = places(texts, find)
     return [joined[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], count
+
+
+def distinct(texts: list[bytes], find: Callable[[np.ndarray, np.ndarray], np.ndarray] = starts) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different pre-tokens of all texts, which of them stands at each place, and how many places each text has."""
+    joined, first, real, count = _begun(texts, find)
+    edges = np.append(first, len(joined)).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(edges), pa.py_buffer(joined)])
+    coded = column.filter(pa.array(real)).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), count

@@ -570,3 +570,29 @@ def test_carried_texts_go_to_python_once_and_batches_leave_no_memory_behind(spar
         seen += out.num_rows
     del out, rows
     assert seen == 2 * len(texts) and held() - before < 24
+
+
+def test_words_of_several_groups_are_remembered_when_others_are_forgotten(monkeypatch):
+    made, asked = bpe.Tables(MULTI), []
+    real = made.words
+    monkeypatch.setattr(made, "words", lambda words: (asked.extend(words), real(words))[1])
+    monkeypatch.setattr(bpe, "REMEMBERED", 8)
+    often, once = b"Anblewh sttible athawh", b"Zu auxle Ststat edlyea reanpa achver trechle"
+    first = bpe.code(made, [often])
+    bpe.code(made, [once, often])
+    assert len(made.known) > 8 and len(asked) == 10
+    assert bpe.code(made, [often, b"", once]) == tuple([a[0], b"", b[0]] for a, b in zip(first, bpe.code(bpe.Tables(MULTI), [once]), strict=True))
+    assert sorted(asked[10:]) == sorted(w for w in pretokens.split([once])[0])
+    monkeypatch.setattr(bpe, "REMEMBERED", 0)
+    assert bpe.code(made, [often]) == first and asked[17:] == pretokens.split([often])[0]
+
+
+def test_distinct_pretokens_stand_where_split_has_them():
+    texts = [t.encode() for t in [*odd_texts(300, 20), "", "\n", "", "\n\n", *(t or "" for t in TEXTS)]]
+    for find in (pretokens.starts, counts.marks):
+        words, at, count = pretokens.distinct(texts, find)
+        assert ([words[i] for i in at], count.tolist()) == (lambda w, n: (w, n.tolist()))(*pretokens.split(texts, find)) and len(set(words)) == len(words)
+    for none in ([b""], [b"", b""]):
+        words, at, count = pretokens.distinct(none)
+        assert not words and not len(at) and count.tolist() == [0] * len(none)
+        assert bpe.code(bpe.tables(MULTI), none) == (none, none)
