@@ -307,18 +307,18 @@ def render_files(parts: DataFrame, *by: str) -> DataFrame:
     return listed.select(*keys, F.concat(F.array_join(F.filter(F.transform("l", lambda x: x["line"]), lambda x: x != ""), "\n"), F.lit("\n")).alias("proto"))
 
 
-def generate_proto(recorded: DataFrame, named: DataFrame, *by: str) -> DataFrame:
+def generate_proto(recorded: DataFrame, named: DataFrame, *by: str, capped: bool = True) -> DataFrame:
     """(``by``, proto, error): one document for each value of ``by`` (at least one column), or why there is none.
 
     recorded: (``by``, seq, file, raw), descriptors that endpoints gave; named: see :func:`recovered_methods`. Files of one name with different bytes, bytes that are no descriptor, and sets beyond
-    :func:`check_caps` are errors of their group. Files that cannot be built are named in a warning; well-known ones are not printed. A group without descriptors and names has no row.
+    :func:`check_caps` (unless ``capped`` is false, as for recorded tables, which no server can inflate) are errors of their group. Files that cannot be built are named in a warning; well-known ones are not printed. A group without descriptors and names has no row.
     """
     keys = list(by)
     files = union_files(recorded, *by).checkpoint()
     parts = elements(files, *by).drop("nth").checkpoint()
     conflict = files.filter("conflict").groupBy(*keys).agg(F.concat(F.lit("conflicting file descriptors: "), F.array_join(F.array_sort(F.collect_list("file")), ", ")).alias("conflict"))
     broken = parts.filter("kind = 'malformed'").groupBy(*keys).agg(F.concat(F.lit("malformed file descriptors: "), F.array_join(F.array_sort(F.collect_list("file")), ", ")).alias("broken"))
-    caps = check_caps(files, *by).filter("over").select(*keys, F.lit("too many or too large file descriptors").alias("caps"))
+    caps = check_caps(files, *by).filter(F.col("over") & F.lit(capped)).select(*keys, F.lit("too many or too large file descriptors").alias("caps"))
     built = buildable(parts, *by).select(*keys, "file")
     good = parts.join(built, [*keys, "file"])
     made = synthesized(recovered_methods(named, good, *by), good, *by)

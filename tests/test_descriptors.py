@@ -95,3 +95,14 @@ def test_union_conflict_caps_and_errors(spark, monkeypatch):
     assert set(made) == {"t", "u", "v", "w"}
     monkeypatch.setattr(descriptors, "MAX_BYTES", 3)
     assert descriptors.generate_proto(recorded, named, "app").filter("app = 't'").collect()[0]["error"] == "too many or too large file descriptors"
+
+
+def test_tables_of_many_descriptors_have_their_document(spark, monkeypatch, tmp_path):
+    from quillspan.plans import protos
+
+    monkeypatch.setattr(descriptors, "MAX_FILES", 3)
+    spark.range(1, 9).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(25).selectExpr("CAST(id AS INT) AS n_nationkey").write.parquet(f"{tmp_path}/nation.parquet")
+    made = {r["target"]: r for r in protos.proto_generated(spark, str(tmp_path)).collect()}
+    assert made["a"]["error"] is None and (made["a"]["files"], made["a"]["skipped"], made["a"]["services"], made["a"]["messages"]) == (10, 3, 9, 15)  # as its SQL has it
+    assert made["b"]["error"] == "conflicting file descriptors: f5.proto"
