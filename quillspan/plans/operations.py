@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
+from quillspan.functions.rows import dealt
 from quillspan.operators import classify, dedup, links, mining, openapi, schemas, soap
 from quillspan.plans.classification import CTE
 from quillspan.plans.inventory import _NAMES, _SEGMENTS
@@ -108,7 +109,8 @@ def api_path_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("fetch('/api/v1/"), status, F.lit("/"), key, F.lit("');x(\"rest/list/\");y('/api/logo.GIF');z('/api/page.htm');g('/graphql');r('/api/x:run');t(`/v2/items/${a.b(`n${1}`)}/p`);u(`v"), (F.col("o_orderkey") % 3).cast("string"),
         F.lit("/plain`);w('https://h.example/api/"), key, F.lit("/');p='/api/users/'+id(\"a+b\")+\"/posts\";q='/api/o/'.concat(f(1,2),'/c');"), F.when(F.col("o_orderkey") % 2 == 0, "k='pay/'+'api/charge'").otherwise(""),
     )
-    scripts = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), made.alias("script"))
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus"))
+    scripts = orders.select(F.col("o_orderkey").alias("id"), made.alias("script"))
     return mining.mine_paths(scripts, "id", "script").select("id", F.col("pos").cast("long").alias("pos"), "path")
 
 

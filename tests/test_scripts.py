@@ -2,7 +2,8 @@
 
 import pytest
 
-from quillspan.operators import bundles, scripts
+from quillspan.operators import bundles, mining, scripts
+from quillspan.plans import operations
 
 
 @pytest.mark.parametrize(
@@ -44,3 +45,27 @@ def test_budget_keeps_places_for_joined_paths():
     assert count(bundles.within_budget(some(10, "a") + some(600, bundles.CONCAT))) == (10, 490)
     assert count(bundles.within_budget(some(600, "a") + some(3, bundles.CONCAT))) == (497, 3)
     assert count(bundles.within_budget(some(9, "a") + some(9, bundles.CONCAT), 6)) == (3, 3)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_path_mining_scans_each_script_once_in_many_tasks(spark, tmp_path):
+    """However few bytes the table has: 1,000 rows of one file."""
+    spark.range(1000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'O' AS o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = operations.api_path_mining(spark, str(tmp_path))
+    plan = _plan(found)
+    assert plan.count("ArrowEvalPython") == 1 and f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan
+    assert found.count() == 1000 * 11 + 500 + 666
+
+
+def test_rows_of_one_id_are_one_script_of_several_parts(spark):
+    rows = spark.createDataFrame([(1, "x('/api/a');y('/api/b')"), (1, "y('/api/b');z(`/api/c/${d}`)"), (2, ""), (3, None)], "id long, script string")
+    found = mining.mine_paths(rows, "id", "script").collect()
+    assert sorted((r.id, r.path) for r in found) == [(1, "/api/a"), (1, "/api/b"), (1, "/api/c/{param}")] and sorted(r.pos for r in found) == [0, 1, 2]
+
+
+def test_templates_and_holes_are_found_where_they_begin():
+    assert mining.template_paths("a`/api/${x}/${f({a:`}`})}`;b`$/api/${`;c`/v1/\\`$`;d`/api/z") == ["/api/{param}/{param}", "/api/${", "/v1/\\`$"]
+    assert mining.fill_holes("${a}${${}$${b}", str.upper) == "A${$B"
