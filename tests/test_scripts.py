@@ -1,9 +1,11 @@
 """Addresses in scripts through variables, and budgets of endpoints."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillspan.functions import url as U
 from quillspan.operators import bundles, mining, scripts
-from quillspan.plans import operations
+from quillspan.plans import operations, probes
 
 
 @pytest.mark.parametrize(
@@ -69,3 +71,26 @@ def test_rows_of_one_id_are_one_script_of_several_parts(spark):
 def test_templates_and_holes_are_found_where_they_begin():
     assert mining.template_paths("a`/api/${x}/${f({a:`}`})}`;b`$/api/${`;c`/v1/\\`$`;d`/api/z") == ["/api/{param}/{param}", "/api/${", "/v1/\\`$"]
     assert mining.fill_holes("${a}${${}$${b}", str.upper) == "A${$B"
+
+
+def test_bundles_are_dealt_out_before_they_are_made(spark, tmp_path):
+    """However few bytes the tables have: 300 rows of one file each; the filter of a bundle's size makes no second copy of it below the shuffle."""
+    spark.range(300).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    found = probes.bundle_endpoints(spark, str(tmp_path))
+    above, _, below = _plan(found).partition(f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})")
+    assert "fetch(" in above and below and "fetch(" not in below
+    assert found.count() == 2 * 300 + 2 * 150 + 150 + 100
+
+
+def test_tokens_and_fields():
+    text = "a=`b${`c`}`/d/e;return /[/`]/g;`xé'y\n'z'`"
+    assert [t[1] for t in scripts.tokens(text)] == ["a", "=", "`b${`c`}`", "/", "d", "/", "e", ";", "return", "/[/`]/g", ";", "`xé'y\n'z'`"]
+    assert bundles.fields('{a:1,"b":[c,{d:1}],e,...f,\'g\':","}') == ["a", "b", "e", "g"]
+
+
+def test_plain_addresses_are_told_as_others_are(spark):
+    urls = ["https://a.b/c?d=e", "HTTP://a:80/", "http://a", "http://u@a/", "http:///x", "ftp://a/", "http://a/%zz", "http://a/\\u0001", "http://[::1]/", "http://a:b/", "https://a/{id}/x", "/x", None, "http://a/b\\n"]
+    urls = [u and u.encode().decode("unicode_escape") for u in urls]
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select(U.is_admissible(F.col("u")), U.root(F.col("u"))).collect()
+    assert [r[0] for r in got] == [True, True, True, False, False, False, False, False, True, False, True, False, False, False]
+    assert [r[1] for r in got][:3] == ["https://a.b", "http://a:80", "http://a"] and got[11][1] == "://" and got[12][1] is None
