@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
+from quillspan.functions.rows import dealt, settle
 from quillspan.operators import bundles, classify, dedup, document, links, mining
 from quillspan.sources.shared import ensure_shared_dir
 from quillspan.streaming import correlate
@@ -70,7 +71,8 @@ def bundle_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     call = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit('fetch("/f/'), i.cast("string"), F.lit('");'))), "")
     joined = F.array_join(F.transform(F.sequence(F.lit(0), m), lambda i: F.concat(F.lit('x("/api/c'), i.cast("string"), F.lit('/"+id);'))), "")
     body = F.concat(call, joined, F.lit('axios.delete("/d",{data:{"why":1,who:2},headers:{a:1}})')).cast("binary")
-    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(s.alias("seq"), F.lit("https://a.example/app.js").alias("url"), F.lit("").alias("page_url"), F.struct(F.lit("text/javascript").alias("content_type"), body.alias("body")).alias("response"))
+    rows = settle(dealt(spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey")), response=F.struct(F.lit("text/javascript").alias("content_type"), body.alias("body")))
+    rows = rows.select(s.alias("seq"), F.lit("https://a.example/app.js").alias("url"), F.lit("").alias("page_url"), "response")
     found = bundles.analyze(rows)
     return found.groupBy("seq").agg(F.count_if(F.col("source") == bundles.SCRIPT).alias("calls"), F.count_if(F.col("source") == bundles.CONCAT).alias("joined"), F.max(F.when(F.col("method") == "DELETE", F.col("body"))).alias("deleted"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import url as U
 from quillspan.operators import bundles, mining, scripts
-from quillspan.plans import operations, probes
+from quillspan.plans import operations, probes, web
 
 
 @pytest.mark.parametrize(
@@ -80,6 +80,11 @@ def test_bundles_are_dealt_out_before_they_are_made(spark, tmp_path):
     above, _, below = _plan(found).partition(f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})")
     assert "fetch(" in above and below and "fetch(" not in below
     assert found.count() == 2 * 300 + 2 * 150 + 150 + 100
+    spark.range(50).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = web.bundle_budget(spark, str(tmp_path))
+    above, _, below = _plan(found).partition(f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})")
+    assert "fetch(" in above and below and "fetch(" not in below
+    assert {(r.seq % 5, r.calls, r.joined) for r in found.collect()} == {(0, 401, 1), (1, 451, 11), (2, 484, 16), (3, 484, 16), (4, 484, 16)}
 
 
 def test_tokens_and_fields():
