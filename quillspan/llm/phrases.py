@@ -98,6 +98,24 @@ def _few(docs: DataFrame) -> DataFrame:
     return docs.select("text", "lang").coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism)
 
 
+def add(sketch: np.ndarray, hashes: np.ndarray, times: np.ndarray, least: int) -> None:
+    """Adds distinct runs with their counts. A counter is raised no further than the runs that it stands for may have come (the least of a run's counters, and what is added), at most to ``least``.
+
+    So the least of a run's counters never falls below its count, and the sums of several sketches' counters do not either; but rare runs that share a counter fill it less than by their sum.
+    """
+    cells = [_cells(hashes, row, sketch.shape[1]) for row in range(len(sketch))]
+    may_be = np.minimum.reduce([sketch[row, cell] for row, cell in enumerate(cells)])
+    now = np.minimum(may_be + times, least).astype(sketch.dtype)
+    for row, cell in enumerate(cells):
+        np.maximum.at(sketch[row], cell, now)
+
+
+def width_for(docs: DataFrame) -> int:
+    """Counters of a row by the size of the input's files as far as it is known: more runs need more, else all counters fill up and the second pass counts all runs. At most 2^27, which are 256 MB in a task."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return WIDTH << (0 if size < 3 << 29 or size >> 62 else 1 if size < 3 << 30 else 2)
+
+
 def sketches(docs: DataFrame, least: int, width: int = WIDTH, rows: int = ROWS) -> DataFrame:
     """(part, block, counters): each task's sketch of all runs of its documents (text, lang), in compressed blocks.
 
@@ -111,10 +129,8 @@ def sketches(docs: DataFrame, least: int, width: int = WIDTH, rows: int = ROWS)
         part, sketch = TaskContext.get().partitionId(), np.zeros((rows, width), kind)
         for _, runs in _by_lang(batches):
             for n, hashes in enumerate(runs.hashed(), 1):
-                hashes = hashes[runs.starts(n)]
-                for row in range(rows):
-                    cell, times = np.unique(_cells(hashes, row, width), return_counts=True)
-                    sketch[row, cell] = np.minimum(sketch[row, cell] + times, least)
+                hashes, times = np.unique(hashes[runs.starts(n)], return_counts=True)
+                add(sketch, hashes, times, least)
         flat, pack = sketch.reshape(-1), zstandard.ZstdCompressor(level=1).compress
         for block in range(0, len(flat), size):
             piece = flat[block : block + size]
@@ -216,7 +232,7 @@ def _words(n_words: Column) -> Column:
     return F.array_join(n_words, " ")
 
 
-def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int = 80, lang_col: str = "lang", text_col: str = "text", width: int = WIDTH, rows: int = ROWS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int = 80, lang_col: str = "lang", text_col: str = "text", width: int | None = None, rows: int = ROWS) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of 2 to 4 words of each language (null: ``und``).
 
     A phrase has words of one piece (between ``. , ; : ! ?`` and line ends), ASCII letters in lower case, and occurs ``least`` times or more. Its score is
@@ -225,7 +241,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int =
     have no words; repeated rows count each; ids are not read. No documents give no rows. All counts are exact, whatever the sketch's size.
     """
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
-    found = written(frequent(texts, least, width, rows))
+    found = written(frequent(texts, least, width or width_for(docs), rows))
     known, totals = found.filter("words > 0"), found.filter("words = 0").select("lang", F.col("a").alias("n"))
     longer = known.filter("words >= 2").withColumn("split", F.split("phrase", " "))
     cuts = longer.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,29 @@ def test_phrases_of_no_documents(empty):
 def test_a_very_long_text_is_counted_whole(spark):
     df = spark.createDataFrame([(LONG + ". last words " * 40, "en")], "text string, lang string")
     assert ("last words", 40) in {(r["phrase"], r["a"]) for r in phrases.collocations(df, width=1 << 16).collect()}
+
+
+def test_sketch_never_counts_too_little_and_fills_up_late():
+    """Sums of tasks' sketches, too: 20,000 rare runs on 4,096 counters and some frequent ones; adding up all that share a counter would fill every one to 5 or more."""
+    rng = np.random.default_rng(5)
+    runs = rng.integers(0, 1 << 64, 20_000, np.uint64)
+    total, counts = np.zeros((2, 4096), np.int64), np.zeros(len(runs), np.int64)
+    for _ in range(2):
+        sketch = np.zeros((2, 4096), np.uint8)
+        for _ in range(4):
+            some, times = np.unique(np.concatenate([rng.integers(0, len(runs), 2500), np.arange(50)]), return_counts=True)
+            np.add.at(counts, some, times)
+            phrases.add(sketch, runs[some], times, 30)
+        total += sketch
+    told = np.minimum.reduce([total[row, phrases._cells(runs, row, 4096)] for row in range(2)])
+    assert (told >= np.minimum(counts, 30)).all()
+    assert total.mean() < 0.8 * counts.sum() / 4096
+
+
+def test_sketch_grows_with_files(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([("a b c " * 99, "x")], "text string, lang string")
+    docs.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    assert phrases.width_for(docs) == phrases.WIDTH == phrases.width_for(spark.createDataFrame(docs.rdd, docs.schema))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    assert 0 < size < 10_000
